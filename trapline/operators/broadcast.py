@@ -1,0 +1,25 @@
+"""Broadcast only behind a size check.
+
+A dimension is broadcast when its row count is proven to be at most
+``max_rows``; otherwise it is returned unchanged and the join falls back to a
+shuffle join (sort-merge / shuffle-hash, re-planned by AQE at run time).
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dictionary of this many short string pairs stays well below 100 MB per executor.
+DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                      known_rows: int | None = None) -> DataFrame:
+    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
+
+    ``known_rows`` skips the counting job when the caller already knows an
+    upper bound (for example a literal table).  Counting stops early: only
+    ``max_rows + 1`` rows are ever requested.
+    """
+    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
