@@ -151,3 +151,14 @@ def top_n_wide(df: DataFrame, arr: str = "detections", n: int = 3,
     cols.append(F.greatest(F.size(F.col(arr)) - F.lit(n), F.lit(0)).alias("more_count"))
     keep = [c for c in df.columns if c != arr]
     return df.select(*keep, *cols)
+
+
+def detail_remark(count) -> Column:
+    """P14 remark: none detected / ``n`` more than shown / empty."""
+    from trapline.constants import DETAIL_REMARK_MORE, DETAIL_REMARK_NONE
+
+    n = F.coalesce(col_(count), F.lit(0))
+    head, tail = DETAIL_REMARK_MORE.split("{n}")
+    return (F.when(n == 0, F.lit(DETAIL_REMARK_NONE))
+            .when(n > 3, F.concat(F.lit(head), (n - 3).cast("string"), F.lit(tail)))
+            .otherwise(F.lit("")))
