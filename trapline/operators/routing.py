@@ -5,7 +5,7 @@ separate job (:mod:`trapline.sinks.files`).
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trapline.constants import DUPLICATE_SUFFIX_MAX, NO_DETECTION_FOLDER, NO_DETECTION_LABELS
@@ -21,6 +21,7 @@ from trapline.functions.text import empty_if_null
 from trapline.operators.labels import no_detection_row, with_report_date
 from trapline.operators.names import with_resolved_vernacular
 from trapline.operators.ordinal import DEFAULT_BUCKET_ROWS, with_ordinal
+from trapline.session import materialize
 
 # candidate numbers are generated in slices of this many per task
 CANDIDATE_SLICE = 100_000
@@ -83,11 +84,13 @@ def dedup_destinations(plan: DataFrame, existing: DataFrame | None = None,
     existing = existing.select("target_dir", "file_name").distinct()
     g = ["target_dir", name_col]
 
-    p = with_ordinal(plan, g, order_col, "_k", bucket_rows)
+    # first row of each group: a partial aggregate (a hot name is pre-aggregated map-side)
+    firsts = plan.groupBy(*g).agg(F.min(order_col).alias("_first"))
     taken = existing.select("target_dir", F.col("file_name").alias(name_col), F.lit(True).alias("_exists"))
-    p = (p.join(taken, g, "left")
-         .withColumn("_kept", (F.col("_k") == 1) & F.col("_exists").isNull())
-         .drop("_exists", "_k"))
+    p = (plan.join(firsts, g, "inner").join(taken, g, "left")
+         .withColumn("_kept", (F.col(order_col) == F.col("_first")) & F.col("_exists").isNull())
+         .drop("_exists", "_first"))
+    p = materialize(p)  # read three times below
     p = p.withColumn("_stem", file_stem(F.col(name_col))).withColumn("_ext", file_suffix(F.col(name_col)))
 
     # claimed numbered names: existing files and kept names of the form stem_NNN.ext

@@ -33,10 +33,33 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The reliable checkpoint folder: the cluster's ``spark.checkpoint.dir`` when set.
+
+    Only when neither the context nor the session names one (local runs,
+    tests) a local temporary folder is used.
+    """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="trapline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    base = base.rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    sc.setCheckpointDir(base)
+    return sc.getCheckpointDir() or base
+
+
+def materialize(df):
+    """Cut the lineage of a frame that is read several times.
+
+    A reliable checkpoint (written to the shared checkpoint folder) survives
+    the loss of the executors that computed it; ``localCheckpoint`` would not.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
