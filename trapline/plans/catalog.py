@@ -908,6 +908,69 @@ from r2
 """)
 
 
+# --- U1 / T1-T6 ----------------------------------------------------------------------------
+
+def q_score_batch(spark, sf_dir):
+    """The test scorer applied to every row of ``embeddings`` in Arrow batches."""
+    from trapline.operators.scoring import embedding_argmax_factory, score_images
+
+    emb = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    imgs = emb.select(F.concat(F.lit("/emb/"), F.col("vec_id").cast("string"), F.lit(".jpg")).alias("image_path"),
+                      "embedding", "label")
+    preds = score_images(imgs, embedding_argmax_factory, input_cols=("embedding", "label"))
+    return preds.select("image_path", "det_index", "prediction", "prediction_score")
+
+
+SQL_SCORE_BATCH = """
+select '/emb/' || cast(vec_id as varchar) || '.jpg' as image_path, cast(0 as int) as det_index,
+       'u' || cast(idx as varchar) || ';mammalia;o;f;genus' || cast(idx as varchar) || ';sp' || cast(label as varchar)
+         || ';dim ' || cast(idx as varchar) as prediction,
+       least(cast(1 as double), 4 * cast(mx as double)) as prediction_score
+from (select vec_id, label, list_position(embedding, list_max(embedding)) - 1 as idx,
+             list_max(embedding) as mx from embeddings) e
+"""
+
+TABLE_OUT = ["image_path", "image_name", "image_date", "species", "scientific_name", "confidence", "category",
+             "common_name", "japanese_name"]
+
+
+def _shape_stream_batch(sf_dir: str):
+    def shape(batch: DataFrame) -> DataFrame:
+        spark = batch.sparkSession
+        preds = batch.select("image_path", F.explode("predictions").alias("p")).select("image_path", "p.*")
+        best = det.best_per_image(det.parse_predictions(preds, names(spark, sf_dir), threshold=THRESHOLD))
+        imgs = batch.drop("predictions")
+        return det.detections_table(imgs, best.drop("det_index"))
+    return shape
+
+
+def q_stream_ingest(spark, sf_dir):
+    """Model output arriving as files, ingested in micro-batches into the table.
+
+    The source files hold every image with its predictions (written by Spark
+    from the fixture); each micro-batch is shaped exactly like the batch job,
+    so the streamed table equals the batch detections table.
+    """
+    from trapline.session import scratch_dir
+    from trapline.sinks.tables import read_table
+    from trapline.streaming.ingest import ingest_stream
+
+    base = scratch_dir(spark, "stream-ingest")
+    src, table, ckpt = f"{base}/source", f"{base}/table", f"{base}/checkpoint"
+    preds = fixture(spark, sf_dir, "predictions")
+    per_image = (preds.groupBy("image_path")
+                 .agg(F.collect_list(F.struct("det_index", "prediction", "prediction_score")).alias("predictions")))
+    (images(spark, sf_dir).join(per_image, "image_path", "left")
+     .repartition(8, "image_path").write.mode("overwrite").parquet(src))
+    schema = spark.read.parquet(src).schema
+    ingest_stream(spark, src, schema, _shape_stream_batch(sf_dir), table, ckpt, max_files_per_trigger=2,
+                  error_col=None)
+    return read_table(spark, table).select(*TABLE_OUT)
+
+
+SQL_STREAM_INGEST = oracle(ORACLE_TABLE + f"select {', '.join(TABLE_OUT)} from dtable")
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "parse_predictions": (q_parse_predictions, SQL_PARSE_PREDICTIONS),
     "structured_or_string": (q_structured_or_string, SQL_STRUCTURED_OR_STRING),
@@ -938,4 +1001,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "routing_manifest": (q_routing_manifest, SQL_ROUTING_MANIFEST),
     "routing_stats": (q_routing_stats, SQL_ROUTING_STATS),
     "circuit_breaker": (q_circuit_breaker, SQL_CIRCUIT_BREAKER),
+    "score_batch": (q_score_batch, SQL_SCORE_BATCH),
+    "stream_ingest": (q_stream_ingest, SQL_STREAM_INGEST),
 }
