@@ -29,12 +29,34 @@ def names_frame(spark: SparkSession, data: dict | None = None) -> DataFrame:
     return spark.createDataFrame(rows, NAMES_SCHEMA)
 
 
+# A dictionary slice up to this many rows is deduplicated on the driver and
+# broadcast as a local relation (no shuffle); larger ones are deduplicated by
+# an aggregate and joined without a broadcast hint (AQE may still convert).
+MAX_LOCAL_DIM_ROWS = 200_000
+_DIM_CACHE: dict[tuple[int, str], list[tuple[str, str]]] = {}
+
+
 def _dimension(names: DataFrame, kind: str, prefix: str) -> DataFrame:
-    # one value per key; max() makes a duplicated key deterministic
+    """One value per key of one kind (``max`` makes a duplicated key deterministic)."""
+    spark = names.sparkSession
+    schema = f"{prefix}_key string, {prefix}_value string"
+    cache_key = (names.semanticHash(), kind)
+    rows = _DIM_CACHE.get(cache_key)
+    if rows is None:
+        got = (names.filter(F.col("kind") == kind).select("name_key", "name_value")
+               .limit(MAX_LOCAL_DIM_ROWS + 1).collect())
+        if len(got) <= MAX_LOCAL_DIM_ROWS:
+            best: dict[str, str] = {}
+            for k, v in got:
+                if k is not None and (k not in best or (v or "") > best[k]):
+                    best[k] = v or ""
+            rows = sorted(best.items())
+            _DIM_CACHE[cache_key] = rows
+    if rows is not None:
+        return checked_broadcast(spark.createDataFrame(rows, schema), known_rows=len(rows))
     dim = (names.filter(F.col("kind") == kind)
-           .groupBy("name_key").agg(F.max("name_value").alias("name_value"))
-           .select(F.col("name_key").alias(f"{prefix}_key"), F.col("name_value").alias(f"{prefix}_value")))
-    return checked_broadcast(dim)
+           .groupBy("name_key").agg(F.max("name_value").alias("name_value")))
+    return dim.toDF(f"{prefix}_key", f"{prefix}_value")
 
 
 def vernacular_key(scientific_name) -> tuple[Column, Column]:
