@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from trapline.constants import NO_DETECTION_LABELS
 
-# Characters Python's str.strip()/str.split() treat as whitespace (Java regex class).
+# Characters Python's str.strip()/str.split() treat as whitespace.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+              + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+# the same set as a Java regex character class
 _WS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -15,13 +18,16 @@ def col_(c) -> Column:
 
 
 def ustrip(c) -> Column:
-    """Strip leading/trailing Unicode whitespace (SQL ``trim`` only removes U+0020)."""
-    return F.regexp_replace(col_(c), f"^{_WS}+|{_WS}+$", "")
+    """Strip leading/trailing Unicode whitespace (SQL ``trim`` only removes U+0020).
+
+    ``btrim`` with an explicit character set: no regular expression per row.
+    """
+    return F.btrim(col_(c), F.lit(WHITESPACE))
 
 
 def first_token(c) -> Column:
     """First whitespace-separated token of an already stripped string."""
-    return F.regexp_extract(col_(c), f"^((?:(?!{_WS}).)*)", 1)
+    return F.split(col_(c), f"{_WS}+", 2).getItem(0)
 
 
 def empty_if_null(c) -> Column:

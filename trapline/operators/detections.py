@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from trapline.constants import DEFAULT_CONFIDENCE_THRESHOLD, NO_DETECTION_LABELS
 from trapline.functions.numbers import nan_low
-from trapline.functions.taxonomy import KIND_BUILD, display_species, species_info
+from trapline.functions.taxonomy import KIND_BUILD, display_species, with_taxonomy
 from trapline.functions.text import col_
 from trapline.operators.names import with_vernacular
 
@@ -54,22 +54,18 @@ def parse_predictions(df: DataFrame, names: DataFrame,
     kept = (df.withColumn("confidence", score)
             .filter(F.col("confidence").isNotNull() & (F.col("confidence") >= F.lit(threshold))))
 
-    def opt(name):
-        return None if name is None else F.col(name)
-
-    tax = species_info(F.col(prediction_col), opt(class_col), opt(class_name_col), opt(genus_col),
-                       opt(species_col), opt(common_col), labels)
-    shaped = kept.withColumn("_tax", tax)
-    shaped = with_vernacular(shaped, F.col("_tax.scientific_name"), names, out_col="japanese_name",
-                             when=F.col("_tax.kind") == KIND_BUILD)
+    shaped = with_taxonomy(kept, prediction_col, class_col, class_name_col, genus_col, species_col, common_col,
+                           labels, prefix="_tx_")
+    shaped = with_vernacular(shaped, F.col("_tx_scientific_name"), names, out_col="japanese_name",
+                             when=F.col("_tx_kind") == KIND_BUILD)
     return (shaped
-            .withColumn("species", display_species(F.col("_tax.kind"), F.col("_tax.scientific_name"),
-                                                   F.col("_tax.common_name"), F.col("japanese_name"),
-                                                   F.col("_tax.raw")))
-            .withColumn("scientific_name", F.col("_tax.scientific_name"))
-            .withColumn("category", F.col("_tax.category"))
-            .withColumn("common_name", F.col("_tax.common_name"))
-            .drop("_tax"))
+            .withColumn("species", display_species(F.col("_tx_kind"), F.col("_tx_scientific_name"),
+                                                   F.col("_tx_common_name"), F.col("japanese_name"),
+                                                   F.col("_tx_raw")))
+            .withColumn("scientific_name", F.col("_tx_scientific_name"))
+            .withColumn("category", F.col("_tx_category"))
+            .withColumn("common_name", F.col("_tx_common_name"))
+            .drop("_tx_kind", "_tx_scientific_name", "_tx_category", "_tx_common_name", "_tx_raw"))
 
 
 def best_per_image(detections: DataFrame, key: str = "image_path", order_col: str = "det_index",

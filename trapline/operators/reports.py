@@ -54,15 +54,17 @@ def summary_totals(table: DataFrame) -> DataFrame:
             .withColumn("success_rate", percent("detected_images", "total_images")))
 
 
-def frequency(df: DataFrame, key: str, order_col: str, out_count: str = "n") -> DataFrame:
+def frequency(df: DataFrame, key: str, order_col, out_count: str = "n") -> DataFrame:
     """Counts per ``key`` with % of all counted rows and a stable rank.
 
-    ``rank`` orders by count descending, ties by first appearance
-    (smallest ``order_col``), like a stable sort over first-seen order.
-    The ranking window runs over the aggregate (one row per key).
+    ``rank`` orders by count descending, ties by first appearance (smallest
+    ``order_col``; a tuple of columns orders lexicographically), like a stable
+    sort over first-seen order.  The ranking window runs over the aggregate
+    (one row per key).
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(out_count),
-                                 F.min(order_col).alias("_first_seen"))
+    cols = (order_col,) if isinstance(order_col, str) else tuple(order_col)
+    seen = F.struct(*[F.col(c) for c in cols]) if len(cols) > 1 else F.col(cols[0])
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(out_count), F.min(seen).alias("_first_seen"))
     w_all = Window.partitionBy()
     ranked = (counts.withColumn("pct", percent(F.col(out_count), F.sum(out_count).over(w_all)))
               .withColumn("rank", F.row_number().over(
@@ -132,6 +134,33 @@ def summary_report(table: DataFrame, names: DataFrame, order_col: str = "seen_or
     return basic.unionByName(species).unionByName(category).unionByName(bands)
 
 
+# ---------------------------------------------------------------------------
+# A1 / A3 / A4 / A5 over every detection (the in-memory form, Q21)
+# ---------------------------------------------------------------------------
+
+def detection_totals(images: DataFrame, dets: DataFrame, key: str = "image_path") -> DataFrame:
+    """A1 array form: images, images with any detection (blanks included), all detections, %."""
+    per_image = dets.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    joined = images.select(key).join(per_image, key, "left")
+    agg = joined.agg(F.count(F.lit(1)).alias("total_images"),
+                     F.count_if(F.col("_n") > 0).cast("long").alias("detected_images"),
+                     F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("total_detections"))
+    return (agg.withColumn("undetected_images", F.col("total_images") - F.col("detected_images"))
+            .withColumn("success_rate", percent("detected_images", "total_images")))
+
+
+def detection_species_frequency(dets: DataFrame, order_cols=("seen_order", "det_index")) -> DataFrame:
+    """A3 over every detection: empty species (blank detections) are counted too."""
+    return frequency(dets.withColumn("species", empty_if_null(F.col("species"))), "species", order_cols)
+
+
+def detection_category_frequency(dets: DataFrame, names: DataFrame,
+                                 order_cols=("seen_order", "det_index")) -> DataFrame:
+    """A4 over every detection, translated after counting."""
+    counted = frequency(dets.withColumn("category", empty_if_null(F.col("category"))), "category", order_cols)
+    return with_category_label(counted, F.col("category"), names)
+
+
 # ---------------------------------------------------------------------------
 # A9 species list (detection grain: every detection counts)
 # ---------------------------------------------------------------------------

@@ -971,6 +971,71 @@ def q_stream_ingest(spark, sf_dir):
 SQL_STREAM_INGEST = oracle(ORACLE_TABLE + f"select {', '.join(TABLE_OUT)} from dtable")
 
 
+# --- A1 / A3 / A4 / A5 over every detection (Q21) -------------------------------------------
+
+def _dets(spark, sf_dir):
+    return parsed(spark, sf_dir).withColumn("seen_order", F.col("img"))
+
+
+def q_all_detections_totals(spark, sf_dir):
+    return rep.detection_totals(images(spark, sf_dir), _dets(spark, sf_dir))
+
+
+SQL_ALL_DETECTIONS_TOTALS = oracle(ORACLE_PARSED + """
+, per as (select image_path, count(*) as n from parsed group by image_path),
+j as (select i.image_path, per.n from images i left join per on per.image_path = i.image_path)
+select cast(count(*) as bigint) as total_images, cast(count(n) as bigint) as detected_images,
+       cast(coalesce(sum(n), 0) as bigint) as total_detections,
+       cast(count(*) - count(n) as bigint) as undetected_images,
+       case when count(*) = 0 then cast(0 as double) else count(n) * 100.0 / count(*) end as success_rate
+from j
+""")
+
+
+def q_all_detections_species(spark, sf_dir):
+    return rep.detection_species_frequency(_dets(spark, sf_dir))
+
+
+SQL_ALL_DETECTIONS_SPECIES = oracle(ORACLE_PARSED + """
+, f as (select species, count(*) as n, min(img * 10 + det_index) as first_seen from parsed group by species)
+select species, cast(n as bigint) as n, n * 100.0 / sum(n) over () as pct,
+       cast(row_number() over (order by n desc, first_seen) as int) as rank
+from f
+""")
+
+
+def q_all_detections_categories(spark, sf_dir):
+    return rep.detection_category_frequency(_dets(spark, sf_dir), names(spark, sf_dir))
+
+
+SQL_ALL_DETECTIONS_CATEGORIES = oracle(ORACLE_PARSED + """
+, f as (select category, count(*) as n, min(img * 10 + det_index) as first_seen from parsed group by category)
+select f.category, cast(f.n as bigint) as n, f.n * 100.0 / sum(f.n) over () as pct,
+       cast(row_number() over (order by f.n desc, f.first_seen) as int) as rank,
+       case when f.category = '' then '' else coalesce(c.name_value, f.category) end as category_label
+from f left join cat_names c on c.name_key = f.category
+""")
+
+
+def q_all_detections_bands(spark, sf_dir):
+    return rep.confidence_bands(_dets(spark, sf_dir), only_detected=False)
+
+
+SQL_ALL_DETECTIONS_BANDS = oracle(ORACLE_PARSED + """
+, bands(band, band_label) as (
+  select * from (values (0, '0.9-1.0 (非常に高い)'), (1, '0.7-0.9 (高い)'), (2, '0.5-0.7 (中程度)'),
+                        (3, '0.3-0.5 (低い)'), (4, '0.0-0.3 (非常に低い)')) v(band, band_label)
+),
+bc as (
+  select case when isnan(confidence) then 4 when confidence >= 0.9 then 0 when confidence >= 0.7 then 1
+              when confidence >= 0.5 then 2 when confidence >= 0.3 then 3 else 4 end as band,
+         count(*) as n
+  from parsed group by 1
+)
+select b.band, b.band_label, cast(coalesce(bc.n, 0) as bigint) as n from bands b left join bc on bc.band = b.band
+""")
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "parse_predictions": (q_parse_predictions, SQL_PARSE_PREDICTIONS),
     "structured_or_string": (q_structured_or_string, SQL_STRUCTURED_OR_STRING),
@@ -1001,6 +1066,10 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "routing_manifest": (q_routing_manifest, SQL_ROUTING_MANIFEST),
     "routing_stats": (q_routing_stats, SQL_ROUTING_STATS),
     "circuit_breaker": (q_circuit_breaker, SQL_CIRCUIT_BREAKER),
+    "all_detections_totals": (q_all_detections_totals, SQL_ALL_DETECTIONS_TOTALS),
+    "all_detections_species": (q_all_detections_species, SQL_ALL_DETECTIONS_SPECIES),
+    "all_detections_categories": (q_all_detections_categories, SQL_ALL_DETECTIONS_CATEGORIES),
+    "all_detections_bands": (q_all_detections_bands, SQL_ALL_DETECTIONS_BANDS),
     "score_batch": (q_score_batch, SQL_SCORE_BATCH),
     "stream_ingest": (q_stream_ingest, SQL_STREAM_INGEST),
 }

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trapline.operators import detections as det
 from trapline.operators.incremental import pending_images
 from trapline.operators.scoring import ScorerFactory, ScoringOptions, score_images
+from trapline.sinks.tables import append_detections
 from trapline.sources.predictions import best_box
 
 
@@ -45,6 +46,7 @@ def image_rows(images: DataFrame, predictions: DataFrame, names: DataFrame, thre
 class DetectionRun:
     rows: DataFrame          # image grain, ready for the table
     pending: DataFrame       # images to score after the resume filter
+    observation: Observation | None = None  # listed / pending counts, filled by the write
 
 
 def detect_images(listing: DataFrame, factory: ScorerFactory, names: DataFrame,
@@ -54,6 +56,9 @@ def detect_images(listing: DataFrame, factory: ScorerFactory, names: DataFrame,
     options = options or ScoringOptions()
     images = listing.select(F.col("path").alias("image_path"), "modificationTime")
     pending = pending_images(images, done)
+    obs = Observation()
+    # counts ride along with the scoring job instead of separate count jobs
+    pending = pending.observe(obs, F.count(F.lit(1)).alias("pending_images"))
     preds = score_images(pending, factory, options)
     rows = image_rows(pending, preds, names, options.confidence_threshold)
     if capture_dates is not None:
@@ -61,7 +66,41 @@ def detect_images(listing: DataFrame, factory: ScorerFactory, names: DataFrame,
     else:
         rows = rows.withColumn("image_date", F.date_format("modificationTime", "yyyy-MM-dd"))
     rows = rows.withColumn("image_date", F.coalesce(F.col("image_date"), F.lit("")))
-    return DetectionRun(rows=rows, pending=pending)
+    return DetectionRun(rows=rows, pending=pending, observation=obs)
 
 
-__all__ = ["detect_images", "image_rows", "shape_predictions", "best_box", "DetectionRun"]
+def run_detection(run: DetectionRun, table_path: str, total_images: int | None = None) -> dict:
+    """Execute the plan once: append the rows (K1) and return the run summary (A2).
+
+    ``successful`` counts images with any detection above the threshold,
+    blanks included (Q3); ``failed`` the others (Q4).  With ``total_images``
+    (the listing size) ``skipped`` is the number filtered out by the resume.
+    """
+    obs = Observation()
+    rows = run.rows.observe(obs, F.count(F.lit(1)).alias("total_processed"),
+                            F.count_if(F.col("n_detections") > 0).alias("successful"))
+    append_detections(rows, table_path)
+    m = obs.get
+    pending = run.observation.get.get("pending_images", 0) if run.observation is not None else None
+    out = {"total_processed": int(m.get("total_processed", 0)), "successful": int(m.get("successful", 0)),
+           "stopped": False, "csv_path": None, "table_path": table_path}
+    out["failed"] = out["total_processed"] - out["successful"]
+    out["skipped"] = (total_images - pending) if (total_images is not None and pending is not None) else None
+    return out
+
+
+def progress_metrics(processed: int, total: int, elapsed_seconds: float) -> dict:
+    """Images per second, percent done and remaining seconds (0 when undefined)."""
+    rate = processed / elapsed_seconds if elapsed_seconds > 0 else 0.0
+    pct = processed * 100.0 / total if total > 0 else 0.0
+    eta = (total - processed) / rate if rate > 0 and total > 0 else 0.0
+    return {"rate": rate, "percent": pct, "eta_seconds": eta}
+
+
+def first_images(listing: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` image paths in path order (a top-n, not a full sort)."""
+    return listing.orderBy("path").limit(n)
+
+
+__all__ = ["detect_images", "run_detection", "image_rows", "shape_predictions", "best_box", "DetectionRun",
+           "progress_metrics", "first_images"]

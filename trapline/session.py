@@ -14,6 +14,9 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         # rows here are small in bytes but CPU-heavy (string parsing): keep more,
+         # smaller partitions after AQE coalescing so every core gets work
+         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.enabled", "false")

@@ -52,7 +52,8 @@ class IngestControl:
 def ingest_stream(spark: SparkSession, source_dir: str, schema, shape: Callable[[DataFrame], DataFrame],
                   table_path: str, checkpoint: str, source_format: str = "parquet",
                   max_files_per_trigger: int = 1, control: IngestControl | None = None,
-                  error_col: str | None = "error") -> dict:
+                  error_col: str | None = "error",
+                  on_progress: Callable[[dict], None] | None = None) -> dict:
     """Run the stream until the available files are done; returns a run summary.
 
     ``shape(batch) -> rows`` turns one micro-batch of source rows into table
@@ -73,7 +74,10 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema, shape: Callable[
         control.consecutive_failed = control.consecutive_failed + 1 if all_failed else 0
         rows = shape(batch)
         write_batch(rows, table_path, batch_id)
-        control.batches.append({"batch_id": batch_id, "failed": all_failed})
+        info = {"batch_id": batch_id, "failed": all_failed}
+        control.batches.append(info)
+        if on_progress is not None:  # T3: per-chunk progress
+            on_progress(dict(info, batches_done=len(control.batches)))
         if control.consecutive_failed >= control.limit:
             raise BreakerTripped(f"{control.limit} consecutive failed batches")
 
