@@ -87,3 +87,38 @@ def test_stream_resume_replay_and_breaker(spark, tmp_path):
         drop(f"f{i}", [(f"/x{i}", "model failure")])
     r3 = ingest_stream(spark, f"{src}/*", schema, shape, table, ckpt, control=IngestControl(limit=2))
     assert r3["stopped"] and r3["reason"] == "breaker"
+
+
+def test_stop_after_current_batch(spark, tmp_path):
+    src = str(tmp_path / "src")
+    for i in range(3):
+        spark.createDataFrame([(f"/s{i}", None)], "image_path string, error string").coalesce(1).write.parquet(
+            f"{src}/p{i}")
+    control = IngestControl()
+    seen = []
+
+    def progress(info):
+        seen.append(info["batch_id"])
+        control.request_stop()  # ask to stop once the first batch is written
+
+    out = ingest_stream(spark, f"{src}/*", "image_path string, error string", lambda b: b.select("image_path"),
+                        str(tmp_path / "t"), str(tmp_path / "c"), control=control, on_progress=progress)
+    assert out["stopped"] and out["reason"] == "stop" and seen == [0]
+    assert read_table(spark, str(tmp_path / "t")).count() == 1
+
+
+def test_run_detection_observed_summary(spark, seed_names, tmp_path):
+    from trapline.plans.detect import first_images, progress_metrics, run_detection
+
+    root = str(tmp_path / "imgs")
+    make_images(root, [f"{i}.jpg" for i in range(4)])
+    listing = list_images(spark, root)
+    assert [os.path.basename(r.path) for r in first_images(listing, 2).collect()] == ["0.jpg", "1.jpg"]
+    table = str(tmp_path / "table")
+    done = spark.createDataFrame([(os.path.join(root, "0.jpg"),)], "image_path string")
+    run = detect_images(listing, fixed_factory(CROW), seed_names, done=done)
+    s = run_detection(run, table, total_images=4)
+    assert (s["total_processed"], s["successful"], s["failed"], s["skipped"]) == (3, 3, 0, 1)
+    m = progress_metrics(3, 4, 1.5)
+    assert m["rate"] == 2.0 and m["percent"] == 75.0 and m["eta_seconds"] == 0.5
+    assert progress_metrics(0, 0, 0)["eta_seconds"] == 0.0

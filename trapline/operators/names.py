@@ -40,8 +40,10 @@ def _dimension(names: DataFrame, kind: str, prefix: str) -> DataFrame:
     """One value per key of one kind (``max`` makes a duplicated key deterministic)."""
     spark = names.sparkSession
     schema = f"{prefix}_key string, {prefix}_value string"
-    cache_key = (names.semanticHash(), kind)
-    rows = _DIM_CACHE.get(cache_key)
+    # a local relation carries its rows in the plan, so its hash identifies the data;
+    # a file-backed dictionary is re-read every time (the file may change)
+    cache_key = (names.semanticHash(), kind) if names.isLocal() else None
+    rows = _DIM_CACHE.get(cache_key) if cache_key else None
     if rows is None:
         got = (names.filter(F.col("kind") == kind).select("name_key", "name_value")
                .limit(MAX_LOCAL_DIM_ROWS + 1).collect())
@@ -51,7 +53,8 @@ def _dimension(names: DataFrame, kind: str, prefix: str) -> DataFrame:
                 if k is not None and (k not in best or (v or "") > best[k]):
                     best[k] = v or ""
             rows = sorted(best.items())
-            _DIM_CACHE[cache_key] = rows
+            if cache_key:
+                _DIM_CACHE[cache_key] = rows
     if rows is not None:
         return checked_broadcast(spark.createDataFrame(rows, schema), known_rows=len(rows))
     dim = (names.filter(F.col("kind") == kind)

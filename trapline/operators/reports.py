@@ -33,6 +33,7 @@ from trapline.functions.numbers import band_index, percent
 from trapline.functions.text import empty_if_null
 from trapline.operators.names import with_category_label, with_resolved_vernacular
 from trapline.operators.ordinal import with_ordinal
+from trapline.session import materialize
 
 MAX_PIVOT_DATES = 10_000
 
@@ -108,7 +109,13 @@ def confidence_bands(table: DataFrame, confidence_col: str = "confidence",
 
 
 def summary_report(table: DataFrame, names: DataFrame, order_col: str = "seen_order") -> DataFrame:
-    """K3: one tidy frame ``(section, ord, item, n, pct)`` of A1, A3, A4, A5."""
+    """K3: one tidy frame ``(section, ord, item, n, pct)`` of A1, A3, A4, A5.
+
+    The four sections read the same four columns: that pruned projection is
+    materialized once instead of computing the table four times.
+    """
+    table = materialize(table.select(F.col("species"), F.col("category"), F.col("confidence"),
+                                     F.col(order_col)))
     t = summary_totals(table)
     def item(ord_, label, n, pct):
         return F.struct(F.lit(ord_).alias("ord"), F.lit(label).alias("item"),
@@ -203,6 +210,7 @@ def daily_label_pivot(counts: DataFrame, dates: list[str] | None = None) -> Data
     zero-filled.  The input is already aggregated (dates x labels), so the
     pivot runs on a small frame.
     """
+    counts = materialize(counts)  # small (dates x labels), read four times below
     dates = pivot_dates(counts) if dates is None else list(dates)
     cells = counts.filter(F.col("grouping_id") == 0)
     label_totals = counts.filter(F.col("grouping_id") == 2).select("label", F.col("n_images").alias("total"))

@@ -66,7 +66,8 @@ def routing_plan(table: DataFrame, names: DataFrame, base: str, by_date: bool =
 
 def dedup_destinations(plan: DataFrame, existing: DataFrame | None = None,
                        order_col: str = "seen_order", name_col: str = "image_name",
-                       run_stamp: str = "overflow", bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+                       run_stamp: str = "overflow", bucket_rows: int = DEFAULT_BUCKET_ROWS,
+                       materialize_input: bool = True) -> DataFrame:
     """A unique destination name per target folder, clear of existing files.
 
     Set form of sequential collision numbering: the first row of each
@@ -83,6 +84,8 @@ def dedup_destinations(plan: DataFrame, existing: DataFrame | None = None,
         existing = spark.createDataFrame([], "target_dir string, file_name string")
     existing = existing.select("target_dir", "file_name").distinct()
     g = ["target_dir", name_col]
+    if materialize_input:
+        plan = materialize(plan)  # read by the first-row aggregate, the join and three branches
 
     # first row of each group: a partial aggregate (a hot name is pre-aggregated map-side)
     firsts = plan.groupBy(*g).agg(F.min(order_col).alias("_first"))
@@ -90,7 +93,6 @@ def dedup_destinations(plan: DataFrame, existing: DataFrame | None = None,
     p = (plan.join(firsts, g, "inner").join(taken, g, "left")
          .withColumn("_kept", (F.col(order_col) == F.col("_first")) & F.col("_exists").isNull())
          .drop("_exists", "_first"))
-    p = materialize(p)  # read three times below
     p = p.withColumn("_stem", file_stem(F.col(name_col))).withColumn("_ext", file_suffix(F.col(name_col)))
 
     # claimed numbered names: existing files and kept names of the form stem_NNN.ext

@@ -21,6 +21,7 @@ from trapline.operators import reports as rep
 from trapline.operators import routing as rt
 from trapline.operators.broadcast import checked_broadcast
 from trapline.operators.names import with_category_label, with_resolved_vernacular
+from trapline.session import materialize
 
 THRESHOLD = DEFAULT_CONFIDENCE_THRESHOLD
 _LABELS_SQL = "('blank', 'no cv result', 'no_cv_result')"
@@ -780,11 +781,12 @@ SQL_ROUTING_LONG_PATHS = oracle(_route_sql(LONG_ROUTE_BASE, False)
 
 def _dedup(spark, sf_dir):
     plan = rt.routing_plan(detections_table(spark, sf_dir), names(spark, sf_dir), ROUTE_BASE)
+    plan = materialize(plan)  # also the source of the "existing files" below
     # files already in the target folders: the name itself and its _001 twin, for one image in 17
     pre = plan.filter(F.col("img") % 17 == 0)
     existing = pre.select("target_dir", F.col("image_name").alias("file_name")).unionByName(
         pre.select("target_dir", F.regexp_replace("image_name", r"\.JPG$", "_001.JPG").alias("file_name")))
-    return rt.dedup_destinations(plan, existing)
+    return rt.dedup_destinations(plan, existing, materialize_input=False)
 
 
 def q_routing_dedup(spark, sf_dir):
@@ -963,7 +965,7 @@ def q_stream_ingest(spark, sf_dir):
     (images(spark, sf_dir).join(per_image, "image_path", "left")
      .repartition(8, "image_path").write.mode("overwrite").parquet(src))
     schema = spark.read.parquet(src).schema
-    ingest_stream(spark, src, schema, _shape_stream_batch(sf_dir), table, ckpt, max_files_per_trigger=2,
+    ingest_stream(spark, src, schema, _shape_stream_batch(sf_dir), table, ckpt, max_files_per_trigger=4,
                   error_col=None)
     return read_table(spark, table).select(*TABLE_OUT)
 
