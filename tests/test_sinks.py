@@ -87,3 +87,40 @@ def test_detail_remarks_and_overflow(spark):
                                 "detections array<struct<species:string, confidence:double>>")
     w = top_n_wide(arr, fields=("species", "confidence")).first()
     assert (w.detection_count, w.species_1, w.species_3, w.more_count) == (4, "s1", "s3", 1)
+
+
+def test_detail_export_and_table_export(spark, seed_names, tmp_path):
+    from trapline.constants import DETAIL_HEADER
+    from trapline.sinks.csv_excel import export_table_csv, write_detail_export
+    from trapline.sinks.tables import append_detections
+    from trapline.sources.detections_csv import read_detections_csv
+    from trapline.sources.images import file_list
+
+    wide = spark.createDataFrame([("/p/a.jpg", "a.jpg", 1, "S", "c", "j", "Sus scrofa", 0.123456, "哺乳類", 0)],
+                                 "image_path string, image_name string, detection_count long, species_1 string, "
+                                 "common_name_1 string, japanese_name_1 string, scientific_name_1 string, "
+                                 "confidence_1 double, category_label_1 string, more_count int")
+    for i in (2, 3):
+        for f, t in (("species", "string"), ("common_name", "string"), ("japanese_name", "string"),
+                     ("scientific_name", "string"), ("confidence", "double"), ("category_label", "string")):
+            wide = wide.withColumn(f"{f}_{i}", F.lit(None).cast(t))
+    wide = wide.withColumn("remark", detail_remark(F.col("detection_count")))
+    out = str(tmp_path / "detail")
+    write_detail_export(wide, out)
+    back = spark.read.option("header", True).csv(out)
+    assert [c.lstrip("\ufeff") for c in back.columns] == list(DETAIL_HEADER)
+    row = back.first()
+    assert row["信頼度_1"] == "0.1235" and row["備考"] is None and row["種名_1"] == "S"
+
+    paths = file_list(spark, ["/z.jpg", "/a.jpg"]).collect()
+    assert [(r.path, r.seen_order) for r in paths] == [("/z.jpg", 0), ("/a.jpg", 1)]
+
+    table = str(tmp_path / "table")
+    rows = spark.createDataFrame([("/a.jpg", "a.jpg", "2024-01-01", "S", "S", 0.5, "bird", "", "", 0)],
+                                 "image_path string, image_name string, image_date string, species string, "
+                                 "scientific_name string, confidence double, category string, common_name string, "
+                                 "japanese_name string, seen_order long").withColumn("timestamp", F.current_timestamp())
+    append_detections(rows, table)
+    export_table_csv(spark, table, str(tmp_path / "export"))
+    got = read_detections_csv(spark, str(tmp_path / "export")).first()
+    assert (got.image_path, got.species, got.confidence) == ("/a.jpg", "S", "0.5")

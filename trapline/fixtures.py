@@ -82,20 +82,37 @@ chunk_log as (
 FIXTURE_NAMES_ROWS = 8
 
 
+def _events_view_name(sf_dir: str) -> str:
+    return "tl_events_" + hashlib.sha1(sf_dir.rstrip("/").encode("utf-8")).hexdigest()[:10]
+
+
 def _events_view(spark: SparkSession, sf_dir: str) -> str:
-    name = "tl_events_" + hashlib.sha1(sf_dir.encode("utf-8")).hexdigest()[:10]
+    name = _events_view_name(sf_dir)
     if not spark.catalog.tableExists(name):
         spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").createOrReplaceTempView(name)
     return name
 
 
+_FRAMES: dict[tuple[int, str, str], DataFrame] = {}
+
+
 def fixture(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One fixture table as a Spark DataFrame (lazy; built from ``events``)."""
+    """One fixture table as a Spark DataFrame (lazy; built from ``events``).
+
+    The analyzed frame is reused within a session: a DataFrame is an
+    immutable plan, and re-analyzing the CTE text for every use only costs
+    driver time.
+    """
     if table not in FIXTURE_TABLES:
         raise ValueError(f"unknown fixture table {table!r}")
-    view = _events_view(spark, sf_dir)
-    sql = FIXTURE_SQL.replace(" from events", f" from {view}")
-    return spark.sql(f"{sql} select * from {table}")
+    key = (id(spark), sf_dir.rstrip("/"), table)
+    df = _FRAMES.get(key)
+    if df is None or not spark.catalog.tableExists(_events_view_name(sf_dir)):
+        view = _events_view(spark, sf_dir)
+        sql = FIXTURE_SQL.replace(" from events", f" from {view}")
+        df = spark.sql(f"{sql} select * from {table}")
+        _FRAMES[key] = df
+    return df
 
 
 def fixtures(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -152,34 +152,35 @@ def with_taxonomy(df, prediction_col: str = "prediction", class_col: str | None
     raw = empty_if_null(F.col(prediction_col))
     s_cls = ustrip(F.coalesce(F.nullif(opt(class_col), F.lit("")), F.nullif(opt(class_name_col), F.lit("")),
                               F.lit("")))
-    df = (df.withColumn(f"{p}raw", raw)
-          .withColumn(f"{p}parts", F.split(F.col(f"{p}raw"), ";", -1))
-          .withColumn(f"{p}s_cls", s_cls)
-          .withColumn(f"{p}s_gen", ustrip(opt(genus_col)))
-          .withColumn(f"{p}s_sp", ustrip(opt(species_col)))
-          .withColumn(f"{p}s_cm", ustrip(opt(common_col))))
+    # stage 1: raw string, its parts, stripped structured keys (one projection)
+    df = df.withColumns({f"{p}raw": raw, f"{p}parts": F.split(raw, ";", -1), f"{p}s_cls": s_cls,
+                         f"{p}s_gen": ustrip(opt(genus_col)), f"{p}s_sp": ustrip(opt(species_col)),
+                         f"{p}s_cm": ustrip(opt(common_col))})
     structured = ((F.col(f"{p}s_cls") != "") | (F.col(f"{p}s_gen") != "") | (F.col(f"{p}s_sp") != "")
                   | (F.col(f"{p}s_cm") != ""))
 
     def part(i):
         return ustrip(F.coalesce(F.get(F.col(f"{p}parts"), i), F.lit("")))
 
-    df = (df.withColumn(f"{p}structured", structured)
-          .withColumn(f"{p}cls", F.when(F.col(f"{p}structured"), F.col(f"{p}s_cls")).otherwise(part(1)))
-          .withColumn(f"{p}gen", F.when(F.col(f"{p}structured"), F.col(f"{p}s_gen")).otherwise(part(4)))
-          .withColumn(f"{p}sp", F.when(F.col(f"{p}structured"), F.col(f"{p}s_sp")).otherwise(part(5)))
-          .withColumn(f"{p}cm", F.when(F.col(f"{p}structured"), F.col(f"{p}s_cm")).otherwise(part(6))))
+    # stage 2: the four taxonomy fields from the structured keys or the string
+    df = df.withColumn(f"{p}structured", structured)
+    st = F.col(f"{p}structured")
+    df = df.withColumns({f"{p}cls": F.when(st, F.col(f"{p}s_cls")).otherwise(part(1)),
+                         f"{p}gen": F.when(st, F.col(f"{p}s_gen")).otherwise(part(4)),
+                         f"{p}sp": F.when(st, F.col(f"{p}s_sp")).otherwise(part(5)),
+                         f"{p}cm": F.when(st, F.col(f"{p}s_cm")).otherwise(part(6))})
     cls, gen, sp, cm = (F.col(f"{p}{n}") for n in ("cls", "gen", "sp", "cm"))
     s = F.col(f"{p}raw")
     values = [cls, gen, sp, cm]
     any_nonempty = reduce(lambda a, b: a | b, [v != "" for v in values])
     all_blank = any_nonempty & reduce(lambda a, b: a & b,
                                       [(v == "") | _nodet_nonempty(v, labels) for v in values])
-    string_route = ~F.col(f"{p}structured")
+    string_route = ~st
     kind = (F.when(string_route & is_no_detection(s, labels), F.lit(KIND_NODET))
             .when(string_route & (~s.contains(";") | (F.size(F.col(f"{p}parts")) < 7)), F.lit(KIND_RAW))
             .when(all_blank, F.lit(KIND_NODET))
             .otherwise(F.lit(KIND_BUILD)))
+    # stage 3: kind; stage 4: the output fields
     df = df.withColumn(f"{p}kind", kind)
     k = F.col(f"{p}kind")
     common_is_label = (cm == "") | _nodet_nonempty(cm, labels)
@@ -187,10 +188,11 @@ def with_taxonomy(df, prediction_col: str = "prediction", class_col: str | None
            .when(gen != "", py_capitalize(gen))
            .when(~common_is_label, cm)
            .otherwise(F.coalesce(F.nullif(s, F.lit("")), F.lit(UNKNOWN_SCIENTIFIC_NAME))))
-    df = (df.withColumn(f"{p}category", F.when(k == KIND_BUILD, category_of(cls))
-                        .when(k == KIND_RAW, F.lit(UNKNOWN_CATEGORY)).otherwise(F.lit(NO_DETECTION_CATEGORY)))
-          .withColumn(f"{p}scientific_name", F.when(k == KIND_BUILD, sci).when(k == KIND_RAW, s)
-                      .otherwise(F.lit("")))
-          .withColumn(f"{p}common_name", F.when((k == KIND_BUILD) & ~common_is_label, cm).otherwise(F.lit(""))))
+    df = df.withColumns({
+        f"{p}category": F.when(k == KIND_BUILD, category_of(cls)).when(k == KIND_RAW, F.lit(UNKNOWN_CATEGORY))
+        .otherwise(F.lit(NO_DETECTION_CATEGORY)),
+        f"{p}scientific_name": F.when(k == KIND_BUILD, sci).when(k == KIND_RAW, s).otherwise(F.lit("")),
+        f"{p}common_name": F.when((k == KIND_BUILD) & ~common_is_label, cm).otherwise(F.lit("")),
+    })
     return df.drop(*[f"{p}{n}" for n in ("parts", "s_cls", "s_gen", "s_sp", "s_cm", "structured", "cls", "gen",
                                          "sp", "cm")])

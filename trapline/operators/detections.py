@@ -59,12 +59,12 @@ def parse_predictions(df: DataFrame, names: DataFrame,
     shaped = with_vernacular(shaped, F.col("_tx_scientific_name"), names, out_col="japanese_name",
                              when=F.col("_tx_kind") == KIND_BUILD)
     return (shaped
-            .withColumn("species", display_species(F.col("_tx_kind"), F.col("_tx_scientific_name"),
-                                                   F.col("_tx_common_name"), F.col("japanese_name"),
-                                                   F.col("_tx_raw")))
-            .withColumn("scientific_name", F.col("_tx_scientific_name"))
-            .withColumn("category", F.col("_tx_category"))
-            .withColumn("common_name", F.col("_tx_common_name"))
+            .withColumns({"species": display_species(F.col("_tx_kind"), F.col("_tx_scientific_name"),
+                                                     F.col("_tx_common_name"), F.col("japanese_name"),
+                                                     F.col("_tx_raw")),
+                          "scientific_name": F.col("_tx_scientific_name"),
+                          "category": F.col("_tx_category"),
+                          "common_name": F.col("_tx_common_name")})
             .drop("_tx_kind", "_tx_scientific_name", "_tx_category", "_tx_common_name", "_tx_raw"))
 
 
@@ -86,11 +86,8 @@ def detections_table(images: DataFrame, best: DataFrame, key: str = "image_path"
                      fields=DETECTION_FIELDS) -> DataFrame:
     """One row per image; images without a detection get ``'' … 0 … ''``."""
     joined = images.join(best, key, "left")
-    out = joined
-    for c in fields:
-        default = F.lit(0.0) if c == "confidence" else F.lit("")
-        out = out.withColumn(c, F.coalesce(F.col(c), default))
-    return out
+    return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0.0) if c == "confidence" else F.lit(""))
+                               for c in fields})
 
 
 def image_name(path) -> Column:

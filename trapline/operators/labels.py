@@ -42,13 +42,14 @@ def with_report_label(df: DataFrame, names: DataFrame, out_col: str = "label",
                       labels=NO_DETECTION_LABELS) -> DataFrame:
     """P20: no-detection label, else vernacular (resolved late, J7), else common, else species."""
     resolved = with_resolved_vernacular(df, names, out_col="_vern")
-    species = ustrip(empty_if_null(F.col("species")))
-    common = ustrip(empty_if_null(F.col("common_name")))
+    resolved = resolved.withColumns({"_lab_sp": ustrip(empty_if_null(F.col("species"))),
+                                     "_lab_cm": ustrip(empty_if_null(F.col("common_name")))})
+    species, common = F.col("_lab_sp"), F.col("_lab_cm")
     label = (F.when(no_detection_row(species, common, labels), F.lit(PIVOT_NO_DETECTION_LABEL))
              .when(F.col("_vern") != "", F.col("_vern"))
              .when(~is_no_detection(common, labels), common)
              .otherwise(species))
-    return resolved.withColumn(out_col, label).drop("_vern")
+    return resolved.withColumn(out_col, label).drop("_vern", "_lab_sp", "_lab_cm")
 
 
 def daily_label_counts(labeled: DataFrame, date_col: str = "report_date",

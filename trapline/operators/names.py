@@ -33,17 +33,18 @@ def names_frame(spark: SparkSession, data: dict | None = None) -> DataFrame:
 # broadcast as a local relation (no shuffle); larger ones are deduplicated by
 # an aggregate and joined without a broadcast hint (AQE may still convert).
 MAX_LOCAL_DIM_ROWS = 200_000
-_DIM_CACHE: dict[tuple[int, str], list[tuple[str, str]]] = {}
+# (id(frame), kind) -> (frame, rows): a dictionary frame is read once per frame object
+# (the frame is held so its id cannot be reused)
+_DIM_CACHE: dict[tuple[int, str], tuple[DataFrame, list[tuple[str, str]]]] = {}
 
 
 def _dimension(names: DataFrame, kind: str, prefix: str) -> DataFrame:
     """One value per key of one kind (``max`` makes a duplicated key deterministic)."""
     spark = names.sparkSession
     schema = f"{prefix}_key string, {prefix}_value string"
-    # a local relation carries its rows in the plan, so its hash identifies the data;
-    # a file-backed dictionary is re-read every time (the file may change)
-    cache_key = (names.semanticHash(), kind) if names.isLocal() else None
-    rows = _DIM_CACHE.get(cache_key) if cache_key else None
+    cache_key = (id(names), kind)
+    hit = _DIM_CACHE.get(cache_key)
+    rows = hit[1] if hit is not None and hit[0] is names else None
     if rows is None:
         got = (names.filter(F.col("kind") == kind).select("name_key", "name_value")
                .limit(MAX_LOCAL_DIM_ROWS + 1).collect())
@@ -53,8 +54,7 @@ def _dimension(names: DataFrame, kind: str, prefix: str) -> DataFrame:
                 if k is not None and (k not in best or (v or "") > best[k]):
                     best[k] = v or ""
             rows = sorted(best.items())
-            if cache_key:
-                _DIM_CACHE[cache_key] = rows
+            _DIM_CACHE[cache_key] = (names, rows)
     if rows is not None:
         return checked_broadcast(spark.createDataFrame(rows, schema), known_rows=len(rows))
     dim = (names.filter(F.col("kind") == kind)
@@ -81,7 +81,7 @@ def with_vernacular(df: DataFrame, scientific_name, names: DataFrame,
         exact, genus = F.when(when, exact), F.when(when, genus)
     sp = _dimension(names, "species", "_sp")
     ge = _dimension(names, "genus", "_ge")
-    out = (df.withColumn("_sp_lookup", exact).withColumn("_ge_lookup", genus)
+    out = (df.withColumns({"_sp_lookup": exact, "_ge_lookup": genus})
            .join(sp, F.col("_sp_lookup") == F.col("_sp_key"), "left")
            .join(ge, F.col("_ge_lookup") == F.col("_ge_key"), "left")
            .withColumn(out_col, F.coalesce(F.col("_sp_value"), F.col("_ge_value"), F.lit(""))))

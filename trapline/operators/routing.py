@@ -58,9 +58,8 @@ def routing_plan(table: DataFrame, names: DataFrame, base: str, by_date: bool =
         parent = target_parent(base)
         rel_parent = F.lit("")
     seg = routed_folder(parent, F.col("folder_name"))
-    t = (t.withColumn("_seg", seg)
-         .withColumn("target_dir", F.concat(parent, F.lit("/"), F.col("_seg")))
-         .withColumn("folder_key", F.concat(rel_parent, F.col("_seg"))))
+    t = t.withColumn("_seg", seg).withColumns({"target_dir": F.concat(parent, F.lit("/"), F.col("_seg")),
+                                               "folder_key": F.concat(rel_parent, F.col("_seg"))})
     return t.drop("_seg", "_route_date")
 
 
@@ -93,7 +92,7 @@ def dedup_destinations(plan: DataFrame, existing: DataFrame | None = None,
     p = (plan.join(firsts, g, "inner").join(taken, g, "left")
          .withColumn("_kept", (F.col(order_col) == F.col("_first")) & F.col("_exists").isNull())
          .drop("_exists", "_first"))
-    p = p.withColumn("_stem", file_stem(F.col(name_col))).withColumn("_ext", file_suffix(F.col(name_col)))
+    p = p.withColumns({"_stem": file_stem(F.col(name_col)), "_ext": file_suffix(F.col(name_col))})
 
     # claimed numbered names: existing files and kept names of the form stem_NNN.ext
     claimed = (existing.select("target_dir", "file_name")

@@ -20,7 +20,7 @@ from trapline.operators import labels as lab
 from trapline.operators import reports as rep
 from trapline.operators import routing as rt
 from trapline.operators.broadcast import checked_broadcast
-from trapline.operators.names import with_category_label, with_resolved_vernacular
+from trapline.operators.names import NAMES_SCHEMA, with_category_label, with_resolved_vernacular
 from trapline.session import materialize
 
 THRESHOLD = DEFAULT_CONFIDENCE_THRESHOLD
@@ -31,9 +31,20 @@ _LABELS_SQL = "('blank', 'no cv result', 'no_cv_result')"
 # ---------------------------------------------------------------------------
 
 
+_NAMES: dict[tuple[int, str], DataFrame] = {}
+
+
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # literal table of FIXTURE_NAMES_ROWS rows: a proven bound
-    return checked_broadcast(fixture(spark, sf_dir, "names"), known_rows=FIXTURE_NAMES_ROWS)
+    """The fixture dictionary as a local relation (a literal table of FIXTURE_NAMES_ROWS rows)."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    df = _NAMES.get(key)
+    if df is None:
+        rows = fixture(spark, sf_dir, "names").limit(FIXTURE_NAMES_ROWS + 1).collect()
+        assert len(rows) <= FIXTURE_NAMES_ROWS
+        # kept a plain local relation: the lookups broadcast their slices themselves
+        df = spark.createDataFrame([tuple(r) for r in rows], NAMES_SCHEMA)
+        _NAMES[key] = df
+    return df
 
 
 def parsed(spark: SparkSession, sf_dir: str, threshold: float = THRESHOLD) -> DataFrame:

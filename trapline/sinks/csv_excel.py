@@ -68,3 +68,19 @@ def write_pivot(pivot: DataFrame, path: str) -> None:
     out = pivot.orderBy("row_order").select(F.col("label").alias(PIVOT_HEADER_LABEL),
                                             *[F.col(f"`{d}`") for d in dates])
     write_excel_csv(out, path)
+
+
+def export_table_csv(spark, table_path: str, out_path: str) -> None:
+    """K9: the detections table as an Excel-readable CSV copy (ten columns, table order).
+
+    The table keeps its partitioning (one CSV part per partition): it can be
+    large, and a single-file write would funnel it through one task.
+    """
+    from trapline.constants import DETECTION_COLUMNS
+    from trapline.sinks.tables import read_table
+
+    t = read_table(spark, table_path)
+    cols = [F.date_format(F.col(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c) if c == "timestamp" else F.col(c)
+            for c in DETECTION_COLUMNS]
+    order = [c for c in ("seen_order", "image_path") if c in t.columns][:1]
+    write_excel_csv(t.orderBy(*order).select(*cols), out_path, single_file=False)
