@@ -122,3 +122,26 @@ def test_run_detection_observed_summary(spark, seed_names, tmp_path):
     m = progress_metrics(3, 4, 1.5)
     assert m["rate"] == 2.0 and m["percent"] == 75.0 and m["eta_seconds"] == 0.5
     assert progress_metrics(0, 0, 0)["eta_seconds"] == 0.0
+
+
+def test_ingest_images_stream_resume(spark, seed_names, tmp_path):
+    from trapline.streaming.ingest import ingest_images
+
+    root = str(tmp_path / "imgs")
+    make_images(root, ["a.jpg", "b.JPG", "notes.txt"])
+    table, ckpt = str(tmp_path / "table"), str(tmp_path / "ckpt")
+    opts = ScoringOptions(chunk_size=1)
+    r1 = ingest_images(spark, root, fixed_factory(CROW), seed_names, table, ckpt, opts)
+    assert (r1["batches"], r1["images"], r1["stopped"]) == (2, 2, False)
+    make_images(root, ["c.jpeg"])
+    r2 = ingest_images(spark, root, fixed_factory(CROW), seed_names, table, ckpt, opts)
+    assert (r2["batches"], r2["images"]) == (1, 1)  # only the new file
+    t = read_table(spark, table)
+    assert t.count() == 3
+    assert {r.species for r in t.collect()} == {"Corvus macrorhynchos (large-billed crow / ハシブトガラス)"}
+    make_images(root, ["d.jpg", "e.jpg", "f.jpg"])
+    fail = frozenset(os.path.join(root, n) for n in ("d.jpg", "e.jpg", "f.jpg"))
+    r3 = ingest_images(spark, root, fixed_factory(CROW, fail_paths=fail), seed_names, table, ckpt, opts,
+                       control=IngestControl(limit=2))
+    assert r3["stopped"] and r3["reason"] == "breaker"
+    assert read_table(spark, table).count() == 3  # failed chunks are not written

@@ -106,3 +106,66 @@ def image_stream_schema():
 
 
 DEFAULT_FILES_PER_TRIGGER = DEFAULT_CHUNK_SIZE
+
+
+def ingest_images(spark: SparkSession, root: str, factory, names: DataFrame, table_path: str, checkpoint: str,
+                  options=None, control: IngestControl | None = None,
+                  on_progress: Callable[[dict], None] | None = None) -> dict:
+    """New image files under ``root`` -> scorer -> detections table, chunk by chunk.
+
+    The stream lists files only (``content`` is not selected, so the file
+    source does not read image bytes; the scorer opens files itself).  A
+    chunk is ``options.chunk_size`` files.  Images of a failed chunk are not
+    written (so a batch resume with :func:`~trapline.operators.incremental.pending_images`
+    retries them), and ``limit`` failed chunks in a row stop the stream.
+    """
+    from trapline.operators.scoring import ScoringOptions, score_images
+    from trapline.plans.detect import image_rows
+    from trapline.sources.images import LISTING_SCHEMA, extension_glob, strip_scheme
+
+    options = options or ScoringOptions()
+    control = control or IngestControl()
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        if control.stop_requested:
+            raise StopRequested()
+        images = batch.select(strip_scheme(F.col("path")).alias("image_path"), "modificationTime")
+        preds = score_images(images, factory, options).cache()  # read by the breaker count and the shaping
+        try:
+            stats = preds.agg(F.countDistinct("image_path").alias("n"),
+                              F.countDistinct(F.when(F.col("error").isNotNull(), F.col("image_path"))).alias("bad")
+                              ).first()
+            all_failed = stats["n"] > 0 and stats["bad"] == stats["n"]
+            rows = image_rows(images, preds, names, options.confidence_threshold).withColumn(
+                "image_date", F.date_format("modificationTime", "yyyy-MM-dd"))
+            write_batch(rows, table_path, batch_id)
+        finally:
+            preds.unpersist()
+        control.consecutive_failed = control.consecutive_failed + 1 if all_failed else 0
+        info = {"batch_id": batch_id, "failed": all_failed, "images": stats["n"]}
+        control.batches.append(info)
+        if on_progress is not None:
+            on_progress(dict(info, batches_done=len(control.batches)))
+        if control.consecutive_failed >= control.limit:
+            raise BreakerTripped(f"{control.limit} consecutive failed chunks")
+
+    stream = (spark.readStream.format("binaryFile").schema(_BINARY_SCHEMA)
+              .option("recursiveFileLookup", "true").option("pathGlobFilter", extension_glob())
+              .option("maxFilesPerTrigger", options.chunk_size).load(root)
+              .select("path", "modificationTime"))
+    q = (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    stopped, reason = False, None
+    try:
+        q.awaitTermination()
+    except Exception as e:  # noqa: BLE001
+        text = str(e)
+        if "BreakerTripped" in text or "StopRequested" in text:
+            stopped, reason = True, ("breaker" if "BreakerTripped" in text else "stop")
+        else:
+            raise
+    return {"batches": len(control.batches), "stopped": stopped, "reason": reason,
+            "images": sum(b.get("images", 0) for b in control.batches)}
+
+
+_BINARY_SCHEMA = ("path string, modificationTime timestamp, length long, content binary")
