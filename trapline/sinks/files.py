@@ -91,5 +91,9 @@ def execute_routing(plan: DataFrame, mode: str = "copy", status_path: str | None
     if mode == "move":
         moved = delete_moved_sources(status)
         failed = status.filter(~F.col("status").isin("copied", "exists"))
-        return moved.unionByName(failed)
+        out = moved.unionByName(failed)
+        if status_path:  # deletions also run once
+            out.write.mode("overwrite").parquet(f"{status_path.rstrip('/')}-moved")
+            out = plan.sparkSession.read.parquet(f"{status_path.rstrip('/')}-moved")
+        return out
     return status
