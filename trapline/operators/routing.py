@@ -75,32 +75,30 @@ def dedup_destinations(plan: DataFrame, existing: DataFrame | None = None,
     whose ``stem_NNN.ext`` is neither an existing file nor a kept name.
     Numbers above 9999 become ``stem_{run_stamp}_{n}.ext``.
 
-    ``existing`` is ``(target_dir, file_name)``.  Positions inside groups use
-    :func:`with_ordinal`, so a hot name does not land in a single task.
+    ``existing`` is ``(target_dir, file_name)``.  No step joins all rows on
+    the group key (a hot name would meet in one task): positions come from
+    :func:`with_ordinal`, the "name already taken" check joins first rows
+    only, and numbers are matched on the unique ``(group, position)``.
     """
     spark = plan.sparkSession
     if existing is None:
         existing = spark.createDataFrame([], "target_dir string, file_name string")
     existing = existing.select("target_dir", "file_name").distinct()
     g = ["target_dir", name_col]
+    p = with_ordinal(plan, g, order_col, "_k", bucket_rows)
+    p = p.withColumns({"_stem": file_stem(F.col(name_col)), "_ext": file_suffix(F.col(name_col))})
     if materialize_input:
-        plan = materialize(plan)  # read by the first-row aggregate, the join and three branches
-
-    # first row of each group: a partial aggregate (a hot name is pre-aggregated map-side)
-    firsts = plan.groupBy(*g).agg(F.min(order_col).alias("_first"))
+        p = materialize(p)  # positioned rows: read by first rows, group sizes and requests
     taken = existing.select("target_dir", F.col("file_name").alias(name_col), F.lit(True).alias("_exists"))
-    p = (plan.join(firsts, g, "inner").join(taken, g, "left")
-         .withColumn("_kept", (F.col(order_col) == F.col("_first")) & F.col("_exists").isNull())
-         .drop("_exists", "_first"))
-    p = p.withColumns({"_stem": file_stem(F.col(name_col)), "_ext": file_suffix(F.col(name_col))})
+    firsts = (p.filter(F.col("_k") == 1).join(taken, g, "left")
+              .withColumn("_kept", F.col("_exists").isNull()).drop("_exists"))
+    kept = firsts.filter("_kept")
 
     # claimed numbered names: existing files and kept names of the form stem_NNN.ext
-    claimed = (existing.select("target_dir", "file_name")
-               .unionByName(p.filter("_kept").select("target_dir", F.col(name_col).alias("file_name"))))
+    claimed = existing.unionByName(kept.select("target_dir", F.col(name_col).alias("file_name")))
     c_stem, c_ext = file_stem(F.col("file_name")), file_suffix(F.col("file_name"))
-    parts = F.regexp_extract(c_stem, r"^(.*)_([0-9]+)$", 2)
     claims = (claimed
-              .withColumn("_digits", parts)
+              .withColumn("_digits", F.regexp_extract(c_stem, r"^(.*)_([0-9]+)$", 2))
               .filter(F.col("_digits") != "")
               .withColumn("_n", F.col("_digits").try_cast("long"))
               .filter(F.col("_n").isNotNull()
@@ -109,30 +107,35 @@ def dedup_destinations(plan: DataFrame, existing: DataFrame | None = None,
                       F.concat(F.regexp_extract(c_stem, r"^(.*)_([0-9]+)$", 1), c_ext).alias(name_col),
                       "_n").distinct())
 
-    requests = with_ordinal(p.filter(~F.col("_kept")), g, order_col, "_r", bucket_rows)
-    n_req = requests.groupBy(*g).agg(F.count(F.lit(1)).alias("_R"))
+    # one row per group: rows, whether the first keeps its name, claimed numbers
+    sizes = p.groupBy(*g).agg(F.count(F.lit(1)).alias("_rows"))  # partial aggregate
     n_claim = claims.groupBy(*g).agg(F.count(F.lit(1)).alias("_C"))
-    groups = n_req.join(n_claim, g, "left").withColumn("_total", F.col("_R") + F.coalesce("_C", F.lit(0)))
-
-    # candidates 1.._total per group, generated slice by slice
-    slices = groups.select(*g, "_total", F.explode(F.sequence(
+    groups = (sizes.join(firsts.select(*g, F.col("_kept").cast("int").alias("_shift")), g, "inner")
+              .join(n_claim, g, "left")
+              .withColumn("_R", F.col("_rows") - F.col("_shift"))
+              .filter(F.col("_R") > 0)
+              .withColumn("_total", F.col("_R") + F.coalesce("_C", F.lit(0))))
+
+    # candidates 1.._total per group, generated slice by slice; the r-th free one
+    # goes to position r + shift (positions after a kept first row start at 2)
+    slices = groups.select(*g, "_total", "_shift", F.explode(F.sequence(
         F.lit(0), ((F.col("_total") - 1) / F.lit(CANDIDATE_SLICE)).cast("long"))).alias("_slice"))
-    cands = slices.select(*g, F.explode(F.sequence(
+    cands = slices.select(*g, "_shift", F.explode(F.sequence(
         F.col("_slice") * CANDIDATE_SLICE + 1,
         F.least(F.col("_total"), (F.col("_slice") + 1) * CANDIDATE_SLICE))).alias("_n"))
-    free = cands.join(claims, [*g, "_n"], "left_anti")
-    free = with_ordinal(free, g, "_n", "_r", bucket_rows)
+    free = with_ordinal(cands.join(claims, [*g, "_n"], "left_anti"), g, "_n", "_r", bucket_rows)
+    free = free.select(*g, "_n", (F.col("_r") + F.col("_shift")).alias("_k"))
 
-    numbered = (requests.join(free, [*g, "_r"], "left")
+    requests = p.filter(F.col("_k") > 1).unionByName(firsts.filter(~F.col("_kept")).drop("_kept"))
+    numbered = (requests.join(free, [*g, "_k"], "inner")
                 .withColumn("dest_name", F.when(F.col("_n") <= DUPLICATE_SUFFIX_MAX,
                                                 numbered_name(F.col("_stem"), F.col("_n"), F.col("_ext")))
                             .otherwise(F.concat(F.col("_stem"), F.lit(f"_{run_stamp}_"),
                                                 F.col("_n").cast("string"), F.col("_ext"))))
-                .drop("_r", "_n"))
-    kept = p.filter("_kept").withColumn("dest_name", F.col(name_col))
-    out = kept.unionByName(numbered)
+                .drop("_n"))
+    out = kept.drop("_kept").withColumn("dest_name", F.col(name_col)).unionByName(numbered)
     return (out.withColumn("dest_path", F.concat(F.col("target_dir"), F.lit("/"), F.col("dest_name")))
-            .drop("_kept", "_stem", "_ext"))
+            .drop("_k", "_stem", "_ext"))
 
 
 def folder_counts(routed: DataFrame, order_col: str = "seen_order") -> DataFrame:
