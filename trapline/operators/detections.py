@@ -155,3 +155,33 @@ def detail_remark(count) -> Column:
     return (F.when(n == 0, F.lit(DETAIL_REMARK_NONE))
             .when(n > 3, F.concat(F.lit(head), (n - 3).cast("string"), F.lit(tail)))
             .otherwise(F.lit("")))
+
+
+# ---------------------------------------------------------------------------
+# relational forms (no per-image arrays: a hot image never becomes one row)
+# ---------------------------------------------------------------------------
+
+def image_detection_counts(detections: DataFrame, key: str = "image_path") -> DataFrame:
+    """Detections and distinct species per image (partial aggregates)."""
+    return detections.groupBy(key).agg(F.count(F.lit(1)).alias("n_detections"),
+                                       F.countDistinct("species").alias("n_species"))
+
+
+def first_n_wide(detections: DataFrame, n: int = 3, key: str = "image_path", order_col: str = "det_index",
+                 fields=("species", "common_name", "japanese_name", "scientific_name", "confidence",
+                         "category")) -> DataFrame:
+    """The first ``n`` detections of each image in model order, side by side.
+
+    Positions come from :func:`trapline.operators.ordinal.with_ordinal`
+    (split by order buckets), only rows at positions ``1..n`` reach the
+    pivoting aggregate, and the count is a separate partial aggregate.
+    """
+    from trapline.operators.ordinal import with_ordinal
+
+    ranked = with_ordinal(detections.select(key, order_col, *fields), [key], order_col, "_pos")
+    head = ranked.filter(F.col("_pos") <= n)
+    cols = [F.max(F.when(F.col("_pos") == i + 1, F.col(f))).alias(f"{f}_{i + 1}")
+            for i in range(n) for f in fields]
+    wide = head.groupBy(key).agg(*cols)
+    counts = detections.groupBy(key).agg(F.count(F.lit(1)).alias("detection_count"))
+    return counts.join(wide, key, "inner")

@@ -260,13 +260,10 @@ SQL_BEST_DETECTION = oracle(ORACLE_TABLE + "select image_path, det_index, specie
 
 
 def q_best_bbox(spark, sf_dir):
-    """P10 array form: per image, the box with the highest confidence, first on ties."""
+    """P10: per image, the box with the highest confidence, first on ties (partial aggregate)."""
     boxes = fixture(spark, sf_dir, "boxes")
-    arr = (boxes.groupBy("image_path")
-           .agg(F.array_sort(F.collect_list(F.struct("box_index", "conf", "x", "y"))).alias("boxes")))
-    best = det.best_in_array(F.col("boxes"), "conf")
-    return arr.select("image_path", best["box_index"].alias("box_index"), best["conf"].alias("conf"),
-                      best["x"].alias("x"), best["y"].alias("y"))
+    return det.best_per_image(boxes, order_col="box_index", value_col="conf", fields=("conf", "x", "y")).select(
+        "image_path", "box_index", "conf", "x", "y")
 
 
 SQL_BEST_BBOX = oracle("""
@@ -278,15 +275,15 @@ where rn = 1
 
 def q_detections_per_image(spark, sf_dir):
     """Every image with its detection count, distinct species, best species."""
-    arrays = det.detections_array(parsed(spark, sf_dir))
-    best = det.best_in_array(F.col("detections"))
-    return (images(spark, sf_dir).join(arrays, "image_path", "left")
+    d = parsed(spark, sf_dir)
+    per = det.image_detection_counts(d).join(det.best_per_image(d, fields=("species",)).select(
+        "image_path", F.col("species").alias("best_species")), "image_path", "inner")
+    return (images(spark, sf_dir).join(per, "image_path", "left")
             .select("image_path", "image_name",
-                    F.coalesce(F.size("detections"), F.lit(0)).cast("long").alias("n_detections"),
-                    F.coalesce(det.distinct_species_count(F.col("detections")), F.lit(0)).cast("long")
-                    .alias("n_species"),
-                    det.has_detections(F.col("detections")).alias("has_detections"),
-                    F.coalesce(best["species"], F.lit("")).alias("best_species")))
+                    F.coalesce("n_detections", F.lit(0)).cast("long").alias("n_detections"),
+                    F.coalesce("n_species", F.lit(0)).cast("long").alias("n_species"),
+                    (F.coalesce("n_detections", F.lit(0)) > 0).alias("has_detections"),
+                    F.coalesce("best_species", F.lit("")).alias("best_species")))
 
 
 SQL_DETECTIONS_PER_IMAGE = oracle(ORACLE_TABLE + """
@@ -307,12 +304,10 @@ def q_detail_top3(spark, sf_dir):
     """First three detections in model order, side by side, with a remark."""
     nm = names(spark, sf_dir)
     d = with_category_label(with_resolved_vernacular(parsed(spark, sf_dir), nm), F.col("category"), nm)
-    arrays = det.detections_array(d, fields=_WIDE_FIELDS)
-    wide = det.top_n_wide(images(spark, sf_dir).select("image_path", "image_name").join(
-        arrays, "image_path", "left"), fields=_WIDE_FIELDS)
-    return (wide.withColumn("detection_count", F.coalesce("detection_count", F.lit(0)).cast("long"))
-            .withColumn("remark", det.detail_remark(F.col("detection_count")))
-            .drop("more_count"))
+    wide = det.first_n_wide(d, 3, fields=_WIDE_FIELDS)
+    return (images(spark, sf_dir).select("image_path", "image_name").join(wide, "image_path", "left")
+            .withColumn("detection_count", F.coalesce("detection_count", F.lit(0)).cast("long"))
+            .withColumn("remark", det.detail_remark(F.col("detection_count"))))
 
 
 def _wide_sql():
@@ -950,9 +945,10 @@ TABLE_OUT = ["image_path", "image_name", "image_date", "species", "scientific_na
 def _shape_stream_batch(sf_dir: str):
     def shape(batch: DataFrame) -> DataFrame:
         spark = batch.sparkSession
-        preds = batch.select("image_path", F.explode("predictions").alias("p")).select("image_path", "p.*")
+        preds = batch.filter(F.col("prediction").isNotNull())
         best = det.best_per_image(det.parse_predictions(preds, names(spark, sf_dir), threshold=THRESHOLD))
-        imgs = batch.drop("predictions")
+        imgs = batch.groupBy("image_path").agg(  # one row per image (partial aggregate)
+            *[F.first(c).alias(c) for c in ("img", "image_name", "image_date", "seen_order")])
         return det.detections_table(imgs, best.drop("det_index"))
     return shape
 
@@ -960,9 +956,11 @@ def _shape_stream_batch(sf_dir: str):
 def q_stream_ingest(spark, sf_dir):
     """Model output arriving as files, ingested in micro-batches into the table.
 
-    The source files hold every image with its predictions (written by Spark
-    from the fixture); each micro-batch is shaped exactly like the batch job,
-    so the streamed table equals the batch detections table.
+    The source files hold one row per prediction (images without one get a
+    row with a null prediction), written by Spark from the fixture and
+    partitioned by image so a file holds whole images.  Each micro-batch is
+    shaped exactly like the batch job, so the streamed table equals the batch
+    detections table.
     """
     from trapline.session import scratch_dir
     from trapline.sinks.tables import read_table
@@ -970,10 +968,9 @@ def q_stream_ingest(spark, sf_dir):
 
     base = scratch_dir(spark, "stream-ingest")
     src, table, ckpt = f"{base}/source", f"{base}/table", f"{base}/checkpoint"
-    preds = fixture(spark, sf_dir, "predictions")
-    per_image = (preds.groupBy("image_path")
-                 .agg(F.collect_list(F.struct("det_index", "prediction", "prediction_score")).alias("predictions")))
-    (images(spark, sf_dir).join(per_image, "image_path", "left")
+    preds = fixture(spark, sf_dir, "predictions").select("image_path", "det_index", "prediction",
+                                                         "prediction_score")
+    (images(spark, sf_dir).join(preds, "image_path", "left")
      .repartition(8, "image_path").write.mode("overwrite").parquet(src))
     schema = spark.read.parquet(src).schema
     ingest_stream(spark, src, schema, _shape_stream_batch(sf_dir), table, ckpt, max_files_per_trigger=4,
