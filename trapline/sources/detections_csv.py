@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trapline.constants import DETECTION_COLUMNS
 from trapline.functions.numbers import safe_double
+from trapline.functions.text import ustrip
 
 
 def _read_one(spark: SparkSession, path: str) -> DataFrame:
@@ -29,8 +30,9 @@ def read_detections_csv(spark: SparkSession, paths: str | list[str]) -> DataFram
     for c in df.columns:
         if c.startswith("\ufeff"):
             df = df.withColumnRenamed(c, c.lstrip("\ufeff"))
-    for c in DETECTION_COLUMNS:
-        df = df.withColumn(c, F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit(""))
+    # Q18: values are stripped once here, so every report groups the same strings
+    df = df.withColumns({c: ustrip(F.coalesce(F.col(f"`{c}`"), F.lit(""))) if c in df.columns else F.lit("")
+                         for c in DETECTION_COLUMNS})
     extra = [c for c in df.columns if c not in DETECTION_COLUMNS]
     return df.select(*DETECTION_COLUMNS, *extra)
 
