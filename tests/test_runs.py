@@ -119,6 +119,11 @@ def test_run_detection_observed_summary(spark, seed_names, tmp_path):
     run = detect_images(listing, fixed_factory(CROW), seed_names, done=done)
     s = run_detection(run, table, total_images=4)
     assert (s["total_processed"], s["successful"], s["failed"], s["skipped"]) == (3, 3, 0, 1)
+    from trapline.sinks.tables import record_run
+
+    record_run(spark, s, str(tmp_path / "runs"), run_id="r1")
+    r = spark.read.parquet(str(tmp_path / "runs")).first()
+    assert (r.run_id, r.total_processed, r.skipped, r.stopped) == ("r1", 3, 1, False)
     m = progress_metrics(3, 4, 1.5)
     assert m["rate"] == 2.0 and m["percent"] == 75.0 and m["eta_seconds"] == 0.5
     assert progress_metrics(0, 0, 0)["eta_seconds"] == 0.0

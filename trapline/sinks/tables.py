@@ -36,3 +36,18 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 def read_table(spark, path: str) -> DataFrame:
     """The table as written by :func:`append_detections` / :func:`write_batch`."""
     return spark.read.option("mergeSchema", "true").parquet(path)
+
+
+RUN_SCHEMA = ("run_id string, total_processed bigint, successful bigint, failed bigint, skipped bigint, "
+              "stopped boolean, output_path string, recorded_at timestamp")
+
+
+def record_run(spark, summary: dict, runs_path: str, run_id: str | None = None) -> None:
+    """Append one row of run statistics to the ``runs`` table."""
+    import datetime
+    import uuid
+
+    row = (run_id or uuid.uuid4().hex, int(summary.get("total_processed") or 0), int(summary.get("successful") or 0),
+           int(summary.get("failed") or 0), int(summary.get("skipped") or 0), bool(summary.get("stopped")),
+           summary.get("table_path") or summary.get("output_path"), datetime.datetime.now())
+    spark.createDataFrame([row], RUN_SCHEMA).write.mode("append").parquet(runs_path)
