@@ -111,33 +111,56 @@ def confidence_bands(table: DataFrame, confidence_col: str = "confidence",
 def summary_report(table: DataFrame, names: DataFrame, order_col: str = "seen_order") -> DataFrame:
     """K3: one tidy frame ``(section, ord, item, n, pct)`` of A1, A3, A4, A5.
 
-    The four sections read the same four columns: that pruned projection is
-    materialized once instead of computing the table four times.
+    One pass: a grouping-sets aggregate over ``(), (species), (category),
+    (band)`` (partial aggregation before a single shuffle); percentages and
+    ranks are windows over that small aggregate.
     """
-    table = materialize(table.select(F.col("species"), F.col("category"), F.col("confidence"),
-                                     F.col(order_col)))
-    t = summary_totals(table)
+    det = _detected(table)
+    t = table.select(empty_if_null(F.col("species")).alias("species"),
+                     empty_if_null(F.col("category")).alias("category"),
+                     band_index(F.col("confidence")).alias("band"),
+                     det.alias("_det"), F.col(order_col).alias("_seen"))
+    agg = (t.groupingSets([[], [F.col("species")], [F.col("category")], [F.col("band")]],
+                          "species", "category", "band")
+           .agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col("_det")).alias("_n"),
+                F.min(F.when(F.col("_det"), F.col("_seen"))).alias("_first"),
+                F.grouping_id().alias("_gid")))
+    agg = materialize(agg)  # small (keys of the four sets); the sections below all read it
+    # _gid bits (species, category, band): 7 = grand total, 3 = species, 5 = category, 6 = band
+    everything = Window.partitionBy()
+    agg = agg.withColumns({
+        "_total_images": F.max(F.when(F.col("_gid") == 7, F.col("_all"))).over(everything),
+        "_total_det": F.max(F.when(F.col("_gid") == 7, F.col("_n"))).over(everything)})
+    totals = agg.filter(F.col("_gid") == 7)
+
     def item(ord_, label, n, pct):
         return F.struct(F.lit(ord_).alias("ord"), F.lit(label).alias("item"),
                         n.cast("long").alias("n"), pct.cast("double").alias("pct"))
 
     none = F.lit(None)
-    basic = t.select(F.explode(F.array(
-        item(1, SUMMARY_TOTAL_IMAGES, F.col("total_images"), none),
-        item(2, SUMMARY_DETECTED_IMAGES, F.col("detected_images"), none),
-        item(3, SUMMARY_UNDETECTED_IMAGES, F.col("undetected_images"), none),
-        item(4, SUMMARY_TOTAL_DETECTIONS, F.col("total_detections"), none),
-        item(5, SUMMARY_SUCCESS_RATE, none, F.col("success_rate")),
+    basic = totals.select(F.explode(F.array(
+        item(1, SUMMARY_TOTAL_IMAGES, F.col("_all"), none),
+        item(2, SUMMARY_DETECTED_IMAGES, F.col("_n"), none),
+        item(3, SUMMARY_UNDETECTED_IMAGES, F.col("_all") - F.col("_n"), none),
+        item(4, SUMMARY_TOTAL_DETECTIONS, F.col("_n"), none),
+        item(5, SUMMARY_SUCCESS_RATE, none, percent(F.col("_n"), F.col("_all"))),
     )).alias("r")).select(F.lit(SUMMARY_BASIC_SECTION).alias("section"), "r.*")
-    species = species_frequency(table, order_col).select(
-        F.lit(SUMMARY_SPECIES_SECTION).alias("section"), F.col("rank").alias("ord"),
-        F.col("species").alias("item"), "n", "pct")
-    category = category_frequency(table, names, order_col).select(
-        F.lit(SUMMARY_CATEGORY_SECTION).alias("section"), F.col("rank").alias("ord"),
-        F.col("category_label").alias("item"), "n", "pct")
-    bands = confidence_bands(table).select(
-        F.lit(SUMMARY_CONFIDENCE_SECTION).alias("section"), (F.col("band") + 1).alias("ord"),
-        F.col("band_label").alias("item"), "n", F.lit(None).cast("double").alias("pct"))
+
+    rank = F.row_number().over(Window.orderBy(F.desc("_n"), F.col("_first"))).cast("int")
+    species = (agg.filter((F.col("_gid") == 3) & (F.col("species") != "") & (F.col("_n") > 0))
+               .select(F.lit(SUMMARY_SPECIES_SECTION).alias("section"), rank.alias("ord"),
+                       F.col("species").alias("item"), F.col("_n").cast("long").alias("n"),
+                       percent(F.col("_n"), F.col("_total_det")).alias("pct")))
+    category = (agg.filter((F.col("_gid") == 5) & (F.col("category") != "") & (F.col("_n") > 0))
+                .select("category", rank.alias("ord"), F.col("_n").cast("long").alias("n"),
+                        percent(F.col("_n"), F.col("_total_det")).alias("pct")))
+    category = with_category_label(category, F.col("category"), names).select(
+        F.lit(SUMMARY_CATEGORY_SECTION).alias("section"), "ord", F.col("category_label").alias("item"), "n", "pct")
+    band_counts = agg.filter(F.col("_gid") == 6).select("band", F.col("_n").alias("n"))
+    bands = (F.broadcast(bands_frame(table.sparkSession)).join(band_counts, "band", "left")  # five rows
+             .select(F.lit(SUMMARY_CONFIDENCE_SECTION).alias("section"), (F.col("band") + 1).alias("ord"),
+                     F.col("band_label").alias("item"), F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"),
+                     F.lit(None).cast("double").alias("pct")))
     return basic.unionByName(species).unionByName(category).unionByName(bands)
 
 
