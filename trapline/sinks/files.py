@@ -48,7 +48,9 @@ def copy_files(plan: DataFrame, partitions: int | None = None) -> DataFrame:
     Files are spread by a hash of the destination path, not by folder, so a
     hot folder does not end up in one task.
     """
-    n = partitions or plan.sparkSession.sparkContext.defaultParallelism
+    spark = plan.sparkSession
+    n = partitions or max(spark.sparkContext.defaultParallelism,
+                          int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     return (plan.select("image_path", "dest_path", "folder_key", "dest_name")
             .repartition(n, F.xxhash64("dest_path"))
             .mapInPandas(_copy_batches, STATUS_SCHEMA))
