@@ -33,6 +33,10 @@ def test_scorer_errors_become_rows(spark):
     # a failure fails the whole batch (both images in one partition here)
     bad = score_images(imgs.coalesce(1), fixed_factory(CROW, fail_paths=frozenset({"/a.jpg"}))).collect()
     assert all(r.error and r.prediction is None for r in bad)
+    # with one image per chunk only the failing image is affected
+    one = score_images(imgs.coalesce(1), fixed_factory(CROW, fail_paths=frozenset({"/a.jpg"})),
+                       ScoringOptions(chunk_size=1)).collect()
+    assert {r.image_path: r.error is not None for r in one} == {"/a.jpg": True, "/b.jpg": False}
 
 
 def test_detect_resume_and_summary(spark, seed_names, tmp_path):

@@ -69,24 +69,26 @@ def score_images(images: DataFrame, factory: ScorerFactory, options: ScoringOpti
                  path_col: str = "image_path", input_cols: tuple[str, ...] = ()) -> DataFrame:
     """PREDICTION rows for every image of ``images``.
 
-    Only ``path_col`` and ``input_cols`` travel to Python.  The chunk size is
-    applied through the session's Arrow batch size.
+    Only ``path_col`` and ``input_cols`` travel to Python.  Each Arrow batch
+    is cut into chunks of ``options.chunk_size`` images; a chunk is the unit
+    of scoring and of failure.  No session setting is changed.
     """
     options = options or ScoringOptions()
-    spark = images.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(options.chunk_size))
     cols = [path_col, *input_cols]
+    size = max(1, int(options.chunk_size))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = factory(options)  # once per task: the model loads once per worker task
-        for pdf in batches:
-            pdf = pdf.rename(columns={path_col: "image_path"})
-            try:
-                yield _shape(score(pdf))
-            except Exception as e:  # noqa: BLE001 - a failed chunk becomes error rows (Q13)
-                yield pd.DataFrame({"image_path": pdf["image_path"], "det_index": -1, "prediction": None,
-                                    "prediction_score": np.nan, **{c: None for c in _OPTIONAL},
-                                    "error": f"{type(e).__name__}: {e}"})
+        for batch in batches:
+            batch = batch.rename(columns={path_col: "image_path"})
+            for start in range(0, len(batch), size):
+                pdf = batch.iloc[start:start + size].reset_index(drop=True)
+                try:
+                    yield _shape(score(pdf))
+                except Exception as e:  # noqa: BLE001 - a failed chunk becomes error rows (Q13)
+                    yield pd.DataFrame({"image_path": pdf["image_path"], "det_index": -1, "prediction": None,
+                                        "prediction_score": np.nan, **{c: None for c in _OPTIONAL},
+                                        "error": f"{type(e).__name__}: {e}"})
 
     return images.select(*cols).mapInPandas(run, PREDICTION_SCHEMA)
 
