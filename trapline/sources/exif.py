@@ -24,8 +24,11 @@ from trapline.functions.dates import capture_date
 
 EXIF_SCHEMA = "path string, modificationTime timestamp, dt_original string, dt_digitized string, dt string"
 
-# image bytes are large: keep Arrow batches small in this stage
-EXIF_BATCH_ROWS = 64
+# Only the head of each file travels to Python: a JPEG APP1 (EXIF) segment is
+# at most 64 KB and sits at the start; TIFF headers usually do too.
+EXIF_HEAD_BYTES = 128 * 1024
+# rows per Arrow batch in this stage (256 x 128 KB = 32 MB per batch)
+EXIF_BATCH_ROWS = 256
 
 
 def _ifd(tiff: bytes, offset: int, endian: str) -> dict[int, tuple[int, int, bytes]]:
@@ -116,12 +119,14 @@ def _exif_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_exif(binary: DataFrame) -> DataFrame:
     """``(path, modificationTime, dt_original, dt_digitized, dt)`` from a ``binaryFile`` frame.
 
-    Sets the session's Arrow batch size to :data:`EXIF_BATCH_ROWS` (the
-    setting is read when the job runs): batches carry whole image files.
+    The JVM cuts each file to its first :data:`EXIF_HEAD_BYTES` before the
+    bytes go to Python.  Sets the session's Arrow batch size to
+    :data:`EXIF_BATCH_ROWS` (read when the job runs) to bound batch memory.
     """
     spark = binary.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(EXIF_BATCH_ROWS))
-    return binary.select("path", "modificationTime", "content").mapInPandas(_exif_batches, EXIF_SCHEMA)
+    head = F.substring(F.col("content"), 1, EXIF_HEAD_BYTES).alias("content")
+    return binary.select("path", "modificationTime", head).mapInPandas(_exif_batches, EXIF_SCHEMA)
 
 
 def capture_dates(listing_with_content: DataFrame, key: str = "image_path") -> DataFrame:
