@@ -105,3 +105,24 @@ def test_result_metadata_and_pages(spark):
         rep.TOPK_PAGE_DEPTH = old
     assert [r.seen_order for r in deep] == list(range(100, 200))
     assert [r.row_no for r in deep] == list(range(101, 201))
+
+
+def test_pivot_label_rule_for_blank_species(spark, seed_names):
+    """Q19: species 'blank' without a common name is no detection; with a real common name it is not."""
+    t = table(spark, [("/1", "1", "2024-01-01", "blank", "", 0.9, "", "", "", 0),
+                      ("/2", "2", "2024-01-01", "blank", "", 0.9, "", "owl", "", 1),
+                      ("/3", "3", "2024-01-01", "blank", "", 0.9, "", "no cv result", "", 2)])
+    out = {r.image_path: r.label for r in with_report_label(t, seed_names).collect()}
+    assert out == {"/1": "撮影無し", "/2": "owl", "/3": "撮影無し"}
+
+
+def test_unicode_whitespace_is_stripped(spark, seed_names):
+    """Q23: full-width and other Unicode blanks are stripped like Python's str.strip()."""
+    from trapline.functions.text import ustrip
+
+    df = spark.createDataFrame([("　 Corvus corone \t",)], "s string")
+    assert df.select(ustrip("s").alias("x")).first().x == "Corvus corone"
+    t = table(spark, [("/1", "1", "　2024-01-02 ", "　Corvus corone", "Corvus corone　", 0.9, "bird",
+                       "", "", 0)])
+    r = with_report_label(with_report_date(t), seed_names).first()
+    assert (r.report_date, r.label) == ("2024-01-02", "ハシボソガラス")
