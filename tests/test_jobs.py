@@ -57,3 +57,23 @@ def test_route_images_copy_with_collisions(spark, tmp_path):
     assert (out / "crow_Corvus corone" / "IMG_1.JPG").read_bytes() == b"old"  # never overwritten
     folders = [json.loads(l) for f in glob.glob(str(tmp_path / "manifest" / "folders" / "part-*")) for l in open(f)]
     assert folders == [{"folder_key": "crow_Corvus corone", "file_count": 2}]
+
+
+def test_route_by_date_reads_missing_dates_from_files(spark, tmp_path):
+    from tests.test_files import jpeg, tiff_block
+
+    src = tmp_path / "imgs"
+    src.mkdir()
+    (src / "a.jpg").write_bytes(jpeg(tiff_block("II", {306: "2022:03:14 09:26:53"}, {})))
+    (src / "b.jpg").write_bytes(b"plain")
+    os.utime(src / "b.jpg", (1700000000, 1700000000))
+    table = str(tmp_path / "det.csv")
+    write_table_csv(table, [
+        (str(src / "a.jpg"), "a.jpg", "", "Corvus corone", "", "0.9", "bird", "crow", "", "t"),
+        (str(src / "b.jpg"), "b.jpg", "", "", "", "0", "", "", "", "t"),
+    ])
+    out = tmp_path / "sorted"
+    stats = jobs.route_images(spark, table, str(src), str(out), by_date=True)
+    assert stats["total_files"] == 2
+    assert (out / "2022-03-14" / "crow_Corvus corone" / "a.jpg").exists()
+    assert (out / "2023-11-14" / "未検出_No_Detection" / "b.jpg").exists()

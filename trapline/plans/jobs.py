@@ -40,17 +40,23 @@ def pivot_report(spark: SparkSession, table_path: str, out_path: str, names: Dat
                  image_root: str | None = None) -> DataFrame:
     """§3.2: date x label pivot (K6).  Dates missing from the table are read from the
     image files under ``image_root`` (EXIF, then file time) when given (J6)."""
-    from trapline.sources.exif import capture_dates
-
     names = names if names is not None else names_frame(spark)
     table = load_table(spark, table_path)
-    caps = capture_dates(list_images(spark, image_root, with_content=True)) if image_root else None
+    caps = _missing_dates(table) if image_root else None
     labeled = lab.with_report_label(lab.with_report_date(table, caps), names)
     pivot = rep.daily_label_pivot(lab.daily_label_counts(labeled))
     write_pivot(pivot, out_path)
     return pivot
 
 
+def _missing_dates(table: DataFrame) -> DataFrame:
+    """Capture dates read from the files of rows without a stored date (J6), and only those."""
+    from trapline.functions.text import empty_if_null, ustrip
+    from trapline.sources.exif import capture_dates_for
+
+    return capture_dates_for(table.filter(ustrip(empty_if_null(F.col("image_date"))) == ""))
+
+
 def summary_report_job(spark: SparkSession, table_path: str, out_path: str,
                        names: DataFrame | None = None) -> DataFrame:
     """§3.4: the multi-section summary (K3)."""
@@ -76,7 +82,9 @@ def route_images(spark: SparkSession, table_path: str, image_root: str, out_base
     copy or move (K8), manifest (K7) and statistics (A11)."""
     names = names if names is not None else names_frame(spark)
     listing = list_images(spark, image_root)
-    plan = rt.routing_plan(load_table(spark, table_path), names, out_base, by_date=by_date, listing=listing)
+    table = load_table(spark, table_path)
+    caps = _missing_dates(table) if by_date else None
+    plan = rt.routing_plan(table, names, out_base, by_date=by_date, listing=listing, capture_dates=caps)
     present = list_images(spark, out_base).select(
         F.regexp_replace("path", r"/[^/]*$", "").alias("target_dir"),
         F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"))

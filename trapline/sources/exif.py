@@ -138,3 +138,45 @@ def capture_dates(listing_with_content: DataFrame, key: str = "image_path") -> D
     return read_exif(listing_with_content).select(
         F.col("path").alias(key),
         capture_date("dt_original", "dt_digitized", "dt", "modificationTime").alias("capture_date"))
+
+
+_PATH_DATES_SCHEMA = "path string, mtime double, dt_original string, dt_digitized string, dt string"
+
+
+def _read_head(path: str) -> tuple[float | None, bytes | None]:
+    import os
+
+    try:
+        st = os.stat(path)
+        with open(path, "rb") as f:
+            return st.st_mtime, f.read(EXIF_HEAD_BYTES)
+    except OSError:
+        return None, None
+
+
+def _path_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        mt, o, dg, d = [], [], [], []
+        for p in pdf["path"]:
+            mtime, head = _read_head(p)
+            tags = exif_dates(head)
+            mt.append(mtime)
+            o.append(tags[0])
+            dg.append(tags[1])
+            d.append(tags[2])
+        yield pd.DataFrame({"path": pdf["path"], "mtime": mt, "dt_original": o, "dt_digitized": dg, "dt": d})
+
+
+def capture_dates_for(rows: DataFrame, path_col: str = "image_path", key: str = "image_path") -> DataFrame:
+    """P18 for the files named in ``rows`` only: ``(image_path, capture_date)``.
+
+    Each task opens its files directly (storage must be visible to the
+    executors, as for the copy job) and reads only the head; a missing file
+    gives a null date (the caller falls back to ``unknown-date``).  Used when
+    a table lacks dates for some rows, so the other files are never read.
+    """
+    paths = rows.select(F.col(path_col).alias("path")).distinct()
+    tags = paths.mapInPandas(_path_batches, _PATH_DATES_SCHEMA)
+    mtime = F.timestamp_seconds(F.col("mtime"))
+    return tags.select(F.col("path").alias(key),
+                       capture_date("dt_original", "dt_digitized", "dt", mtime).alias("capture_date"))
