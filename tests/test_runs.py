@@ -154,3 +154,16 @@ def test_ingest_images_stream_resume(spark, seed_names, tmp_path):
                        control=IngestControl(limit=2))
     assert r3["stopped"] and r3["reason"] == "breaker"
     assert read_table(spark, table).count() == 3  # failed chunks are not written
+
+
+def test_detect_stores_exif_capture_date(spark, seed_names, tmp_path):
+    from tests.test_files import jpeg, tiff_block
+
+    root = tmp_path / "imgs"
+    root.mkdir()
+    (root / "a.jpg").write_bytes(jpeg(tiff_block("MM", {306: "2001:01:01 00:00:00"}, {36867: "2020:05:06 07:08:09"})))
+    (root / "b.jpg").write_bytes(b"plain")
+    os.utime(root / "b.jpg", (1700000000, 1700000000))
+    run = detect_images(list_images(spark, str(root)), fixed_factory(CROW), seed_names)
+    got = {os.path.basename(r.image_path): r.image_date for r in run.rows.collect()}
+    assert got == {"a.jpg": "2020-05-06", "b.jpg": "2023-11-14"}

@@ -51,8 +51,13 @@ class DetectionRun:
 
 def detect_images(listing: DataFrame, factory: ScorerFactory, names: DataFrame,
                   options: ScoringOptions | None = None, done: DataFrame | None = None,
-                  capture_dates: DataFrame | None = None) -> DetectionRun:
-    """Lazy plan for a folder listing (``path, modificationTime``) -> table rows."""
+                  capture_dates: DataFrame | None = None, read_exif: bool = True) -> DetectionRun:
+    """Lazy plan for a folder listing (``path, modificationTime``) -> table rows.
+
+    The capture date is stored once per image (P18): EXIF tags read from the
+    head of each pending file, else the file time.  ``capture_dates`` overrides
+    it; ``read_exif=False`` uses the file time only.
+    """
     options = options or ScoringOptions()
     images = listing.select(F.col("path").alias("image_path"), "modificationTime")
     pending = pending_images(images, done)
@@ -61,8 +66,14 @@ def detect_images(listing: DataFrame, factory: ScorerFactory, names: DataFrame,
     pending = pending.observe(obs, F.count(F.lit(1)).alias("pending_images"))
     preds = score_images(pending, factory, options)
     rows = image_rows(pending, preds, names, options.confidence_threshold)
+    if capture_dates is None and read_exif:
+        from trapline.sources.exif import capture_dates_for
+
+        capture_dates = capture_dates_for(pending)
     if capture_dates is not None:
         rows = rows.join(capture_dates.withColumnRenamed("capture_date", "image_date"), "image_path", "left")
+        rows = rows.withColumn("image_date", F.coalesce(F.col("image_date"),
+                                                        F.date_format("modificationTime", "yyyy-MM-dd")))
     else:
         rows = rows.withColumn("image_date", F.date_format("modificationTime", "yyyy-MM-dd"))
     rows = rows.withColumn("image_date", F.coalesce(F.col("image_date"), F.lit("")))
