@@ -108,3 +108,40 @@ def test_manifest_and_stats(spark):
     s = rt.routing_stats(rt.folder_counts(routed)).first()
     assert (s.total_folders, s.total_files, s.largest_folder, s.largest_folder_files) == (3, 5, "A", 2)
     assert abs(s.average_files_per_folder - 5 / 3) < 1e-12
+
+
+def test_collision_numbering_properties(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    names = st.sampled_from(["a.jpg", "a_001.jpg", "b.JPG", "c", "a_1000.jpg"])
+    dirs = st.sampled_from(["/o/X", "/o/Y"])
+
+    @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(rows=st.lists(st.tuples(names, dirs), min_size=1, max_size=40),
+           existing=st.lists(st.tuples(dirs, names), max_size=6),
+           bucket=st.sampled_from([1, 3, 1 << 20]))
+    def check(rows, existing, bucket):
+        plan = spark.createDataFrame([(f"/s/{i}", n, d, d, i) for i, (n, d) in enumerate(rows)],
+                                     "image_path string, image_name string, target_dir string, folder_key string, "
+                                     "seen_order long")
+        ex = spark.createDataFrame(existing, "target_dir string, file_name string")
+        got = rt.dedup_destinations(plan, ex, bucket_rows=bucket, materialize_input=False).collect()
+        assert len(got) == len(rows)
+        dests = [(r.target_dir, r.dest_name) for r in got]
+        assert len(set(dests)) == len(dests)                 # unique inside each folder
+        assert not set(dests) & set(existing)                # never an existing file
+        firsts = {}
+        for i, (n, d) in enumerate(rows):
+            firsts.setdefault((d, n), i)
+        by_path = {r.image_path: r.dest_name for r in got}
+        for (d, n), i in firsts.items():                      # a free name is kept by its first row
+            if (d, n) not in set(existing):
+                assert by_path[f"/s/{i}"] == n
+        plain = all("_0" not in n and "_1" not in n for n, _ in rows) and \
+            all("_0" not in n and "_1" not in n for _, n in existing)
+        if plain:
+            want = sequential([(f"/s/{i}", n, d, i) for i, (n, d) in enumerate(rows)], existing)
+            assert by_path == want
+
+    check()
