@@ -21,3 +21,16 @@ def test_queries_match_oracle(spark):
     res = compare(spark, SF, verbose=False)
     bad = {k: v for k, v in res.items() if v != "OK"}
     assert not bad, bad
+
+
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
+
+
+def test_plans_have_no_cross_products_or_row_udfs(spark):
+    bad = {}
+    for name, fn in E.queries().items():
+        plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        hits = [op for op in FORBIDDEN if op in plan]
+        if hits:
+            bad[name] = hits
+    assert not bad, bad
