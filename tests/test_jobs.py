@@ -77,3 +77,24 @@ def test_route_by_date_reads_missing_dates_from_files(spark, tmp_path):
     assert stats["total_files"] == 2
     assert (out / "2022-03-14" / "crow_Corvus corone" / "a.jpg").exists()
     assert (out / "2023-11-14" / "未検出_No_Detection" / "b.jpg").exists()
+
+
+def test_command_line_detect_and_summary(spark, tmp_path):
+    from trapline.__main__ import main
+
+    src = tmp_path / "imgs"
+    src.mkdir()
+    for n in ("a.jpg", "b.jpg"):
+        (src / n).write_bytes(b"x")
+    table = str(tmp_path / "table")
+    main(["detect", str(src), table, "--scorer", "tests.test_jobs:crow_factory", "--runs", str(tmp_path / "runs")])
+    main(["detect", str(src), table, "--scorer", "tests.test_jobs:crow_factory", "--resume"])
+    assert spark.read.parquet(table).count() == 2  # the second run skipped both images
+    main(["summary", table, str(tmp_path / "summary")])
+    assert glob.glob(str(tmp_path / "summary" / "part-*.csv"))
+
+
+def crow_factory(options):
+    from trapline.operators.scoring import fixed_factory
+
+    return fixed_factory("u;aves;o;f;corvus;corone;carrion crow")(options)

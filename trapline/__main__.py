@@ -11,6 +11,13 @@ def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="trapline")
     ap.add_argument("--master", default=None, help="Spark master (default: local[*] session)")
     sub = ap.add_subparsers(dest="job", required=True)
+    d = sub.add_parser("detect", help="score an image folder into the detections table")
+    d.add_argument("images"), d.add_argument("table")
+    d.add_argument("--scorer", required=True, help="scorer factory as module:function")
+    d.add_argument("--names", help="name dictionary JSON (default: built-in seed)")
+    d.add_argument("--threshold", type=float, default=None), d.add_argument("--chunk", type=int, default=None)
+    d.add_argument("--resume", action="store_true", help="skip images already in the table")
+    d.add_argument("--runs", help="append run statistics to this table")
     p = sub.add_parser("pivot", help="date x label pivot CSV")
     p.add_argument("table"), p.add_argument("out"), p.add_argument("--images")
     s = sub.add_parser("summary", help="summary report CSV")
@@ -29,7 +36,9 @@ def main(argv=None) -> None:
         spark = local_session()
     from trapline.plans import jobs
 
-    if args.job == "pivot":
+    if args.job == "detect":
+        print(json.dumps(_detect(spark, args), default=str))
+    elif args.job == "pivot":
         jobs.pivot_report(spark, args.table, args.out, image_root=args.images)
     elif args.job == "summary":
         jobs.summary_report_job(spark, args.table, args.out)
@@ -39,5 +48,31 @@ def main(argv=None) -> None:
                                            manifest_path=args.manifest), default=str))
 
 
+def _detect(spark, args) -> dict:
+    import importlib
+    import os
+
+    from trapline.operators.names import names_frame
+    from trapline.operators.scoring import ScoringOptions
+    from trapline.plans.detect import detect_images, run_detection
+    from trapline.sinks.tables import read_table, record_run
+    from trapline.sources.images import list_images
+    from trapline.sources.names_json import read_names
+
+    module, _, func = args.scorer.partition(":")
+    factory = getattr(importlib.import_module(module), func)
+    opts = {k: v for k, v in (("confidence_threshold", args.threshold), ("chunk_size", args.chunk)) if v is not None}
+    options = ScoringOptions.from_dict(opts)
+    names = read_names(spark, args.names) if args.names else names_frame(spark)
+    listing = list_images(spark, args.images)
+    done = read_table(spark, args.table) if args.resume and os.path.exists(args.table) else None
+    total = listing.count()
+    summary = run_detection(detect_images(listing, factory, names, options, done=done), args.table,
+                            total_images=total)
+    if args.runs:
+        record_run(spark, summary, args.runs)
+    return summary
+
+
 if __name__ == "__main__":
     main()

@@ -91,8 +91,8 @@ def run_detection(run: DetectionRun, table_path: str, total_images: int | None =
     rows = run.rows.observe(obs, F.count(F.lit(1)).alias("total_processed"),
                             F.count_if(F.col("n_detections") > 0).alias("successful"))
     append_detections(rows, table_path)
-    m = obs.get
-    pending = run.observation.get.get("pending_images", 0) if run.observation is not None else None
+    m = _observed(obs)
+    pending = _observed(run.observation).get("pending_images", 0) if run.observation is not None else None
     out = {"total_processed": int(m.get("total_processed", 0)), "successful": int(m.get("successful", 0)),
            "stopped": False, "csv_path": None, "table_path": table_path}
     out["failed"] = out["total_processed"] - out["successful"]
@@ -100,6 +100,15 @@ def run_detection(run: DetectionRun, table_path: str, total_images: int | None =
     return out
 
 
+def _observed(obs: Observation) -> dict:
+    """Observed metrics; an empty relation may be pruned from the plan by AQE, and
+    then its metrics never arrive - they are all zero in that case."""
+    try:
+        return obs.get or {}
+    except Exception:  # noqa: BLE001
+        return {}
+
+
 def progress_metrics(processed: int, total: int, elapsed_seconds: float) -> dict:
     """Images per second, percent done and remaining seconds (0 when undefined)."""
     rate = processed / elapsed_seconds if elapsed_seconds > 0 else 0.0
