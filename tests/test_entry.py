@@ -1,6 +1,4 @@
 """Driver contract and oracle agreement of every registered query (sf0.001)."""
-import pytest
-
 import __spark_entry__ as E
 from tools.compare import compare
 

@@ -3,7 +3,6 @@ import os
 import struct
 import time
 
-from pyspark.sql import functions as F
 
 from trapline.sinks.csv_excel import write_excel_csv
 from trapline.sinks.files import execute_routing

@@ -1,7 +1,6 @@
 """Routing plan (P21-P24, W2, J5, A10, A11), after the reference's file-manager tests."""
 import random
 
-from pyspark.sql import functions as F
 
 from trapline.functions.paths import safe_folder_name
 from trapline.operators import routing as rt

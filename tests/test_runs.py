@@ -1,10 +1,9 @@
 """Scoring (U1), resume (J2), run summary (A2) and streaming ingestion."""
 import os
 
-import pytest
 from pyspark.sql import functions as F
 
-from trapline.operators.incremental import pending_images, run_summary
+from trapline.operators.incremental import run_summary
 from trapline.operators.scoring import ScoringOptions, fixed_factory, score_images
 from trapline.plans.detect import detect_images
 from trapline.sinks.tables import append_detections, read_table

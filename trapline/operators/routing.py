@@ -17,7 +17,6 @@ from trapline.functions.paths import (
     safe_folder_name,
     target_parent,
 )
-from trapline.functions.text import empty_if_null
 from trapline.operators.labels import no_detection_row, with_report_date
 from trapline.operators.names import with_resolved_vernacular
 from trapline.operators.ordinal import DEFAULT_BUCKET_ROWS, with_ordinal

@@ -19,7 +19,6 @@ from trapline.operators import incremental as inc
 from trapline.operators import labels as lab
 from trapline.operators import reports as rep
 from trapline.operators import routing as rt
-from trapline.operators.broadcast import checked_broadcast
 from trapline.operators.names import NAMES_SCHEMA, with_category_label, with_resolved_vernacular
 from trapline.session import materialize
 

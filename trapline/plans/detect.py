@@ -14,7 +14,6 @@ from trapline.operators import detections as det
 from trapline.operators.incremental import pending_images
 from trapline.operators.scoring import ScorerFactory, ScoringOptions, score_images
 from trapline.sinks.tables import append_detections
-from trapline.sources.predictions import best_box
 
 
 def shape_predictions(predictions: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
@@ -122,5 +121,5 @@ def first_images(listing: DataFrame, n: int) -> DataFrame:
     return listing.orderBy("path").limit(n)
 
 
-__all__ = ["detect_images", "run_detection", "image_rows", "shape_predictions", "best_box", "DetectionRun",
+__all__ = ["detect_images", "run_detection", "image_rows", "shape_predictions", "DetectionRun",
            "progress_metrics", "first_images"]
