@@ -66,7 +66,6 @@ CONFIDENCE_BANDS = (
 )
 
 # Summary report captions.
-SUMMARY_TITLE = "Wildlife Detection Summary Report"
 SUMMARY_BASIC_SECTION = "基本統計"
 SUMMARY_TOTAL_IMAGES = "総画像数"
 SUMMARY_DETECTED_IMAGES = "検出成功画像数"
