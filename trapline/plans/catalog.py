@@ -1045,6 +1045,48 @@ select b.band, b.band_label, cast(coalesce(bc.n, 0) as bigint) as n from bands b
 """)
 
 
+# --- U2 over bytes Spark builds from events ---------------------------------------------
+
+def _jpeg_bytes(spark, sf_dir):
+    """Small JPEGs with an EXIF block (little-endian TIFF, fixed layout) built from ``events``.
+
+    DateTime (306) = ts - 2 days; DateTimeOriginal (36867) = ts - 1 day, or blank
+    for every third event; every fifth event has no EXIF at all (file time = ts).
+    """
+    ev = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select("event_id", "ts")
+    fmt = "yyyy:MM:dd HH:mm:ss"
+    dt = F.date_format(F.col("ts") - F.expr("INTERVAL 2 DAYS"), fmt)
+    orig = F.when(F.col("event_id") % 3 == 0, F.lit(" " * 19)).otherwise(
+        F.date_format(F.col("ts") - F.expr("INTERVAL 1 DAY"), fmt))
+    tiff = F.concat(
+        F.unhex(F.lit("49492A0008000000")),                          # header, IFD0 at 8
+        F.unhex(F.lit("0200" "320102001400000038000000" "698704000100000026000000" "00000000")),
+        F.unhex(F.lit("0100" "03900200140000004C000000" "00000000")),  # Exif IFD at 38
+        F.encode(dt, "US-ASCII"), F.unhex(F.lit("00")),                  # 56: DateTime
+        F.encode(orig, "US-ASCII"), F.unhex(F.lit("00")))                # 76: DateTimeOriginal
+    jpeg = F.concat(F.unhex(F.lit("FFD8FFE10068")), F.encode(F.lit("Exif"), "US-ASCII"), F.unhex(F.lit("0000")),
+                    tiff, F.unhex(F.lit("FFD9")))
+    content = F.when(F.col("event_id") % 5 == 0, F.encode(F.lit("no exif here"), "US-ASCII")).otherwise(jpeg)
+    return ev.select("event_id", F.col("ts").alias("mtime"), content.alias("content"))
+
+
+def q_exif_read(spark, sf_dir):
+    """U2 + P18: EXIF tags read from image bytes in Arrow batches, then the capture date."""
+    from trapline.sources.exif import exif_columns
+
+    tags = exif_columns(_jpeg_bytes(spark, sf_dir), keep=("event_id", "mtime"))
+    return tags.select("event_id", capture_date("dt_original", "dt_digitized", "dt", "mtime").alias("capture_date"))
+
+
+SQL_EXIF_READ = """
+select event_id,
+       case when event_id % 5 = 0 then strftime(ts, '%Y-%m-%d')
+            when event_id % 3 = 0 then strftime(ts - interval 2 day, '%Y-%m-%d')
+            else strftime(ts - interval 1 day, '%Y-%m-%d') end as capture_date
+from events
+"""
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "parse_predictions": (q_parse_predictions, SQL_PARSE_PREDICTIONS),
     "structured_or_string": (q_structured_or_string, SQL_STRUCTURED_OR_STRING),
@@ -1079,6 +1121,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "all_detections_species": (q_all_detections_species, SQL_ALL_DETECTIONS_SPECIES),
     "all_detections_categories": (q_all_detections_categories, SQL_ALL_DETECTIONS_CATEGORIES),
     "all_detections_bands": (q_all_detections_bands, SQL_ALL_DETECTIONS_BANDS),
+    "exif_read": (q_exif_read, SQL_EXIF_READ),
     "score_batch": (q_score_batch, SQL_SCORE_BATCH),
     "stream_ingest": (q_stream_ingest, SQL_STREAM_INGEST),
 }

@@ -116,6 +116,24 @@ def _exif_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
+def exif_columns(df: DataFrame, content_col: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """U2 over any binary column: ``keep`` columns plus ``dt_original, dt_digitized, dt``."""
+    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
+    out_schema = (out_schema + ", " if out_schema else "") + "dt_original string, dt_digitized string, dt string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            tags = [exif_dates(b) for b in pdf[content_col]]
+            out = pdf[list(keep)].copy()
+            out["dt_original"] = [t[0] for t in tags]
+            out["dt_digitized"] = [t[1] for t in tags]
+            out["dt"] = [t[2] for t in tags]
+            yield out
+
+    head = F.substring(F.col(content_col), 1, EXIF_HEAD_BYTES).alias(content_col)
+    return df.select(*keep, head).mapInPandas(run, out_schema)
+
+
 def read_exif(binary: DataFrame) -> DataFrame:
     """``(path, modificationTime, dt_original, dt_digitized, dt)`` from a ``binaryFile`` frame.
 
