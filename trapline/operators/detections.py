@@ -173,15 +173,13 @@ def first_n_wide(detections: DataFrame, n: int = 3, key: str = "image_path", ord
     """The first ``n`` detections of each image in model order, side by side.
 
     Positions come from :func:`trapline.operators.ordinal.with_ordinal`
-    (split by order buckets), only rows at positions ``1..n`` reach the
-    pivoting aggregate, and the count is a separate partial aggregate.
+    (split by order buckets); one partial aggregate then takes the count (the
+    last position) and the fields at positions ``1..n``.
     """
     from trapline.operators.ordinal import with_ordinal
 
     ranked = with_ordinal(detections.select(key, order_col, *fields), [key], order_col, "_pos")
-    head = ranked.filter(F.col("_pos") <= n)
     cols = [F.max(F.when(F.col("_pos") == i + 1, F.col(f))).alias(f"{f}_{i + 1}")
             for i in range(n) for f in fields]
-    wide = head.groupBy(key).agg(*cols)
-    counts = detections.groupBy(key).agg(F.count(F.lit(1)).alias("detection_count"))
-    return counts.join(wide, key, "inner")
+    # one partial aggregate: the last position is the count, the first n fill the slots
+    return ranked.groupBy(key).agg(F.max("_pos").alias("detection_count"), *cols)

@@ -33,7 +33,9 @@ def with_ordinal(df: DataFrame, group_cols: list[str], order_col: str, out_col:
     slice_cols = [*group_cols, bucket]
     local = sliced.withColumn(
         "_ord_local", F.row_number().over(Window.partitionBy(*slice_cols).orderBy(order_col)))
-    counts = sliced.groupBy(*slice_cols).agg(F.count(F.lit(1)).alias("_ord_n"))
+    # slice sizes from the numbered rows themselves: same exchange, so the input
+    # is computed once, and the aggregate needs no new shuffle
+    counts = local.groupBy(*slice_cols).agg(F.max("_ord_local").alias("_ord_n"))
     prior = Window.partitionBy(*group_cols).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_ord_off", F.coalesce(F.sum("_ord_n").over(prior), F.lit(0))).drop("_ord_n")
     joined = local.join(offsets, slice_cols, "inner") if group_cols else local.join(offsets, [bucket])
