@@ -166,3 +166,14 @@ def test_detect_stores_exif_capture_date(spark, seed_names, tmp_path):
     run = detect_images(list_images(spark, str(root)), fixed_factory(CROW), seed_names)
     got = {os.path.basename(r.image_path): r.image_date for r in run.rows.collect()}
     assert got == {"a.jpg": "2020-05-06", "b.jpg": "2023-11-14"}
+
+
+def test_replayed_batch_is_not_duplicated(spark, tmp_path):
+    from trapline.sinks.tables import write_batch
+
+    rows = spark.createDataFrame([("/a.jpg", "a.jpg")], "image_path string, image_name string")
+    table = str(tmp_path / "t")
+    write_batch(rows, table, 7)
+    write_batch(rows, table, 7)  # the same micro-batch replayed after a failure
+    write_batch(rows.selectExpr("'/b.jpg' as image_path", "'b.jpg' as image_name"), table, 8)
+    assert sorted(r.image_path for r in read_table(spark, table).collect()) == ["/a.jpg", "/b.jpg"]
