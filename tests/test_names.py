@@ -47,3 +47,17 @@ def test_read_names_valid_missing_corrupt(spark, tmp_path):
     bad = tmp_path / "bad.json"
     bad.write_text("{not json", encoding="utf-8")
     assert read_names(spark, str(bad)).count() == 0
+
+
+def test_with_names_and_best_detections(spark, seed_names):
+    from trapline import best_detections, with_names
+
+    d = spark.createDataFrame([("/a", 0, "S", "Corvus corone", 0.5, "bird", "", ""),
+                               ("/a", 1, "T", "", 0.9, "mammal", "", "")],
+                              "image_path string, det_index int, species string, scientific_name string, "
+                              "confidence double, category string, common_name string, japanese_name string")
+    named = {r.det_index: (r.japanese_name, r.category_label) for r in with_names(d, seed_names).collect()}
+    assert named == {0: ("ハシボソガラス", "鳥類"), 1: ("", "哺乳類")}
+    imgs = spark.createDataFrame([("/a",), ("/b",)], "image_path string")
+    rows = {r.image_path: (r.species, r.confidence) for r in best_detections(imgs, d).collect()}
+    assert rows == {"/a": ("T", 0.9), "/b": ("", 0.0)}

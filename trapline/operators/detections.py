@@ -183,3 +183,10 @@ def first_n_wide(detections: DataFrame, n: int = 3, key: str = "image_path", ord
             for i in range(n) for f in fields]
     # one partial aggregate: the last position is the count, the first n fill the slots
     return ranked.groupBy(key).agg(F.max("_pos").alias("detection_count"), *cols)
+
+
+def best_detections(images: DataFrame, detections: DataFrame, key: str = "image_path",
+                    fields=DETECTION_FIELDS) -> DataFrame:
+    """J1 + P11 + P13: the detections table rows for ``images`` from detection-grain rows."""
+    best = best_per_image(detections, key=key, fields=fields).drop("det_index")
+    return detections_table(images, best, key=key, fields=fields)

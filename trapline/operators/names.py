@@ -110,3 +110,8 @@ def with_resolved_vernacular(df: DataFrame, names: DataFrame, japanese_col: str
     return (out.withColumn(out_col, F.when(F.col("_stored_vern") != "", F.col("_stored_vern"))
                            .otherwise(F.col("_looked_up_vern")))
             .drop("_stored_vern", "_looked_up_vern"))
+
+
+def with_names(df: DataFrame, names: DataFrame) -> DataFrame:
+    """J7 + J4: the vernacular name (stored, else looked up) and the category label."""
+    return with_category_label(with_resolved_vernacular(df, names), F.col("category"), names)
