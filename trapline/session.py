@@ -50,10 +50,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    try:
+        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    except Exception:  # noqa: BLE001
+        base = None
+    if not base:  # local runs and tests only: no shared folder is configured
         base = tempfile.mkdtemp(prefix="trapline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        try:
+            spark.conf.set("spark.checkpoint.dir", base)
+        except Exception:  # noqa: BLE001 - a core setting may be read-only at run time
+            pass
     sc.setCheckpointDir(base)
     return sc.getCheckpointDir() or base
 
