@@ -177,3 +177,16 @@ def test_replayed_batch_is_not_duplicated(spark, tmp_path):
     write_batch(rows, table, 7)  # the same micro-batch replayed after a failure
     write_batch(rows.selectExpr("'/b.jpg' as image_path", "'b.jpg' as image_name"), table, 8)
     assert sorted(r.image_path for r in read_table(spark, table).collect()) == ["/a.jpg", "/b.jpg"]
+
+
+def test_date_partitioned_table_prunes(spark, tmp_path):
+    from trapline.sinks.tables import read_dates
+
+    rows = spark.createDataFrame([(f"/{i}.jpg", f"{i}.jpg", f"2024-01-0{1 + i % 3}") for i in range(9)],
+                                 "image_path string, image_name string, image_date string")
+    table = str(tmp_path / "t")
+    append_detections(rows, table, partition_by="image_date")
+    sel = read_dates(spark, table, "2024-01-02", "2024-01-02")
+    assert sel.count() == 3
+    plan = sel._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "image_date" in plan.split("PartitionFilters")[1][:200]

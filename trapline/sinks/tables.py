@@ -51,3 +51,11 @@ def record_run(spark, summary: dict, runs_path: str, run_id: str | None = None)
            int(summary.get("failed") or 0), int(summary.get("skipped") or 0), bool(summary.get("stopped")),
            summary.get("table_path") or summary.get("output_path"), datetime.datetime.now())
     spark.createDataFrame([row], RUN_SCHEMA).write.mode("append").parquet(runs_path)
+
+
+def read_dates(spark, path: str, start: str, end: str) -> DataFrame:
+    """Rows with ``start <= image_date <= end`` (ISO text) from a table written with
+    ``partition_by="image_date"``: the filter is a partition filter, so only the
+    matching date folders are listed and read."""
+    t = spark.read.parquet(path)
+    return t.filter((F.col("image_date") >= start) & (F.col("image_date") <= end))
