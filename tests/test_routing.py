@@ -144,3 +144,20 @@ def test_collision_numbering_properties(spark):
             assert by_path == want
 
     check()
+
+
+def test_results_rule(spark, seed_names):
+    rows = spark.createDataFrame(
+        [("/s/a.jpg", "a.jpg", "2024-01-01", "", "", 0.9, "", "crow", "", 0, 1),
+         ("/s/b.jpg", "b.jpg", "2024-01-01", "Corvus corone", "Corvus corone", 0.9, "bird", "", "", 1, 0),
+         ("/s/c.jpg", "c.jpg", "2024-01-01", "Corvus corone", "Corvus corone", 0.9, "bird", "", "", 2, 1)],
+        TABLE + ", n_detections long")
+    caps = spark.createDataFrame([("/s/a.jpg", "2020-02-02")], "image_path string, capture_date string")
+    out = {r.image_name: r.folder_key for r in
+           rt.routing_plan(rows, seed_names, "/out", by_date=True, capture_dates=caps, rule="results").collect()}
+    # species '' with a real common name is not "no detection" for fresh results (Q24)
+    assert out["a.jpg"] == "2020-02-02/crow_"
+    assert out["b.jpg"] == "unknown-date/未検出_No_Detection"      # no detections at all
+    assert out["c.jpg"] == "unknown-date/Corvus corone"             # vernacular used as given (empty)
+    table_rule = {r.image_name: r.folder_key for r in rt.routing_plan(rows, seed_names, "/out").collect()}
+    assert table_rule["a.jpg"] == "未検出_No_Detection" and table_rule["c.jpg"] == "ハシボソガラス_Corvus corone"

@@ -17,6 +17,7 @@ from trapline.functions.paths import (
     safe_folder_name,
     target_parent,
 )
+from trapline.functions.text import is_no_detection
 from trapline.operators.labels import no_detection_row, with_report_date
 from trapline.operators.names import with_resolved_vernacular
 from trapline.operators.ordinal import DEFAULT_BUCKET_ROWS, with_ordinal
@@ -35,18 +36,32 @@ def existing_sources(table: DataFrame, listing: DataFrame, key: str = "image_pat
 
 def routing_plan(table: DataFrame, names: DataFrame, base: str, by_date: bool = False,
                  listing: DataFrame | None = None, capture_dates: DataFrame | None = None,
-                 labels=NO_DETECTION_LABELS) -> DataFrame:
+                 labels=NO_DETECTION_LABELS, rule: str = "table") -> DataFrame:
     """P19-P24 over the detections table.
 
     Adds ``folder_name`` (P21 or the no-detection folder), ``target_dir``
     (P22/P23) and ``folder_key`` (P24, relative to ``base``).  With
     ``listing``, rows whose source file is not listed are left out (J5).
+
+    ``rule="table"`` (default) routes a row from a stored table: an empty
+    species is no detection, a blank vernacular name is resolved late (J7),
+    the stored date wins.  ``rule="results"`` routes fresh results (image
+    grain with ``n_detections``): no detection when there is none or both
+    species and common name are no-detection labels (Q24), the vernacular name
+    is used as given, and the date always comes from ``capture_dates``.
     """
     if listing is not None:
         table, _missing = existing_sources(table, listing)
-    t = with_resolved_vernacular(table, names, out_col="_vern")
-    folder = (F.when(no_detection_row(F.col("species"), F.col("common_name"), labels),
-                     F.lit(NO_DETECTION_FOLDER))
+    if rule == "results":
+        t = table.withColumn("_vern", F.coalesce(F.col("japanese_name"), F.lit("")))
+        nodet = ((F.coalesce(F.col("n_detections"), F.lit(0)) == 0)
+                 | (is_no_detection(F.col("species"), labels) & is_no_detection(F.col("common_name"), labels)))
+        if by_date:
+            t = t.withColumn("image_date", F.lit(""))  # the file decides
+    else:
+        t = with_resolved_vernacular(table, names, out_col="_vern")
+        nodet = no_detection_row(F.col("species"), F.col("common_name"), labels)
+    folder = (F.when(nodet, F.lit(NO_DETECTION_FOLDER))
               .otherwise(safe_folder_name(F.col("species"), F.col("common_name"), F.col("_vern"))))
     t = t.withColumn("folder_name", folder).drop("_vern")
     if by_date:
