@@ -32,3 +32,21 @@ def test_plans_have_no_cross_products_or_row_udfs(spark):
         if hits:
             bad[name] = hits
     assert not bad, bad
+
+
+def test_bench_prints_one_json_line():
+    import json
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, BENCH_SF_DIR=SF, BENCH_CPUS="2", BENCH_QUERIES="summary_totals,circuit_breaker")
+    out = subprocess.run([sys.executable, "bench.py"], cwd=root, env=env, capture_output=True, text=True,
+                         timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
+    lines = [line for line in out.stdout.splitlines() if line.strip()]
+    assert len(lines) == 1
+    rec = json.loads(lines[0])
+    assert rec["unit"] == "sec" and set(rec["queries"]) == {"summary_totals", "circuit_breaker"}
+    assert rec["value"] > 0 and rec["sf"] == 0.001
