@@ -29,8 +29,12 @@ CANDIDATE_SLICE = 100_000
 
 def existing_sources(table: DataFrame, listing: DataFrame, key: str = "image_path",
                      listing_key: str = "path") -> tuple[DataFrame, DataFrame]:
-    """(rows whose source file is listed, rows whose source is missing)."""
-    lk = listing.select(F.col(listing_key).alias(key)).distinct()
+    """(rows whose source file is listed, rows whose source is missing).
+
+    Semi and anti joins ignore duplicate listing keys, so no ``distinct`` (and
+    its shuffle) is needed.
+    """
+    lk = listing.select(F.col(listing_key).alias(key))
     return table.join(lk, key, "left_semi"), table.join(lk, key, "left_anti")
 
 
