@@ -30,7 +30,7 @@ def image_rows(images: DataFrame, predictions: DataFrame, names: DataFrame, thre
 
     Images whose whole chunk failed are left out (not marked done, Q13).
     """
-    failed = predictions.filter(F.col("error").isNotNull()).select("image_path").distinct()
+    failed = predictions.filter(F.col("error").isNotNull()).select("image_path")  # anti join: no distinct needed
     shaped = shape_predictions(predictions, names, threshold)
     counts = shaped.groupBy("image_path").agg(F.count(F.lit(1)).alias("n_detections"))
     best = det.best_per_image(shaped, fields=(*det.DETECTION_FIELDS, "source"))
