@@ -69,17 +69,25 @@ def parse_predictions(df: DataFrame, names: DataFrame,
 
 
 def best_per_image(detections: DataFrame, key: str = "image_path", order_col: str = "det_index",
-                   value_col: str = "confidence", fields=DETECTION_FIELDS) -> DataFrame:
+                   value_col: str = "confidence", fields=DETECTION_FIELDS,
+                   count_col: str | None = None, extra_aggs: tuple = ()) -> DataFrame:
     """P11 relational form: the highest ``value_col`` per ``key``, earliest ``order_col`` on ties.
 
     ``max_by`` over ``struct(value, -order)`` is a partial (map-side) aggregate:
-    no sort, no window, one shuffle on ``key``.  NaN ranks lowest.
+    no window, one shuffle on ``key``.  NaN ranks lowest.  ``count_col`` adds
+    the number of rows per key from the same aggregate; ``extra_aggs`` are
+    further aggregate columns computed in the same pass.
     """
     rank = F.struct(nan_low(F.coalesce(F.col(value_col), F.lit(0.0))).alias("v"),
                     (-F.col(order_col)).alias("o"))
     payload = F.struct(*[F.col(c) for c in (order_col, *fields)])
-    best = detections.groupBy(key).agg(F.max_by(payload, rank).alias("_best"))
-    return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in (order_col, *fields)])
+    aggs = [F.max_by(payload, rank).alias("_best")]
+    if count_col:
+        aggs.append(F.count(F.lit(1)).alias(count_col))
+    aggs.extend(extra_aggs)
+    best = detections.groupBy(key).agg(*aggs)
+    extra = [c for c in best.columns if c not in (key, "_best")]
+    return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in (order_col, *fields)], *extra)
 
 
 def detections_table(images: DataFrame, best: DataFrame, key: str = "image_path",

@@ -275,8 +275,10 @@ where rn = 1
 def q_detections_per_image(spark, sf_dir):
     """Every image with its detection count, distinct species, best species."""
     d = parsed(spark, sf_dir)
-    per = det.image_detection_counts(d).join(det.best_per_image(d, fields=("species",)).select(
-        "image_path", F.col("species").alias("best_species")), "image_path", "inner")
+    # one aggregate per image: count, distinct species and the best species
+    per = det.best_per_image(d, fields=("species",), count_col="n_detections",
+                             extra_aggs=(F.countDistinct("species").alias("n_species"),)).select(
+        "image_path", F.col("species").alias("best_species"), "n_detections", "n_species")
     return (images(spark, sf_dir).join(per, "image_path", "left")
             .select("image_path", "image_name",
                     F.coalesce("n_detections", F.lit(0)).cast("long").alias("n_detections"),

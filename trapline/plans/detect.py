@@ -32,11 +32,9 @@ def image_rows(images: DataFrame, predictions: DataFrame, names: DataFrame, thre
     """
     failed = predictions.filter(F.col("error").isNotNull()).select("image_path")  # anti join: no distinct needed
     shaped = shape_predictions(predictions, names, threshold)
-    counts = shaped.groupBy("image_path").agg(F.count(F.lit(1)).alias("n_detections"))
-    best = det.best_per_image(shaped, fields=(*det.DETECTION_FIELDS, "source"))
+    best = det.best_per_image(shaped, fields=(*det.DETECTION_FIELDS, "source"), count_col="n_detections")
     rows = det.detections_table(images.join(failed, "image_path", "left_anti"), best.drop("det_index"))
-    return (rows.join(counts, "image_path", "left")
-            .withColumn("n_detections", F.coalesce("n_detections", F.lit(0)))
+    return (rows.withColumn("n_detections", F.coalesce("n_detections", F.lit(0)))
             .withColumn("image_name", det.image_name(F.col("image_path")))
             .withColumn("timestamp", F.current_timestamp()))
 
