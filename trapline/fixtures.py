@@ -107,7 +107,7 @@ def fixture(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
         raise ValueError(f"unknown fixture table {table!r}")
     key = (id(spark), sf_dir.rstrip("/"), table)
     df = _FRAMES.get(key)
-    if df is None or not spark.catalog.tableExists(_events_view_name(sf_dir)):
+    if df is None or df.sparkSession is not spark or not spark.catalog.tableExists(_events_view_name(sf_dir)):
         view = _events_view(spark, sf_dir)
         sql = FIXTURE_SQL.replace(" from events", f" from {view}")
         df = spark.sql(f"{sql} select * from {table}")

@@ -37,7 +37,7 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixture dictionary as a local relation (a literal table of FIXTURE_NAMES_ROWS rows)."""
     key = (id(spark), sf_dir.rstrip("/"))
     df = _NAMES.get(key)
-    if df is None:
+    if df is None or df.sparkSession is not spark:
         rows = fixture(spark, sf_dir, "names").limit(FIXTURE_NAMES_ROWS + 1).collect()
         assert len(rows) <= FIXTURE_NAMES_ROWS
         # kept a plain local relation: the lookups broadcast their slices themselves
