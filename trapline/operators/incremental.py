@@ -1,7 +1,7 @@
 """Incremental runs: resume, append, run summary, circuit breaker."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trapline.constants import DEFAULT_CONSECUTIVE_ERROR_LIMIT
@@ -71,7 +71,8 @@ def failure_streaks(chunk_log: DataFrame, limit: int = DEFAULT_CONSECUTIVE_ERROR
                  F.count(F.lit(1)).alias("run_length")))
     runs = (runs.withColumn("tripped", F.col("run_length") >= limit)
             .withColumn("trip_chunk", F.when(F.col("tripped"), F.col("run_start") + (limit - 1))))
-    everything = Window.partitionBy()  # over the run aggregate, not the chunk log
-    return (runs.withColumn("first_trip", F.coalesce(
-                F.col("trip_chunk") == F.min("trip_chunk").over(everything), F.lit(False)))
-            .drop("_island"))
+    # where the breaker first trips: one number, fetched by a small aggregate job
+    # (a window without partitioning would move every run into one task)
+    first = runs.agg(F.min("trip_chunk")).first()[0]
+    flag = F.lit(False) if first is None else F.coalesce(F.col("trip_chunk") == F.lit(first), F.lit(False))
+    return runs.withColumn("first_trip", flag).drop("_island")
