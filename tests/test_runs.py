@@ -190,3 +190,35 @@ def test_date_partitioned_table_prunes(spark, tmp_path):
     assert sel.count() == 3
     plan = sel._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "image_date" in plan.split("PartitionFilters")[1][:200]
+
+
+def counting_factory(marker_dir):
+    """Scorer that leaves one marker file per scored image (to count model calls across workers)."""
+    def factory(options):
+        def run(pdf):
+            import uuid as _uuid
+
+            for p in pdf["image_path"]:
+                open(os.path.join(marker_dir, f"{os.path.basename(p)}-{_uuid.uuid4().hex}"), "w").close()
+            return pd_frame(pdf["image_path"])
+        return run
+    return factory
+
+
+def pd_frame(paths):
+    import pandas as pd
+
+    return pd.DataFrame({"image_path": paths, "prediction": CROW, "prediction_score": 0.9})
+
+
+def test_model_runs_once_per_image(spark, seed_names, tmp_path):
+    from trapline.plans.detect import run_detection
+
+    root = str(tmp_path / "imgs")
+    make_images(root, [f"{i}.jpg" for i in range(6)])
+    markers = tmp_path / "markers"
+    markers.mkdir()
+    run = detect_images(list_images(spark, root), counting_factory(str(markers)), seed_names)
+    s = run_detection(run, str(tmp_path / "table"), total_images=6)
+    assert s["total_processed"] == 6
+    assert len(os.listdir(markers)) == 6  # each image scored exactly once

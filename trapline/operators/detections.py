@@ -44,15 +44,20 @@ def parse_predictions(df: DataFrame, names: DataFrame,
                       class_col: str | None = None, class_name_col: str | None = None,
                       genus_col: str | None = None, species_col: str | None = None,
                       common_col: str | None = None,
-                      labels=NO_DETECTION_LABELS) -> DataFrame:
+                      labels=NO_DETECTION_LABELS, keep_col: str | None = None) -> DataFrame:
     """Threshold, parse, vernacular lookup, display name.
 
     Keeps every input column and adds the detection fields.  Malformed scores
-    are dropped; a missing score counts as 0.
+    are dropped; a missing score counts as 0.  With ``keep_col`` nothing is
+    dropped: the column says whether a row passes (for single-pass callers
+    that also need the other rows).
     """
     df, score = score_as_double(df, score_col)
-    kept = (df.withColumn("confidence", score)
-            .filter(F.col("confidence").isNotNull() & (F.col("confidence") >= F.lit(threshold))))
+    passes = F.col("confidence").isNotNull() & (F.col("confidence") >= F.lit(threshold))
+    if keep_col:
+        kept = df.withColumn("confidence", score).withColumn(keep_col, F.coalesce(passes, F.lit(False)))
+    else:
+        kept = df.withColumn("confidence", score).filter(passes)
 
     shaped = with_taxonomy(kept, prediction_col, class_col, class_name_col, genus_col, species_col, common_col,
                            labels, prefix="_tx_")
@@ -70,20 +75,25 @@ def parse_predictions(df: DataFrame, names: DataFrame,
 
 def best_per_image(detections: DataFrame, key: str = "image_path", order_col: str = "det_index",
                    value_col: str = "confidence", fields=DETECTION_FIELDS,
-                   count_col: str | None = None, extra_aggs: tuple = ()) -> DataFrame:
+                   count_col: str | None = None, extra_aggs: tuple = (),
+                   keep_col: str | None = None) -> DataFrame:
     """P11 relational form: the highest ``value_col`` per ``key``, earliest ``order_col`` on ties.
 
     ``max_by`` over ``struct(value, -order)`` is a partial (map-side) aggregate:
     no window, one shuffle on ``key``.  NaN ranks lowest.  ``count_col`` adds
     the number of rows per key from the same aggregate; ``extra_aggs`` are
-    further aggregate columns computed in the same pass.
+    further aggregate columns computed in the same pass.  With ``keep_col``
+    only rows where it is true compete and are counted (``max_by`` skips
+    null orderings); a key without such rows gets null fields.
     """
     rank = F.struct(nan_low(F.coalesce(F.col(value_col), F.lit(0.0))).alias("v"),
                     (-F.col(order_col)).alias("o"))
+    if keep_col:
+        rank = F.when(F.col(keep_col), rank)
     payload = F.struct(*[F.col(c) for c in (order_col, *fields)])
     aggs = [F.max_by(payload, rank).alias("_best")]
     if count_col:
-        aggs.append(F.count(F.lit(1)).alias(count_col))
+        aggs.append((F.count_if(F.col(keep_col)) if keep_col else F.count(F.lit(1))).cast("long").alias(count_col))
     aggs.extend(extra_aggs)
     best = detections.groupBy(key).agg(*aggs)
     extra = [c for c in best.columns if c not in (key, "_best")]

@@ -16,25 +16,42 @@ from trapline.operators.scoring import ScorerFactory, ScoringOptions, score_imag
 from trapline.sinks.tables import append_detections
 
 
-def shape_predictions(predictions: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
-    """P1-P10 over scorer output: error rows and sub-threshold predictions dropped."""
-    ok = predictions.filter(F.col("error").isNull() & F.col("prediction").isNotNull())
-    return det.parse_predictions(ok, names, threshold=threshold, class_col="class",
-                                 class_name_col="class_name", genus_col="genus", species_col="species",
-                                 common_col="common_name").withColumn(
-        "source", F.coalesce(F.col("prediction_source"), F.lit("classifier")))
+def shape_predictions(predictions: DataFrame, names: DataFrame, threshold: float,
+                      keep_col: str | None = None) -> DataFrame:
+    """P1-P10 over scorer output.
+
+    Without ``keep_col``, error rows and sub-threshold predictions are dropped;
+    with it, every row stays and ``keep_col`` marks the kept ones.
+    """
+    if keep_col:
+        usable = F.col("error").isNull() & F.col("prediction").isNotNull()
+        shaped = det.parse_predictions(predictions, names, threshold=threshold, class_col="class",
+                                       class_name_col="class_name", genus_col="genus", species_col="species",
+                                       common_col="common_name", keep_col=keep_col)
+        shaped = shaped.withColumn(keep_col, F.col(keep_col) & usable)
+    else:
+        ok = predictions.filter(F.col("error").isNull() & F.col("prediction").isNotNull())
+        shaped = det.parse_predictions(ok, names, threshold=threshold, class_col="class",
+                                       class_name_col="class_name", genus_col="genus", species_col="species",
+                                       common_col="common_name")
+    return shaped.withColumn("source", F.coalesce(F.col("prediction_source"), F.lit("classifier")))
 
 
 def image_rows(images: DataFrame, predictions: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
     """One detections-table row per scored image.
 
-    Images whose whole chunk failed are left out (not marked done, Q13).
+    One pass over the scorer output (the model runs once): a single aggregate
+    per image gives the best kept detection, the number of kept detections
+    and whether the image's chunk failed.  Images of failed chunks are left
+    out (not marked done, Q13).
     """
-    failed = predictions.filter(F.col("error").isNotNull()).select("image_path")  # anti join: no distinct needed
-    shaped = shape_predictions(predictions, names, threshold)
-    best = det.best_per_image(shaped, fields=(*det.DETECTION_FIELDS, "source"), count_col="n_detections")
-    rows = det.detections_table(images.join(failed, "image_path", "left_anti"), best.drop("det_index"))
-    return (rows.withColumn("n_detections", F.coalesce("n_detections", F.lit(0)))
+    shaped = shape_predictions(predictions, names, threshold, keep_col="_kept")
+    best = det.best_per_image(shaped, fields=(*det.DETECTION_FIELDS, "source"), count_col="n_detections",
+                              keep_col="_kept",
+                              extra_aggs=(F.max(F.col("error").isNotNull()).alias("_failed"),))
+    rows = det.detections_table(images, best.drop("det_index"))
+    return (rows.filter(~F.coalesce(F.col("_failed"), F.lit(False))).drop("_failed")
+            .withColumn("n_detections", F.coalesce("n_detections", F.lit(0)))
             .withColumn("image_name", det.image_name(F.col("image_path")))
             .withColumn("timestamp", F.current_timestamp()))
 
