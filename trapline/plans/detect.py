@@ -37,21 +37,25 @@ def shape_predictions(predictions: DataFrame, names: DataFrame, threshold: float
     return shaped.withColumn("source", F.coalesce(F.col("prediction_source"), F.lit("classifier")))
 
 
-def image_rows(images: DataFrame, predictions: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+def image_rows(images: DataFrame, predictions: DataFrame, names: DataFrame, threshold: float,
+               keep_failed: bool = False) -> DataFrame:
     """One detections-table row per scored image.
 
     One pass over the scorer output (the model runs once): a single aggregate
     per image gives the best kept detection, the number of kept detections
     and whether the image's chunk failed.  Images of failed chunks are left
-    out (not marked done, Q13).
+    out (not marked done, Q13); ``keep_failed`` keeps them with ``_failed`` set
+    (for callers that count them in the same pass).
     """
     shaped = shape_predictions(predictions, names, threshold, keep_col="_kept")
     best = det.best_per_image(shaped, fields=(*det.DETECTION_FIELDS, "source"), count_col="n_detections",
                               keep_col="_kept",
                               extra_aggs=(F.max(F.col("error").isNotNull()).alias("_failed"),))
-    rows = det.detections_table(images, best.drop("det_index"))
-    return (rows.filter(~F.coalesce(F.col("_failed"), F.lit(False))).drop("_failed")
-            .withColumn("n_detections", F.coalesce("n_detections", F.lit(0)))
+    rows = det.detections_table(images, best.drop("det_index")).withColumn(
+        "_failed", F.coalesce(F.col("_failed"), F.lit(False)))
+    if not keep_failed:
+        rows = rows.filter(~F.col("_failed")).drop("_failed")
+    return (rows.withColumn("n_detections", F.coalesce("n_detections", F.lit(0)))
             .withColumn("image_name", det.image_name(F.col("image_path")))
             .withColumn("timestamp", F.current_timestamp()))
 

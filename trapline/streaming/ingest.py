@@ -119,8 +119,10 @@ def ingest_images(spark: SparkSession, root: str, factory, names: DataFrame, tab
     written (so a batch resume with :func:`~trapline.operators.incremental.pending_images`
     retries them), and ``limit`` failed chunks in a row stop the stream.
     """
+    from pyspark.sql import Observation
+
     from trapline.operators.scoring import ScoringOptions, score_images
-    from trapline.plans.detect import image_rows
+    from trapline.plans.detect import _observed, image_rows
     from trapline.sources.images import LISTING_SCHEMA, extension_glob, strip_scheme
 
     options = options or ScoringOptions()
@@ -130,19 +132,18 @@ def ingest_images(spark: SparkSession, root: str, factory, names: DataFrame, tab
         if control.stop_requested:
             raise StopRequested()
         images = batch.select(strip_scheme(F.col("path")).alias("image_path"), "modificationTime")
-        preds = score_images(images, factory, options).cache()  # read by the breaker count and the shaping
-        try:
-            stats = preds.agg(F.countDistinct("image_path").alias("n"),
-                              F.countDistinct(F.when(F.col("error").isNotNull(), F.col("image_path"))).alias("bad")
-                              ).first()
-            all_failed = stats["n"] > 0 and stats["bad"] == stats["n"]
-            rows = image_rows(images, preds, names, options.confidence_threshold).withColumn(
-                "image_date", F.date_format("modificationTime", "yyyy-MM-dd"))
-            write_batch(rows, table_path, batch_id)
-        finally:
-            preds.unpersist()
+        preds = score_images(images, factory, options)
+        # one pass over the scorer output: the breaker's counts ride along with the write
+        rows = image_rows(images, preds, names, options.confidence_threshold, keep_failed=True).withColumn(
+            "image_date", F.date_format("modificationTime", "yyyy-MM-dd"))
+        obs = Observation()
+        rows = rows.observe(obs, F.count(F.lit(1)).alias("n"), F.count_if(F.col("_failed")).alias("bad"))
+        write_batch(rows.filter(~F.col("_failed")).drop("_failed"), table_path, batch_id)
+        stats = _observed(obs)
+        n, bad = int(stats.get("n", 0)), int(stats.get("bad", 0))
+        all_failed = n > 0 and bad == n
         control.consecutive_failed = control.consecutive_failed + 1 if all_failed else 0
-        info = {"batch_id": batch_id, "failed": all_failed, "images": stats["n"]}
+        info = {"batch_id": batch_id, "failed": all_failed, "images": n}
         control.batches.append(info)
         if on_progress is not None:
             on_progress(dict(info, batches_done=len(control.batches)))
