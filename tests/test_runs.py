@@ -222,3 +222,15 @@ def test_model_runs_once_per_image(spark, seed_names, tmp_path):
     s = run_detection(run, str(tmp_path / "table"), total_images=6)
     assert s["total_processed"] == 6
     assert len(os.listdir(markers)) == 6  # each image scored exactly once
+
+
+def test_stream_scores_each_image_once(spark, seed_names, tmp_path):
+    from trapline.streaming.ingest import ingest_images
+
+    root = str(tmp_path / "imgs")
+    make_images(root, [f"{i}.jpg" for i in range(5)])
+    markers = tmp_path / "markers"
+    markers.mkdir()
+    out = ingest_images(spark, root, counting_factory(str(markers)), seed_names, str(tmp_path / "t"),
+                        str(tmp_path / "c"), ScoringOptions(chunk_size=2))
+    assert out["images"] == 5 and len(os.listdir(markers)) == 5
