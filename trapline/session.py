@@ -55,6 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001
         base = None
     if not base:  # local runs and tests only: no shared folder is configured
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
+                               "(a machine-local temporary folder is not visible to the cluster)")
         base = tempfile.mkdtemp(prefix="trapline-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", base)
