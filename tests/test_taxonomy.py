@@ -123,3 +123,17 @@ def test_best_box_array_form(spark):
     out = df.select(best_in_array(F.col("boxes"), "conf")["bbox"].alias("b")).collect()
     assert out[0].b == [5.0, 6.0, 7.0, 8.0]
     assert out[1].b is None
+
+
+def test_struct_and_staged_forms_agree(spark):
+    from trapline.functions.taxonomy import species_info, with_taxonomy
+
+    preds = ["u;aves;o;f;corvus;corone;crow", "blank", "  ", "", "not;enough", "u;;;;;;", "x;no cv;;;no cv;no cv;no cv",
+             "u;MAMMALIA;o;f;;;fox", "u;aves;o;f;;;blank", "u;insecta;o;f;trypoxylus;dichotomus;beetle;extra", None]
+    rows = [(p, c, cm) for p in preds for c, cm in ((None, None), ("aves", ""), ("", "owl"), (" ", "blank"))]
+    df = spark.createDataFrame(rows, "prediction string, cls string, cm string")
+    a = df.withColumn("t", species_info(F.col("prediction"), F.col("cls"), None, None, None, F.col("cm")))
+    b = with_taxonomy(a, "prediction", class_col="cls", common_col="cm")
+    for r in b.collect():
+        assert (r.t.kind, r.t.category, r.t.scientific_name, r.t.common_name) == (
+            r._tx_kind, r._tx_category, r._tx_scientific_name, r._tx_common_name), r
