@@ -98,3 +98,20 @@ def crow_factory(options):
     from trapline.operators.scoring import fixed_factory
 
     return fixed_factory("u;aves;o;f;corvus;corone;carrion crow")(options)
+
+
+def test_command_line_pivot_and_route(spark, tmp_path):
+    from trapline.__main__ import main
+
+    src = tmp_path / "imgs"
+    src.mkdir()
+    (src / "a.jpg").write_bytes(b"x")
+    table = str(tmp_path / "det.csv")
+    write_table_csv(table, [(str(src / "a.jpg"), "a.jpg", "2024-11-21", "Corvus corone", "Corvus corone", "0.9",
+                             "bird", "", "", "t")])
+    main(["pivot", table, str(tmp_path / "pivot")])
+    part = glob.glob(str(tmp_path / "pivot" / "part-*.csv"))[0]
+    lines = open(part, encoding="utf-8-sig").read().splitlines()
+    assert lines[0] == "日付,2024-11-21" and "ハシボソガラス,1" in lines
+    main(["route", table, str(src), str(tmp_path / "out"), "--by-date"])
+    assert (tmp_path / "out" / "2024-11-21" / "ハシボソガラス_Corvus corone" / "a.jpg").exists()

@@ -20,7 +20,12 @@ def _read_one(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_detections_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """All-string DETECTION columns (``''`` for absent values), plus any extra columns."""
+    """All-string DETECTION columns (``''`` for absent values), plus any extra columns.
+
+    Each given path is read on its own and the results are aligned by column
+    name, so files of different layouts can be mixed.  A folder is read as
+    one source and must therefore hold files of a single layout.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     frames = [_read_one(spark, p) for p in paths]
     df = frames[0]
