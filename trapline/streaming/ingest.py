@@ -110,12 +110,16 @@ DEFAULT_FILES_PER_TRIGGER = DEFAULT_CHUNK_SIZE
 
 def ingest_images(spark: SparkSession, root: str, factory, names: DataFrame, table_path: str, checkpoint: str,
                   options=None, control: IngestControl | None = None,
-                  on_progress: Callable[[dict], None] | None = None) -> dict:
+                  on_progress: Callable[[dict], None] | None = None,
+                  files_per_trigger: int | None = None) -> dict:
     """New image files under ``root`` -> scorer -> detections table, chunk by chunk.
 
     The stream lists files only (``content`` is not selected, so the file
     source does not read image bytes; the scorer opens files itself).  A
-    chunk is ``options.chunk_size`` files.  Images of a failed chunk are not
+    micro-batch is ``files_per_trigger`` files (default: one model chunk,
+    ``options.chunk_size``, so the breaker counts chunks as a sequential run
+    would); larger triggers write fewer, larger files, and the scorer still
+    works in chunks of ``options.chunk_size`` inside each task.  Images of a failed chunk are not
     written (so a batch resume with :func:`~trapline.operators.incremental.pending_images`
     retries them), and ``limit`` failed chunks in a row stop the stream.
     """
@@ -152,7 +156,7 @@ def ingest_images(spark: SparkSession, root: str, factory, names: DataFrame, tab
 
     stream = (spark.readStream.format("binaryFile").schema(_BINARY_SCHEMA)
               .option("recursiveFileLookup", "true").option("pathGlobFilter", extension_glob())
-              .option("maxFilesPerTrigger", options.chunk_size).load(root)
+              .option("maxFilesPerTrigger", files_per_trigger or options.chunk_size).load(root)
               .select("path", "modificationTime"))
     q = (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
