@@ -124,3 +124,13 @@ def test_detail_export_and_table_export(spark, seed_names, tmp_path):
     export_table_csv(spark, table, str(tmp_path / "export"))
     got = read_detections_csv(spark, str(tmp_path / "export")).first()
     assert (got.image_path, got.species, got.confidence) == ("/a.jpg", "S", "0.5")
+
+
+def test_fixed_point_text_matches_python(spark):
+    from trapline.sinks.csv_excel import fmt
+
+    values = [0.25, 0.15, 0.35, 2.5, 66.66666666666667, 0.12345, 1e-05, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [(r.a, r.b) for r in df.select(fmt("v", 1).alias("a"), fmt("v", 4).alias("b")).collect()]
+    want = [(None, None) if v is None else (f"{v:.1f}", f"{v:.4f}") for v in values]
+    assert got == want

@@ -7,6 +7,7 @@ its partitions (``single_file=False``).
 """
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +28,27 @@ def write_excel_csv(df: DataFrame, path: str, single_file: bool = True, header:
     out.write.mode("overwrite").option("header", header).option("emptyValue", "").csv(path)
 
 
+_FORMATTERS: dict[int, object] = {}
+
+
 def fmt(c, digits: int) -> F.Column:
-    """Fixed-point text with ``digits`` decimals (format only at the sink)."""
-    return F.format_string(f"%.{digits}f", F.col(c) if isinstance(c, str) else c)
+    """Fixed-point text with ``digits`` decimals, exactly as Python's ``f"{x:.Nf}"``.
+
+    Python rounds the exact binary value half to even (0.25 -> "0.2",
+    0.15 -> "0.1"), which ``format_string`` does not reproduce on ties.  Used
+    only at the report sinks, whose frames are small aggregates, through an
+    Arrow-batched pandas UDF.
+    """
+    udf = _FORMATTERS.get(digits)
+    if udf is None:
+        pattern = "{:.%df}" % digits
+
+        @F.pandas_udf("string")
+        def _fixed(values: pd.Series) -> pd.Series:
+            return values.map(lambda v: None if pd.isna(v) else pattern.format(float(v)))
+
+        udf = _FORMATTERS[digits] = _fixed
+    return udf(F.col(c) if isinstance(c, str) else c)
 
 
 def write_detail_export(wide: DataFrame, path: str) -> None:
