@@ -92,6 +92,7 @@ def test_result_metadata_and_pages(spark):
     m = rep.result_metadata(t).first()
     assert (m.total_rows, m.distinct_species, m.page_count) == (250, 1, 3)
     assert rep.result_metadata(table(spark, [])).first().page_count == 1
+    assert rep.result_metadata(t, approx_rsd=0.01).first().distinct_species == 1
     page = rep.result_page(t, 2).orderBy("row_no").collect()
     assert [r.seen_order for r in page] == list(range(200, 250))
     assert [r.row_no for r in page][:2] == [201, 202]

@@ -260,11 +260,18 @@ def daily_label_pivot(counts: DataFrame, dates: list[str] | None = None) -> Data
 # A12 / L5
 # ---------------------------------------------------------------------------
 
-def result_metadata(table: DataFrame, page_size: int = RESULTS_PER_PAGE) -> DataFrame:
-    """Total rows, distinct non-empty species, page count ``max(1, ceil(n/size))``."""
+def result_metadata(table: DataFrame, page_size: int = RESULTS_PER_PAGE, approx_rsd: float | None = None) -> DataFrame:
+    """Total rows, distinct non-empty species, page count ``max(1, ceil(n/size))``.
+
+    ``approx_rsd`` switches the distinct count to a HyperLogLog++ sketch with
+    that relative standard deviation (one partial aggregate, no shuffle of
+    the species values); exact by default.
+    """
     sp = empty_if_null(F.col("species"))
-    return (table.agg(F.count(F.lit(1)).alias("total_rows"),
-                      F.countDistinct(F.when(sp != "", sp)).alias("distinct_species"))
+    nonempty = F.when(sp != "", sp)
+    distinct = (F.countDistinct(nonempty) if approx_rsd is None
+                else F.approx_count_distinct(nonempty, approx_rsd))
+    return (table.agg(F.count(F.lit(1)).alias("total_rows"), distinct.cast("long").alias("distinct_species"))
             .withColumn("page_count", F.greatest(F.lit(1), F.ceil(F.col("total_rows") / page_size)).cast("long")))
 
 
