@@ -1,0 +1 @@
+"""Column -> Column expressions: text, taxonomy parsing, numbers, dates, paths."""

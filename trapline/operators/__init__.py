@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators: detections, names, reports, routing, resume, scoring."""

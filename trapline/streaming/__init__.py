@@ -1,0 +1 @@
+"""Structured Streaming ingestion of model output and image folders."""
