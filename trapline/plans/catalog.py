@@ -549,9 +549,15 @@ union all select '信頼度統計', band + 1, band_label, n, cast(null as double
 
 # --- A9 ---------------------------------------------------------------------------
 
+# A mean of doubles depends on summation order (engines differ in the last
+# digits); the registered query presents it at 9 decimals on both sides.
+AVG_DECIMALS = 9
+
+
 def q_species_list(spark, sf_dir):
     d = parsed(spark, sf_dir).withColumn("seen_order", F.col("img"))
-    return rep.species_list(d, names(spark, sf_dir))
+    out = rep.species_list(d, names(spark, sf_dir))
+    return out.withColumn("avg_confidence", F.round("avg_confidence", AVG_DECIMALS))
 
 
 SQL_SPECIES_LIST = oracle(ORACLE_PARSED + """
@@ -570,7 +576,7 @@ select g.species, g.common_name,
             when trim(g.scientific_name) <> '' then coalesce(sp.name_value, ge.name_value, '') else '' end
          as japanese_name,
        g.scientific_name, cast(g.detection_count as bigint) as detection_count,
-       cast(g.max_confidence as double) as max_confidence, g.avg_confidence,
+       cast(g.max_confidence as double) as max_confidence, round(g.avg_confidence, 9) as avg_confidence,
        cast(row_number() over (order by g.detection_count desc, g.first_seen) as int) as rank,
        case when g.category = '' then '' else coalesce(c.name_value, g.category) end as category_label
 from g
