@@ -1,8 +1,10 @@
 """The queries of this subpackage: name -> (query, DuckDB SQL or None)."""
 from __future__ import annotations
 
-from trapline.llm import quality
+from trapline.llm import mixing, quality, sharding
 
 QUERIES = {
+    "op2_mix_sources": (mixing.op2_mix_sources, mixing.OP2_SQL),
     "op7_quality_rules": (quality.op7_quality_rules, quality.OP7_SQL),
+    "op9_shards": (sharding.op9_shards, None),
 }
