@@ -10,3 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole table through Spark's reader (any store that Spark reaches)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
+
+
+#: Bytes up to which a table may be broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """A written (materialized) table with a broadcast hint if its rows fit the bound, else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
