@@ -27,7 +27,8 @@ Defined cases: null or empty texts have no shingles and link with nothing, not
 even each other; a text of fewer than five words is its whole sequence; rows
 without an id belong to classes like others and get the smallest id there is in
 the component, else null; repeated rows are linked as equal sets; empty tables
-give empty results; other columns are ignored.
+give empty results; other columns are ignored by the join and carried by
+``one_per_group``.
 """
 from __future__ import annotations
 
@@ -39,10 +40,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.llm.components import components
-from trapline.llm.tables import materialize, table
+from trapline.llm.tables import materialize, packed, table, unpacked
 from trapline.llm.tokens import P, Slice, mix, shingles, slices
 
 SHINGLE = 5
+WORD = r"[^\x20\x09-\x0D]"
 PERCENT = 75
 CELLS = 1 << 22       # counters of the order; one byte each where they are broadcast
 BACKGROUND = 0.05     # share of uncrowded shingles expected to occur elsewhere
@@ -78,7 +80,7 @@ def least_depth(n: np.ndarray) -> np.ndarray:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One pass: rows of documents (kind 0: rid, key, n) and of crowded cells (kind 1: cell, count)."""
+    """One pass: rows of documents (kind 0: doc_id, rid, th, key, n) and of crowded cells (kind 1: cell, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.uint32)
@@ -88,22 +90,27 @@ def scan(docs: DataFrame) -> DataFrame:
                 value, _, key[part.rows], n[part.rows] = sets(part)
                 at, count = np.unique(value & np.uint64(CELLS - 1), return_counts=True)
                 cells[at.astype(np.int64)] += count.astype(np.uint32)
-            yield _rows(0, batch.column(0), batch.column(2), key, n)
+            yield _rows(0, *[batch.column(i) for i in (0, 2, 3)], key, n)
         mean = cells.sum(dtype=np.int64) / CELLS
         at = np.flatnonzero(cells > mean + 6 * np.sqrt(mean) + 4)
         empty = pa.nulls(len(at), pa.int64())
-        yield _rows(1, empty, empty, at, cells[at])
+        yield _rows(1, empty, empty, empty, at, cells[at])
 
-    def _rows(kind, doc_id, rid, key, n):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int64)), doc_id, rid, pa.array(key), pa.array(n.astype(np.int64))],
-                                          names=["kind", "doc_id", "rid", "key", "n"])
+    def _rows(kind, doc_id, rid, th, key, n):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int64)), doc_id, rid, th, pa.array(key), pa.array(n.astype(np.int64))],
+                                          names=["kind", "doc_id", "rid", "th", "key", "n"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", _rid()).mapInArrow(run, "kind long, doc_id long, rid long, key long, n long")
+    return (docs.select(F.col("doc_id").cast("long"), "text", _rid().alias("rid"), _text_hash().alias("th"))
+            .mapInArrow(run, "kind long, doc_id long, rid long, th long, key long, n long"))
+
+
+def _text_hash():
+    return F.xxhash64("text")
 
 
 def _rid():
     """A row's id for the joins: its doc_id, or a hash of the text where that is null."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rid")
+    return F.coalesce(F.col("doc_id").cast("long"), _text_hash())
 
 
 def crowding(cells: DataFrame) -> np.ndarray:
@@ -250,7 +257,7 @@ def read_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key[mine]), pa.array([value[last[i] - n[i]:last[i]].tobytes() for i in mine], pa.binary())], names=["key", "shingles"])
 
-    found = docs.select("text", _rid()).join(reps, "rid").select("text", "key")
+    found = docs.select("text", _rid().alias("rid")).join(reps, "rid").select("text", "key")
     return found.mapInArrow(run, "key long, shingles binary")
 
 
@@ -274,9 +281,9 @@ def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 def classes_and_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, key, n, component): every row with its class of equal sets and the component's smallest key."""
+    """(doc_id, rid, th, key, n, component): every row with its class of equal sets and the component's smallest key."""
     scanned = materialize(scan(docs))
-    rows = scanned.where("kind = 0").select("doc_id", "rid", "key", "n")
+    rows = scanned.where("kind = 0").drop("kind")
     level = crowding(scanned.where("kind = 1"))
     lists = materialize(shared_postings(postings(docs, level)))
     lists = materialize(peeled(materialize(peeled(lists))))
@@ -290,11 +297,23 @@ def classes_and_components(docs: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, n_shingles, component_id) for every row of (doc_id, text)."""
+    """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
     rows = materialize(classes_and_components(docs))
     smallest = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.join(smallest, "component", "left").select("doc_id", "rid", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return rows.join(smallest, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id; rows without a word all stay."""
+    rows = classes_and_components(docs.select("doc_id", "text")).where("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "rid", "th")).alias("first")
+    kept = rows.groupBy("component").agg(first).select("first.rid", "first.th")
+    some = packed(docs, rid=_rid(), th=_text_hash())
+    has = F.coalesce(F.col("row")["text"].rlike(WORD), F.lit(False))
+    # a repeated row is there once: the join has brought equal rows together already
+    one = some.where(has).join(kept, ["rid", "th"], "left_semi").dropDuplicates(["rid", "th"])
+    return one.unionByName(some.where(~has)).select(*unpacked(docs.columns))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ Defined cases: a null text has size 0; a null source is a source of its own, las
 in order; documents of size 0 take 0 words; repeated rows are documents of their
 own (which of two equal rows is cut does not change the result); a document at
 the cut is taken in part (``taken`` counts words); an empty table gives an empty
-result; other columns are carried, and names that the operator adds are refused
-if they exist already.
+result; other columns are carried, but for those with the name of a column that the
+operator adds, which replaces them.
 """
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from trapline.llm.tables import materialize, table
+from trapline.llm.tables import materialize, packed, table, unpacked
 
 # fixed values of the contract
 WEIGHTS = (5, 2, 1)          # of the sources in order, repeating
@@ -68,17 +68,15 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, size: Column, source: str = "source", doc_id: str = "doc_id", seed: str = SEED) -> DataFrame:
     """``docs`` with size, source_size, target and taken (words the mix takes, repeats counted)."""
-    added = {"size", "source_size", "target", "taken"}
-    if added & set(docs.columns):
-        raise ValueError(f"columns {sorted(added & set(docs.columns))} exist already; rename them first")
+    added = ("size", "source_size", "target", "taken")
     # about sqrt(rows) ranges of the key: as many ranges as rows in one
     bits = min(31, math.ceil(math.log2(max(docs.count(), 1)) / 2))
     key = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
-    keyed = (docs.withColumns({"size": size, "_key": key,
-                               "source_key": F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))})
+    name = F.col(source).cast("string")
+    keyed = (packed(docs, size=size, source=name, source_key=F.coalesce(F.concat(F.lit("="), name), F.lit("null")), _key=key)
              .withColumn("_range", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") / (1 << (32 - bits)))))
-    ranges = materialize(keyed.groupBy("source_key", "_range").agg(F.first(source).alias("source"), F.sum("size").alias("words")))
-    goal = targets(ranges.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")))
+    ranges = materialize(keyed.groupBy("source", "source_key", "_range").agg(F.sum("size").alias("words")))
+    goal = targets(ranges.groupBy("source", "source_key").agg(F.sum("words").alias("source_size")))
     before = W.partitionBy("source_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = (ranges.withColumn("_offset", F.coalesce(F.sum("words").over(before), F.lit(0)))
                .select("source_key", "_range", "_offset").join(goal, "source_key"))
@@ -89,7 +87,7 @@ def mix(docs: DataFrame, size: Column, source: str = "source", doc_id: str = "do
     epochs = F.floor(budget / whole)
     rest = budget - epochs * whole - F.col("_offset") - F.col("_inside")
     taken = epochs * F.col("size") + F.greatest(F.least(rest, F.col("size")), F.lit(0))
-    return placed.withColumn("taken", taken.cast("long")).select(*docs.columns, "size", "source_size", "target", "taken")
+    return placed.withColumn("taken", taken.cast("long")).select(*unpacked(docs.columns, added), *added)
 
 
 def copies() -> Column:
@@ -98,8 +96,8 @@ def copies() -> Column:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs, words(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("words"))
+    return mix(docs, F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP2_SQL = r"""

@@ -8,9 +8,8 @@ the verdict: a text is kept if no rule rejects it.
 
 Defined cases: a null or empty text has no words, so ``min_words`` rejects it;
 very long texts are judged whole; repeated rows are judged alike, one by one;
-an empty table gives an empty result; other columns are carried untouched, and
-columns of the frame with the names of the verdict are refused by ``judge``
-(rename them first) while ``op7_quality_rules`` selects only what it needs.
+an empty table gives an empty result; other columns are carried, but for those
+with the name of a column that the operator adds, which replaces them.
 """
 from __future__ import annotations
 
@@ -179,12 +178,9 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] | None = None, text: str = "t
 
     ``carry``: the columns of ``docs`` to return (default: all).
     """
-    clash = {"kept", "rejected_by", *features} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already; rename them first")
     order = rules or ordered(docs.select(F.col(text).alias("text")))
     names = [r.name for r in order]
-    kept = [c for c in docs.columns if carry is None or c in carry]
+    kept = [c for c in docs.columns if (carry is None or c in carry) and c not in {"kept", "rejected_by", *features}]
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("kept", T.BooleanType()),
                            T.StructField("rejected_by", T.StringType()),
                            *[T.StructField(f, T.LongType()) for f in features]])

@@ -12,8 +12,8 @@ sqrt(rows) x shards numbers.
 
 Defined cases: a null text has 0 bytes and the CRC of the empty text; null ids and
 repeated rows are rows like others (equal rows are interchangeable); empty tables
-give empty results; other columns are carried, and names that the operator adds
-are refused if they exist already.
+give empty results; other columns are carried, but for those named shard or slot,
+which the operator's replace.
 """
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from trapline.llm.tables import materialize, table
+from trapline.llm.tables import materialize, packed, table, unpacked
 
 N_SHARDS = 16
 SEED = 20
@@ -68,13 +68,11 @@ def shuffle_into_shards(rows: DataFrame, keys: list[Column], n_shards: int = N_S
 
     ``keys`` tell rows apart: rows alike in all of them are interchangeable.
     """
-    if {"shard", "slot"} & set(rows.columns):
-        raise ValueError("columns shard or slot exist already; rename them first")
     spark = rows.sparkSession
     side = math.isqrt(max(rows.count(), 1)) + 1
     key = lambda k: F.xxhash64(F.lit(seed * 8 + k), *keys)
-    dealt = rows.withColumns({"_block": F.pmod(key(1), F.lit(side)), "_first": key(2),
-                              "_range": F.pmod(key(3), F.lit(side // n_shards + 1)), "_second": key(4)})
+    dealt = packed(rows, _block=F.pmod(key(1), F.lit(side)), _first=key(2),
+                   _range=F.pmod(key(3), F.lit(side // n_shards + 1)), _second=key(4))
     counts = {r["_block"]: r["n"] for r in dealt.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()}
     blocks = sorted(counts)
     ends = matrix([counts[b] for b in blocks], n_shards, seed).cumsum(axis=1)
@@ -90,7 +88,7 @@ def shuffle_into_shards(rows: DataFrame, keys: list[Column], n_shards: int = N_S
     again = W.partitionBy("shard", "_range").orderBy("_second", "_first")
     return (sent.withColumn("_inside", F.row_number().over(again)).join(offsets, ["shard", "_range"])
             .withColumn("slot", (F.col("_offset") + F.col("_inside") - 1).cast("long"))
-            .select(*rows.columns, "shard", "slot"))
+            .select(*unpacked(rows.columns, ("shard", "slot")), "shard", "slot"))
 
 
 def text_columns(text: Column) -> dict[str, Column]:

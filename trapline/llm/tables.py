@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trapline.session import materialize  # noqa: F401  (a written table under spark.checkpoint.dir)
 
@@ -18,6 +19,14 @@ BROADCAST_BYTES = 32 << 20
 
 def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
     """A written (materialized) table with a broadcast hint if its rows fit the bound, else as it is."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def packed(df: DataFrame, **more) -> DataFrame:
+    """The rows as one struct column ``row``, and the given columns: no name of the frame can clash with an operator's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
+def unpacked(columns: list[str], added: tuple[str, ...] = ()) -> list:
+    """The struct's columns again, without those that the operator's own columns replace."""
+    return [F.col("row")[c].alias(c) for c in columns if c not in added]
