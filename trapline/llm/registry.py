@@ -1,7 +1,7 @@
 """The queries of this subpackage: name -> (query, DuckDB SQL or None)."""
 from __future__ import annotations
 
-from trapline.llm import decontaminate, jaccard, langid, mixing, quality, sharding, suffixes, urls
+from trapline.llm import decontaminate, jaccard, langid, language_model, mixing, quality, sharding, suffixes, urls
 
 QUERIES = {
     "op1_url_filters": (urls.op1_url_filters, urls.OP1_SQL),
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_benchmark_decontamination": (decontaminate.op5_benchmark_decontamination, decontaminate.OP5_SQL),
     "op6_suffix_array_dedup": (suffixes.op6_suffix_array_dedup, suffixes.OP6_SQL),
     "op7_quality_rules": (quality.op7_quality_rules, quality.OP7_SQL),
+    "op8_lm_scoring": (language_model.op8_lm_scoring, None),
     "op9_shards": (sharding.op9_shards, None),
     "op10_ngram_jaccard_join": (jaccard.op10_ngram_jaccard_join, jaccard.OP10_SQL),
 }

@@ -4,7 +4,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.session import materialize  # noqa: F401  (a written table under spark.checkpoint.dir)
+from trapline import session
+
+#: Spark's setting that frees a query's shuffle files when the query has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """A written table under spark.checkpoint.dir, read again; the shuffles that made it are freed.
+
+    Nothing reads those shuffles later, and the table outlives lost executors.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES, "false")
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        return session.materialize(df)
+    finally:
+        conf.set(FREE_SHUFFLES, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
