@@ -1,12 +1,13 @@
 """The queries of this subpackage: name -> (query, DuckDB SQL or None)."""
 from __future__ import annotations
 
-from trapline.llm import decontaminate, jaccard, langid, language_model, mixing, quality, sharding, suffixes, urls
+from trapline.llm import decontaminate, jaccard, langid, language_model, mixing, passages, quality, sharding, suffixes, urls
 
 QUERIES = {
     "op1_url_filters": (urls.op1_url_filters, urls.OP1_SQL),
     "op2_mix_sources": (mixing.op2_mix_sources, mixing.OP2_SQL),
     "op3_language_id": (langid.op3_language_id, None),
+    "op4_substring_dedup": (passages.op4_substring_dedup, None),
     "op5_benchmark_decontamination": (decontaminate.op5_benchmark_decontamination, decontaminate.OP5_SQL),
     "op6_suffix_array_dedup": (suffixes.op6_suffix_array_dedup, suffixes.OP6_SQL),
     "op7_quality_rules": (quality.op7_quality_rules, quality.OP7_SQL),
