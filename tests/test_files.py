@@ -3,6 +3,8 @@ import os
 import struct
 import time
 
+import pytest
+
 
 from trapline.sinks.csv_excel import write_excel_csv
 from trapline.sinks.files import execute_routing
@@ -25,7 +27,7 @@ def test_listing_extensions_and_skips(spark, tmp_path):
                  "_hidden.jpg", ".dot.jpg"):
         touch(os.path.join(root, name))
     got = sorted(os.path.relpath(r.path, root) for r in list_images(spark, root).collect())
-    assert got == ["a.jpg", "b.JPG", "c.PnG", "f.tiff", "g.webp", "sub/h.jpeg", "sub/i.BMP"]
+    assert got == [".dot.jpg", "_hidden.jpg", "a.jpg", "b.JPG", "c.PnG", "f.tiff", "g.webp", "sub/h.jpeg", "sub/i.BMP"]
     assert all(not r.path.startswith("file:") for r in list_images(spark, root).collect())
     assert list_images(spark, os.path.join(root, "missing")).count() == 0
 
@@ -137,7 +139,63 @@ def test_copy_and_move(spark, tmp_path):
     assert status == {"a.jpg": "copied", "b.jpg": "copied", "gone.jpg": "failed"}
     again = {os.path.basename(r.image_path): r.status for r in execute_routing(plan).collect()}
     assert again["a.jpg"] == "exists"  # idempotent re-run
+    with pytest.raises(ValueError):
+        execute_routing(plan, mode="move")
     moved = {os.path.basename(r.image_path): r.status
              for r in execute_routing(plan, mode="move", status_path=str(tmp_path / "status")).collect()}
     assert moved == {"a.jpg": "moved", "b.jpg": "moved", "gone.jpg": "failed"}
     assert not (src / "a.jpg").exists() and (dest / "F" / "a.jpg").read_bytes() == b"a.jpg"
+
+
+def test_nothing_is_written_over(spark, tmp_path):
+    """A destination with other content, of the same size or not, stays as it is, and so does the source."""
+    src, dest = tmp_path / "src", tmp_path / "dest"
+    touch(str(src / "a.jpg"), b"NEW")
+    touch(str(src / "b.jpg"), b"NEWLONG")
+    for n in ("a.jpg", "b.jpg"):
+        touch(str(dest / n), b"OLD")
+    plan = spark.createDataFrame([(str(src / n), str(dest / n), "", n, i) for i, n in enumerate(("a.jpg", "b.jpg"))],
+                                 "image_path string, dest_path string, folder_key string, dest_name string, seen_order long")
+    for mode in ("copy", "move"):
+        got = execute_routing(plan, mode=mode, status_path=str(tmp_path / mode)).collect()
+        assert {r.status for r in got} == {"failed"}
+    assert (dest / "a.jpg").read_bytes() == (dest / "b.jpg").read_bytes() == b"OLD"
+    assert (src / "a.jpg").read_bytes() == b"NEW" and (src / "b.jpg").read_bytes() == b"NEWLONG"
+    assert sorted(os.listdir(dest)) == ["a.jpg", "b.jpg"]  # no temporary files are left
+
+
+def test_far_directories_and_other_formats():
+    tags = {36867: "2020:05:06 07:08:09"}
+    block = tiff_block("II", {}, tags)
+    far = bytearray(block[:8] + bytes(200_000) + block[8:])
+    far[4:8] = struct.pack("<I", 200_008)
+
+    def moved(data, by):  # offsets inside the directories
+        out = bytearray(data)
+        (n,) = struct.unpack_from("<H", out, 200_008)
+        for i in range(n):
+            at = 200_010 + 12 * i + 8
+            struct.pack_into("<I", out, at, struct.unpack_from("<I", out, at)[0] + by)
+        (sub,) = struct.unpack_from("<I", out, 200_010 + 8)
+        (n,) = struct.unpack_from("<H", out, sub)
+        for i in range(n):
+            at = sub + 2 + 12 * i + 8
+            struct.pack_into("<I", out, at, struct.unpack_from("<I", out, at)[0] + by)
+        return bytes(out)
+
+    want = ("2020:05:06 07:08:09", None, None)
+    assert exif_dates(moved(far, 200_000)) == want
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + b"crc!"
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", bytes(300_000)) + chunk(b"eXIf", block) + chunk(b"IEND", b"")
+    assert exif_dates(png) == want and exif_dates(png[:-300]) is not None
+    riff = lambda kind, data: kind + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+    for body in (block, b"Exif\x00\x00" + block):
+        assert exif_dates(b"RIFF\0\0\0\0WEBP" + riff(b"VP8 ", bytes(333)) + riff(b"EXIF", body)) == want
+
+
+def test_unknown_storage_is_an_error(spark):
+    from trapline.sources.exif import capture_dates_for
+
+    rows = spark.createDataFrame([("nowhere://bucket/a.jpg",)], "image_path string")
+    with pytest.raises(Exception, match="nowhere|scheme|Unrecognized"):
+        capture_dates_for(rows).collect()

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trapline.session import materialize
+
 DEFAULT_BUCKET_ROWS = 1 << 20
 
 
@@ -41,3 +43,12 @@ def with_ordinal(df: DataFrame, group_cols: list[str], order_col: str, out_col:
     joined = local.join(offsets, slice_cols, "inner") if group_cols else local.join(offsets, [bucket])
     return (joined.withColumn(out_col, (F.col("_ord_off") + F.col("_ord_local")).cast("long"))
             .drop(bucket, "_ord_local", "_ord_off"))
+
+
+def with_path_order(df: DataFrame, order_cols: list[str], out_col: str = "seen_order") -> DataFrame:
+    """Adds a number that rises in the order of ``order_cols``, over a range-partitioned sort (no single task).
+
+    The numbers have gaps between the sort's partitions; only their order counts.
+    The sorted rows are written once, so every reader sees the same numbers.
+    """
+    return materialize(df.orderBy(*order_cols).withColumn(out_col, F.monotonically_increasing_id()))

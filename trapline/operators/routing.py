@@ -5,6 +5,8 @@ separate job (:mod:`trapline.sinks.files`).
 """
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +85,7 @@ def routing_plan(table: DataFrame, names: DataFrame, base: str, by_date: bool =
 
 def dedup_destinations(plan: DataFrame, existing: DataFrame | None = None,
                        order_col: str = "seen_order", name_col: str = "image_name",
-                       run_stamp: str = "overflow", bucket_rows: int = DEFAULT_BUCKET_ROWS,
+                       run_stamp: str | None = None, bucket_rows: int = DEFAULT_BUCKET_ROWS,
                        materialize_input: bool = True) -> DataFrame:
     """A unique destination name per target folder, clear of existing files.
 
@@ -91,14 +93,19 @@ def dedup_destinations(plan: DataFrame, existing: DataFrame | None = None,
     ``(target_dir, name)`` group keeps its name unless a file of that name
     exists; every other row takes, in ``order_col`` order, the next number
     whose ``stem_NNN.ext`` is neither an existing file nor a kept name.
-    Numbers above 9999 become ``stem_{run_stamp}_{n}.ext``.
+    Numbers above 9999 become ``stem_{run_stamp}_{n}.ext``; the stamp is the
+    run's time unless given, and a final name that exists all the same gets a
+    second stamp.
 
     ``existing`` is ``(target_dir, file_name)``.  No step joins all rows on
     the group key (a hot name would meet in one task): positions come from
     :func:`with_ordinal`, the "name already taken" check joins first rows
-    only, and numbers are matched on the unique ``(group, position)``.
+    only.  In a group without claimed numbers (nearly all) a row's number
+    follows from its position; only groups with claims generate candidates,
+    matched on the unique ``(group, position)``.
     """
     spark = plan.sparkSession
+    run_stamp = run_stamp or datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S%f")
     if existing is None:
         existing = spark.createDataFrame([], "target_dir string, file_name string")
     existing = existing.select("target_dir", "file_name").distinct()
@@ -125,17 +132,23 @@ def dedup_destinations(plan: DataFrame, existing: DataFrame | None = None,
                       F.concat(F.regexp_extract(c_stem, r"^(.*)_([0-9]+)$", 1), c_ext).alias(name_col),
                       "_n").distinct())
 
-    # one row per group: rows, whether the first keeps its name, claimed numbers
-    sizes = p.groupBy(*g).agg(F.count(F.lit(1)).alias("_rows"))  # partial aggregate
+    requests = (p.filter(F.col("_k") > 1).withColumn("_shift", F.lit(None).cast("int"))
+                .unionByName(firsts.filter(~F.col("_kept")).drop("_kept").withColumn("_shift", F.lit(0))))
+    # whether a group's first row keeps its name: few groups lose it (their name exists already)
+    lost = firsts.filter(~F.col("_kept")).select(*g, F.lit(0).alias("_lost"))
+    claimed_groups = claims.select(*g).distinct().withColumn("_claimed", F.lit(True))
+    requests = (requests.join(lost, g, "left").withColumn("_shift", F.coalesce("_shift", "_lost", F.lit(1))).drop("_lost")
+                .join(claimed_groups, g, "left"))
+    if materialize_input:
+        requests = materialize(requests)
+    plain = requests.filter(F.col("_claimed").isNull()).withColumn("_n", F.col("_k").cast("long") - F.col("_shift"))
+    hard = requests.filter(F.col("_claimed"))
+
+    # groups with claims: candidates 1.._total, generated slice by slice; the r-th free
+    # one goes to position r + shift (positions after a kept first row start at 2)
     n_claim = claims.groupBy(*g).agg(F.count(F.lit(1)).alias("_C"))
-    groups = (sizes.join(firsts.select(*g, F.col("_kept").cast("int").alias("_shift")), g, "inner")
-              .join(n_claim, g, "left")
-              .withColumn("_R", F.col("_rows") - F.col("_shift"))
-              .filter(F.col("_R") > 0)
-              .withColumn("_total", F.col("_R") + F.coalesce("_C", F.lit(0))))
-
-    # candidates 1.._total per group, generated slice by slice; the r-th free one
-    # goes to position r + shift (positions after a kept first row start at 2)
+    groups = (hard.groupBy(*g).agg(F.count(F.lit(1)).alias("_R"), F.max("_shift").alias("_shift")).join(n_claim, g, "inner")
+              .withColumn("_total", F.col("_R") + F.col("_C")))
     slices = groups.select(*g, "_total", "_shift", F.explode(F.sequence(
         F.lit(0), ((F.col("_total") - 1) / F.lit(CANDIDATE_SLICE)).cast("long"))).alias("_slice"))
     cands = slices.select(*g, "_shift", F.explode(F.sequence(
@@ -143,15 +156,18 @@ def dedup_destinations(plan: DataFrame, existing: DataFrame | None = None,
         F.least(F.col("_total"), (F.col("_slice") + 1) * CANDIDATE_SLICE))).alias("_n"))
     free = with_ordinal(cands.join(claims, [*g, "_n"], "left_anti"), g, "_n", "_r", bucket_rows)
     free = free.select(*g, "_n", (F.col("_r") + F.col("_shift")).alias("_k"))
-
-    requests = p.filter(F.col("_k") > 1).unionByName(firsts.filter(~F.col("_kept")).drop("_kept"))
-    numbered = (requests.join(free, [*g, "_k"], "inner")
-                .withColumn("dest_name", F.when(F.col("_n") <= DUPLICATE_SUFFIX_MAX,
-                                                numbered_name(F.col("_stem"), F.col("_n"), F.col("_ext")))
-                            .otherwise(F.concat(F.col("_stem"), F.lit(f"_{run_stamp}_"),
-                                                F.col("_n").cast("string"), F.col("_ext"))))
-                .drop("_n"))
-    out = kept.drop("_kept").withColumn("dest_name", F.col(name_col)).unionByName(numbered)
+    numbered = plain.unionByName(hard.join(free, [*g, "_k"], "inner").select(*plain.columns))
+
+    over = F.concat(F.col("_stem"), F.lit(f"_{run_stamp}_"), F.col("_n").cast("string"), F.col("_ext"))
+    again = F.concat(F.col("_stem"), F.lit(f"_{run_stamp}_{run_stamp}_"), F.col("_n").cast("string"), F.col("_ext"))
+    few = numbered.filter(F.col("_n") <= DUPLICATE_SUFFIX_MAX).withColumn(
+        "dest_name", numbered_name(F.col("_stem"), F.col("_n"), F.col("_ext")))
+    taken_over = claimed.select("target_dir", F.col("file_name").alias("_over"), F.lit(True).alias("_taken"))
+    many = (numbered.filter(F.col("_n") > DUPLICATE_SUFFIX_MAX).withColumn("_over", over)
+            .join(taken_over, ["target_dir", "_over"], "left")
+            .withColumn("dest_name", F.when(F.col("_taken"), again).otherwise(F.col("_over"))).drop("_over", "_taken"))
+    out = (kept.drop("_kept").withColumn("dest_name", F.col(name_col))
+           .unionByName(few.unionByName(many.select(*few.columns)).drop("_n", "_shift", "_claimed")))
     return (out.withColumn("dest_path", F.concat(F.col("target_dir"), F.lit("/"), F.col("dest_name")))
             .drop("_k", "_stem", "_ext"))
 

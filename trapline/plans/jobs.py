@@ -13,26 +13,30 @@ from trapline.operators import labels as lab
 from trapline.operators import reports as rep
 from trapline.operators import routing as rt
 from trapline.operators.names import names_frame
+from trapline.operators.ordinal import with_path_order
 from trapline.session import scratch_dir
 from trapline.sinks.csv_excel import write_pivot, write_species_list, write_summary_report
-from trapline.sinks.files import execute_routing
+from trapline.sinks.files import DONE, execute_routing
 from trapline.sinks.manifest import write_manifest
 from trapline.sources.detections_csv import read_detections_csv, typed_detections
-from trapline.sources.images import list_images
+from trapline.sources.images import absolute, list_images
 
 
 def load_table(spark: SparkSession, path: str) -> DataFrame:
     """The detections table from Parquet or from CSV (by extension), with a ``seen_order``.
 
     CSV rows keep file order as ``seen_order`` (single file: row position);
-    Parquet tables carry the column they were written with, else path order.
+    Parquet tables carry the column they were written with, else it is the
+    row's position in path order (then by species, confidence and time, for rows
+    of one path), the same at every read however the files are split.
     """
     if path.endswith(".csv"):
         t = typed_detections(read_detections_csv(spark, path))
         return t.withColumn("seen_order", F.monotonically_increasing_id())
     t = spark.read.parquet(path)
     if "seen_order" not in t.columns:
-        t = t.withColumn("seen_order", F.monotonically_increasing_id())
+        ties = [c for c in ("species", "confidence", "timestamp", "image_name") if c in t.columns]
+        t = with_path_order(t, ["image_path", *ties])
     return t
 
 
@@ -81,21 +85,22 @@ def route_images(spark: SparkSession, table_path: str, image_root: str, out_base
     """§3.3: plan (J5, J7, P19-P24), unique names against files already in ``out_base`` (W2),
     copy or move (K8), manifest (K7) and statistics (A11)."""
     names = names if names is not None else names_frame(spark)
+    out_base = absolute(out_base)
     listing = list_images(spark, image_root)
     table = load_table(spark, table_path)
     caps = _missing_dates(table) if by_date else None
     plan = rt.routing_plan(table, names, out_base, by_date=by_date, listing=listing, capture_dates=caps)
-    present = list_images(spark, out_base).select(
+    # every name in the target folders counts, images or not
+    present = list_images(spark, out_base, exts=None).select(
         F.regexp_replace("path", r"/[^/]*$", "").alias("target_dir"),
         F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"))
     routed = rt.dedup_destinations(plan, present)
     # the status rows are written once (shared scratch folder by default), so the
-    # copies run exactly once however many reports read them
+    # files are handled exactly once however many reports read them
     status = execute_routing(routed, mode=mode, status_path=status_path or scratch_dir(spark, "route-status"))
-    done = (status.filter(F.col("status").isin("copied", "exists", "moved"))
-            .join(routed.select("image_path", "seen_order"), "image_path"))
+    done = status.filter(F.col("status").isin(*DONE))
     if manifest_path:
         write_manifest(done, manifest_path)
     stats = rt.routing_stats(rt.folder_counts(done)).first()
-    failed = status.filter(~F.col("status").isin("copied", "exists", "moved")).count()
+    failed = status.filter(~F.col("status").isin(*DONE)).count()
     return {**stats.asDict(), "failed_files": failed}

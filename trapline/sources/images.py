@@ -1,56 +1,133 @@
 """Image listing and explicit file lists.
 
-Listing uses the ``binaryFile`` source: Spark lists the folder tree in
-parallel and the ``content`` column is pruned from the scan unless a later
-stage (EXIF, scoring) selects it.
+The folder tree is walked by the executors, one level of folders a job, so every
+regular file is found (also names and folders that start with ``_`` or ``.``, which
+Spark's own file sources skip) and the driver holds no file index, only the number
+of folders of a level.
 """
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trapline.constants import IMAGE_EXTENSIONS
+from trapline.session import materialize
 
 LISTING_SCHEMA = T.StructType([
     T.StructField("path", T.StringType(), False),
     T.StructField("modificationTime", T.TimestampType(), True),
     T.StructField("length", T.LongType(), True),
 ])
+_WALK = "path string, mtime double, length long, folder boolean"
 
 
-def extension_glob(exts=IMAGE_EXTENSIONS) -> str:
-    """``*.{[jJ][pP][gG],…}``: a case-insensitive glob over the allowed extensions."""
-    def ci(ext: str) -> str:
-        return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext.lstrip("."))
-    return "*.{" + ",".join(ci(e) for e in exts) + "}"
+def strip_scheme(path_col) -> F.Column:
+    """``file:/a/b`` and ``file:///a/b`` -> ``/a/b``; other schemes (``s3a://``, ``hdfs://``) are kept."""
+    return F.regexp_replace(path_col, r"^file:/*(?=/)", "")
 
 
-def strip_scheme(path_col) -> F.Column:
-    """``file:/a/b`` -> ``/a/b``; other schemes (``s3a://``, ``hdfs://``) are kept."""
-    return F.regexp_replace(path_col, r"^file:(?=/)", "")
+def absolute(path: str) -> str:
+    """A local path made absolute and normal (its ``file:`` dropped); paths with another scheme as they are."""
+    path = re.sub(r"^file:/*(?=/)", "", path)
+    return path if "://" in path else os.path.abspath(path)
+
+
+def file_system(path: str):
+    """(pyarrow file system, path in it) of a path with a scheme; an unknown scheme is an error, not an empty result."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
+
+
+def _entries(folder: str) -> Iterator[tuple[str, float | None, int | None, bool]]:
+    if "://" in folder:
+        from pyarrow import fs
+
+        system, inner = file_system(folder)
+        for e in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+            yield (f"{folder.rstrip('/')}/{e.base_name}", e.mtime.timestamp() if e.mtime else None, e.size,
+                   e.type == fs.FileType.Directory)
+        return
+    try:
+        found = os.scandir(folder)
+    except FileNotFoundError:
+        return
+    with found:
+        for e in found:
+            if e.is_dir(follow_symlinks=False):
+                yield e.path, None, None, True
+            elif e.is_file():
+                st = e.stat()
+                yield e.path, st.st_mtime, st.st_size, False
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["path", "mtime", "length", "folder"]
+    for pdf in batches:
+        rows = []
+        for folder in pdf["path"]:
+            for row in _entries(folder):
+                rows.append(row)
+                if len(rows) >= 10_000:
+                    yield pd.DataFrame(rows, columns=columns).astype({"mtime": "float64", "length": "Int64"})
+                    rows = []
+        yield pd.DataFrame(rows, columns=columns).astype({"mtime": "float64", "length": "Int64", "folder": "bool"})
 
 
 def list_images(spark: SparkSession, root: str, exts=IMAGE_EXTENSIONS, with_content: bool = False) -> DataFrame:
-    """Every image file under ``root`` (recursive), extension matched case-insensitively.
+    """Every image file under ``root`` (recursive), extension matched case-insensitively (``exts=None``: every file).
 
-    Returns ``path, modificationTime, length`` (plus ``content`` on request).
-    Unlike a plain directory walk, Spark skips names starting with ``_`` or
-    ``.``.  A missing folder gives an empty frame.
+    Returns ``path, modificationTime, length`` (plus ``content`` on request).  A
+    missing folder gives an empty frame.  The walk runs when the listing is made,
+    and its levels are written tables.
     """
-    reader = (spark.read.format("binaryFile")
-              .option("recursiveFileLookup", "true")
-              .option("pathGlobFilter", extension_glob(exts)))
+    folders = spark.createDataFrame([(absolute(root),)], "path string")
+    levels = []
+    while True:
+        level = materialize(folders.mapInPandas(_walk, _WALK))
+        levels.append(level)
+        folders = level.where("folder").select("path")
+        n = folders.count()
+        if not n:
+            break
+        folders = folders.repartition(max(1, min(n, spark.sparkContext.defaultParallelism * 4)))
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionByName(level)
+    found = found.where("NOT folder")
+    if exts is not None:
+        found = found.where(F.lower("path").rlike("(" + "|".join(re.escape(e.lower()) for e in exts) + ")$"))
+    found = found.select("path", F.timestamp_seconds("mtime").alias("modificationTime"), "length")
+    return with_file_content(found) if with_content else found
+
+
+def with_file_content(listing: DataFrame) -> DataFrame:
+    """The listing with each file's bytes in ``content`` (null if it can't be read)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(len(pdf)):  # a file at a time keeps the output small
+                yield pdf.iloc[i:i + 1].assign(content=[_content(pdf["path"].iloc[i])])
+
+    return listing.mapInPandas(run, T.StructType([*listing.schema.fields, T.StructField("content", T.BinaryType())]))
+
+
+def _content(path: str) -> bytes | None:
     try:
-        df = reader.load(root)
-    except Exception as e:  # noqa: BLE001 - missing folder is not an error here
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return spark.createDataFrame([], LISTING_SCHEMA)
-        raise
-    cols = [strip_scheme(F.col("path")).alias("path"), "modificationTime", "length"]
-    if with_content:
-        cols.append("content")
-    return df.select(*cols)
+        if "://" in path:
+            system, inner = file_system(path)
+            with system.open_input_file(inner) as f:
+                return f.read()
+        with open(path, "rb") as f:
+            return f.read()
+    except OSError:
+        return None
 
 
 def file_list(spark: SparkSession, paths: list[str]) -> DataFrame:
