@@ -153,6 +153,85 @@ def test_ingest_images_stream_resume(spark, seed_names, tmp_path):
                        control=IngestControl(limit=2))
     assert r3["stopped"] and r3["reason"] == "breaker"
     assert read_table(spark, table).count() == 3  # failed chunks are not written
+    # a good model later: the failed images and those after the stop are taken up again, none is missing or twice
+    r4 = ingest_images(spark, root, fixed_factory(CROW), seed_names, table, ckpt, opts)
+    assert not r4["stopped"]
+    r5 = ingest_images(spark, root, fixed_factory(CROW), seed_names, table, ckpt, opts)
+    assert r5["batches"] == 0
+    assert sorted(os.path.basename(r.image_path) for r in read_table(spark, table).collect()) == [
+        "a.jpg", "b.JPG", "c.jpeg", "d.jpg", "e.jpg", "f.jpg"]
+
+
+def test_stream_and_batch_store_equal_dates(spark, seed_names, tmp_path):
+    from tests.test_files import jpeg, tiff_block
+    from trapline.streaming.ingest import ingest_images
+
+    root = tmp_path / "imgs"
+    (root / "_raw").mkdir(parents=True)
+    (root / "_raw" / "_DSC0001.JPG").write_bytes(jpeg(tiff_block("MM", {}, {36867: "2020:05:06 07:08:09"})))
+    (root / "b.jpg").write_bytes(b"plain")
+    os.utime(root / "b.jpg", (1700000000, 1700000000))
+    ingest_images(spark, str(root), fixed_factory(CROW), seed_names, str(tmp_path / "t"), str(tmp_path / "c"))
+    dates = lambda df: {os.path.basename(r.image_path): r.image_date for r in df.collect()}
+    batch = detect_images(list_images(spark, str(root)), fixed_factory(CROW), seed_names)
+    assert dates(read_table(spark, str(tmp_path / "t"))) == dates(batch.rows) == {"_DSC0001.JPG": "2020-05-06", "b.jpg": "2023-11-14"}
+
+
+def test_scorer_contract(spark, seed_names):
+    """Structured-only, empty, text, NaN and boxed predictions, and paths that need tidying."""
+    import pandas as pd
+
+    from trapline.plans.detect import image_rows
+
+    def factory(options):
+        def run(pdf):
+            rows = []
+            for p in pdf["image_path"]:
+                n = os.path.basename(p)
+                base = {"image_path": "/p/../p/./" + n, "prediction_score": 0.9}
+                if n == "s.jpg":
+                    rows.append({**base, "class": "mammalia", "genus": "sus", "species": "scrofa", "common_name": "wild boar"})
+                elif n == "t.jpg":
+                    rows.append({**base, "prediction": CROW, "prediction_score": "oops"})
+                elif n == "n.jpg":
+                    rows.append({**base, "prediction": CROW, "prediction_score": float("nan")})
+                elif n == "x.jpg":
+                    rows.append({**base, "prediction": CROW, "detections": [{"conf": 0.2, "bbox": [1.0]}, {"conf": 0.8, "bbox": [2.0, 3.0]}]})
+                else:
+                    rows.append(base)
+            return pd.DataFrame(rows)
+        return run
+
+    imgs = spark.createDataFrame([(f"/p/{n}.jpg", ) for n in "stnxe"], "image_path string")
+    got = {r.image_path: r for r in image_rows(imgs, score_images(imgs, factory), seed_names, 0.0).collect()}
+    assert got["/p/s.jpg"].scientific_name == "Sus scrofa" and got["/p/s.jpg"].n_detections == 1
+    assert got["/p/t.jpg"].n_detections == 0  # malformed, not zero
+    assert got["/p/n.jpg"].n_detections == 1
+    assert got["/p/x.jpg"].bbox == [2.0, 3.0]
+    assert got["/p/e.jpg"].n_detections == 1 and got["/p/e.jpg"].species == ""
+
+
+def test_batch_breaker_and_resume(spark, seed_names, tmp_path):
+    from trapline.plans.detect import run_detection
+
+    root, table = str(tmp_path / "imgs"), str(tmp_path / "t")
+    make_images(root, [f"{i}.jpg" for i in range(6)])
+    listing = list_images(spark, root).coalesce(1)
+    fail = frozenset(r.path for r in listing.collect())
+    opts = ScoringOptions(chunk_size=1, consecutive_error_limit=3)
+    s = run_detection(detect_images(listing, fixed_factory(CROW, fail_paths=fail), seed_names, opts), table)
+    assert s["stopped"] and s["total_processed"] == 0
+    s = run_detection(detect_images(listing, fixed_factory(CROW), seed_names, opts, done=read_table(spark, table)), table)
+    assert not s["stopped"] and read_table(spark, table).count() == 6
+
+
+def test_normal_paths(spark):
+    from trapline.functions.paths import normal_path
+
+    cases = {"/a/b.jpg": "/a/b.jpg", "file:/a/b": "/a/b", "file:///a//b/./c": "/a/b/c", "/p/../p/a.jpg": "/p/a.jpg", "/../x": "/x",
+             "s3a://k/a/../b": "s3a://k/b", "x/y.jpg": os.getcwd() + "/x/y.jpg"}
+    df = spark.createDataFrame([(k,) for k in cases], "p string").select("p", normal_path("p").alias("n"))
+    assert {r.p: r.n for r in df.collect()} == cases
 
 
 def test_detect_stores_exif_capture_date(spark, seed_names, tmp_path):

@@ -50,7 +50,8 @@ def main(argv=None) -> None:
 
 def _detect(spark, args) -> dict:
     import importlib
-    import os
+
+    from pyspark.errors import AnalysisException
 
     from trapline.operators.names import names_frame
     from trapline.operators.scoring import ScoringOptions
@@ -65,7 +66,12 @@ def _detect(spark, args) -> dict:
     options = ScoringOptions.from_dict(opts)
     names = read_names(spark, args.names) if args.names else names_frame(spark)
     listing = list_images(spark, args.images)
-    done = read_table(spark, args.table) if args.resume and os.path.exists(args.table) else None
+    try:  # any storage that the reader knows; a table that isn't there yet is an empty one
+        done = read_table(spark, args.table) if args.resume else None
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        done = None
     total = listing.count()
     summary = run_detection(detect_images(listing, factory, names, options, done=done), args.table,
                             total_images=total)

@@ -1,6 +1,8 @@
 """Routing names and paths as Column expressions."""
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,3 +62,19 @@ def file_suffix(name) -> Column:
 def numbered_name(stem, n, suffix) -> Column:
     """``stem_NNN.ext`` with at least three digits."""
     return F.concat(col_(stem), F.lit("_"), F.format_string("%03d", col_(n)), col_(suffix))
+
+
+def normal_path(path) -> Column:
+    """One name for one file: no ``file:``, no empty, ``.`` and ``..`` segments; a relative path is taken from the
+    working folder of the job.  The part of a URI before its path stays."""
+    p = F.regexp_replace(col_(path), r"^file:/*(?=/)", "")
+    scheme = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1)
+    local = F.substr(p, F.length(scheme) + 1)
+    local = F.when((scheme == "") & ~local.startswith("/"), F.concat(F.lit(os.getcwd() + "/"), local)).otherwise(local)
+    none = F.array().cast("array<string>")
+    parts = F.aggregate(F.split(local, "/"), none, lambda done, x: F.when((x == "") | (x == "."), done)
+                        .when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+                        .otherwise(F.concat(done, F.array(x))))
+    tidy = F.concat(scheme, F.lit("/"), F.array_join(parts, "/"))
+    # nearly all paths are tidy already
+    return F.when(p.rlike(r"^/") & ~p.rlike(r"//|/\.{1,2}(/|$)|/$"), p).otherwise(tidy)

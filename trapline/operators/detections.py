@@ -10,7 +10,7 @@ Ties always go to the earliest ``det_index`` (model order), like a stable
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,16 +190,15 @@ def first_n_wide(detections: DataFrame, n: int = 3, key: str = "image_path", ord
                          "category")) -> DataFrame:
     """The first ``n`` detections of each image in model order, side by side.
 
-    Positions come from :func:`trapline.operators.ordinal.with_ordinal`
-    (split by order buckets); one partial aggregate then takes the count (the
-    last position) and the fields at positions ``1..n``.
+    An image holds what the model returns for it, so its rows are numbered by a
+    plain window: one exchange by image, one sort, and the aggregate needs no
+    other exchange.
     """
-    from trapline.operators.ordinal import with_ordinal
-
-    ranked = with_ordinal(detections.select(key, order_col, *fields), [key], order_col, "_pos")
+    ranked = detections.select(key, order_col, *fields).withColumn(
+        "_pos", F.row_number().over(Window.partitionBy(key).orderBy(order_col)).cast("long"))
     cols = [F.max(F.when(F.col("_pos") == i + 1, F.col(f))).alias(f"{f}_{i + 1}")
             for i in range(n) for f in fields]
-    # one partial aggregate: the last position is the count, the first n fill the slots
+    # the last position is the count, the first n fill the slots
     return ranked.groupBy(key).agg(F.max("_pos").alias("detection_count"), *cols)
 
 

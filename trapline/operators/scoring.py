@@ -6,8 +6,9 @@ score(pdf) -> pdf`` is called once per Python worker task (iterator form of
 ``spark.sql.execution.arrow.maxRecordsPerBatch`` images (the chunk size).
 
 ``score`` receives the input columns of a batch and returns one row per
-prediction: ``image_path, prediction, prediction_score`` and optionally
-``prediction_source, class, class_name, genus, species, common_name``.
+prediction: ``image_path, prediction_score`` and ``prediction`` or the structured
+``class, class_name, genus, species, common_name``, optionally
+``prediction_source`` and ``detections`` (boxes ``conf, bbox``).
 Predictions keep their order per image (``det_index``).  When ``score``
 raises, every image of the batch gets one row with ``error`` set and no
 prediction (such images are not written as done, so a resume retries them).
@@ -24,14 +25,18 @@ from pyspark.sql import DataFrame
 from trapline.constants import (
     DEFAULT_CHUNK_SIZE,
     DEFAULT_CONFIDENCE_THRESHOLD,
+    DEFAULT_CONSECUTIVE_ERROR_LIMIT,
     DEFAULT_COUNTRY,
     DEFAULT_MODEL_BATCH_SIZE,
 )
 
-PREDICTION_SCHEMA = ("image_path string, det_index int, prediction string, prediction_score double, "
+PREDICTION_SCHEMA = ("image_path string, det_index int, prediction string, prediction_score string, "
                      "prediction_source string, class string, class_name string, genus string, "
-                     "species string, common_name string, error string")
-_OPTIONAL = ("prediction_source", "class", "class_name", "genus", "species", "common_name")
+                     "species string, common_name string, "
+                     "detections array<struct<conf:double,bbox:array<double>>>, error string")
+_OPTIONAL = ("prediction", "prediction_source", "class", "class_name", "genus", "species", "common_name", "detections")
+_COLUMNS = ("image_path", "det_index", "prediction", "prediction_score", *_OPTIONAL[1:], "error")
+BREAKER = "BreakerTripped"
 
 
 @dataclass(frozen=True)
@@ -42,6 +47,7 @@ class ScoringOptions:
     model_batch_size: int = DEFAULT_MODEL_BATCH_SIZE
     country: str = DEFAULT_COUNTRY
     run_mode: str = "multi_thread"
+    consecutive_error_limit: int = DEFAULT_CONSECUTIVE_ERROR_LIMIT
 
     @classmethod
     def from_dict(cls, d: dict) -> "ScoringOptions":
@@ -58,11 +64,26 @@ def _shape(out: pd.DataFrame) -> pd.DataFrame:
     for c in _OPTIONAL:
         if c not in out.columns:
             out[c] = None
+    out["detections"] = out["detections"].map(lambda v: v if isinstance(v, (list, tuple, np.ndarray)) else None)
     if "det_index" not in out.columns:
         out["det_index"] = out.groupby("image_path", sort=False).cumcount()
-    out["prediction_score"] = pd.to_numeric(out["prediction_score"], errors="coerce")
+    if "prediction_score" not in out.columns:
+        out["prediction_score"] = None
+    # the score stays text: what is malformed, missing or NaN is decided with the other rows
+    out["prediction_score"] = out["prediction_score"].map(_score_text)
     out["error"] = None
-    return out[["image_path", "det_index", "prediction", "prediction_score", *_OPTIONAL, "error"]]
+    return out[list(_COLUMNS)]
+
+
+def _score_text(value) -> str | None:
+    if value is None or isinstance(value, str):
+        return value
+    return repr(float(value)).replace("nan", "NaN").replace("inf", "Infinity") if isinstance(value, (float, int, np.number)) else str(value)
+
+
+def _errors(pdf: pd.DataFrame, error: str) -> pd.DataFrame:
+    return pd.DataFrame({"image_path": pdf["image_path"], "det_index": -1, "prediction_score": None,
+                         **{c: None for c in _OPTIONAL}, "error": error})[list(_COLUMNS)]
 
 
 def score_images(images: DataFrame, factory: ScorerFactory, options: ScoringOptions | None = None,
@@ -71,24 +92,31 @@ def score_images(images: DataFrame, factory: ScorerFactory, options: ScoringOpti
 
     Only ``path_col`` and ``input_cols`` travel to Python.  Each Arrow batch
     is cut into chunks of ``options.chunk_size`` images; a chunk is the unit
-    of scoring and of failure.  No session setting is changed.
+    of scoring and of failure.  After ``options.consecutive_error_limit`` failed
+    chunks in a row a task scores no more: the rest of its images get rows with
+    a breaker error, so a broken model is not asked for the whole archive.  No
+    session setting is changed.
     """
     options = options or ScoringOptions()
     cols = [path_col, *input_cols]
     size = max(1, int(options.chunk_size))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = factory(options)  # once per task: the model loads once per worker task
+        score, failed = factory(options), 0  # once per task: the model loads once per worker task
         for batch in batches:
             batch = batch.rename(columns={path_col: "image_path"})
             for start in range(0, len(batch), size):
                 pdf = batch.iloc[start:start + size].reset_index(drop=True)
+                if failed >= options.consecutive_error_limit:
+                    yield _errors(pdf, f"{BREAKER}: {failed} failed chunks in a row")
+                    continue
                 try:
-                    yield _shape(score(pdf))
+                    out = _shape(score(pdf))
+                    failed = 0
                 except Exception as e:  # noqa: BLE001 - a failed chunk becomes error rows (Q13)
-                    yield pd.DataFrame({"image_path": pdf["image_path"], "det_index": -1, "prediction": None,
-                                        "prediction_score": np.nan, **{c: None for c in _OPTIONAL},
-                                        "error": f"{type(e).__name__}: {e}"})
+                    out = _errors(pdf, f"{type(e).__name__}: {e}")
+                    failed += 1
+                yield out
 
     return images.select(*cols).mapInPandas(run, PREDICTION_SCHEMA)
 

@@ -933,7 +933,7 @@ def q_score_batch(spark, sf_dir):
     imgs = emb.select(F.concat(F.lit("/emb/"), F.col("vec_id").cast("string"), F.lit(".jpg")).alias("image_path"),
                       "embedding", "label")
     preds = score_images(imgs, embedding_argmax_factory, input_cols=("embedding", "label"))
-    return preds.select("image_path", "det_index", "prediction", "prediction_score")
+    return preds.select("image_path", "det_index", "prediction", F.col("prediction_score").cast("double").alias("prediction_score"))
 
 
 SQL_SCORE_BATCH = """

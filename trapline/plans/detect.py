@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from trapline.operators import detections as det
 from trapline.operators.incremental import pending_images
-from trapline.operators.scoring import ScorerFactory, ScoringOptions, score_images
+from trapline.functions.paths import normal_path
+from trapline.operators.scoring import BREAKER, ScorerFactory, ScoringOptions, score_images
 from trapline.sinks.tables import append_detections
+from trapline.sources.predictions import best_box
 
 
 def shape_predictions(predictions: DataFrame, names: DataFrame, threshold: float,
@@ -24,17 +26,18 @@ def shape_predictions(predictions: DataFrame, names: DataFrame, threshold: float
     with it, every row stays and ``keep_col`` marks the kept ones.
     """
     if keep_col:
-        usable = F.col("error").isNull() & F.col("prediction").isNotNull()
+        usable = F.col("error").isNull()  # every row without an error is a prediction, blank if it says nothing
         shaped = det.parse_predictions(predictions, names, threshold=threshold, class_col="class",
                                        class_name_col="class_name", genus_col="genus", species_col="species",
                                        common_col="common_name", keep_col=keep_col)
         shaped = shaped.withColumn(keep_col, F.col(keep_col) & usable)
     else:
-        ok = predictions.filter(F.col("error").isNull() & F.col("prediction").isNotNull())
+        ok = predictions.filter(F.col("error").isNull())
         shaped = det.parse_predictions(ok, names, threshold=threshold, class_col="class",
                                        class_name_col="class_name", genus_col="genus", species_col="species",
                                        common_col="common_name")
-    return shaped.withColumn("source", F.coalesce(F.col("prediction_source"), F.lit("classifier")))
+    shaped = shaped.withColumn("source", F.coalesce(F.col("prediction_source"), F.lit("classifier")))
+    return shaped.withColumn("bbox", best_box(F.col("detections"))) if "detections" in shaped.columns else shaped
 
 
 def image_rows(images: DataFrame, predictions: DataFrame, names: DataFrame, threshold: float,
@@ -47,8 +50,12 @@ def image_rows(images: DataFrame, predictions: DataFrame, names: DataFrame, thre
     out (not marked done, Q13); ``keep_failed`` keeps them with ``_failed`` set
     (for callers that count them in the same pass).
     """
+    # both sides name a file the same way
+    images = images.withColumn("image_path", normal_path("image_path"))
+    predictions = predictions.withColumn("image_path", normal_path("image_path"))
     shaped = shape_predictions(predictions, names, threshold, keep_col="_kept")
-    best = det.best_per_image(shaped, fields=(*det.DETECTION_FIELDS, "source"), count_col="n_detections",
+    extra = [c for c in ("source", "bbox") if c in shaped.columns]
+    best = det.best_per_image(shaped, fields=(*det.DETECTION_FIELDS, *extra), count_col="n_detections",
                               keep_col="_kept",
                               extra_aggs=(F.max(F.col("error").isNotNull()).alias("_failed"),))
     rows = det.detections_table(images, best.drop("det_index")).withColumn(
@@ -65,6 +72,7 @@ class DetectionRun:
     rows: DataFrame          # image grain, ready for the table
     pending: DataFrame       # images to score after the resume filter
     observation: Observation | None = None  # listed / pending counts, filled by the write
+    breaker: Observation | None = None  # images left alone by the breaker, filled by the write
 
 
 def detect_images(listing: DataFrame, factory: ScorerFactory, names: DataFrame,
@@ -72,17 +80,19 @@ def detect_images(listing: DataFrame, factory: ScorerFactory, names: DataFrame,
                   capture_dates: DataFrame | None = None, read_exif: bool = True) -> DetectionRun:
     """Lazy plan for a folder listing (``path, modificationTime``) -> table rows.
 
-    The capture date is stored once per image (P18): EXIF tags read from the
-    head of each pending file, else the file time.  ``capture_dates`` overrides
+    The capture date is stored once per image (P18): EXIF tags read from
+    each pending file, else the file time.  ``capture_dates`` overrides
     it; ``read_exif=False`` uses the file time only.
     """
     options = options or ScoringOptions()
-    images = listing.select(F.col("path").alias("image_path"), "modificationTime")
+    images = listing.select(normal_path("path").alias("image_path"), "modificationTime")
     pending = pending_images(images, done)
     obs = Observation()
     # counts ride along with the scoring job instead of separate count jobs
     pending = pending.observe(obs, F.count(F.lit(1)).alias("pending_images"))
-    preds = score_images(pending, factory, options)
+    broken = Observation()
+    preds = score_images(pending, factory, options).observe(
+        broken, F.count_if(F.col("error").startswith(BREAKER)).alias("not_scored"))
     rows = image_rows(pending, preds, names, options.confidence_threshold)
     if capture_dates is None and read_exif:
         from trapline.sources.exif import capture_dates_for
@@ -95,14 +105,15 @@ def detect_images(listing: DataFrame, factory: ScorerFactory, names: DataFrame,
     else:
         rows = rows.withColumn("image_date", F.date_format("modificationTime", "yyyy-MM-dd"))
     rows = rows.withColumn("image_date", F.coalesce(F.col("image_date"), F.lit("")))
-    return DetectionRun(rows=rows, pending=pending, observation=obs)
+    return DetectionRun(rows=rows, pending=pending, observation=obs, breaker=broken)
 
 
 def run_detection(run: DetectionRun, table_path: str, total_images: int | None = None) -> dict:
     """Execute the plan once: append the rows (K1) and return the run summary (A2).
 
     ``successful`` counts images with any detection above the threshold,
-    blanks included (Q3); ``failed`` the others (Q4).  With ``total_images``
+    blanks included (Q3); ``failed`` the others (Q4).  ``stopped`` is true when
+    the breaker left images unscored (a resume takes them up again).  With ``total_images``
     (the listing size) ``skipped`` is the number filtered out by the resume.
     """
     obs = Observation()
@@ -112,7 +123,7 @@ def run_detection(run: DetectionRun, table_path: str, total_images: int | None =
     m = _observed(obs)
     pending = _observed(run.observation).get("pending_images", 0) if run.observation is not None else None
     out = {"total_processed": int(m.get("total_processed", 0)), "successful": int(m.get("successful", 0)),
-           "stopped": False, "csv_path": None, "table_path": table_path}
+           "stopped": bool(_observed(run.breaker).get("not_scored", 0)) if run.breaker is not None else False, "csv_path": None, "table_path": table_path}
     out["failed"] = out["total_processed"] - out["successful"]
     out["skipped"] = (total_images - pending) if (total_images is not None and pending is not None) else None
     return out

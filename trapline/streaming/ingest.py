@@ -19,11 +19,14 @@ import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.constants import DEFAULT_CHUNK_SIZE, DEFAULT_CONSECUTIVE_ERROR_LIMIT
+from trapline.constants import DEFAULT_CONSECUTIVE_ERROR_LIMIT
+from trapline.session import materialize
 from trapline.sinks.tables import write_batch
+from trapline.sources.images import list_images
 
 
 class BreakerTripped(RuntimeError):
@@ -99,13 +102,26 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema, shape: Callable[
             "consecutive_failed": control.consecutive_failed}
 
 
-def image_stream_schema():
-    """Schema of a ``binaryFile`` stream without content (paths only)."""
-    from trapline.sources.images import LISTING_SCHEMA
-    return LISTING_SCHEMA
+def queue_new_images(spark: SparkSession, root: str, queue: str, failed: str, files_per_trigger: int) -> None:
+    """Appends the images of ``root`` that were never queued, and those whose last attempt failed, to the queue.
 
-
-DEFAULT_FILES_PER_TRIGGER = DEFAULT_CHUNK_SIZE
+    The queue is a Parquet table of paths, ``files_per_trigger`` rows a file, in
+    path order: what a micro-batch of the image stream reads.
+    """
+    listing = list_images(spark, root).select("path", "modificationTime")
+    try:
+        queued = spark.read.parquet(queue).groupBy("path").agg(F.count(F.lit(1)).alias("tries"))
+    except AnalysisException:  # the first run
+        queued = spark.createDataFrame([], "path string, tries long")
+    try:
+        fails = spark.read.parquet(failed).groupBy("path").agg(F.count(F.lit(1)).alias("fails"))
+    except AnalysisException:
+        fails = spark.createDataFrame([], "path string, fails long")
+    new = (listing.join(queued, "path", "left").join(fails, "path", "left")
+           .where("tries IS NULL OR tries <= fails").select("path", "modificationTime"))
+    new = materialize(new)  # decided before the queue grows
+    if not new.isEmpty():
+        new.orderBy("path").write.mode("append").option("maxRecordsPerFile", files_per_trigger).parquet(queue)
 
 
 def ingest_images(spark: SparkSession, root: str, factory, names: DataFrame, table_path: str, checkpoint: str,
@@ -114,32 +130,39 @@ def ingest_images(spark: SparkSession, root: str, factory, names: DataFrame, tab
                   files_per_trigger: int | None = None) -> dict:
     """New image files under ``root`` -> scorer -> detections table, chunk by chunk.
 
-    The stream lists files only (``content`` is not selected, so the file
-    source does not read image bytes; the scorer opens files itself).  A
-    micro-batch is ``files_per_trigger`` files (default: one model chunk,
+    Each run walks the folders and queues what is new (see
+    :func:`queue_new_images`); the stream reads the queue, so every regular file
+    is seen whatever its name, and the scorer opens the files itself.  A
+    micro-batch is at most ``files_per_trigger`` files (default: one model chunk,
     ``options.chunk_size``, so the breaker counts chunks as a sequential run
     would); larger triggers write fewer, larger files, and the scorer still
-    works in chunks of ``options.chunk_size`` inside each task.  Images of a failed chunk are not
-    written (so a batch resume with :func:`~trapline.operators.incremental.pending_images`
-    retries them), and ``limit`` failed chunks in a row stop the stream.
+    works in chunks of ``options.chunk_size`` inside each task.  The capture date
+    is read from each file as in the batch job.  Images of a failed chunk go to
+    a table beside the checkpoint and are queued again by the next run; ``limit``
+    failed chunks in a row stop the stream.
     """
     from pyspark.sql import Observation
 
     from trapline.operators.scoring import ScoringOptions, score_images
     from trapline.plans.detect import _observed, image_rows
-    from trapline.sources.images import LISTING_SCHEMA, extension_glob, strip_scheme
+    from trapline.sources.exif import capture_dates
 
     options = options or ScoringOptions()
     control = control or IngestControl()
 
+    size = files_per_trigger or options.chunk_size
+    queue, failed_path = f"{checkpoint.rstrip('/')}-queue", f"{checkpoint.rstrip('/')}-failed"
+    queue_new_images(spark, root, queue, failed_path, size)
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         if control.stop_requested:
             raise StopRequested()
-        images = batch.select(strip_scheme(F.col("path")).alias("image_path"), "modificationTime")
+        images = batch.select(F.col("path").alias("image_path"), "modificationTime")
         preds = score_images(images, factory, options)
         # one pass over the scorer output: the breaker's counts ride along with the write
-        rows = image_rows(images, preds, names, options.confidence_threshold, keep_failed=True).withColumn(
-            "image_date", F.date_format("modificationTime", "yyyy-MM-dd"))
+        rows = image_rows(images, preds, names, options.confidence_threshold, keep_failed=True)
+        rows = (rows.join(capture_dates(batch).withColumnRenamed("capture_date", "_taken"), "image_path", "left")
+                .withColumn("image_date", F.coalesce("_taken", F.date_format("modificationTime", "yyyy-MM-dd"), F.lit(""))).drop("_taken"))
         obs = Observation()
         rows = rows.observe(obs, F.count(F.lit(1)).alias("n"), F.count_if(F.col("_failed")).alias("bad"))
         write_batch(rows.filter(~F.col("_failed")).drop("_failed"), table_path, batch_id)
@@ -152,12 +175,14 @@ def ingest_images(spark: SparkSession, root: str, factory, names: DataFrame, tab
         if on_progress is not None:
             on_progress(dict(info, batches_done=len(control.batches)))
         if control.consecutive_failed >= control.limit:
-            raise BreakerTripped(f"{control.limit} consecutive failed chunks")
-
-    stream = (spark.readStream.format("binaryFile").schema(_BINARY_SCHEMA)
-              .option("recursiveFileLookup", "true").option("pathGlobFilter", extension_glob())
-              .option("maxFilesPerTrigger", files_per_trigger or options.chunk_size).load(root)
-              .select("path", "modificationTime"))
+            raise BreakerTripped(f"{control.limit} consecutive failed chunks")  # the next run replays this chunk
+        # what is not in the table now failed: known without a second run of the model
+        written = spark.read.parquet(f"{table_path.rstrip('/')}/batch_id={batch_id}")
+        (images.join(written, "image_path", "left_anti").select(F.col("image_path").alias("path"))
+         .write.mode("overwrite").parquet(f"{failed_path}/batch_id={batch_id}"))
+
+    stream = (spark.readStream.format("parquet").schema("path string, modificationTime timestamp")
+              .option("maxFilesPerTrigger", 1).load(queue))
     q = (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     stopped, reason = False, None
@@ -171,6 +196,3 @@ def ingest_images(spark: SparkSession, root: str, factory, names: DataFrame, tab
             raise
     return {"batches": len(control.batches), "stopped": stopped, "reason": reason,
             "images": sum(b.get("images", 0) for b in control.batches)}
-
-
-_BINARY_SCHEMA = ("path string, modificationTime timestamp, length long, content binary")
