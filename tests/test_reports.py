@@ -106,6 +106,15 @@ def test_result_metadata_and_pages(spark):
         rep.TOPK_PAGE_DEPTH = old
     assert [r.seen_order for r in deep] == list(range(100, 200))
     assert [r.row_no for r in deep] == list(range(101, 201))
+    # rows of equal order: the same pages on both sides of the limit, however the table is split
+    same = t.withColumn("seen_order", F.floor(F.col("seen_order") / 60).cast("long"))
+    shallow = [r.image_path for r in rep.result_page(same, 1).orderBy("row_no").collect()]
+    rep.TOPK_PAGE_DEPTH = 0
+    try:
+        deep = [r.image_path for r in rep.result_page(same.repartition(5), 1).orderBy("row_no").collect()]
+    finally:
+        rep.TOPK_PAGE_DEPTH = old
+    assert shallow == deep
 
 
 def test_pivot_label_rule_for_blank_species(spark, seed_names):

@@ -42,9 +42,40 @@ def test_species_list_and_summary_files(spark, seed_names, tmp_path):
                               "image_path string, species string, category string, confidence double, "
                               "seen_order long")
     out2 = str(tmp_path / "summary")
-    write_summary_report(rep.summary_report(t, seed_names), out2)
-    text = "\n".join(read_csv_text(out2))
-    assert "成功率 (%),,100.0" in text and "S,1,100.0" in text
+    write_summary_report(rep.summary_report(t, seed_names), out2, source="x.csv", generated="2024-01-02 03:04:05", seconds=2.0, images=1)
+    data = b"".join(open(f, "rb").read() for f in glob.glob(f"{out2}/part-*"))
+    assert data.decode("utf-8").split("\r\n") == [
+        "\ufeffWildlife Detection Summary Report", "Generated:,2024-01-02 03:04:05", "Source CSV:,x.csv", "",
+        "基本統計", "項目,値", "総画像数,1", "検出成功画像数,1", "検出失敗画像数,0", "総検出数,1", "成功率 (%),100.0",
+        "処理時間 (秒),2.0", "処理速度 (画像/秒),0.50", "",
+        "検出種別統計", "種名,検出回数,割合 (%)", "S,1,100.0", "",
+        "カテゴリ別統計", "カテゴリ,検出回数,割合 (%)", "哺乳類,1,100.0", "",
+        "信頼度統計", "信頼度範囲,検出数", "0.9-1.0 (非常に高い),1", "0.7-0.9 (高い),0", "0.5-0.7 (中程度),0", "0.3-0.5 (低い),0",
+        "0.0-0.3 (非常に低い),0", ""]
+
+
+def test_numbers_are_rounded_as_in_python(spark):
+    from trapline.sinks.csv_excel import fmt
+
+    values = [0.15, 0.25, 0.35, 2.675, 0.00005, 0.12345, 0.5, 99.95, 100.0, 0.0, -0.25, 1234567.125, 1 / 3, 0.99995]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for d in (1, 2, 4):
+        assert [r[0] for r in df.select(fmt("v", d)).collect()] == [f"{v:.{d}f}" for v in values]
+
+
+def test_pivot_counts_every_date(spark, tmp_path):
+    """Dates outside the list share the last column; label totals, row sums and the grand total agree."""
+    from trapline.sinks.csv_excel import write_pivot_long
+
+    rows = [("2024-01-01", "a", 5), ("2025-06-07", "a", 2), ("2025-06-07", "b", 3)]
+    counts = spark.createDataFrame([(d, x, n, 0) for d, x, n in rows], "image_date string, label string, n_images long, grouping_id int")
+    for dates in (["2024-01-01"], None, []):
+        got = rep.daily_label_pivot(counts, dates).collect()
+        by = {r["label"]: r for r in got}
+        assert by["a"]["total"] == 7 and by["b"]["total"] == 3 and got[0]["total"] == got[-1]["total"] == 10
+        assert all(sum(r[c] for c in r.asDict() if c not in ("row_order", "block", "label", "total")) == r["total"] for r in got)
+    write_pivot_long(counts, str(tmp_path / "long"))
+    assert sum(len(open(f, encoding="utf-8-sig").readlines()) - 1 for f in glob.glob(str(tmp_path / "long" / "part-*.csv"))) == 3
 
 
 def test_manifest_long_form(spark, tmp_path):

@@ -66,6 +66,13 @@ CONFIDENCE_BANDS = (
 )
 
 # Summary report captions.
+SUMMARY_TITLE = "Wildlife Detection Summary Report"
+SUMMARY_SECONDS = "処理時間 (秒)"
+SUMMARY_RATE = "処理速度 (画像/秒)"
+SUMMARY_BASIC_HEADER = ("項目", "値")
+SUMMARY_SPECIES_HEADER = ("種名", "検出回数", "割合 (%)")
+SUMMARY_CATEGORY_HEADER = ("カテゴリ", "検出回数", "割合 (%)")
+SUMMARY_CONFIDENCE_HEADER = ("信頼度範囲", "検出数")
 SUMMARY_BASIC_SECTION = "基本統計"
 SUMMARY_TOTAL_IMAGES = "総画像数"
 SUMMARY_DETECTED_IMAGES = "検出成功画像数"

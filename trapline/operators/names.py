@@ -2,17 +2,17 @@
 
 The name dictionary is a long DataFrame ``(kind, name_key, name_value)`` with
 ``kind`` in ``species | genus | category``.  Lookups are left joins against the
-per-kind slice, broadcast behind a row-count check.
+per-kind slice.
 """
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trapline.constants import SEED_NAMES
 from trapline.functions.text import col_, empty_if_null, first_token, ustrip
-from trapline.operators.broadcast import checked_broadcast
 
 NAMES_SCHEMA = T.StructType([
     T.StructField("kind", T.StringType(), False),
@@ -26,40 +26,20 @@ def names_frame(spark: SparkSession, data: dict | None = None) -> DataFrame:
     data = SEED_NAMES if data is None else data
     rows = [(kind, k, v) for kind in ("species", "genus", "category")
             for k, v in (data.get(kind) or {}).items()]
-    return spark.createDataFrame(rows, NAMES_SCHEMA)
-
-
-# A dictionary slice up to this many rows is deduplicated on the driver and
-# broadcast as a local relation (no shuffle); larger ones are deduplicated by
-# an aggregate and joined without a broadcast hint (AQE may still convert).
-MAX_LOCAL_DIM_ROWS = 200_000
-# (id(frame), kind) -> (frame, rows): a dictionary frame is read once per frame object
-# (the frame is held so its id cannot be reused)
-_DIM_CACHE: dict[tuple[int, str], tuple[DataFrame, list[tuple[str, str]]]] = {}
+    columns = {f.name: pa.array([r[i] for r in rows], pa.string()) for i, f in enumerate(NAMES_SCHEMA.fields)}
+    return spark.createDataFrame(pa.table(columns), NAMES_SCHEMA)  # a local relation: Spark knows its bytes
 
 
 def _dimension(names: DataFrame, kind: str, prefix: str) -> DataFrame:
-    """One value per key of one kind (``max`` makes a duplicated key deterministic)."""
-    spark = names.sparkSession
-    schema = f"{prefix}_key string, {prefix}_value string"
-    cache_key = (id(names), kind)
-    hit = _DIM_CACHE.get(cache_key)
-    rows = hit[1] if hit is not None and hit[0] is names else None
-    if rows is None:
-        got = (names.filter(F.col("kind") == kind).select("name_key", "name_value")
-               .limit(MAX_LOCAL_DIM_ROWS + 1).collect())
-        if len(got) <= MAX_LOCAL_DIM_ROWS:
-            best: dict[str, str] = {}
-            for k, v in got:
-                if k is not None and (k not in best or (v or "") > best[k]):
-                    best[k] = v or ""
-            rows = sorted(best.items())
-            _DIM_CACHE[cache_key] = (names, rows)
-    if rows is not None:
-        return checked_broadcast(spark.createDataFrame(rows, schema), known_rows=len(rows))
-    dim = (names.filter(F.col("kind") == kind)
-           .groupBy("name_key").agg(F.max("name_value").alias("name_value")))
-    return dim.toDF(f"{prefix}_key", f"{prefix}_value")
+    """One value per key of one kind: the largest, a missing one as ``''``.
+
+    One plan whatever the dictionary's size: an aggregate in Spark, without a
+    broadcast hint.  Spark broadcasts the result if its bytes are below its own
+    threshold (AQE measures them), else the lookup is a shuffle join.
+    """
+    return (names.filter((F.col("kind") == kind) & F.col("name_key").isNotNull())
+            .groupBy("name_key").agg(F.max(F.coalesce("name_value", F.lit(""))).alias("name_value"))
+            .toDF(f"{prefix}_key", f"{prefix}_value"))
 
 
 def vernacular_key(scientific_name) -> tuple[Column, Column]:

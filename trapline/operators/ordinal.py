@@ -23,18 +23,19 @@ DEFAULT_BUCKET_ROWS = 1 << 20
 
 
 def with_ordinal(df: DataFrame, group_cols: list[str], order_col: str, out_col: str = "ordinal",
-                 bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+                 bucket_rows: int = DEFAULT_BUCKET_ROWS, ties: tuple[str, ...] = ()) -> DataFrame:
     """1-based position of each row inside its group, ordered by numeric ``order_col``.
 
-    ``order_col`` must be unique inside a group (ties would be numbered
-    arbitrarily, as with ``row_number``).  Buckets follow the order key, so a
+    ``order_col`` must be unique inside a group, or the columns ``ties`` tell
+    its equal rows apart (else they are numbered arbitrarily, as with
+    ``row_number``).  Buckets follow the order key, so a
     bucket holds at most ``bucket_rows`` distinct order values of one group.
     """
     bucket = "_ord_bucket"
     sliced = df.withColumn(bucket, F.floor(F.col(order_col) / F.lit(bucket_rows)).cast("long"))
     slice_cols = [*group_cols, bucket]
     local = sliced.withColumn(
-        "_ord_local", F.row_number().over(Window.partitionBy(*slice_cols).orderBy(order_col)))
+        "_ord_local", F.row_number().over(Window.partitionBy(*slice_cols).orderBy(order_col, *ties)))
     # slice sizes from the numbered rows themselves: same exchange, so the input
     # is computed once, and the aggregate needs no new shuffle
     counts = local.groupBy(*slice_cols).agg(F.max("_ord_local").alias("_ord_n"))

@@ -35,7 +35,10 @@ from trapline.operators.names import with_category_label, with_resolved_vernacul
 from trapline.operators.ordinal import with_ordinal
 from trapline.session import materialize
 
+# widest pivot made of the data's own dates; later dates share the last column, and
+# the long form (date, label, count) of sinks.csv_excel has no limit
 MAX_PIVOT_DATES = 10_000
+PIVOT_OTHER_DATES = "other-dates"
 
 
 def _detected(df: DataFrame):
@@ -217,43 +220,51 @@ def species_list(dets: DataFrame, names: DataFrame, order_cols=("seen_order", "d
 # ---------------------------------------------------------------------------
 
 def pivot_dates(counts: DataFrame, date_col: str = "image_date") -> list[str]:
-    """L3: distinct dates ascending, ``unknown-date`` last (bounded, checked)."""
-    dates = (counts.select(date_col).where(F.col(date_col).isNotNull()).distinct()
-             .limit(MAX_PIVOT_DATES + 1).collect())
-    if len(dates) > MAX_PIVOT_DATES:
-        raise ValueError(f"more than {MAX_PIVOT_DATES} dates; pass an explicit date list")
-    return sorted((r[0] for r in dates), key=lambda d: (d == UNKNOWN_DATE, d))
+    """L3: the first distinct dates in ascending order, ``unknown-date`` last, at most :data:`MAX_PIVOT_DATES`."""
+    known = counts.select(date_col).where(F.col(date_col).isNotNull()).distinct()
+    dates = [r[0] for r in known.where(F.col(date_col) != UNKNOWN_DATE).orderBy(date_col).limit(MAX_PIVOT_DATES).collect()]
+    return dates + [UNKNOWN_DATE] * (not known.where(F.col(date_col) == UNKNOWN_DATE).isEmpty())
 
 
-def daily_label_pivot(counts: DataFrame, dates: list[str] | None = None) -> DataFrame:
+def daily_label_pivot(counts: DataFrame, dates: list[str] | None = None, other: str | None = None) -> DataFrame:
     """A8/L4 from :func:`trapline.operators.labels.daily_label_counts` output.
 
     Rows: image totals, the no-detection label, labels by (-total, label),
     then totals again; ``row_order`` numbers them.  One column per date,
     zero-filled.  The input is already aggregated (dates x labels), so the
     pivot runs on a small frame.
+
+    ``dates`` are taken from the data unless given.  Every other date is counted
+    in a last column ``other`` (there if it is named, or if a date falls into it),
+    so label totals, row sums and the grand total always agree.
     """
-    counts = materialize(counts)  # small (dates x labels), read four times below
+    counts = materialize(counts)  # small (dates x labels), read several times below
     dates = pivot_dates(counts) if dates is None else list(dates)
     cells = counts.filter(F.col("grouping_id") == 0)
-    label_totals = counts.filter(F.col("grouping_id") == 2).select("label", F.col("n_images").alias("total"))
-    date_totals = counts.filter(F.col("grouping_id") == 1)
-    wide = (cells.groupBy("label").pivot("image_date", dates).agg(F.sum("n_images"))
-            .join(label_totals, "label", "left"))
+    if dates:
+        cells = cells.withColumn("image_date", F.when(F.col("image_date").isin(dates), F.col("image_date")))
+    else:
+        cells = cells.withColumn("image_date", F.lit(None).cast("string"))
+    if other is None and not cells.filter(F.col("image_date").isNull()).isEmpty():
+        other = PIVOT_OTHER_DATES
+    columns = dates + [other] * (other is not None)
+    if other is not None:
+        cells = cells.withColumn("image_date", F.coalesce("image_date", F.lit(other)))
+    wide = cells.groupBy("label").pivot("image_date", columns).agg(F.sum("n_images"))
+    total = lambda c: sum((F.coalesce(F.col(f"`{d}`"), F.lit(0)) for d in c), F.lit(0)).cast("long")
     block = F.when(F.col("label") == PIVOT_NO_DETECTION_LABEL, F.lit(1)).otherwise(F.lit(2))
-    labels = wide.withColumn("block", block)
-    totals = date_totals.groupBy().pivot("image_date", dates).agg(F.sum("n_images"))
-    totals = totals.withColumn("total", sum((F.coalesce(F.col(f"`{d}`"), F.lit(0)) for d in dates),
-                                            F.lit(0)))
-    first = totals.withColumn("label", F.lit(PIVOT_TOTAL_IMAGES_LABEL)).withColumn("block", F.lit(0))
-    last = totals.withColumn("label", F.lit(PIVOT_TOTAL_LABEL)).withColumn("block", F.lit(3))
-    rows = labels.unionByName(first).unionByName(last)
-    for d in dates:
-        rows = rows.withColumn(d, F.coalesce(F.col(f"`{d}`"), F.lit(0)).cast("long"))
-    rows = rows.withColumn("total", F.coalesce(F.col("total"), F.lit(0)).cast("long"))
+    labels = wide.select("label", block.alias("block"), total(columns).alias("total"),
+                         *[F.coalesce(F.col(f"`{d}`"), F.lit(0)).cast("long").alias(d) for d in columns])
+    sums = [F.coalesce(F.sum(F.col(f"`{d}`")), F.lit(0)).cast("long").alias(d) for d in columns]
+    # one pass over the label rows gives both total rows
+    totals = labels.agg(F.coalesce(F.sum("total"), F.lit(0)).cast("long").alias("total"), *sums)
+    ends = totals.select(F.explode(F.array(F.struct(F.lit(PIVOT_TOTAL_IMAGES_LABEL).alias("label"), F.lit(0).alias("block")),
+                                           F.struct(F.lit(PIVOT_TOTAL_LABEL).alias("label"), F.lit(3).alias("block")))).alias("r"),
+                         "total", *[F.col(f"`{d}`") for d in columns]).select("r.label", "r.block", "total", *[F.col(f"`{d}`") for d in columns])
+    rows = labels.unionByName(ends)
     order = Window.orderBy("block", F.desc("total"), "label")
     return rows.withColumn("row_order", F.row_number().over(order).cast("int")).select(
-        "row_order", "block", "label", "total", *[F.col(f"`{d}`") for d in dates])
+        "row_order", "block", "label", "total", *[F.col(f"`{d}`") for d in columns])
 
 
 # ---------------------------------------------------------------------------
@@ -275,21 +286,25 @@ def result_metadata(table: DataFrame, page_size: int = RESULTS_PER_PAGE, approx_
             .withColumn("page_count", F.greatest(F.lit(1), F.ceil(F.col("total_rows") / page_size)).cast("long")))
 
 
-# pages up to this depth use a top-k (offset + limit); deeper ones an exact ordinal
+# pages up to this depth use a top-n (which gathers that many rows); deeper ones a distributed
+# ordinal.  Both follow the same order, ties included, so the rows are the same on either side.
 TOPK_PAGE_DEPTH = 100_000
 
 
 def result_page(table: DataFrame, page: int, order_col: str = "seen_order",
                 page_size: int = RESULTS_PER_PAGE) -> DataFrame:
-    """Rows ``page*size+1 .. (page+1)*size`` in table order; empty species shown as a marker."""
+    """Rows ``page*size+1 .. (page+1)*size`` in table order; empty species shown as a marker.
+
+    Rows of equal order are told apart by path, name and species.
+    """
     start = page * page_size
+    ties = [c for c in ("image_path", "image_name", "species") if c in table.columns and c != order_col]
     if start + page_size <= TOPK_PAGE_DEPTH:
-        rows = table.orderBy(order_col).offset(start).limit(page_size)
-        rows = rows.withColumn("row_no", F.lit(None).cast("long"))
-        w = Window.orderBy(order_col)  # over at most page_size rows
+        rows = table.orderBy(order_col, *ties).offset(start).limit(page_size)
+        w = Window.orderBy(order_col, *ties)  # over at most page_size rows
         rows = rows.withColumn("row_no", (F.row_number().over(w) + F.lit(start)).cast("long"))
     else:
-        ranked = with_ordinal(table, [], order_col, "row_no")
+        ranked = with_ordinal(table, [], order_col, "row_no", ties=tuple(ties))
         rows = ranked.filter((F.col("row_no") > start) & (F.col("row_no") <= start + page_size))
     sp = empty_if_null(F.col("species"))
     return rows.withColumn("species_display", F.when(sp != "", sp).otherwise(F.lit(RESULT_PAGE_EMPTY_SPECIES)))

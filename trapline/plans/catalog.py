@@ -602,19 +602,23 @@ from labeled
 group by grouping sets ((report_date, label), (report_date), (label))
 """)
 
-# Pivot columns: an explicit list keeps the schema static (the fixture spans January 2024).
+# Pivot columns: an explicit list keeps the schema static (the fixture spans January 2024);
+# all other dates are counted in the last column, on both sides.
 PIVOT_DATES = [f"2024-01-{d:02d}" for d in range(1, 32)] + ["unknown-date"]
 
 
 def q_daily_label_pivot(spark, sf_dir):
-    return rep.daily_label_pivot(q_daily_label_counts(spark, sf_dir), PIVOT_DATES)
+    return rep.daily_label_pivot(q_daily_label_counts(spark, sf_dir), PIVOT_DATES, other=rep.PIVOT_OTHER_DATES)
 
 
 def _pivot_sql():
     cells = ",\n       ".join(
         f"cast(count(*) filter (where report_date = '{d}') as bigint) as \"{d}\"" for d in PIVOT_DATES)
-    tot_cells = ", ".join(f"\"{d}\"" for d in PIVOT_DATES)
-    tot_sum = " + ".join(f"\"{d}\"" for d in PIVOT_DATES)
+    listed = ", ".join(f"'{d}'" for d in PIVOT_DATES)
+    columns = [*PIVOT_DATES, rep.PIVOT_OTHER_DATES]
+    cells += f",\n       cast(count(*) filter (where report_date not in ({listed})) as bigint) as \"{columns[-1]}\""
+    tot_cells = ", ".join(f"\"{d}\"" for d in columns)
+    tot_sum = " + ".join(f"\"{d}\"" for d in columns)
     return ORACLE_LABELED + f"""
 , lab_rows as (
   select label, case when label = '撮影無し' then 1 else 2 end as block, cast(count(*) as bigint) as total,
@@ -978,7 +982,7 @@ def q_stream_ingest(spark, sf_dir):
     preds = fixture(spark, sf_dir, "predictions").select("image_path", "det_index", "prediction",
                                                          "prediction_score")
     (images(spark, sf_dir).join(preds, "image_path", "left")
-     .repartition(8, "image_path").write.mode("overwrite").parquet(src))
+     .repartition("image_path").write.mode("overwrite").parquet(src))
     schema = spark.read.parquet(src).schema
     ingest_stream(spark, src, schema, _shape_stream_batch(sf_dir), table, ckpt, max_files_per_trigger=4,
                   error_col=None)

@@ -6,15 +6,18 @@ single-row totals and the pivot's date list.
 """
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trapline.constants import SUMMARY_TOTAL_IMAGES
 from trapline.operators import labels as lab
 from trapline.operators import reports as rep
 from trapline.operators import routing as rt
 from trapline.operators.names import names_frame
 from trapline.operators.ordinal import with_path_order
-from trapline.session import scratch_dir
+from trapline.session import materialize, scratch_dir
 from trapline.sinks.csv_excel import write_pivot, write_species_list, write_summary_report
 from trapline.sinks.files import DONE, execute_routing
 from trapline.sinks.manifest import write_manifest
@@ -65,8 +68,10 @@ def summary_report_job(spark: SparkSession, table_path: str, out_path: str,
                        names: DataFrame | None = None) -> DataFrame:
     """§3.4: the multi-section summary (K3)."""
     names = names if names is not None else names_frame(spark)
-    report = rep.summary_report(load_table(spark, table_path), names)
-    write_summary_report(report, out_path)
+    began = time.monotonic()
+    report = materialize(rep.summary_report(load_table(spark, table_path), names))
+    images = report.filter(F.col("item") == SUMMARY_TOTAL_IMAGES).first()["n"]
+    write_summary_report(report, out_path, source=table_path, seconds=time.monotonic() - began, images=images)
     return report
 
 

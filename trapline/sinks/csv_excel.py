@@ -7,7 +7,9 @@ its partitions (``single_file=False``).
 """
 from __future__ import annotations
 
-import pandas as pd
+from datetime import datetime
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,18 @@ from trapline.constants import (
     DETAIL_HEADER,
     PIVOT_HEADER_LABEL,
     SPECIES_LIST_HEADER,
+    SUMMARY_BASIC_HEADER,
+    SUMMARY_BASIC_SECTION,
+    SUMMARY_CATEGORY_HEADER,
+    SUMMARY_CATEGORY_SECTION,
+    SUMMARY_CONFIDENCE_HEADER,
+    SUMMARY_CONFIDENCE_SECTION,
+    SUMMARY_RATE,
+    SUMMARY_SECONDS,
+    SUMMARY_SPECIES_HEADER,
+    SUMMARY_SPECIES_SECTION,
+    SUMMARY_SUCCESS_RATE,
+    SUMMARY_TITLE,
 )
 
 
@@ -28,27 +42,20 @@ def write_excel_csv(df: DataFrame, path: str, single_file: bool = True, header:
     out.write.mode("overwrite").option("header", header).option("emptyValue", "").csv(path)
 
 
-_FORMATTERS: dict[int, object] = {}
-
-
 def fmt(c, digits: int) -> F.Column:
     """Fixed-point text with ``digits`` decimals, exactly as Python's ``f"{x:.Nf}"``.
 
-    Python rounds the exact binary value half to even (0.25 -> "0.2",
-    0.15 -> "0.1"), which ``format_string`` does not reproduce on ties.  Used
-    only at the report sinks, whose frames are small aggregates, through an
-    Arrow-batched pandas UDF.
+    ``format_number`` rounds the exact binary value half to even, as Python does;
+    its thousands separators are taken out.  Below one unit of the last digit it
+    does not look at the exact value, so those numbers are compared with the half.
     """
-    udf = _FORMATTERS.get(digits)
-    if udf is None:
-        pattern = "{:.%df}" % digits
-
-        @F.pandas_udf("string")
-        def _fixed(values: pd.Series) -> pd.Series:
-            return values.map(lambda v: None if pd.isna(v) else pattern.format(float(v)))
-
-        udf = _FORMATTERS[digits] = _fixed
-    return udf(F.col(c) if isinstance(c, str) else c)
+    c = (F.col(c) if isinstance(c, str) else c).cast("double")
+    unit, half = Decimal(10) ** -digits, Decimal(5) * Decimal(10) ** -(digits + 1)
+    edge = float(half)  # the nearest double, on one side of the half
+    up = F.abs(c) >= edge if Decimal(edge) > half else F.abs(c) > edge
+    small = F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), F.when(up, F.lit(f"{unit:f}")).otherwise(F.lit(f"{0:.{digits}f}")))
+    return (F.when(F.isnan(c), F.lit("nan")).when(F.abs(c) < float(unit), small)
+            .otherwise(F.replace(F.format_number(c, digits), F.lit(","))))
 
 
 def write_detail_export(wide: DataFrame, path: str) -> None:
@@ -74,11 +81,51 @@ def write_species_list(species: DataFrame, path: str) -> None:
     write_excel_csv(out.toDF(*SPECIES_LIST_HEADER), path)
 
 
-def write_summary_report(report: DataFrame, path: str) -> None:
-    """K3: the tidy summary (section, ord, item, n, pct) with percentages at one decimal."""
-    out = report.orderBy("section", "ord").select(
-        "section", "item", "n", F.when(F.col("pct").isNotNull(), fmt("pct", 1)).alias("pct"))
-    write_excel_csv(out, path)
+_SECTIONS = (SUMMARY_BASIC_SECTION, SUMMARY_SPECIES_SECTION, SUMMARY_CATEGORY_SECTION, SUMMARY_CONFIDENCE_SECTION)
+_HEADERS = {SUMMARY_BASIC_SECTION: SUMMARY_BASIC_HEADER, SUMMARY_SPECIES_SECTION: SUMMARY_SPECIES_HEADER,
+            SUMMARY_CATEGORY_SECTION: SUMMARY_CATEGORY_HEADER, SUMMARY_CONFIDENCE_SECTION: SUMMARY_CONFIDENCE_HEADER}
+
+
+def summary_lines(report: DataFrame, source: str = "", generated: str | None = None, seconds: float = 0.0,
+                  images: int | None = None) -> DataFrame:
+    """K3 as the rows of its file: ``(part, ord, a, b, c)`` with title, source, section headers and blank rows.
+
+    A section without rows is left out, but for the basic and the confidence section.
+    """
+    spark = report.sparkSession
+    part = F.array_position(F.array(*[F.lit(x) for x in _SECTIONS]), F.col("section")).cast("int")
+    pct = fmt("pct", 1)
+    rate = SUMMARY_SUCCESS_RATE
+    basic = F.col("section") == SUMMARY_BASIC_SECTION
+    value = F.when(basic & (F.col("item") == rate), F.coalesce(pct, F.lit("0"))).otherwise(F.col("n").cast("string"))
+    third = F.when(~basic & F.col("pct").isNotNull(), pct)
+    body = report.select(part.alias("part"), F.col("ord").cast("int").alias("ord"), F.col("item").alias("a"), value.alias("b"), third.alias("c"))
+    filled = {r["part"] for r in body.select("part").distinct().collect()} | {1, 4}
+    generated = generated or datetime.now().strftime("%Y-%m-%d %H:%M:%S")
+    lines = [(0, 0, SUMMARY_TITLE, None, None), (0, 1, "Generated:", generated, None), (0, 2, "Source CSV:", source, None)]
+    for i, name in enumerate(_SECTIONS, 1):
+        if i in filled:
+            lines += [(i, -3, None, None, None), (i, -2, name, None, None), (i, -1, *(list(_HEADERS[name]) + [None])[:3])]
+    per_second = images / seconds if images and seconds > 0 else 0.0
+    lines += [(1, 1 << 30, SUMMARY_SECONDS, f"{seconds:.1f}", None), (1, (1 << 30) + 1, SUMMARY_RATE, f"{per_second:.2f}", None)]
+    return body.unionByName(spark.createDataFrame(lines, "part int, ord int, a string, b string, c string"))
+
+
+def write_summary_report(report: DataFrame, path: str, source: str = "", generated: str | None = None,
+                         seconds: float = 0.0, images: int | None = None) -> None:
+    """K3: the summary as one text of lines, sections in their order, percentages at one decimal."""
+    rows = summary_lines(report, source, generated, seconds, images).orderBy("part", "ord")
+    quoted = lambda c: F.when(F.col(c).rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c))
+    line = F.concat_ws(",", *[quoted(c) for c in ("a", "b", "c")])  # skips what a row hasn't
+    first = (F.col("part") == 0) & (F.col("ord") == 0)
+    (rows.select(F.when(first, F.concat(F.lit("\ufeff"), line)).otherwise(line).alias("value"))
+     .coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(path))
+
+
+def write_pivot_long(counts: DataFrame, path: str) -> None:
+    """K6 in long form: (date, label, images), one row a cell, partitions kept: no limit to dates or labels."""
+    cells = counts.filter(F.col("grouping_id") == 0).select("image_date", "label", "n_images")
+    write_excel_csv(cells.orderBy("image_date", "label"), path, single_file=False)
 
 
 def write_pivot(pivot: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trapline.operators.names import MAX_LOCAL_DIM_ROWS, NAMES_SCHEMA
+from trapline.operators.names import NAMES_SCHEMA
 
 _log = logging.getLogger(__name__)
 
@@ -26,12 +26,8 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
         parts = [raw.select(F.lit(kind).alias("kind"), F.explode_outer(kind).alias("name_key", "name_value"))
                  for kind in ("species", "genus", "category")]
         names = parts[0].unionByName(parts[1]).unionByName(parts[2]).filter(F.col("name_key").isNotNull())
-        # validated eagerly (a corrupt file degrades here, not inside a later job);
-        # a dictionary within the local limit becomes a local relation
-        rows = names.limit(MAX_LOCAL_DIM_ROWS + 1).collect()
+        names.agg(F.count("name_value")).collect()  # read once now: a corrupt file degrades here, not inside a later job
     except Exception as e:  # noqa: BLE001
         _log.warning("name dictionary %s unreadable (%s); vernacular names stay empty", path, e)
         return spark.createDataFrame([], NAMES_SCHEMA)
-    if len(rows) > MAX_LOCAL_DIM_ROWS:
-        return names.select("kind", "name_key", F.coalesce("name_value", F.lit("")).alias("name_value"))
-    return spark.createDataFrame([(r.kind, r.name_key, r.name_value or "") for r in rows], NAMES_SCHEMA)
+    return names.select("kind", "name_key", F.coalesce("name_value", F.lit("")).alias("name_value"))
