@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,16 +137,14 @@ def suffix_array(block: bytes, depth: int = LENGTH) -> np.ndarray:
     at = np.searchsorted(differs, np.arange(n))
     rises = np.append(b[1:] > b[:-1], False)
     smaller = np.append(rises[differs], False)[at]
-    direct = np.flatnonzero(smaller).tolist()
-    direct.sort(key=lambda i: block[i:i + depth])
-    ends = np.cumsum(np.bincount(b, minlength=256))
+    direct = np.flatnonzero(smaller)
+    direct = direct[np.argsort(b[direct], kind="stable")]
+    count = np.bincount(b[direct], minlength=256)
+    ends, at = np.cumsum(np.bincount(b, minlength=256)), np.cumsum(count) - count
     out = np.full(n, -1, np.int64)
-    direct = np.array(direct, np.int64)
-    if len(direct):  # the directly sorted fill the end of their buckets
-        of = b[direct]
-        count = np.bincount(of, minlength=256)
-        rank = np.arange(len(of)) - (np.cumsum(count) - count)[of]
-        out[(ends - count)[of] + rank] = direct
+    for c in np.flatnonzero(count):  # the directly sorted fill the end of their buckets
+        mine = sorted(direct[at[c]:at[c] + count[c]].tolist(), key=lambda i: block[i:i + depth])
+        out[ends[c] - count[c]:ends[c]] = mine
     sa, heads, larger = out.tolist(), (ends - np.bincount(b, minlength=256)).tolist(), (~smaller).tolist()
     if n:  # the rest are induced: each larger suffix from its successor, bucket by bucket
         sa[heads[block[-1]]] = n - 1
@@ -165,7 +164,7 @@ def common_prefixes(block: bytes, sa: np.ndarray, depth: int = LENGTH) -> np.nda
     words = np.zeros(n + depth, np.uint64)
     for k in range(8):
         words = (words << np.uint64(8)) | b[k:k + n + depth]
-    out, live = np.zeros(n, np.int64), np.arange(1, n)
+    out, live = np.zeros(len(sa), np.int64), np.arange(1, len(sa))
     for at in range(0, depth, 8):
         x, y = words[sa[live] + at], words[sa[live - 1] + at]
         same = x == y
@@ -182,13 +181,16 @@ def common_prefixes(block: bytes, sa: np.ndarray, depth: int = LENGTH) -> np.nda
 
 def repeated_starts(block: bytes, starts: np.ndarray) -> np.ndarray:
     """Which of the ``starts`` have a 200-byte string that is also at another of them."""
+    wanted = np.zeros(len(block), bool)
+    wanted[starts] = True
     sa = suffix_array(block)
+    sa = sa[wanted[sa]]  # in order; between two of them all share the prefix that both share
     equal = common_prefixes(block, sa) >= LENGTH
-    run = np.cumsum(~equal) - 1  # suffixes in order share a number as long as neighbours are equal
-    of = np.empty(len(sa), np.int64)
-    of[sa] = run
-    of = of[starts]
-    return np.bincount(of, minlength=int(run[-1]) + 1 if len(run) else 0)[of] > 1
+    same = equal.copy()
+    same[:-1] |= equal[1:]
+    out = np.zeros(len(block), bool)
+    out[sa] = same
+    return out[starts]
 
 
 def _runs(tk: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
@@ -220,12 +222,19 @@ def repeated_in_blocks(fetched: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for group in whole_groups(batches, "gram"):
-            held.append(group)
-            size += group.nbytes
-            if size >= BLOCK_BYTES:
-                yield block(held)
-                held, size = [], 0
+        for rows in whole_groups(batches, "gram"):
+            gram = rows.column("gram").to_numpy()
+            after = np.append(np.flatnonzero(gram[1:] != gram[:-1]) + 1, len(gram))
+            total = np.cumsum(pc.binary_length(rows.column("bytes")).to_numpy())
+            first = 0
+            for at in after.tolist():  # whole gram lists, as many as a block takes
+                if size + total[at - 1] - (total[first - 1] if first else 0) >= BLOCK_BYTES or at == len(gram):
+                    held.append(rows.slice(first, at - first))
+                    size += int(total[at - 1] - (total[first - 1] if first else 0))
+                    first = at
+                if size >= BLOCK_BYTES:
+                    yield block(held)
+                    held, size = [], 0
         if held:
             yield block(held)
 
