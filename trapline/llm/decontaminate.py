@@ -16,24 +16,32 @@ Defined cases: a null or empty text has no words and no hits; items without word
 have no windows; items are known by item_id (rows with the same id are one item, a
 null id is named ``null``); rows are told apart by doc_id and text, so null and
 repeated ids do no harm; repeated rows are each reported; empty tables give empty
-results or no hits; other columns are ignored.
+results or no hits; other columns are carried, but for those named n_words or
+matches, which the operator's replace.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm.tables import materialize, small, table
+from trapline.llm.tables import materialize, packed, small, table, unpacked
 
 WINDOW = 10
-# fixed values of the contract; the second pattern takes the same words before lower-casing
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# fixed values of the contract: words are what lies between runs of these, after lower-casing
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+END = "\0"  # stands for a text's end in the index; no word has it
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    text = F.coalesce(text, F.lit(""))
+    # lower() is the faster of two and changes nothing but A-Z where all characters are single bytes
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.array_remove(F.split(low, SEPARATORS), "")
+
+
+def end_term() -> Column:
+    return F.xxhash64(F.lit(END))
 
 
 def row_key() -> Column:
@@ -49,17 +57,22 @@ def read_items(benchmark: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Postings (term, doc, pos) of the items' terms in all texts, in segments sorted by term."""
-    terms = small(materialize(items.select(F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("term")).distinct()), 16)
+    """Postings (term, doc, pos) of the items' terms in all texts, in segments sorted by term.
+
+    A posting of ``END`` gives each text's number of words.
+    """
+    terms = items.select(F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("term"))
+    terms = terms.union(docs.sparkSession.range(1).select(end_term().alias("term")))
+    terms = small(materialize(terms.distinct()), 16)
     # the hash of a word stands for it in the index; phrase matches compare the words themselves
-    hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
-    postings = docs.select(row_key().alias("doc"), F.posexplode(hashed).alias("pos", "term")).join(terms, "term", "left_semi")
-    return materialize(postings.select("term", "doc", "pos").sortWithinPartitions("term", "doc", "pos"))
+    found = F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("pos", "word")
+    postings = docs.select(row_key().alias("doc"), found).select("doc", "pos", F.xxhash64("word").alias("term")).join(terms, "term", "left_semi")
+    return materialize(postings.select("term", "doc", "pos").sortWithinPartitions("term"))
 
 
 def rarest_terms(index: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item, w, k, a_off, a_term, b_off, b_term): each window with its two rarest terms (b null if k is 1)."""
-    tf = materialize(index.groupBy("term").agg(F.count(F.lit(1)).alias("tf")))
+    tf = materialize(index.where(F.col("term") != end_term()).groupBy("term").agg(F.count(F.lit(1)).alias("tf")))
     at = items.select("item", F.posexplode("words").alias("off", "word")).withColumn("term", F.xxhash64("word"))
     found = (at.join(small(tf, 24), "term", "left")
              .groupBy("item").agg(F.array_sort(F.collect_list(F.struct("off", "term", F.coalesce("tf", F.lit(0)).alias("tf")))).alias("at")))
@@ -86,26 +99,33 @@ def diagonals(index: DataFrame, windows: DataFrame) -> DataFrame:
     return both.select("doc", "item", "diag").union(first.join(alone, ["item", "a_off"]).select("doc", "item", "diag")).distinct()
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with n_words and matches: array of (item_id, start, length), every exact occurrence of a window."""
+def matches_of(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc, n_words, matches) for each row key: every exact occurrence of a window as (item_id, start, length)."""
     items = materialize(read_items(benchmark))
     index = build_index(docs, items)
     windows = materialize(rarest_terms(index, items, window))
     found = diagonals(index, windows).join(small(items, 1024), "item")
     k = F.least("n", F.lit(window))
     starts = F.filter(F.sequence(F.lit(0), F.col("n") - k), lambda w: w + F.col("diag") >= 0)
-    found = (found.select("doc", F.struct("item_id", "diag", "words", k.alias("k"), starts.alias("starts")).alias("c"))
-             .groupBy("doc").agg(F.collect_list("c").alias("found")))
-    read = docs.withColumn("doc", row_key()).join(found, "doc", "left").withColumn(
-        "_words", F.when(F.col("found").isNotNull(), words(F.col("text"))))
+    found = materialize(found.select("doc", F.struct("item_id", "diag", "words", k.alias("k"), starts.alias("starts")).alias("c"))
+                        .groupBy("doc").agg(F.collect_list("c").alias("found")))
+    # explode of one array keeps its words from being computed anew wherever they are used
+    # (the join is a sort-merge one at any size: what is found grows with the texts)
+    read = docs.select(row_key().alias("doc"), "text").join(found.hint("merge"), "doc").withColumn("_words", F.explode(F.array(words(F.col("text")))))
     equal = lambda c, w: F.slice("_words", c["diag"] + w + 1, c["k"]) == F.slice(c["words"], w + 1, c["k"])
     matches = F.flatten(F.transform("found", lambda c: F.transform(
         F.filter(c["starts"], lambda w: equal(c, w)),
         lambda w: F.struct(c["item_id"].alias("item_id"), (c["diag"] + w).alias("start"), c["k"].alias("length")))))
-    n_words = F.when(F.col("_words").isNotNull(), F.size("_words")).otherwise(
-        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(RAW_WORD)))
+    exact = read.select("doc", matches.alias("matches")).where(F.size("matches") > 0).dropDuplicates(["doc"])
+    sizes = index.where(F.col("term") == end_term()).groupBy("doc").agg(F.max("pos").cast("long").alias("n_words"))
     none = F.array().cast("array<struct<item_id:string,start:int,length:int>>")
-    return read.select(*docs.columns, n_words.cast("long").alias("n_words"), F.coalesce(matches, none).alias("matches"))
+    return sizes.join(exact, "doc", "left").select("doc", "n_words", F.coalesce("matches", none).alias("matches"))
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with n_words and matches."""
+    return (packed(docs, doc=row_key()).join(matches_of(docs, benchmark, window), "doc")
+            .select(*unpacked(docs.columns, ("n_words", "matches")), "n_words", "matches"))
 
 
 def near(index: DataFrame, items: DataFrame, slop: int = 30, terms: int = 3) -> DataFrame:
@@ -131,7 +151,8 @@ def near(index: DataFrame, items: DataFrame, slop: int = 30, terms: int = 3) ->
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = occurrences(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    found = matches_of(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    got = docs.select("doc_id", row_key().alias("doc")).join(found, "doc")
     hit = F.array_distinct(F.flatten(F.transform("matches", lambda m: F.sequence(m["start"], m["start"] + m["length"] - 1))))
     ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     return got.select("doc_id", "n_words", F.size(hit).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
