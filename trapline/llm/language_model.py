@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.llm.tables import materialize, table
-from trapline.llm.tokens import P, mix, slices, whole_groups
+from trapline.llm.tokens import P, each_group, mix, slices
 
 HELD_OUT = 2           # crc32(doc_id as text) mod 7
 BLOCK_BYTES = 8 << 20  # text of a block
@@ -88,7 +88,7 @@ def asked(blocks: DataFrame, bits: int) -> DataFrame:
     """(range, order, block, keys, counts): what each block asks each range, with its training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, "block"):
+        for rows in each_group(batches, "block"):
             token, pair, text, _ = stream(rows.column("text"))
             learn = rows.column("training").to_numpy().astype(bool)[text]
             block = rows.column("block")[0].as_py()
@@ -112,7 +112,7 @@ def answered(requests: DataFrame, plain: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, "range"):
+        for rows in each_group(batches, "range"):
             blocks = rows.column("block").to_numpy()
             parts = [np.frombuffer(k, np.uint64) for k in rows.column("keys").to_pylist()]
             counts = np.concatenate([np.frombuffer(c, np.uint32) for c in rows.column("counts").to_pylist()]).astype(np.int64)

@@ -172,3 +172,12 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         before = last
     if held:
         yield pa.Table.from_batches(held)
+
+
+def each_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of one key after another, of batches sorted by ``key``."""
+    for rows in whole_groups(batches, key):
+        value = rows.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(value[1:] != value[:-1]) + 1).tolist(), len(value)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield rows.slice(a, b - a)
