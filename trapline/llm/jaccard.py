@@ -13,12 +13,19 @@ depends on n only.  A pair is a candidate if it shares min(m, m') shingles in
 prefixes of that depth.  Three steps keep this linear in the size of a group:
 
 1. postings whose shingle no other set has are dropped, then sets with fewer
-   postings left than any partner would have to share, and so on once more;
+   postings left than any partner would have to share, and so on once more; of the
+   sets left it is counted how many shingles another of them has, which bounds every
+   overlap: sets below t go, and pairs below their t later;
 2. in every remaining posting list all are verified against the list's leader (the
-   set with most of its prefix shared), and found links are contracted;
-3. pairs of different components that still share enough are all verified. Lists
-   meet without their largest component, so a group of near copies, by now one
-   component, is not paired with itself.
+   set with the largest such part), and found links are contracted;
+3. pairs of different components that still share enough are all verified. The sets
+   that just miss their leader would meet all of its large group in all of their
+   lists; they are compared with the group's whole sets instead, in blocks of both,
+   by numpy, and only links between components leave a block. All other pairs come
+   from the lists, which meet without their largest component. Two sets that were
+   both verified against one leader can share no more than the smaller overlap with
+   it and the smaller rest of what they share with anyone; pairs below their t by
+   this bound go unverified.
 
 Verification intersects the whole sets.  Cells are a fixed number of counters:
 they only decide the order, which is right in any form.
@@ -41,7 +48,7 @@ from pyspark.sql import functions as F
 
 from trapline.llm.components import components
 from trapline.llm.tables import materialize, packed, table, unpacked
-from trapline.llm.tokens import P, Slice, mix, shingles, slices
+from trapline.llm.tokens import P, Slice, mix, shingles, slices, whole_groups
 
 SHINGLE = 5
 WORD = r"[^\x20\x09-\x0D]"
@@ -49,6 +56,7 @@ PERCENT = 75
 CELLS = 1 << 22       # counters of the order; one byte each where they are broadcast
 BACKGROUND = 0.05     # share of uncrowded shingles expected to occur elsewhere
 GROWTH = (1, 2, 4, 8)  # depths weighed, as multiples of the smallest
+BLOCK_SETS = 256      # sets of a group, and sets that miss its leader, that are compared at a time
 SALT_ROWS = 1 << 12   # a crowded shingle's postings are dealt out in parts of about this size
 
 
@@ -211,36 +219,169 @@ def peeled(lists: DataFrame) -> DataFrame:
     return kept.join(tokens, "token", "left_semi")
 
 
+def bounded(lists: DataFrame, whole: DataFrame, level: np.ndarray) -> DataFrame:
+    """Postings (token, key, meta, r) of sets that can have a link: r is how many of the set's shingles another set left has.
+
+    Crowded shingles count as another's without a look (r may only be too large).
+    """
+    sure = int(np.log2(SALT_ROWS))
+    shared = whole.sparkSession.sparkContext.broadcast(level > sure)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sets_of = batch.column(0).to_numpy(), [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            for a in range(0, len(keys), 256):  # few sets at a time keep the output small
+                part = sets_of[a:a + 256]
+                value, of = np.concatenate(part), np.repeat(keys[a:a + 256], [len(x) for x in part])
+                known = shared.value[(value & np.uint64(CELLS - 1)).astype(np.int64)]
+                count = np.array([int(k.sum()) for k in np.split(known, np.cumsum([len(x) for x in part])[:-1])], np.int64)
+                yield pa.RecordBatch.from_pydict({"token": np.concatenate((value[~known].view(np.int64), keys[a:a + 256])),
+                                                  "key": np.concatenate((of[~known], keys[a:a + 256])),
+                                                  "n": np.concatenate((np.zeros(int((~known).sum()), np.int64), count))})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, key, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            before = np.array([False])
+            if held is not None:
+                token, key, n = (np.concatenate(x) for x in zip(held[:3], (token, key, n)))
+                before = held[3]
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1]) | (n[1:] > 0)
+            token, key, n = token[new], key[new], n[new]
+            same = np.concatenate((before, (token[1:] == token[:-1]) & (key[1:] != key[:-1])))
+            out = same.copy()
+            out[:-1] |= same[1:]
+            held = (token[-1:], key[-1:], n[-1:], same[-1:])
+            yield _sums(key[:-1], np.where(n[:-1] > 0, n[:-1], out[:-1]))
+        if held is not None:
+            yield _sums(held[1], np.where(held[2] > 0, held[2], held[3]))
+
+    def _sums(key, n):
+        keys, at = np.unique(key, return_inverse=True)
+        return pa.RecordBatch.from_pydict({"key": keys, "r": np.bincount(at, n, len(keys)).astype(np.int64)})
+
+    rows = whole.select("key", "shingles").mapInArrow(spread, "token long, key long, n long")
+    common = (rows.repartition(F.when(F.col("n") > 0, F.col("key")).otherwise(F.col("token"))).sortWithinPartitions("token", "key")
+              .mapInArrow(count, "key long, r long").groupBy("key").agg(F.sum("r").alias("r")))
+    n = F.shiftright("meta", 32)
+    return lists.join(common, "key").where(100 * F.col("r") >= PERCENT * n)
+
+
+def _can_link(x, xr, y, yr):
+    """The sizes fit, and the smaller bound reaches the pair's overlap."""
+    x, y = F.shiftright(x, 32), F.shiftright(y, 32)
+    return ((100 * F.least(x, y) >= PERCENT * F.greatest(x, y))
+            & ((100 + PERCENT) * F.least(xr, yr) >= PERCENT * (x + y)))
+
+
 def leader_pairs(lists: DataFrame) -> DataFrame:
     """(a, b): every set of a posting list with the list's leader."""
-    score = lists.groupBy("key").agg((F.count(F.lit(1)) / F.first(F.shiftright("meta", 32))).alias("share"))
-    lead = (lists.join(score, "key").groupBy("token")
-            .agg(F.max(F.struct("share", "key", "meta")).alias("top")).select("token", F.col("top.key").alias("lead"), F.col("top.meta").alias("lead_meta")))
-    pairs = lists.join(lead, "token").where("key <> lead").where(_sizes_fit(F.col("meta"), F.col("lead_meta")))
+    share = F.col("r") / F.shiftright("meta", 32)
+    lead = lists.groupBy("token").agg(F.max(F.struct(share.alias("share"), "key", "meta", "r")).alias("top")).select(
+        "token", F.col("top.key").alias("lead"), F.col("top.meta").alias("lead_meta"), F.col("top.r").alias("lead_r"))
+    pairs = lists.join(lead, "token").where("key <> lead").where(_can_link(F.col("meta"), F.col("r"), F.col("lead_meta"), F.col("lead_r")))
     return pairs.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
 
 
-def _sizes_fit(x, y):
-    x, y = F.shiftright(x, 32), F.shiftright(y, 32)
-    return (100 * F.least(x, y) >= PERCENT * F.greatest(x, y))
+def leaders(lists: DataFrame, checked: DataFrame) -> DataFrame:
+    """(key, hub, with_hub): the set, of those that a set was verified against, with which it shares most; often a leader its whole group has."""
+    both = checked.select(F.col("a").alias("key"), F.col("b").alias("hub"), "same").union(
+        checked.select(F.col("b").alias("key"), F.col("a").alias("hub"), "same"))
+    # a set that led many is its own hub: it shares with itself all that it shares with anyone
+    led = both.groupBy("hub").agg(F.count(F.lit(1)).alias("led"))
+    best = (both.join(led, "hub").groupBy("key").agg(F.max(F.struct("led", "hub", "same")).alias("best"))
+            .join(led.withColumnRenamed("hub", "key").withColumnRenamed("led", "own"), "key", "left"))
+    r = lists.groupBy("key").agg(F.max("r").alias("r"))
+    own = F.coalesce("own", F.lit(0)) > F.col("best.led")
+    return best.join(r, "key").select("key", F.when(own, F.col("key")).otherwise(F.col("best.hub")).alias("hub"),
+                                      F.when(own, F.col("r")).otherwise(F.col("best.same")).alias("with_hub"))
+
+
+def clusters(lists: DataFrame, labels: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(key, component, hub, with_hub, cluster) of the sets left: a set alone belongs to the component of its leader."""
+    rows = (lists.select("key").distinct().join(labels, "key", "left").join(hubs, "key", "left")
+            .withColumn("alone", F.col("component").isNull()).withColumn("component", F.coalesce("component", "key")))
+    lead = labels.select(F.col("key").alias("hub"), F.col("component").alias("of_hub"))
+    return (rows.join(lead, "hub", "left").withColumn("cluster", F.when(F.col("alone"), F.coalesce("of_hub", "hub", "key")).otherwise(F.col("component")))
+            .select("key", "component", "hub", "with_hub", "alone", "cluster"))
+
+
+def links_in_clusters(members: DataFrame, whole: DataFrame) -> DataFrame:
+    """(a, b): links that join components inside a cluster, found by comparing its sets that are alone with all of it, in blocks."""
+    sizes = (members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count_if("alone").alias("alone_n"))
+             .where("alone_n > 0 AND n > 1")
+             .select("cluster", F.ceil(F.col("n") / BLOCK_SETS).alias("blocks"), F.ceil(F.col("alone_n") / BLOCK_SETS).alias("chunks")))
+    rows = members.select("key", "component", "alone", "cluster").join(sizes, "cluster")
+    at = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    them = rows.select("cluster", at("blocks").alias("block"), every("chunks").alias("chunk"), "key", "component", F.lit(False).alias("asks"))
+    us = rows.where("alone").select("cluster", every("blocks").alias("block"), at("chunks").alias("chunk"), "key", "component", F.lit(True).alias("asks"))
+    both = them.union(us).join(whole, "key").select(F.xxhash64("cluster", "block", "chunk").alias("cell"), "cluster", "key", "component", "asks", "shingles")
+
+    def compare(rows: pa.Table):
+        asks = rows.column("asks").to_numpy().astype(bool)
+        key, component = rows.column("key").to_numpy(), rows.column("component").to_numpy()
+        texts = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        group, askers = np.flatnonzero(~asks), np.flatnonzero(asks)
+        if not len(group):
+            return
+        token = np.concatenate([texts[i] for i in group])
+        owner = np.repeat(np.arange(len(group)), [len(texts[i]) for i in group])
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        size, top = np.array([len(texts[i]) for i in group]), {}
+
+        def root(c):
+            while top.get(c, c) != c:
+                c = top[c]
+            return c
+
+        for i in askers:
+            lo, hi = np.searchsorted(token, texts[i], "left"), np.searchsorted(token, texts[i], "right")
+            n = hi - lo
+            hit = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            same = np.bincount(owner[hit], minlength=len(group))
+            for j in np.flatnonzero(100 * same >= PERCENT * (len(texts[i]) + size - same)).tolist():
+                a, b = root(int(component[i])), root(int(component[group[j]]))
+                if a != b:  # only what joins components in this block
+                    top[max(a, b)] = min(a, b)
+                    yield int(key[i]), int(key[group[j]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, "cell"):
+            cell = rows.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+            found = [p for x, y in zip(cuts, cuts[1:]) for p in compare(rows.slice(x, y - x))]
+            yield pa.RecordBatch.from_pydict({"a": np.array([p[0] for p in found], np.int64), "b": np.array([p[1] for p in found], np.int64)})
+
+    return both.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
-def other_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different components that share min(m, m') postings of that depth."""
-    lists = lists.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
+def other_pairs(lists: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different components and clusters that share min(m, m') postings of that depth."""
+    lists = lists.join(members.drop("alone"), "key")
     mixed = lists.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     lists = materialize(lists.join(mixed, "token", "left_semi"))
     largest = (lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
                .groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest")))
     lists = materialize(lists.join(largest, "token"))
-    x = lists.where("component <> largest").select("token", F.col("key").alias("a"), F.col("meta").alias("am"), F.col("component").alias("ac"), "largest")
-    y = lists.select("token", F.col("key").alias("b"), F.col("meta").alias("bm"), F.col("component").alias("bc"))
+    x = lists.where("component <> largest").select("token", F.col("key").alias("a"), F.col("meta").alias("am"), F.col("r").alias("ar"),
+                                                   F.col("component").alias("ac"), "largest", F.col("hub").alias("ah"), F.col("with_hub").alias("ai"), F.col("cluster").alias("au"))
+    y = lists.select("token", F.col("key").alias("b"), F.col("meta").alias("bm"), F.col("r").alias("br"), F.col("component").alias("bc"),
+                     F.col("hub").alias("bh"), F.col("with_hub").alias("bi"), F.col("cluster").alias("bu"))
+    # what lies in a common hub, and what lies outside it
+    most = F.least("ai", "bi") + F.least(F.col("ar") - F.col("ai"), F.col("br") - F.col("bi"))
+    far = F.coalesce((F.col("ah") == F.col("bh")) & ((100 + PERCENT) * most < PERCENT * (F.shiftright("am", 32) + F.shiftright("bm", 32))), F.lit(False))
     m = lambda c: F.shiftright(c, 16).bitwiseAND(65535)
     depth = lambda c: F.col(c).bitwiseAND(65535)
     least = F.least(m("am"), m("bm"))
-    pairs = (x.join(y, "token").where("ac <> bc AND (bc = largest OR a < b)").where(_sizes_fit(F.col("am"), F.col("bm")))
+    pairs = (x.join(y, "token").where("ac <> bc AND au <> bu AND (bc = largest OR a < b)").where(~far).where(_can_link(F.col("am"), F.col("ar"), F.col("bm"), F.col("br")))
              .where((depth("am") <= least) & (depth("bm") <= least))
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), least.alias("m"), "token"))
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), least.alias("m")))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("m").alias("m")).where("k >= m").select("a", "b")
 
 
@@ -262,22 +403,22 @@ def read_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets overlap enough."""
+    """(a, b, same, linked): the overlaps of the pairs' whole sets, and whether they are enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = np.zeros(batch.num_rows, bool)
+            hit, overlap = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, np.int64)
             for i in range(batch.num_rows):
                 x, y = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in (2, 3))
                 both = np.concatenate((x, y))
                 both.sort(kind="stable")  # two ascending runs
-                same = int((both[1:] == both[:-1]).sum())
+                overlap[i] = same = int((both[1:] == both[:-1]).sum())
                 hit[i] = 100 * same >= PERCENT * (len(both) - same)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns[:2]], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(overlap), pa.array(hit)], names=["a", "b", "same", "linked"])
 
     one = whole.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
     two = whole.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, same long, linked boolean")
 
 
 def classes_and_components(docs: DataFrame) -> DataFrame:
@@ -289,10 +430,14 @@ def classes_and_components(docs: DataFrame) -> DataFrame:
     lists = materialize(peeled(materialize(peeled(lists))))
     reps = rows.where("n > 0").join(lists.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("rid").alias("rid"))
     whole = materialize(read_sets(docs, reps))
-    first = leader_pairs(lists)
-    links = materialize(verified(first, whole))
-    more = verified(other_pairs(lists, components(links).withColumnRenamed("node", "key")), whole)
-    labels = components(links.union(more)).withColumnRenamed("node", "key")
+    lists = materialize(bounded(lists, whole, level))
+    checked = materialize(verified(leader_pairs(lists), whole))
+    links = checked.where("linked").select("a", "b")
+    labels = components(links).withColumnRenamed("node", "key")
+    members = materialize(clusters(lists, labels, leaders(lists, checked)))
+    inside = links_in_clusters(members, whole)
+    across = verified(other_pairs(lists, members), whole).where("linked").select("a", "b")
+    labels = components(links.union(inside).union(across)).withColumnRenamed("node", "key")
     return rows.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
 
 
