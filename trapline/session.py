@@ -1,7 +1,9 @@
 """Local SparkSession for tests, tools and the benchmark."""
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -55,10 +57,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001
         base = None
     if not base:  # local runs and tests only: no shared folder is configured
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
                                "(a machine-local temporary folder is not visible to the cluster)")
         base = tempfile.mkdtemp(prefix="trapline-ckpt-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         try:
             spark.conf.set("spark.checkpoint.dir", base)
         except Exception:  # noqa: BLE001 - a core setting may be read-only at run time
