@@ -35,7 +35,7 @@ BROADCAST_BYTES = 32 << 20
 
 
 def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
-    """A written (materialized) table with a broadcast hint if its rows fit the bound, else as it is."""
+    """A written (materialized) table of fixed-width rows with a broadcast hint if they fit the bound, else as it is."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
