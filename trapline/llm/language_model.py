@@ -94,12 +94,12 @@ def asked(blocks: DataFrame, bits: int) -> DataFrame:
             block = rows.column("block")[0].as_py()
             for order, values in ((1, token), (2, pair)):
                 keys, at = np.unique(values, return_inverse=True)
-                counts = np.bincount(at, learn, len(keys)).astype(np.uint32)
+                counts = np.bincount(at, learn, len(keys)).astype(np.int64)
                 cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(keys)]
                 yield pa.RecordBatch.from_pydict({
                     "range": [order << 32 | i for i in range(1 << bits)], "block": [block] * (1 << bits),
-                    "keys": [keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])],
-                    "counts": [counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]})
+                    "keys": [packed(keys[a:b], rising=True) for a, b in zip(cuts, cuts[1:])],
+                    "counts": [packed(counts[a:b]) for a, b in zip(cuts, cuts[1:])]})
 
     return (blocks.select("block", "text", "training").repartition("block").sortWithinPartitions("block")
             .mapInArrow(run, "range long, block long, keys binary, counts binary"))
@@ -114,8 +114,8 @@ def answered(requests: DataFrame, plain: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in each_group(batches, "range"):
             blocks = rows.column("block").to_numpy()
-            parts = [np.frombuffer(k, np.uint64) for k in rows.column("keys").to_pylist()]
-            counts = np.concatenate([np.frombuffer(c, np.uint32) for c in rows.column("counts").to_pylist()]).astype(np.int64)
+            parts = [unpacked(k, rising=True) for k in rows.column("keys").to_pylist()]
+            counts = np.concatenate([unpacked(c) for c in rows.column("counts").to_pylist()])
             size = np.array([len(p) for p in parts], np.int64)
             keys, at = np.unique(np.concatenate(parts), return_inverse=True)
             deleted = np.repeat(blocks >= plain, size)
@@ -126,14 +126,27 @@ def answered(requests: DataFrame, plain: int) -> DataFrame:
             sums = lambda v: [int(v)] + [0] * (len(parts) - 1) if one else [0] * len(parts)
             yield pa.RecordBatch.from_pydict({
                 "range": rows.column("range").combine_chunks(), "block": blocks,
-                "counts": [total[at[b - n:b]].tobytes() for n, b in zip(size, ends)],
-                "deleted": [apart[at[b - n:b]].tobytes() if block >= plain else b"" for block, n, b in zip(blocks, size, ends)],
+                "counts": [packed(total[at[b - n:b]]) for n, b in zip(size, ends)],
+                "deleted": [packed(apart[at[b - n:b]]) if block >= plain else b"" for block, n, b in zip(blocks, size, ends)],
                 "tokens": sums(total.sum()), "types": sums((total > 0).sum())})
 
     return (requests.repartition("range").sortWithinPartitions("range", "block")
             .mapInArrow(run, "range long, block long, counts binary, deleted binary, tokens long, types long"))
 
 
+def packed(values: np.ndarray, rising: bool = False) -> bytes:
+    """Whole numbers as byte planes (rising ones as differences): small counts and sorted hashes shrink under Spark's compression."""
+    v = values.astype(np.uint64)
+    if rising:
+        v = v - np.concatenate((np.zeros(min(len(v), 1), np.uint64), v[:-1]))
+    return v.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes, rising: bool = False) -> np.ndarray:
+    v = np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
+    return np.cumsum(v, dtype=np.uint64) if rising else v.view(np.int64)
+
+
 class Block:
     """A block's tokens with the counts that came back for them."""
 
@@ -144,7 +157,7 @@ class Block:
 
         def counts(n: int, values: np.ndarray, column: str) -> np.ndarray:
             got = answers.column(column).to_pylist()
-            got = np.concatenate([np.frombuffer(got[i], np.int64) for i, r in zip(order, ranges) if r >> 32 == n])
+            got = np.concatenate([unpacked(got[i]) for i, r in zip(order, ranges) if r >> 32 == n])
             keys, at = np.unique(values, return_inverse=True)
             if len(keys) != len(got):
                 raise ValueError("a block's documents changed between two reads of the table")
