@@ -127,6 +127,19 @@ def test_passages(spark, no_docs):
     assert passages.repeated_passages(no_docs).count() == 0
 
 
+def test_passages_with_every_few_words_changed(spark):
+    """No run of equal words is longer than the changes leave: 4 to 14 words."""
+    rng = random.Random(9)
+    texts = []
+    for every in range(5, 16):
+        passage = made_up(rng, 60)
+        texts.append(made_up(rng, 30) + passage + made_up(rng, 30))
+        texts.append(made_up(rng, 10) + [f"y{i}" if i % every == 0 else w for i, w in enumerate(passage)] + made_up(rng, 30))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {frozenset((r["doc_id"], r["ref_id"])) for r in passages.repeated_passages(docs).collect()}
+    assert got == {frozenset((i, i + 1)) for i in range(0, len(texts), 2)}
+
+
 def test_passages_cover_every_long_repeat(odd_docs):
     rows = [r for r in odd_docs.select("doc_id", "text").collect() if r["doc_id"] is not None]
     got = passages.repeated_passages(odd_docs).collect()
