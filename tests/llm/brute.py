@@ -83,3 +83,18 @@ def cuts(texts, length=200):
         spans = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
         out.append((len(t), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest()))
     return out
+
+
+def alike(here, there, least=45):
+    """(equal words, start, end, start there) of the best part on any diagonal that has three equal words in four and ``least`` words, or None."""
+    best = None
+    for d in range(least - len(there), len(here) - least + 1):
+        a = max(d, 0)
+        same = [x == y for x, y in zip(here[a:], there[a - d:])]
+        if 4 * sum(same) < 3 * least:
+            continue
+        total = [0, *itertools.accumulate(1 if x else -3 for x in same)]
+        for i, j in itertools.combinations(range(len(total)), 2):
+            if j - i >= least and total[j] >= total[i] and same[i] and same[j - 1]:
+                best = max(best or (0,), (sum(same[i:j]), a + i, a + j, a + i - d))
+    return best

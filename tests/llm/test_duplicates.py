@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter
 
@@ -140,6 +141,34 @@ def test_passages_with_every_few_words_changed(spark):
     assert got == {frozenset((i, i + 1)) for i in range(0, len(texts), 2)}
 
 
+def test_passages_with_changed_words_equal_brute_force(spark):
+    """Pairs and spans against a word aligner over all pairs, at 5 to 25 % of words changed, evenly and at random."""
+    rng = random.Random(3)
+    texts, shares = [], (5, 10, 15, 20, 25)
+    for share in shares:
+        for k in range(24):
+            passage = made_up(rng, 60)
+            changed = [f"y{rng.random()}" if (i % (100 // share) == k % (100 // share) if k < 8 and share < 25 else rng.random() < share / 100) else w
+                       for i, w in enumerate(passage)]
+            texts += [made_up(rng, 40) + passage + made_up(rng, 40), made_up(rng, k) + changed + made_up(rng, 20)]
+    want = {}
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(set(texts[i]) & set(texts[j])) >= 20 and (best := brute.alike(texts[i], texts[j])):
+            want[i, j] = best
+    assert len(want) > 90
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {}
+    for r in passages.repeated_passages(docs).collect():
+        a, b = ((r["doc_id"], r["start"], r["end"]), (r["ref_id"], r["ref_start"], r["ref_end"]))
+        assert r["n_equal"] == sum(x == y for x, y in zip(texts[a[0]][a[1]:a[2]], texts[b[0]][b[1]:b[2]])) >= 0.75 * (a[2] - a[1])
+        (i, *span), _ = sorted((a, b))
+        got.setdefault((i, max(a[0], b[0])), []).append((r["n_equal"], *span))
+    assert set(got) == set(want)
+    for pair, (equal, start, end, _) in want.items():
+        found = {w for _, s, e in got[pair] for w in range(s, e)}
+        assert len(found & set(range(start, end))) >= 0.75 * (end - start), pair
+
+
 def test_passages_cover_every_long_repeat(odd_docs):
     rows = [r for r in odd_docs.select("doc_id", "text").collect() if r["doc_id"] is not None]
     got = passages.repeated_passages(odd_docs).collect()
