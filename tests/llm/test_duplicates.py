@@ -82,6 +82,17 @@ def test_proximity(spark):
     assert near == want
 
 
+def test_proximity_with_changed_words(spark):
+    """A term that no text has is not asked for; of the others three in four must be near."""
+    texts = ["k1 x k3 y k4 z", "k1 k2 " + "x " * 50 + "k3 k4", "k4 k2 z k3", "k1 k2", "k3 " * 5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = decontaminate.read_items(spark.createDataFrame([(1, "k1 unseen k3 k4"), (2, "k1 k2 k3 k4")], "item_id long, text string"))
+    names = {r["item"]: r["item_id"] for r in items.collect()}
+    ids = {r["doc"]: r["doc_id"] for r in docs.select("doc_id", decontaminate.row_key().alias("doc")).collect()}
+    got = decontaminate.near(decontaminate.build_index(docs, items), items, slop=10).collect()
+    assert {(ids[r["doc"]], names[r["item"]]) for r in got} == {(0, "1"), (0, "2"), (2, "2")}
+
+
 def test_suffix_array_by_hand():
     rng = random.Random(2)
     for n in (0, 1, 2, 7, 60, 300):

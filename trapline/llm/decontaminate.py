@@ -10,7 +10,7 @@ term's offset in the item; where the two lists of a window meet, the item lies o
 that diagonal of the text.  Windows with a term that the corpus lacks are dropped
 at once.  The diagonals found, usually few, are then compared word by word with
 the texts, so phrase matches are exact.  ``near`` gives proximity matches from the
-same index.
+same index; it is a function of its own, which the query does not call.
 
 Defined cases: a null or empty text has no words and no hits; items without words
 have no windows; items are known by item_id (rows with the same id are one item, a
@@ -128,25 +128,28 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
             .select(*unpacked(docs.columns, ("n_words", "matches")), "n_words", "matches"))
 
 
-def near(index: DataFrame, items: DataFrame, slop: int = 30, terms: int = 3) -> DataFrame:
-    """(doc, item, pos): proximity matches, where an item's rarest terms all lie within ``slop`` words of its rarest, in any order."""
+def near(index: DataFrame, items: DataFrame, slop: int = 30, terms: int = 8, share: float = 0.75) -> DataFrame:
+    """(doc, item, pos): proximity matches, where ``share`` of an item's rarest terms lie within ``slop`` words of one of them, in any order.
+
+    The rarest ``terms`` of those that the index has are taken.  So many may be missing
+    that only the rarest of them, one more than may be missing, need to be places ``pos``.
+    """
     tf = index.groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
     at = items.select("item", F.explode(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))).alias("term"))
-    rare = (at.join(tf, "term", "left").groupBy("item")
-            .agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), "term"))), 1, terms).alias("rare")))
-    rare = materialize(rare.where(F.col("rare")[0]["tf"] > 0))
-    got = (index.join(small(rare.select("item", F.col("rare")[0]["term"].alias("term")), 16), "term").select("doc", "item", "pos"))
-    for j in range(1, terms):
-        more = rare.where(F.size("rare") > j).select("item", F.col("rare")[j]["term"].alias("term"))
-        short = small(rare.where(F.size("rare") <= j).select("item"), 8)
-        other = index.join(small(more, 16), "term").select("doc", "item", F.col("pos").alias("_pos"))
-        # rows meet in buckets of slop words, so frequent terms of long texts aren't paired all with all
-        side = got.withColumn("_b", F.explode(F.array(*[F.floor(F.col("pos") / slop) + d for d in (-1, 0, 1)])))
-        other = other.withColumn("_b", F.floor(F.col("_pos") / slop))
-        met = (side.join(other, ["doc", "item", "_b"]).where(F.abs(F.col("pos") - F.col("_pos")) <= slop)
-               .select("doc", "item", "pos").distinct())
-        got = met.union(got.join(short, "item", "left_semi"))
-    return got
+    rare = at.join(tf, "term").groupBy("item").agg(F.slice(F.array_sort(F.collect_list(F.struct("tf", "term"))), 1, terms).alias("rare"))
+    need = F.ceil(F.size("rare") * F.lit(share) - 1e-9).cast("int")
+    rare = rare.select("item", need.alias("need"), (F.size("rare") - need).alias("spare"), F.posexplode("rare").alias("rank", "of"))
+    rare = materialize(rare.select("item", F.col("of")["term"].alias("term"), "need", (F.col("rank") <= F.col("spare")).alias("first")))
+    found = index.join(small(rare, 32), "term").select("doc", "item", "term", "pos", "need", "first")
+    enough = found.groupBy("doc", "item").agg(F.count_distinct("term").alias("n"), F.max("need").alias("need")).where("n >= need")
+    found = materialize(found.join(enough.select("doc", "item"), ["doc", "item"], "left_semi"))
+    # rows meet in buckets of slop words, so frequent terms of long texts aren't paired all with all
+    bucket = F.floor(F.col("pos") / max(slop, 1))
+    side = found.where("first").select("doc", "item", "pos", F.explode(F.array(*[bucket + d for d in (-1, 0, 1)])).alias("_b")).distinct()
+    other = found.select("doc", "item", "term", "need", F.col("pos").alias("_pos"), bucket.alias("_b"))
+    return (side.join(other, ["doc", "item", "_b"]).where(F.abs(F.col("pos") - F.col("_pos")) <= slop)
+            .groupBy("doc", "item", "pos").agg(F.count_distinct("term").alias("n"), F.max("need").alias("need"))
+            .where("n >= need").select("doc", "item", "pos"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
