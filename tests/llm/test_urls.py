@@ -39,5 +39,18 @@ def test_templates(spark):
     assert all("/*/" in got[41 + i]["template"] for i in range(60))
 
 
+def test_no_window_over_a_host(spark, monkeypatch):
+    """Worded slugs: a host has as many shapes as pages, and no plan sorts a host's in one task."""
+    plans, real = [], urls.materialize
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(urls, "materialize", lambda df: plans.append(plan(df)) or real(df))
+    slug = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    rows = [f"http://big.com/{'de' if i % 3 else 'dd'}/{slug(i)}/x" for i in range(90)]
+    got = urls.filter_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"))
+    plans.append(plan(got))
+    assert got.count() == len(rows)
+    assert not any("Window" in p for p in plans)
+
+
 def test_empty(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0

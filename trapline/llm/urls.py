@@ -15,7 +15,9 @@ decide is the labelled evidence.  For all other urls, per host:
   whole table down to the template; it is rejected if that purity exceeds 0.75.
 
 All counts are taken over (host, masked segments), which is far smaller than the
-pages, and the verdicts are joined back by that key.
+pages where segments differ by numbers, and about as many where they are worded; they
+are partial aggregates joined back, so no host's rows are sorted in one task.  The
+verdicts are joined back to the pages by that key.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and is
 judged by the method like any host; empty segments are segments; repeated rows
@@ -69,11 +71,21 @@ SELECT host, s1, s2, s3, count(*) AS n, count(CASE WHEN label = 'allow' THEN 1 E
        count(CASE WHEN label = 'block' THEN 1 END) AS b FROM {parsed} GROUP BY host, s1, s2, s3"""
 
 
-def level_sql(rows: str, parent: tuple[str, ...], segment: str, child: str, token: str) -> str:
-    """``rows`` with the template token of one level of the tree."""
+def level_sql(rows: str, parent: tuple[str, ...], segment: str, child: str, token: str, joined: bool = False) -> str:
+    """``rows`` with the template token of one level of the tree; ``joined``: no window, so that no parent's rows meet in one task."""
     up = ", ".join(("host", *parent))
     same = " AND ".join(f"x.{c} = y.{c}" for c in ("host", *parent))
     every = " AND ".join(f"x.{c} = y.{c}" for c in ("host", *parent, segment))
+    cells = f"""SELECT {up}, {segment}, child, label, sum(c) AS c FROM (
+                      SELECT {up}, {segment}, {child} AS child, 'a' AS label, a AS c FROM {rows}
+                      UNION ALL SELECT {up}, {segment}, {child}, 'b', b FROM {rows}
+                      UNION ALL SELECT {up}, {segment}, {child}, 'u', n - a - b FROM {rows}) q
+                    WHERE c > 0 GROUP BY {up}, {segment}, child, label"""
+    p, sums = f"sum(c) OVER (PARTITION BY {', '.join('x.' + c for c in ('host', *parent))}, x.child, x.label) AS p", ""
+    if joined:
+        p, sums = "o.p", f"""
+              JOIN (SELECT {up}, child, label, sum(c) AS p FROM ({cells}) e GROUP BY {up}, child, label) o
+                ON {same.replace("y.", "o.")} AND x.child = o.child AND x.label = o.label"""
     return f"""
 SELECT x.*, y.{token} FROM {rows} x JOIN (
   SELECT x.*, CASE WHEN k > {MIN_BRANCHES} AND 2 * k > total THEN '*'
@@ -81,35 +93,41 @@ SELECT x.*, y.{token} FROM {rows} x JOIN (
                    ELSE x.{segment} END AS {token}
   FROM (SELECT {up}, {segment}, sum(c) AS n, sum(1e0 * c * c * total / (1e0 * p * bn)) AS x2,
                min(k) AS k, min(total) AS total, min(cells) AS cells
-        FROM (SELECT x.*, y.bn, z.k, z.total, z.cells, sum(c) OVER (PARTITION BY {", ".join("x." + c for c in ("host", *parent))}, x.child, x.label) AS p
-              FROM (SELECT {up}, {segment}, child, label, sum(c) AS c FROM (
-                      SELECT {up}, {segment}, {child} AS child, 'a' AS label, a AS c FROM {rows}
-                      UNION ALL SELECT {up}, {segment}, {child}, 'b', b FROM {rows}
-                      UNION ALL SELECT {up}, {segment}, {child}, 'u', n - a - b FROM {rows}) q
-                    WHERE c > 0 GROUP BY {up}, {segment}, child, label) x
+        FROM (SELECT x.*, y.bn, z.k, z.total, z.cells, {p}
+              FROM ({cells}) x
               JOIN (SELECT {up}, {segment}, sum(n) AS bn FROM {rows} GROUP BY {up}, {segment}) y ON {every}
               JOIN (SELECT {up}, count(DISTINCT {segment}) AS k, sum(n) AS total,
                            count(DISTINCT CASE WHEN a > 0 THEN {child} END) + count(DISTINCT CASE WHEN b > 0 THEN {child} END)
                            + count(DISTINCT CASE WHEN n > a + b THEN {child} END) AS cells
-                    FROM {rows} GROUP BY {up}) z ON {same.replace("y.", "z.")}) w
+                    FROM {rows} GROUP BY {up}) z ON {same.replace("y.", "z.")}{sums}) w
         GROUP BY {up}, {segment}) x) y ON {every}"""
 
 
-def verdicts_sql(shapes: str) -> str:
-    """(host, s1, s2, s3, template, purity, verdict) of every shape, by the template tree."""
+def verdicts_sql(shapes: str, joined: str = "") -> str:
+    """(host, s1, s2, s3, template, purity, verdict) of every shape, by the template tree; ``joined``: the shapes with t1 to t3, summed up without windows."""
     purity = lambda b, a, above: f"({b} + {SMOOTHING} * {above}) / ({a} + {b} + {SMOOTHING})"
     total = lambda c, keys: f"1e0 * sum({c}) OVER (PARTITION BY {keys})"
     keys = ("host", "host, t1", "host, t1, t2", "host, t1, t2, t3")
     sums = ", ".join(f"{total('a', k)} AS a{i}, {total('b', k)} AS b{i}" for i, k in enumerate(keys))
+    rows = f"""(
+{level_sql("l2", ("t1", "t2"), "s3", "''", "t3")}) t"""
+    if joined:
+        sums = ", ".join(f"1e0 * k{i}.a AS a{i}, 1e0 * k{i}.b AS b{i}" for i in range(len(keys)))
+        rows = f"{joined} t" + "".join(
+            f"\nJOIN (SELECT {k}, sum(a) AS a, sum(b) AS b FROM {joined} GROUP BY {k}) k{i} ON "
+            + " AND ".join(f"t.{c} = k{i}.{c}" for c in k.split(", ")) for i, k in enumerate(keys))
+        host, t = "t.host", ["t.t1", "t.t2", "t.t3"]
+    else:
+        host, t = "host", ["t1", "t2", "t3"]
+    template = " || '/' || ".join((host, *t))
     return f"""
 SELECT host, s1, s2, s3, template, q4 AS purity, CASE WHEN q4 > {MAX_BLOCKED:e} THEN 'block' ELSE 'allow' END AS verdict FROM (
 SELECT *, {purity("b3", "a3", "q3")} AS q4 FROM (
 SELECT *, {purity("b2", "a2", "q2")} AS q3 FROM (
 SELECT *, {purity("b1", "a1", "q1")} AS q2 FROM (
 SELECT *, {purity("b0", "a0", "q0")} AS q1 FROM (
-SELECT t.host, s1, s2, s3, host || '/' || t1 || '/' || t2 || '/' || t3 AS template, {sums},
-       (SELECT (sum(b) + 1e0) / (sum(a) + sum(b) + 2e0) FROM {shapes}) AS q0 FROM (
-{level_sql("l2", ("t1", "t2"), "s3", "''", "t3")}) t) v0) v1) v2) v3) v4"""
+SELECT t.host, s1, s2, s3, {template} AS template, {sums},
+       (SELECT (sum(b) + 1e0) / (sum(a) + sum(b) + 2e0) FROM {shapes}) AS q0 FROM {rows}) v0) v1) v2) v3) v4"""
 
 
 def _tree(shapes: str) -> tuple[str, str, str]:
@@ -126,10 +144,11 @@ def filter_urls(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     parsed = spark.sql(parsed_sql("{pages}"), pages=pages)
     shapes = materialize(spark.sql(shapes_sql("{parsed}"), parsed=parsed))
-    one, two, verdicts = _tree("{shapes}")
-    l1 = materialize(spark.sql(one, shapes=shapes))
-    l2 = materialize(spark.sql(two.replace("FROM l1", "FROM {l1}"), l1=l1))
-    got = spark.sql(verdicts.replace("FROM l2", "FROM {l2}"), l2=l2, shapes=shapes)
+    # sums are joined, not windowed: one host may have about as many shapes as pages
+    l1 = materialize(spark.sql(level_sql("{shapes}", (), "s1", "s2", "t1", joined=True), shapes=shapes))
+    l2 = materialize(spark.sql(level_sql("{l1}", ("t1",), "s2", "s3", "t2", joined=True), l1=l1))
+    l3 = materialize(spark.sql(level_sql("{l2}", ("t1", "t2"), "s3", "''", "t3", joined=True), l2=l2))
+    got = spark.sql(verdicts_sql("{shapes}", joined="{l3}"), l3=l3, shapes=shapes)
     return spark.sql(RESULT, parsed=parsed, verdicts=got)
 
 
