@@ -52,5 +52,16 @@ def test_no_window_over_a_host(spark, monkeypatch):
     assert not any("Window" in p for p in plans)
 
 
+def test_templates_of_deep_paths(spark):
+    """What lies below a common third level has templates and purities of its own; a table without deep paths keeps three levels."""
+    rows = [f"http://a.com/{'de' if i % 2 else 'fr'}/u/v/{'bad' if i % 2 else 'good'}/{i}" for i in range(80)]
+    rows += ["http://b.net/u/v/w", "http://b.net/u/v/w/", "http://b.net/u/v/w/x/9//y/"]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.filter_urls(pages).collect()}
+    assert len(got) == len(rows)
+    assert got[0]["template"] == "a.com/fr/u/v/good/#" and got[1]["template"] == "a.com/de/u/v/bad/#"
+    assert [got[80 + i]["template"] for i in range(3)] == ["b.net/u/v/w"] * 2 + ["b.net/u/v/w/x/#//y"]
+
+
 def test_empty(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0

@@ -4,8 +4,9 @@ Urls are parsed into host and path.  A rule fits its host and all subdomains if
 the path starts with the rule's; the longest rule decides, and what the rules
 decide is the labelled evidence.  For all other urls, per host:
 
-* path segments are the levels of a tree (three levels; what lies deeper shares
-  its third level), digits in a segment are generalised to ``#``;
+* path segments are the levels of a tree, as deep as the deepest path (the first three
+  levels hold all urls, the fourth and further ones those that have such a segment;
+  each level is a few small jobs), digits in a segment are generalised to ``#``;
 * a level below a parent is a wildcard ``*`` where it has over 20 branches and
   more branches than half its pages;
 * a branch whose pages are spread over next segments and labels as those of all
@@ -26,6 +27,8 @@ other columns of ``pages`` are ignored.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 
 from trapline.llm.tables import materialize, table
@@ -40,6 +43,7 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_BRANCHES = 20      # a level with more of them may be a wildcard
+LEVELS = 3             # that all urls have, with empty segments where a path ends before
 SMOOTHING = 4          # labels that a parent's purity counts as
 MAX_BLOCKED = 0.75      # purity above which a template is rejected
 
@@ -103,31 +107,21 @@ SELECT x.*, y.{token} FROM {rows} x JOIN (
         GROUP BY {up}, {segment}) x) y ON {every}"""
 
 
-def verdicts_sql(shapes: str, joined: str = "") -> str:
-    """(host, s1, s2, s3, template, purity, verdict) of every shape, by the template tree; ``joined``: the shapes with t1 to t3, summed up without windows."""
+def verdicts_sql(shapes: str) -> str:
+    """(host, s1, s2, s3, template, purity, verdict) of every shape, by the template tree."""
     purity = lambda b, a, above: f"({b} + {SMOOTHING} * {above}) / ({a} + {b} + {SMOOTHING})"
     total = lambda c, keys: f"1e0 * sum({c}) OVER (PARTITION BY {keys})"
     keys = ("host", "host, t1", "host, t1, t2", "host, t1, t2, t3")
     sums = ", ".join(f"{total('a', k)} AS a{i}, {total('b', k)} AS b{i}" for i, k in enumerate(keys))
-    rows = f"""(
-{level_sql("l2", ("t1", "t2"), "s3", "''", "t3")}) t"""
-    if joined:
-        sums = ", ".join(f"1e0 * k{i}.a AS a{i}, 1e0 * k{i}.b AS b{i}" for i in range(len(keys)))
-        rows = f"{joined} t" + "".join(
-            f"\nJOIN (SELECT {k}, sum(a) AS a, sum(b) AS b FROM {joined} GROUP BY {k}) k{i} ON "
-            + " AND ".join(f"t.{c} = k{i}.{c}" for c in k.split(", ")) for i, k in enumerate(keys))
-        host, t = "t.host", ["t.t1", "t.t2", "t.t3"]
-    else:
-        host, t = "host", ["t1", "t2", "t3"]
-    template = " || '/' || ".join((host, *t))
     return f"""
 SELECT host, s1, s2, s3, template, q4 AS purity, CASE WHEN q4 > {MAX_BLOCKED:e} THEN 'block' ELSE 'allow' END AS verdict FROM (
 SELECT *, {purity("b3", "a3", "q3")} AS q4 FROM (
 SELECT *, {purity("b2", "a2", "q2")} AS q3 FROM (
 SELECT *, {purity("b1", "a1", "q1")} AS q2 FROM (
 SELECT *, {purity("b0", "a0", "q0")} AS q1 FROM (
-SELECT t.host, s1, s2, s3, {template} AS template, {sums},
-       (SELECT (sum(b) + 1e0) / (sum(a) + sum(b) + 2e0) FROM {shapes}) AS q0 FROM {rows}) v0) v1) v2) v3) v4"""
+SELECT t.host, s1, s2, s3, host || '/' || t1 || '/' || t2 || '/' || t3 AS template, {sums},
+       (SELECT (sum(b) + 1e0) / (sum(a) + sum(b) + 2e0) FROM {shapes}) AS q0 FROM (
+{level_sql("l2", ("t1", "t2"), "s3", "''", "t3")}) t) v0) v1) v2) v3) v4"""
 
 
 def _tree(shapes: str) -> tuple[str, str, str]:
@@ -142,14 +136,37 @@ FROM {parsed} p JOIN {verdicts} v ON p.host = v.host AND p.s1 = v.s1 AND p.s2 =
 def filter_urls(pages: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) for every row of (page_id, url)."""
     spark = pages.sparkSession
-    parsed = spark.sql(parsed_sql("{pages}"), pages=pages)
-    shapes = materialize(spark.sql(shapes_sql("{parsed}"), parsed=parsed))
-    # sums are joined, not windowed: one host may have about as many shapes as pages
-    l1 = materialize(spark.sql(level_sql("{shapes}", (), "s1", "s2", "t1", joined=True), shapes=shapes))
-    l2 = materialize(spark.sql(level_sql("{l1}", ("t1",), "s2", "s3", "t2", joined=True), l1=l1))
-    l3 = materialize(spark.sql(level_sql("{l2}", ("t1", "t2"), "s3", "''", "t3", joined=True), l2=l2))
-    got = spark.sql(verdicts_sql("{shapes}", joined="{l3}"), l3=l3, shapes=shapes)
-    return spark.sql(RESULT, parsed=parsed, verdicts=got)
+    masked = "regexp_replace(path, '[0-9]+', '#') AS m"
+    parsed = spark.sql(f"SELECT *, {masked} FROM ({parsed_sql('{pages}')})", pages=pages)
+    # empty segments at the end make a path no deeper
+    shapes = materialize(spark.sql("""
+SELECT host, m, length(regexp_replace(rtrim('/', m), '[^/]', '')) AS depth, count(*) AS n, count(CASE WHEN label = 'allow' THEN 1 END) AS a,
+       count(CASE WHEN label = 'block' THEN 1 END) AS b FROM {parsed} GROUP BY host, m""", parsed=parsed))
+    total = shapes.agg({"a": "sum", "b": "sum", "depth": "max"}).first()
+    a, b, deepest = (total[f"{f}({c})"] or 0 for f, c in (("sum", "a"), ("sum", "b"), ("max", "depth")))
+    rows = _smoothed(spark.sql(f"SELECT *, host AS template, {(b + 1) / (a + b + 2)!r}D AS q FROM {{shapes}}", shapes=shapes))
+    done = []
+    for k in range(1, max(LEVELS, deepest) + 1):
+        split = spark.sql(f"SELECT *, split_part(m, '/', {k + 1}) AS s, split_part(m, '/', {k + 2}) AS child FROM {{rows}}", rows=rows)
+        # sums are joined, not windowed: one host may have about as many shapes as pages
+        level = spark.sql(level_sql("{split}", ("template",), "s", "child", "t", joined=True), split=split)
+        rows = _smoothed(materialize(level.selectExpr("host", "m", "depth", "n", "a", "b", "template || '/' || t AS template", "q")))
+        if k >= LEVELS:  # the shapes that end here; the others go on among themselves
+            done.append(rows.where(f"depth <= {k}"))
+            rows = rows.where(f"depth > {k}")
+    verdicts = reduce(DataFrame.union, done)
+    return spark.sql(f"""
+SELECT p.page_id, p.host, p.path, p.rule, coalesce(p.label, CASE WHEN q > {MAX_BLOCKED:e} THEN 'block' ELSE 'allow' END) AS verdict,
+       v.template, v.q AS purity
+FROM {{parsed}} p JOIN {{verdicts}} v ON p.host = v.host AND p.m = v.m""", parsed=parsed, verdicts=verdicts)
+
+
+def _smoothed(rows: DataFrame) -> DataFrame:
+    """``rows``, written, with q smoothed towards the parent's, which it was."""
+    return materialize(rows.sparkSession.sql(f"""
+SELECT t.host, m, depth, n, t.a, t.b, t.template, (1e0 * k.b + {SMOOTHING} * q) / (1e0 * k.a + 1e0 * k.b + {SMOOTHING}) AS q
+FROM {{rows}} t JOIN (SELECT host, template, sum(a) AS a, sum(b) AS b FROM {{rows}} GROUP BY host, template) k
+  ON t.host = k.host AND t.template = k.template""", rows=rows))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
