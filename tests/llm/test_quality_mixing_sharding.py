@@ -109,3 +109,12 @@ def test_sharding_odd_rows(odd_docs, no_docs):
 def test_sharding_columns(odd_docs):
     row = odd_docs.where("text IS NULL").select(*[c.alias(n) for n, c in sharding.text_columns(F.col("text")).items()]).first()
     assert row["size"] == 1 and row["text_crc32"] == 0
+
+
+def test_sample_reaches_every_split(spark):
+    """Only the table's last split has texts that a rule rejects; what they cost and share is measured too."""
+    good = F.lit(" ".join(f"word{j}" for j in range(60)))
+    docs = spark.range(0, 8000, 1, 2).select(F.when(F.col("id") < 4000, good).otherwise("too few words").alias("text"))
+    share = {name: share for name, _, share in quality.measured(docs, sample_rows=50)}
+    assert share["min_words"] == 0.5 and share["repeated_lines"] == 0
+    assert [s for _, _, s in quality.measured(docs.limit(0))] == [0] * len(quality.RULES)

@@ -1,7 +1,7 @@
 """Quality rules (7): a short-circuit cascade ordered by rejection per cost.
 
-Each rule rejects a text from one feature.  On a bounded sample the operator
-measures what a rule costs (seconds per byte of text) and how often it rejects;
+Each rule rejects a text from one feature.  On a sample, a bounded part of every
+split and judged in its task (only sums reach the driver), the operator measures what a rule costs (seconds per byte of text) and how often it rejects;
 the cascade runs the rules by falling rejection per cost, and a rule sees only
 the texts that all rules before it let pass.  The order changes the work, never
 the verdict: a text is kept if no rule rejects it.
@@ -35,7 +35,7 @@ MAX_UPPER_PERCENT = 50
 MIN_MEAN_WORD, MAX_MEAN_WORD = 2, 15
 SYMBOLS = b"#*$%&|<>"
 
-#: Rows of the sample that orders the cascade (it decides the order of work only).
+#: Rows of a split in the sample that orders the cascade (it decides the order of work only).
 SAMPLE_ROWS = 256
 SAMPLE_SHARE = 0.1
 
@@ -154,16 +154,29 @@ def cascade(texts: Slice, rules: tuple[Rule, ...]) -> np.ndarray:
 
 
 def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, seconds per MB, share rejected) on a bounded sample, taken without a pass over the table."""
-    texts = [r["text"] for r in docs.select("text").sample(SAMPLE_SHARE, seed=7).limit(sample_rows).collect()]
-    seconds, hits, size = np.zeros(len(rules)), np.zeros(len(rules), np.int64), 0
-    for part in slices(pa.array(texts, pa.large_string())):
-        size += len(part.buf)
-        for k, rule in enumerate(rules):
-            began = time.thread_time()
-            hits[k] += int(rule.rejects(Features(part)).sum())
-            seconds[k] += time.thread_time() - began
-    return [(rule.name, seconds[k] / max(size, 1) * 1e6, hits[k] / max(len(texts), 1)) for k, rule in enumerate(rules)]
+    """(rule, seconds per MB, share rejected) on a share of every split's rows, at most ``sample_rows`` of each, judged where they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seconds, hits, size, left = np.zeros(len(rules)), np.zeros(len(rules), np.int64), 0, sample_rows
+        for batch in batches:
+            if left <= 0:
+                continue
+            texts = batch.column(0).slice(0, left)
+            left -= len(texts)
+            for part in slices(texts):
+                size += len(part.buf)
+                for k, rule in enumerate(rules):
+                    began = time.thread_time()
+                    hits[k] += int(rule.rejects(Features(part)).sum())
+                    seconds[k] += time.thread_time() - began
+        yield pa.RecordBatch.from_pydict({"rule": np.arange(len(rules)), "seconds": seconds, "hits": hits, "size": np.full(len(rules), size),
+                                          "texts": np.full(len(rules), sample_rows - left)})
+
+    sums = (docs.select("text").sample(SAMPLE_SHARE, seed=7).mapInArrow(run, "rule long, seconds double, hits long, size long, texts long")
+            .groupBy("rule").agg(*[F.sum(c).alias(c) for c in ("seconds", "hits", "size", "texts")]).collect())
+    of = {r["rule"]: r for r in sums}
+    return [(rule.name, of[k]["seconds"] / max(of[k]["size"], 1) * 1e6, of[k]["hits"] / max(of[k]["texts"], 1)) if k in of else (rule.name, 0.0, 0.0)
+            for k, rule in enumerate(rules)]
 
 
 def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
