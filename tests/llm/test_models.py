@@ -32,6 +32,18 @@ def test_language_of_odd_documents(odd_docs, no_docs):
     assert {r["lang_pred"] for r in langid.predict(odd_docs.select("doc_id", "text"), untrained).collect()} == {"und"}
 
 
+def test_languages_in_blocks_score_alike(odd_docs, monkeypatch):
+    """More languages than a block of the matrix holds change no result."""
+    labelled = odd_docs.selectExpr("text", "concat(lang, doc_id % 4) AS lang")
+    docs = odd_docs.select("doc_id", "text")
+    want = sorted(langid.predict(docs, langid.train(labelled)).collect(), key=str)
+    monkeypatch.setattr(langid, "MATRIX_BYTES", 3 * langid.FEATURES * 4)
+    got = sorted(langid.predict(docs, langid.train(labelled)).collect(), key=str)
+    assert len({r["lang_pred"] for r in want}) >= 5
+    assert [tuple(r)[:3] for r in got] == [tuple(r)[:3] for r in want]
+    assert np.allclose([r["score"] for r in got], [r["score"] for r in want], rtol=1e-9)
+
+
 def test_grams_by_hand():
     feature, of, has = langid.grams(["Ab 1", "", "??", "ab"], 1 << 16)
     one, two = sorted(feature[of == 0].tolist()), sorted(feature[of == 3].tolist())
