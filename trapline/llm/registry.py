@@ -1,7 +1,7 @@
 """The queries of this subpackage: name -> (query, DuckDB SQL or None)."""
 from __future__ import annotations
 
-from trapline.llm import decontaminate, jaccard, langid, language_model, mixing, passages, quality, sharding, suffixes, urls
+from trapline.llm import decontaminate, jaccard, langid, language_model, mixing, passages, quality, sharding, suffixes, trie, urls
 
 QUERIES = {
     "op1_url_filters": (urls.op1_url_filters, urls.OP1_SQL),
@@ -14,4 +14,5 @@ QUERIES = {
     "op8_lm_scoring": (language_model.op8_lm_scoring, None),
     "op9_shards": (sharding.op9_shards, None),
     "op10_ngram_jaccard_join": (jaccard.op10_ngram_jaccard_join, jaccard.OP10_SQL),
+    "op13_conversation_trie": (trie.op13_conversation_trie, trie.OP13_SQL),
 }
