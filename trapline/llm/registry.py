@@ -1,7 +1,7 @@
 """The queries of this subpackage: name -> (query, DuckDB SQL or None)."""
 from __future__ import annotations
 
-from trapline.llm import decontaminate, jaccard, langid, language_model, mixing, passages, quality, sharding, sketches, suffixes, trie, urls
+from trapline.llm import decontaminate, jaccard, langid, language_model, mixing, negatives, passages, quality, sharding, sketches, suffixes, trie, urls
 
 QUERIES = {
     "op1_url_filters": (urls.op1_url_filters, urls.OP1_SQL),
@@ -15,5 +15,6 @@ QUERIES = {
     "op9_shards": (sharding.op9_shards, None),
     "op10_ngram_jaccard_join": (jaccard.op10_ngram_jaccard_join, jaccard.OP10_SQL),
     "op11_minhash_dedup": (sketches.op11_minhash_dedup, sketches.OP11_SQL),
+    "op12_hard_negatives": (negatives.op12_hard_negatives, negatives.OP12_SQL),
     "op13_conversation_trie": (trie.op13_conversation_trie, trie.OP13_SQL),
 }
