@@ -5,16 +5,17 @@ sketch is the SKETCH smallest.  Equal sets are one class and are never compared.
 
 1. Inverted lists of retained values generate overlaps.  Two sets of Jaccard at least
    4/5 share at least SHARED of the SKETCH smallest values of their union (see below), all
-   of them in both sketches; so they share one of the values that are left when each
-   sketch drops all but SHARED - 1 of its most frequent values, and only those are
-   listed.  Frequency is counted in a fixed number of cells: it decides the order, which
-   is right in any form.
-2. Every set of a list meets the list's leader (its smallest class number).  Found
-   links are contracted to components.
-3. Sets of one list that are still in different components meet: in short lists as
-   pairs, in long ones (a large group of near copies) all sets that are outside the list's
-   largest component meet that component, in blocks of both inside tasks, and only
-   links between components leave a block.
+   of them in both sketches; so they share at least MEET of the values that are left when
+   each sketch drops its SHARED - MEET most frequent values, and only those are listed.
+   The most frequent values, a table of bounded size, come last in that order in a
+   task's memory; the order is right in any form.
+2. A set meets a list's leader (its smallest class number) if that leads two of its
+   lists.  Found links are contracted to components.
+3. Sets of one list that are still in different components meet: as pairs if they
+   share MEET short lists; in a long list (a large group of near copies) all sets outside
+   the list's largest component meet that component, in blocks of both inside tasks, and
+   only links between components leave a block.  A pair shares a long list, or all
+   that it shares are short ones, so none is missed.
 
 A pair that meets is estimated by the union of the sketches (the share of the union's
 SKETCH smallest values that both have) and verified by the whole sets if the estimate is at
@@ -46,7 +47,9 @@ SHINGLE = 2
 PERCENT = 80
 SKETCH = 64
 SHARED = 28        # of the union's SKETCH smallest values
-CELLS = 1 << 18    # counters of the order, one byte each in a task
+MEET = 6           # values of the lists that a pair must share
+RARE = 4           # a value of so many classes needs no place in the order
+FREQUENT = 1 << 21 # values that the order may know; 9 bytes each in a task
 SHORT_LIST = 32    # sets of a list that meet as pairs
 BLOCK_SETS = 256   # sets on either side of a block
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -100,22 +103,27 @@ def scan(docs: DataFrame) -> DataFrame:
             .mapInArrow(run, "doc_id long, rid long, k1 long, k2 long, n long, sketch binary"))
 
 
-def frequencies(classes: DataFrame) -> np.ndarray:
-    """For each cell log2 of how many retained values it has if some task found it crowded, else 0: CELLS bytes."""
+def frequencies(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent retained values, ascending, and log2 of their numbers of classes: FREQUENT values at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
         for batch in batches:
-            value = np.concatenate([np.zeros(0, np.uint64), *_arrays(batch.column(0))])
-            cells += np.bincount((value & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        mean = cells.sum() / CELLS
-        at = np.flatnonzero(cells > mean + 6 * np.sqrt(mean) + 4)
-        yield pa.RecordBatch.from_pydict({"cell": at, "n": cells[at]})
-
-    got = classes.select("sketch").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(CELLS, np.uint8)
-    out[got["cell"].to_numpy(np.int64)] = np.log2(got["n"].to_numpy(float)).astype(np.uint8)
-    return out
+            for at in range(0, batch.num_rows, 2048):
+                value = np.concatenate(_arrays(batch.column(0).slice(at, 2048)))
+                yield pa.RecordBatch.from_pydict({"value": value.view(np.int64)})
+
+    counts = classes.select("sketch").mapInArrow(run, "value long").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts.where(F.col("n") > RARE).select("value", F.floor(F.log2("n")).cast("byte").alias("level")))
+    least, total = 127, 0
+    for level, n in sorted(counts.groupBy("level").count().collect(), reverse=True):  # a row a power of two
+        total += n
+        if total > FREQUENT:
+            break
+        least = level
+    got = counts.where(F.col("level") >= least).toPandas()
+    value, level = got["value"].to_numpy(np.int64).view(np.uint64), got["level"].to_numpy(np.int8)
+    order = np.argsort(value)
+    return value[order], level[order]
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -123,22 +131,30 @@ def needed(n: np.ndarray) -> np.ndarray:
     return np.where(100 * n <= PERCENT * SKETCH, -(-n * PERCENT // 100), SHARED)
 
 
-def postings(classes: DataFrame, crowd: np.ndarray) -> DataFrame:
-    """(value, c): each class's retained values but for the most frequent needed(n) - 1."""
-    shared = classes.sparkSession.sparkContext.broadcast(crowd)
+def postings(classes: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(value, c, meet): each class's retained values but for the most frequent, and how many a pair must share."""
+    shared = classes.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, level = shared.value
         for batch in batches:
-            c, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            size = np.minimum(n, SKETCH)
-            value = np.concatenate([np.zeros(0, np.uint64), *_arrays(batch.column(2))])
-            of = np.repeat(np.arange(len(c)), size)
-            order = np.lexsort((value, shared.value[(value & np.uint64(CELLS - 1)).astype(np.int64)], of))
-            place = np.arange(len(of)) - (np.cumsum(size) - size)[of]
-            keep = place < (size - needed(n) + 1)[of]
-            yield pa.RecordBatch.from_pydict({"value": value[order][keep].view(np.int64), "c": c[of[keep]]})
-
-    return classes.select("c", "n", "sketch").mapInArrow(run, "value long, c long")
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                c, n = part.column(0).to_numpy(), part.column(1).to_numpy()
+                size, need = np.minimum(n, SKETCH), needed(n)
+                meet = np.minimum(need, MEET)
+                value = np.concatenate(_arrays(part.column(2)))
+                of = np.repeat(np.arange(len(c)), size)
+                crowd = np.zeros(len(value), np.int8)
+                if len(known):
+                    found = np.minimum(np.searchsorted(known, value), len(known) - 1)
+                    crowd = np.where(known[found] == value, level[found], crowd)
+                order = np.lexsort((value, crowd, of))
+                place = np.arange(len(of)) - (np.cumsum(size) - size)[of]
+                keep = place < (size - need + meet)[of]
+                yield pa.RecordBatch.from_pydict({"value": value[order][keep].view(np.int64), "c": c[of[keep]], "meet": meet[of[keep]]})
+
+    return classes.select("c", "n", "sketch").mapInArrow(run, "value long, c long, meet long")
 
 
 def estimated(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -281,20 +297,23 @@ def classes_and_components(docs: DataFrame) -> DataFrame:
     found = materialize(postings(classes, frequencies(classes)))
     heads = found.groupBy("value").agg(F.min("c").alias("lead"), F.max("c").alias("hi")).where("lead <> hi").select("value", "lead")
     lists = materialize(found.join(heads, "value"))  # (value, c, lead)
-    met = materialize(lists.where("c <> lead").select(F.col("lead").alias("a"), F.col("c").alias("b")).distinct())
+    met = materialize(lists.where("c <> lead").groupBy(F.col("lead").alias("a"), F.col("c").alias("b"))
+                      .agg(F.count(F.lit(1)).alias("k"), F.max("meet").alias("meet")).where("k >= least(meet, 2)").select("a", "b"))
     near = materialize(likely(met, classes))
     whole = materialize(whole_sets(docs, classes, near.select(F.col("a").alias("c")).union(near.select(F.col("b").alias("c"))).distinct()))
     links = materialize(verified(near, whole))
     labels = materialize(components(links)).withColumnsRenamed({"node": "c", "component": "comp"})
 
-    members = materialize(lists.select("value", "c").join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c")))
+    members = materialize(lists.select("value", "c", "meet").join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c")))
     per = members.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("k"))
     mixed = materialize(per.groupBy("value").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
                         .where("comps > 1").select("value", "size", F.col("top.comp").alias("main")))
-    # short lists: sets of different components, as pairs not seen with a leader
+    # short lists: sets of different components, as pairs that no leader has decided
     short = members.join(mixed.where(F.col("size") <= SHORT_LIST).select("value"), "value", "left_semi")
-    one, two = (short.select("value", F.col("c").alias(s), F.col("comp").alias(f"of_{s}")) for s in "ab")
-    pairs = one.join(two, "value").where("a < b AND of_a <> of_b").select("a", "b").distinct().join(met, ["a", "b"], "left_anti")
+    one, two = (short.select("value", F.col("c").alias(s), F.col("comp").alias(f"of_{s}"), F.col("meet").alias(f"meet_{s}")) for s in "ab")
+    pairs = (one.join(two, "value").where("a < b AND of_a <> of_b").groupBy("a", "b")
+             .agg(F.count(F.lit(1)).alias("k"), F.min(F.least("meet_a", "meet_b")).alias("meet")).where("k >= meet")
+             .select("a", "b").join(met, ["a", "b"], "left_anti"))
     across = materialize(likely(pairs, classes))
     # long lists: sets outside a list's largest component with that component
     long = members.join(small(mixed.where(F.col("size") > SHORT_LIST).select("value", "main"), 32), "value")

@@ -91,8 +91,9 @@ def tour(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     parents = materialize(nodes.select("node", "conv_id", *KEY).join(family, KEY, "left")
                           .select("node", "conv_id", "first", "last", *KEY))
     numbered = kids.select("node", "seq")
-    enter = (parents.join(numbered.withColumnsRenamed({"node": "kid", "seq": "first"}), "first", "left")
-             .select((2 * F.col("node")).alias("id"), F.coalesce(2 * F.col("kid"), 2 * F.col("node") + 1).alias("next")))
+    enter = parents.where("first IS NULL").select((2 * F.col("node")).alias("id"), (2 * F.col("node") + 1).alias("next")).union(
+        parents.where("first IS NOT NULL").join(numbered.withColumnsRenamed({"node": "kid", "seq": "first"}), "first")
+        .select((2 * F.col("node")).alias("id"), (2 * F.col("kid")).alias("next")))
     ended = numbered.join(parents.where("last IS NOT NULL").select(F.col("last").alias("seq"), F.col("node").alias("parent")), "seq", "left")
     following = numbered.select((F.col("seq") - 1).alias("seq"), F.col("node").alias("sibling"))
     leave = (ended.join(following, "seq", "left")
