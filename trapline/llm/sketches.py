@@ -9,7 +9,7 @@ sketch is the SKETCH smallest.  Equal sets are one class and are never compared.
    each sketch drops its SHARED - MEET most frequent values, and only those are listed.
    The most frequent values, a table of bounded size, come last in that order in a
    task's memory; the order is right in any form.
-2. A set meets a list's leader (its smallest class number) if that leads two of its
+2. A set meets a list's leader (its smallest class number) if that leads LED of its
    lists.  Found links are contracted to components.
 3. Sets of one list that are still in different components meet: as pairs if they
    share MEET short lists; in a long list (a large group of near copies) all sets outside
@@ -48,6 +48,7 @@ PERCENT = 80
 SKETCH = 64
 SHARED = 28        # of the union's SKETCH smallest values
 MEET = 6           # values of the lists that a pair must share
+LED = 4            # lists that a leader must lead for a set to meet it before others
 RARE = 4           # a value of so many classes needs no place in the order
 FREQUENT = 1 << 21 # values that the order may know; 9 bytes each in a task
 SHORT_LIST = 32    # sets of a list that meet as pairs
@@ -157,25 +158,32 @@ def postings(classes: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
     return classes.select("c", "n", "sketch").mapInArrow(run, "value long, c long, meet long")
 
 
-def estimated(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """For each pair of sets (or sketches) whether its union sketch has enough values that both have."""
-    out = np.zeros(len(a), bool)
-    for i in range(0, len(a), 4096):
-        x, y = a[i:i + 4096], b[i:i + 4096]
-        both = np.full((len(x), 2 * SKETCH), _NONE)
-        for j, (u, v) in enumerate(zip(x, y)):
-            u, v = u[:SKETCH], v[:SKETCH]
-            both[j, :len(u)], both[j, SKETCH:SKETCH + len(v)] = u, v
-        both.sort(axis=1)
-        valid = both != _NONE
-        new = valid.copy()
-        new[:, 1:] &= both[:, 1:] != both[:, :-1]
-        rank = np.cumsum(new, axis=1)
-        same = (valid & ~new & (rank <= SKETCH)).sum(axis=1)
-        out[i:i + 4096] = same * SKETCH >= SHARED * np.minimum(rank[:, -1], SKETCH)
+def heads(sets_: list[np.ndarray]) -> np.ndarray:
+    """The sketches of the sets as rows of one matrix, filled up with _NONE."""
+    out = np.full((len(sets_), SKETCH), _NONE)
+    for row, x in zip(out, sets_):
+        x = x[:SKETCH]
+        row[:len(x)] = x
     return out
 
 
+def near_enough(both: np.ndarray) -> np.ndarray:
+    """For two sketches side by side in each row whether their union's sketch has enough values that both have."""
+    both = np.sort(both, axis=1)
+    valid = both != _NONE
+    new = valid.copy()
+    new[:, 1:] &= both[:, 1:] != both[:, :-1]
+    rank = np.cumsum(new, axis=1)
+    same = (valid & ~new & (rank <= SKETCH)).sum(axis=1)
+    return same * SKETCH >= SHARED * np.minimum(rank[:, -1], SKETCH)
+
+
+def estimated(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """For each pair of sets whether the union sketch's estimate passes."""
+    parts = [near_enough(np.hstack((heads(a[i:i + 4096]), heads(b[i:i + 4096])))) for i in range(0, len(a), 4096)]
+    return np.concatenate([np.zeros(0, bool), *parts])
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Exact Jaccard of two ascending sets against the threshold."""
     if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
@@ -201,30 +209,19 @@ def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
     return texts.select("c", "text", "k1", "k2").mapInArrow(run, "c long, shingles binary").dropDuplicates(["c"])
 
 
-def with_sides(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
-    one, two = (of.select(F.col("c").alias(s), F.col(column).alias(f"{s}_{column}")) for s in "ab")
-    return pairs.join(one, "a").join(two, "b")
-
-
-def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose union-sketch estimate passes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.select([0, 1]).filter(pa.array(estimated(_arrays(batch.column(2)), _arrays(batch.column(3)))))
-
-    return (with_sides(pairs, classes, "sketch").select("a", "b", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long"))
-
-
 def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+    """The pairs (a, b) whose union-sketch estimate passes and whose whole sets link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yes = [linked(x, y) for x, y in zip(_arrays(batch.column(2)), _arrays(batch.column(3)))]
-            yield batch.select([0, 1]).filter(pa.array(yes, pa.bool_()))
+            x, y = _arrays(batch.column(2)), _arrays(batch.column(3))
+            yes = estimated(x, y)
+            for i in np.flatnonzero(yes):
+                yes[i] = linked(x[i], y[i])
+            yield batch.select([0, 1]).filter(pa.array(yes))
 
-    return (with_sides(pairs, whole, "shingles").select("a", "b", "a_shingles", "b_shingles").mapInArrow(run, "a long, b long"))
+    one, two = (whole.select(F.col("c").alias(s), F.col("shingles").alias(f"{s}_shingles")) for s in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "a_shingles", "b_shingles").mapInArrow(run, "a long, b long")
 
 
 def links_in_blocks(outside: DataFrame, inside: DataFrame, whole: DataFrame) -> DataFrame:
@@ -257,10 +254,9 @@ def _block_links(rows: pa.Table) -> list[tuple[int, int]]:
     them, us = np.flatnonzero(~asks), np.flatnonzero(asks)
     if not len(them) or not len(us):
         return []
-    value = np.concatenate([whole[i][:SKETCH] for i in them])
-    owner = np.repeat(np.arange(len(them)), [min(len(whole[i]), SKETCH) for i in them])
-    order = np.argsort(value, kind="stable")
-    value, owner = value[order], owner[order]
+    head, size = heads(whole), np.array([len(x) for x in whole])
+    value = np.sort(head[them], axis=None)
+    owner = them[np.argsort(head[them], axis=None, kind="stable") // SKETCH]
     root = {int(x): int(x) for x in comp}
 
     def find(x: int) -> int:
@@ -270,20 +266,26 @@ def _block_links(rows: pa.Table) -> list[tuple[int, int]]:
 
     out = []
     for i in us:
-        mine = whole[i][:SKETCH]
+        mine = head[i][head[i] != _NONE]
         lo, hi = np.searchsorted(value, mine, "left"), np.searchsorted(value, mine, "right")
         met = [owner[a:b] for a, b in zip(lo, hi) if b > a]
         if not met:
             continue
-        same = np.bincount(np.concatenate(met), minlength=len(them))
-        near = np.flatnonzero(same >= needed(np.array([len(whole[i])]))[0])
-        near = near[np.argsort(-same[near], kind="stable")]
-        near = near[estimated([whole[i]] * len(near), [whole[them[j]] for j in near])] if len(near) else near
-        for j in near:
-            x, y = find(int(comp[i])), find(int(comp[them[j]]))
-            if x != y and linked(whole[i], whole[them[j]]):
+        same = np.bincount(np.concatenate(met), minlength=len(whole))
+        near = np.flatnonzero(same >= needed(size[i:i + 1])[0])
+        near = near[(100 * np.minimum(size[near], size[i]) >= PERCENT * np.maximum(size[near], size[i])) & (comp[near] != comp[i])]
+        near = near[near_enough(np.hstack((np.broadcast_to(head[i], (len(near), SKETCH)), head[near])))]
+        if not len(near):
+            continue
+        # exact overlaps with all that are near, at once
+        values = np.concatenate([whole[j] for j in near])
+        at = np.minimum(np.searchsorted(whole[i], values), size[i] - 1)
+        overlap = np.add.reduceat(whole[i][at] == values, np.cumsum(size[near]) - size[near], dtype=np.int64)
+        for j in near[(100 + PERCENT) * overlap >= PERCENT * (size[near] + size[i])]:
+            x, y = find(int(comp[i])), find(int(comp[j]))
+            if x != y:
                 root[max(x, y)] = min(x, y)
-                out.append((int(c[i]), int(c[them[j]])))
+                out.append((int(c[i]), int(c[j])))
     return out
 
 
@@ -295,14 +297,12 @@ def classes_and_components(docs: DataFrame) -> DataFrame:
                .select("k1", "k2", "one.rid", "n", "sketch", F.monotonically_increasing_id().alias("c")))
     classes = materialize(classes)
     found = materialize(postings(classes, frequencies(classes)))
-    heads = found.groupBy("value").agg(F.min("c").alias("lead"), F.max("c").alias("hi")).where("lead <> hi").select("value", "lead")
-    lists = materialize(found.join(heads, "value"))  # (value, c, lead)
+    leads = found.groupBy("value").agg(F.min("c").alias("lead"), F.max("c").alias("hi")).where("lead <> hi").select("value", "lead")
+    lists = materialize(found.join(leads, "value"))  # (value, c, lead)
     met = materialize(lists.where("c <> lead").groupBy(F.col("lead").alias("a"), F.col("c").alias("b"))
-                      .agg(F.count(F.lit(1)).alias("k"), F.max("meet").alias("meet")).where("k >= least(meet, 2)").select("a", "b"))
-    near = materialize(likely(met, classes))
-    whole = materialize(whole_sets(docs, classes, near.select(F.col("a").alias("c")).union(near.select(F.col("b").alias("c"))).distinct()))
-    links = materialize(verified(near, whole))
-    labels = materialize(components(links)).withColumnsRenamed({"node": "c", "component": "comp"})
+                      .agg(F.count(F.lit(1)).alias("k"), F.max("meet").alias("meet")).where(f"k >= least(meet, {LED})").select("a", "b"))
+    whole = materialize(whole_sets(docs, classes, met.select(F.col("a").alias("c")).union(met.select(F.col("b").alias("c"))).distinct()))
+    labels = materialize(components(verified(met, whole))).withColumnsRenamed({"node": "c", "component": "comp"})
 
     members = materialize(lists.select("value", "c", "meet").join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c")))
     per = members.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("k"))
@@ -314,18 +314,16 @@ def classes_and_components(docs: DataFrame) -> DataFrame:
     pairs = (one.join(two, "value").where("a < b AND of_a <> of_b").groupBy("a", "b")
              .agg(F.count(F.lit(1)).alias("k"), F.min(F.least("meet_a", "meet_b")).alias("meet")).where("k >= meet")
              .select("a", "b").join(met, ["a", "b"], "left_anti"))
-    across = materialize(likely(pairs, classes))
+    across = materialize(pairs)
     # long lists: sets outside a list's largest component with that component
     long = members.join(small(mixed.where(F.col("size") > SHORT_LIST).select("value", "main"), 32), "value")
     inside = materialize(long.select("main", "c", "comp").distinct())
     outside = inside.where("comp <> main")
-    met_again = outside.select("main").distinct()
-    inside = inside.join(small(materialize(met_again), 16), "main", "left_semi")
     wanted = (across.select(F.col("a").alias("c")).union(across.select(F.col("b").alias("c"))).union(inside.select("c")).distinct()
               .join(whole, "c", "left_anti"))
     whole = whole.union(materialize(whole_sets(docs, classes, wanted)))
     more = verified(across, whole).union(links_in_blocks(outside, inside, whole))
-    labels = materialize(components(links.union(more))).withColumnsRenamed({"node": "c", "component": "comp"})
+    labels = components(labels.select(F.col("c").alias("a"), F.col("comp").alias("b")).union(more)).withColumnsRenamed({"node": "c", "component": "comp"})
     named = classes.select("k1", "k2", "c").join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     return rows.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select("doc_id", "n", "c", "comp")
 
