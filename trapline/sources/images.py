@@ -1,13 +1,12 @@
 """Image listing and explicit file lists.
 
-The folder tree is walked by the executors, one level of folders a job, so every
-regular file is found (also names and folders that start with ``_`` or ``.``, which
-Spark's own file sources skip) and the driver holds no file index, only the number
-of folders of a level.
+The folder tree is walked by the executors (``sources/folders.py``), one level of folders
+a job, so every regular file is found (also names and folders that start with ``_`` or
+``.``, which Spark's own file sources skip) and the driver holds no file index, only the
+number of folders of a level.
 """
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
@@ -17,14 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trapline.constants import IMAGE_EXTENSIONS
-from trapline.session import materialize
+from trapline.sources.folders import absolute, file_system, scan_tree
 
 LISTING_SCHEMA = T.StructType([
     T.StructField("path", T.StringType(), False),
     T.StructField("modificationTime", T.TimestampType(), True),
     T.StructField("length", T.LongType(), True),
 ])
-_WALK = "path string, mtime double, length long, folder boolean"
 
 
 def strip_scheme(path_col) -> F.Column:
@@ -32,78 +30,23 @@ def strip_scheme(path_col) -> F.Column:
     return F.regexp_replace(path_col, r"^file:/*(?=/)", "")
 
 
-def absolute(path: str) -> str:
-    """A local path made absolute and normal (its ``file:`` dropped); paths with another scheme as they are."""
-    path = re.sub(r"^file:/*(?=/)", "", path)
-    return path if "://" in path else os.path.abspath(path)
-
-
-def file_system(path: str):
-    """(pyarrow file system, path in it) of a path with a scheme; an unknown scheme is an error, not an empty result."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
-
-
-def _entries(folder: str) -> Iterator[tuple[str, float | None, int | None, bool]]:
-    if "://" in folder:
-        from pyarrow import fs
-
-        system, inner = file_system(folder)
-        for e in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
-            yield (f"{folder.rstrip('/')}/{e.base_name}", e.mtime.timestamp() if e.mtime else None, e.size,
-                   e.type == fs.FileType.Directory)
-        return
-    try:
-        found = os.scandir(folder)
-    except FileNotFoundError:
-        return
-    with found:
-        for e in found:
-            if e.is_dir(follow_symlinks=False):
-                yield e.path, None, None, True
-            elif e.is_file():
-                st = e.stat()
-                yield e.path, st.st_mtime, st.st_size, False
-
-
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["path", "mtime", "length", "folder"]
-    for pdf in batches:
-        rows = []
-        for folder in pdf["path"]:
-            for row in _entries(folder):
-                rows.append(row)
-                if len(rows) >= 10_000:
-                    yield pd.DataFrame(rows, columns=columns).astype({"mtime": "float64", "length": "Int64"})
-                    rows = []
-        yield pd.DataFrame(rows, columns=columns).astype({"mtime": "float64", "length": "Int64", "folder": "bool"})
-
-
-def list_images(spark: SparkSession, root: str, exts=IMAGE_EXTENSIONS, with_content: bool = False) -> DataFrame:
+def list_images(spark: SparkSession, root: str, exts=IMAGE_EXTENSIONS, with_content: bool = False,
+                state_path: str | None = None) -> DataFrame:
     """Every image file under ``root`` (recursive), extension matched case-insensitively (``exts=None``: every file).
 
     Returns ``path, modificationTime, length`` (plus ``content`` on request).  A
-    missing folder gives an empty frame.  The walk runs when the listing is made,
-    and its levels are written tables.
+    missing folder gives an empty frame, an unreadable one is left out (``scan_tree``
+    names it).  With ``state_path`` folders unchanged since the last run are not opened.
+    The walk runs when the listing is made, and its levels are written tables.
     """
-    folders = spark.createDataFrame([(absolute(root),)], "path string")
-    levels = []
-    while True:
-        level = materialize(folders.mapInPandas(_walk, _WALK))
-        levels.append(level)
-        folders = level.where("folder").select("path")
-        n = folders.count()
-        if not n:
-            break
-        folders = folders.repartition(max(1, min(n, spark.sparkContext.defaultParallelism * 4)))
-    found = levels[0]
-    for level in levels[1:]:
-        found = found.unionByName(level)
-    found = found.where("NOT folder")
+    return images_among(scan_tree(spark, root, state_path).files, exts, with_content)
+
+
+def images_among(files: DataFrame, exts=IMAGE_EXTENSIONS, with_content: bool = False) -> DataFrame:
+    """The listing of a scan's files with one of the extensions (``None``: all)."""
     if exts is not None:
-        found = found.where(F.lower("path").rlike("(" + "|".join(re.escape(e.lower()) for e in exts) + ")$"))
-    found = found.select("path", F.timestamp_seconds("mtime").alias("modificationTime"), "length")
+        files = files.where(F.lower("path").rlike("(" + "|".join(re.escape(e.lower()) for e in exts) + ")$"))
+    found = files.select("path", F.timestamp_seconds("mtime").alias("modificationTime"), "length")
     return with_file_content(found) if with_content else found
 
 
@@ -133,3 +76,6 @@ def _content(path: str) -> bytes | None:
 def file_list(spark: SparkSession, paths: list[str]) -> DataFrame:
     """An explicit list of image paths (one row each, order kept in ``seen_order``)."""
     return spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, seen_order long")
+
+
+__all__ = ["LISTING_SCHEMA", "absolute", "file_list", "file_system", "images_among", "list_images", "strip_scheme", "with_file_content"]

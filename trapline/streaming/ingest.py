@@ -102,13 +102,15 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema, shape: Callable[
             "consecutive_failed": control.consecutive_failed}
 
 
-def queue_new_images(spark: SparkSession, root: str, queue: str, failed: str, files_per_trigger: int) -> None:
+def queue_new_images(spark: SparkSession, root: str, queue: str, failed: str, files_per_trigger: int,
+                     state_path: str | None = None) -> None:
     """Appends the images of ``root`` that were never queued, and those whose last attempt failed, to the queue.
 
     The queue is a Parquet table of paths, ``files_per_trigger`` rows a file, in
-    path order: what a micro-batch of the image stream reads.
+    path order: what a micro-batch of the image stream reads.  With ``state_path`` the
+    walk opens only folders that changed since the last run.
     """
-    listing = list_images(spark, root).select("path", "modificationTime")
+    listing = list_images(spark, root, state_path=state_path).select("path", "modificationTime")
     try:
         queued = spark.read.parquet(queue).groupBy("path").agg(F.count(F.lit(1)).alias("tries"))
     except AnalysisException:  # the first run
@@ -130,7 +132,7 @@ def ingest_images(spark: SparkSession, root: str, factory, names: DataFrame, tab
                   files_per_trigger: int | None = None) -> dict:
     """New image files under ``root`` -> scorer -> detections table, chunk by chunk.
 
-    Each run walks the folders and queues what is new (see
+    Each run walks the folders, opening those that changed since the last run, and queues what is new (see
     :func:`queue_new_images`); the stream reads the queue, so every regular file
     is seen whatever its name, and the scorer opens the files itself.  A
     micro-batch is at most ``files_per_trigger`` files (default: one model chunk,
@@ -152,7 +154,7 @@ def ingest_images(spark: SparkSession, root: str, factory, names: DataFrame, tab
 
     size = files_per_trigger or options.chunk_size
     queue, failed_path = f"{checkpoint.rstrip('/')}-queue", f"{checkpoint.rstrip('/')}-failed"
-    queue_new_images(spark, root, queue, failed_path, size)
+    queue_new_images(spark, root, queue, failed_path, size, f"{checkpoint.rstrip('/')}-folders")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         if control.stop_requested:
