@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from trapline.constants import (
@@ -29,6 +30,7 @@ from trapline.constants import (
     DEFAULT_COUNTRY,
     DEFAULT_MODEL_BATCH_SIZE,
 )
+from trapline.operators.breaker import SharedBreaker
 
 PREDICTION_SCHEMA = ("image_path string, det_index int, prediction string, prediction_score string, "
                      "prediction_source string, class string, class_name string, genus string, "
@@ -87,15 +89,17 @@ def _errors(pdf: pd.DataFrame, error: str) -> pd.DataFrame:
 
 
 def score_images(images: DataFrame, factory: ScorerFactory, options: ScoringOptions | None = None,
-                 path_col: str = "image_path", input_cols: tuple[str, ...] = ()) -> DataFrame:
+                 path_col: str = "image_path", input_cols: tuple[str, ...] = (),
+                 breaker: SharedBreaker | None = None) -> DataFrame:
     """PREDICTION rows for every image of ``images``.
 
     Only ``path_col`` and ``input_cols`` travel to Python.  Each Arrow batch
     is cut into chunks of ``options.chunk_size`` images; a chunk is the unit
     of scoring and of failure.  After ``options.consecutive_error_limit`` failed
     chunks in a row a task scores no more: the rest of its images get rows with
-    a breaker error, so a broken model is not asked for the whole archive.  No
-    session setting is changed.
+    a breaker error, so a broken model is not asked for the whole archive.  With a
+    ``breaker`` failures in a row are counted over all tasks of the job, and all of
+    them stop.  No session setting is changed.
     """
     options = options or ScoringOptions()
     cols = [path_col, *input_cols]
@@ -103,12 +107,13 @@ def score_images(images: DataFrame, factory: ScorerFactory, options: ScoringOpti
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score, failed = factory(options), 0  # once per task: the model loads once per worker task
+        task = TaskContext.get().partitionId() if breaker else 0
         for batch in batches:
             batch = batch.rename(columns={path_col: "image_path"})
             for start in range(0, len(batch), size):
                 pdf = batch.iloc[start:start + size].reset_index(drop=True)
-                if failed >= options.consecutive_error_limit:
-                    yield _errors(pdf, f"{BREAKER}: {failed} failed chunks in a row")
+                if failed >= options.consecutive_error_limit or (breaker and breaker.tripped()):
+                    yield _errors(pdf, f"{BREAKER}: {options.consecutive_error_limit} failed chunks in a row")
                     continue
                 try:
                     out = _shape(score(pdf))
@@ -116,6 +121,10 @@ def score_images(images: DataFrame, factory: ScorerFactory, options: ScoringOpti
                 except Exception as e:  # noqa: BLE001 - a failed chunk becomes error rows (Q13)
                     out = _errors(pdf, f"{type(e).__name__}: {e}")
                     failed += 1
+                if breaker and failed:
+                    breaker.failed(out["error"].iloc[0])
+                elif breaker:
+                    breaker.succeeded(task)
                 yield out
 
     return images.select(*cols).mapInPandas(run, PREDICTION_SCHEMA)

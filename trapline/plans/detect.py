@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trapline.operators import detections as det
+from trapline.operators.breaker import SharedBreaker
 from trapline.operators.incremental import pending_images
 from trapline.functions.paths import normal_path
 from trapline.operators.scoring import BREAKER, ScorerFactory, ScoringOptions, score_images
@@ -73,6 +74,7 @@ class DetectionRun:
     pending: DataFrame       # images to score after the resume filter
     observation: Observation | None = None  # listed / pending counts, filled by the write
     breaker: Observation | None = None  # images left alone by the breaker, filled by the write
+    failures: SharedBreaker | None = None  # the job's log of failed chunks
 
 
 def detect_images(listing: DataFrame, factory: ScorerFactory, names: DataFrame,
@@ -82,16 +84,18 @@ def detect_images(listing: DataFrame, factory: ScorerFactory, names: DataFrame,
 
     The capture date is stored once per image (P18): EXIF tags read from
     each pending file, else the file time.  ``capture_dates`` overrides
-    it; ``read_exif=False`` uses the file time only.
+    it; ``read_exif=False`` uses the file time only.  Failed chunks in a row are
+    counted over all tasks (``SharedBreaker``).
     """
     options = options or ScoringOptions()
+    shared = SharedBreaker.of(listing.sparkSession, options.consecutive_error_limit)
     images = listing.select(normal_path("path").alias("image_path"), "modificationTime")
     pending = pending_images(images, done)
     obs = Observation()
     # counts ride along with the scoring job instead of separate count jobs
     pending = pending.observe(obs, F.count(F.lit(1)).alias("pending_images"))
     broken = Observation()
-    preds = score_images(pending, factory, options).observe(
+    preds = score_images(pending, factory, options, breaker=shared).observe(
         broken, F.count_if(F.col("error").startswith(BREAKER)).alias("not_scored"))
     rows = image_rows(pending, preds, names, options.confidence_threshold)
     if capture_dates is None and read_exif:
@@ -105,7 +109,7 @@ def detect_images(listing: DataFrame, factory: ScorerFactory, names: DataFrame,
     else:
         rows = rows.withColumn("image_date", F.date_format("modificationTime", "yyyy-MM-dd"))
     rows = rows.withColumn("image_date", F.coalesce(F.col("image_date"), F.lit("")))
-    return DetectionRun(rows=rows, pending=pending, observation=obs, breaker=broken)
+    return DetectionRun(rows=rows, pending=pending, observation=obs, breaker=broken, failures=shared)
 
 
 def run_detection(run: DetectionRun, table_path: str, total_images: int | None = None) -> dict:
