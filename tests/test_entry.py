@@ -3,9 +3,10 @@ import __spark_entry__ as E
 from tools.compare import compare
 from trapline.plans.catalog import QUERIES
 from trapline.plans.catalog_edges import QUERIES as EDGE_QUERIES
+from trapline.plans.catalog_tables import QUERIES as TABLE_QUERIES
 
 # the library's own queries; the optional training-text ones have tests of their own
-NAMES = [*QUERIES, *EDGE_QUERIES]
+NAMES = [*QUERIES, *EDGE_QUERIES, *TABLE_QUERIES]
 SF = "/root/testdata/sf0.001"
 
 

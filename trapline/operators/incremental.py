@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trapline.constants import DEFAULT_CONSECUTIVE_ERROR_LIMIT
 from trapline.functions.text import empty_if_null, ustrip
 from trapline.operators.ordinal import with_ordinal
+from trapline.sinks.archive import Archive
 
 
 def processed_paths(done: DataFrame, key: str = "image_path") -> DataFrame:
@@ -19,10 +20,15 @@ def processed_paths(done: DataFrame, key: str = "image_path") -> DataFrame:
     return done.select(p.alias(key)).filter(F.col(key) != "")
 
 
-def pending_images(images: DataFrame, done: DataFrame | None, key: str = "image_path") -> DataFrame:
-    """Images not yet in the table (exact string match); duplicates kept."""
+def pending_images(images: DataFrame, done: DataFrame | Archive | None, key: str = "image_path") -> DataFrame:
+    """Images not yet in the table (exact string match); duplicates kept.
+
+    A frame is joined by a shuffle of both sides; a bucketed ``Archive`` stays where it lies.
+    """
     if done is None:
         return images
+    if isinstance(done, Archive):
+        return done.pending(images, key)
     return images.join(processed_paths(done, key), key, "left_anti")
 
 

@@ -15,7 +15,8 @@ from trapline.operators.breaker import SharedBreaker
 from trapline.operators.incremental import pending_images
 from trapline.functions.paths import normal_path
 from trapline.operators.scoring import BREAKER, ScorerFactory, ScoringOptions, score_images
-from trapline.sinks.tables import append_detections
+from trapline.sinks.archive import Archive
+from trapline.sinks.tables import append_detections, table_rows
 from trapline.sources.predictions import best_box
 
 
@@ -78,7 +79,7 @@ class DetectionRun:
 
 
 def detect_images(listing: DataFrame, factory: ScorerFactory, names: DataFrame,
-                  options: ScoringOptions | None = None, done: DataFrame | None = None,
+                  options: ScoringOptions | None = None, done: DataFrame | Archive | None = None,
                   capture_dates: DataFrame | None = None, read_exif: bool = True) -> DetectionRun:
     """Lazy plan for a folder listing (``path, modificationTime``) -> table rows.
 
@@ -112,9 +113,10 @@ def detect_images(listing: DataFrame, factory: ScorerFactory, names: DataFrame,
     return DetectionRun(rows=rows, pending=pending, observation=obs, breaker=broken, failures=shared)
 
 
-def run_detection(run: DetectionRun, table_path: str, total_images: int | None = None) -> dict:
+def run_detection(run: DetectionRun, table_path: str | Archive, total_images: int | None = None) -> dict:
     """Execute the plan once: append the rows (K1) and return the run summary (A2).
 
+    The rows go to a Parquet folder, or to the buckets of an ``Archive``.
     ``successful`` counts images with any detection above the threshold,
     blanks included (Q3); ``failed`` the others (Q4).  ``stopped`` is true when
     the breaker left images unscored (a resume takes them up again).  With ``total_images``
@@ -123,7 +125,11 @@ def run_detection(run: DetectionRun, table_path: str, total_images: int | None =
     obs = Observation()
     rows = run.rows.observe(obs, F.count(F.lit(1)).alias("total_processed"),
                             F.count_if(F.col("n_detections") > 0).alias("successful"))
-    append_detections(rows, table_path)
+    if isinstance(table_path, Archive):
+        table_path.append(table_rows(rows))
+        table_path = table_path.path
+    else:
+        append_detections(rows, table_path)
     m = _observed(obs)
     pending = _observed(run.observation).get("pending_images", 0) if run.observation is not None else None
     out = {"total_processed": int(m.get("total_processed", 0)), "successful": int(m.get("successful", 0)),

@@ -21,23 +21,27 @@ from trapline.session import materialize, scratch_dir
 from trapline.sinks.csv_excel import write_pivot, write_species_list, write_summary_report
 from trapline.sinks.files import DONE, execute_routing
 from trapline.sinks.manifest import write_manifest
+from trapline.sinks.sequenced import is_sequenced, read_sequenced
 from trapline.sources.detections_csv import read_detections_csv, typed_detections
 from trapline.sources.images import absolute, list_images
 
 
-def load_table(spark: SparkSession, path: str) -> DataFrame:
+def load_table(spark: SparkSession, path: str, ordered: bool = True) -> DataFrame:
     """The detections table from Parquet or from CSV (by extension), with a ``seen_order``.
 
     CSV rows keep file order as ``seen_order`` (single file: row position);
-    Parquet tables carry the column they were written with, else it is the
-    row's position in path order (then by species, confidence and time, for rows
-    of one path), the same at every read however the files are split.
+    tables numbered when written (``sinks/sequenced.py``) and others that carry the
+    column are read as they are.  Else it is the row's position in path order (then by
+    species, confidence and time, for rows of one path), the same at every read however
+    the files are split, which sorts and writes the table once; not if ``ordered`` is false.
     """
+    if not path.endswith(".csv") and is_sequenced(spark, path):
+        return read_sequenced(spark, path)
     if path.endswith(".csv"):
         t = typed_detections(read_detections_csv(spark, path))
         return t.withColumn("seen_order", F.monotonically_increasing_id())
     t = spark.read.parquet(path)
-    if "seen_order" not in t.columns:
+    if ordered and "seen_order" not in t.columns:
         ties = [c for c in ("species", "confidence", "timestamp", "image_name") if c in t.columns]
         t = with_path_order(t, ["image_path", *ties])
     return t
@@ -48,7 +52,7 @@ def pivot_report(spark: SparkSession, table_path: str, out_path: str, names: Dat
     """§3.2: date x label pivot (K6).  Dates missing from the table are read from the
     image files under ``image_root`` (EXIF, then file time) when given (J6)."""
     names = names if names is not None else names_frame(spark)
-    table = load_table(spark, table_path)
+    table = load_table(spark, table_path, ordered=False)  # counts only
     caps = _missing_dates(table) if image_root else None
     labeled = lab.with_report_label(lab.with_report_date(table, caps), names)
     pivot = rep.daily_label_pivot(lab.daily_label_counts(labeled))
