@@ -100,9 +100,10 @@ def dedup_destinations(plan: DataFrame, existing: DataFrame | None = None,
     ``existing`` is ``(target_dir, file_name)``.  No step joins all rows on
     the group key (a hot name would meet in one task): positions come from
     :func:`with_ordinal`, the "name already taken" check joins first rows
-    only.  In a group without claimed numbers (nearly all) a row's number
-    follows from its position; only groups with claims generate candidates,
-    matched on the unique ``(group, position)``.
+    only, and what holds for a group reaches its rows by ``(group, slice)``,
+    slices of ``bucket_rows`` of the order.  In a group without claimed
+    numbers (nearly all) a row's number follows from its position; only groups
+    with claims generate candidates, matched on the unique ``(group, position)``.
     """
     spark = plan.sparkSession
     run_stamp = run_stamp or datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S%f")
@@ -111,7 +112,8 @@ def dedup_destinations(plan: DataFrame, existing: DataFrame | None = None,
     existing = existing.select("target_dir", "file_name").distinct()
     g = ["target_dir", name_col]
     p = with_ordinal(plan, g, order_col, "_k", bucket_rows)
-    p = p.withColumns({"_stem": file_stem(F.col(name_col)), "_ext": file_suffix(F.col(name_col))})
+    p = p.withColumns({"_stem": file_stem(F.col(name_col)), "_ext": file_suffix(F.col(name_col)),
+                       "_slice": F.floor(F.col(order_col) / F.lit(bucket_rows)).cast("long")})
     if materialize_input:
         p = materialize(p)  # positioned rows: read by first rows, group sizes and requests
     taken = existing.select("target_dir", F.col("file_name").alias(name_col), F.lit(True).alias("_exists"))
@@ -137,8 +139,10 @@ def dedup_destinations(plan: DataFrame, existing: DataFrame | None = None,
     # whether a group's first row keeps its name: few groups lose it (their name exists already)
     lost = firsts.filter(~F.col("_kept")).select(*g, F.lit(0).alias("_lost"))
     claimed_groups = claims.select(*g).distinct().withColumn("_claimed", F.lit(True))
-    requests = (requests.join(lost, g, "left").withColumn("_shift", F.coalesce("_shift", "_lost", F.lit(1))).drop("_lost")
-                .join(claimed_groups, g, "left"))
+    # both facts of a group go to its slices first (a row a slice), and from a slice to its rows
+    marked = p.groupBy(*g, "_slice").agg(F.lit(0).alias("_z")).drop("_z").join(lost.join(claimed_groups, g, "full"), g)
+    requests = (requests.join(marked, [*g, "_slice"], "left").withColumn("_shift", F.coalesce("_shift", "_lost", F.lit(1)))
+                .drop("_lost", "_slice"))
     if materialize_input:
         requests = materialize(requests)
     plain = requests.filter(F.col("_claimed").isNull()).withColumn("_n", F.col("_k").cast("long") - F.col("_shift"))
@@ -166,7 +170,7 @@ def dedup_destinations(plan: DataFrame, existing: DataFrame | None = None,
     many = (numbered.filter(F.col("_n") > DUPLICATE_SUFFIX_MAX).withColumn("_over", over)
             .join(taken_over, ["target_dir", "_over"], "left")
             .withColumn("dest_name", F.when(F.col("_taken"), again).otherwise(F.col("_over"))).drop("_over", "_taken"))
-    out = (kept.drop("_kept").withColumn("dest_name", F.col(name_col))
+    out = (kept.drop("_kept", "_slice").withColumn("dest_name", F.col(name_col))
            .unionByName(few.unionByName(many.select(*few.columns)).drop("_n", "_shift", "_claimed")))
     return (out.withColumn("dest_path", F.concat(F.col("target_dir"), F.lit("/"), F.col("dest_name")))
             .drop("_k", "_stem", "_ext"))

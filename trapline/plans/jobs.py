@@ -21,6 +21,7 @@ from trapline.session import materialize, scratch_dir
 from trapline.sinks.csv_excel import write_pivot, write_species_list, write_summary_report
 from trapline.sinks.files import DONE, execute_routing
 from trapline.sinks.manifest import write_manifest
+from trapline.sinks.manifest_document import write_manifest_document
 from trapline.sinks.sequenced import is_sequenced, read_sequenced
 from trapline.sources.detections_csv import read_detections_csv, typed_detections
 from trapline.sources.images import absolute, list_images
@@ -90,9 +91,9 @@ def species_list_job(spark: SparkSession, detections: DataFrame, out_path: str,
 
 def route_images(spark: SparkSession, table_path: str, image_root: str, out_base: str,
                  mode: str = "copy", by_date: bool = False, names: DataFrame | None = None,
-                 status_path: str | None = None, manifest_path: str | None = None) -> dict:
+                 status_path: str | None = None, manifest_path: str | None = None, document_path: str | None = None) -> dict:
     """§3.3: plan (J5, J7, P19-P24), unique names against files already in ``out_base`` (W2),
-    copy or move (K8), manifest (K7) and statistics (A11)."""
+    copy or move (K8), manifest (K7; ``document_path``: as one JSON document in pieces) and statistics (A11)."""
     names = names if names is not None else names_frame(spark)
     out_base = absolute(out_base)
     listing = list_images(spark, image_root)
@@ -110,6 +111,8 @@ def route_images(spark: SparkSession, table_path: str, image_root: str, out_base
     done = status.filter(F.col("status").isin(*DONE))
     if manifest_path:
         write_manifest(done, manifest_path)
+    if document_path:
+        write_manifest_document(done, document_path)
     stats = rt.routing_stats(rt.folder_counts(done)).first()
     failed = status.filter(~F.col("status").isin(*DONE)).count()
     return {**stats.asDict(), "failed_files": failed}
