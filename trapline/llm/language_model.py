@@ -13,7 +13,8 @@ few MB; a block asks once for each of its different n-grams, as sorted arrays of
 64-bit hashes cut by hash range.  One exchange brings a range's arrays together,
 where the counts are added up; the answers go back to the blocks in the same order,
 and one more exchange brings them to the block's documents.  No n-gram is a row, and
-a frequent one is in no more arrays than there are blocks.
+a frequent one is in no more arrays than there are blocks.  Many equal rows are one row
+with their number: counted so many times, scored once.
 
 Defined cases: a null or empty text is one end token; texts are scored whole;
 repeated rows count and are scored one by one; a null id counts as the empty id for
@@ -29,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm.tables import materialize, table
+from trapline.llm.tables import materialize, small, table
 from trapline.llm.tokens import P, each_group, mix, slices
 
 HELD_OUT = 2           # crc32(doc_id as text) mod 7
-BLOCK_BYTES = 8 << 20  # text of a block
-RANGE_KEYS = 1 << 21   # n-grams that a range is asked for, about
+BLOCK_BYTES = 2 << 20  # text of a block
+RANGE_KEYS = 1 << 20   # n-grams that a range is asked for, about
+SAME_ROWS = 64         # rows with one id and text that are counted as one, so many times
+MOST_TIMES = 1 << 16   # rows that one row stands for at most
 TENTH = 10             # one in so many training documents is deleted to learn the weights
 STEPS = 4              # of a power of two, in the table of shares
 ROUNDS = 30
@@ -50,16 +53,31 @@ def held_out(doc_id: str = "doc_id"):
     return _hash_of(doc_id, F.crc32) % 7 == HELD_OUT
 
 
+def rows_with_times(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, times, part): rows that are there SAME_ROWS times or more become one, or one for each MOST_TIMES."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    hot = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAME_ROWS).select("key"))
+    one = (F.lit(1).cast("long").alias("times"), F.lit(0).cast("long").alias("part"))
+    if hot.isEmpty():
+        return docs.select("doc_id", "text", *one)
+    hot = small(hot, 16)
+    many = keyed.join(hot, "key", "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+    last = ((F.col("n") - 1) / MOST_TIMES).cast("long")
+    many = many.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    many = many.select("doc_id", "text", F.least(F.col("n") - F.col("part") * MOST_TIMES, F.lit(MOST_TIMES)).alias("times"), "part")
+    return keyed.join(hot, "key", "left_anti").select("doc_id", "text", *one).union(materialize(many))
+
+
 def in_blocks(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """(doc_id, text, training, block); the number of plain blocks, above which the deleted tenth's are; and of ranges."""
+    """(doc_id, text, times, training, block); the number of plain blocks, above which the deleted tenth's are; and of ranges."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plain = max(size // BLOCK_BYTES + 1, docs.sparkSession.sparkContext.defaultParallelism)
     bits = max(int(size // 6 // RANGE_KEYS).bit_length(), 2)
     training = ~held_out()
     tenth = training & (F.pmod(F.xxhash64(_hash_of("doc_id", F.crc32)), F.lit(TENTH)) == 0)
-    at = F.xxhash64("doc_id", "text")
+    at = F.xxhash64("doc_id", "text", "part")
     block = F.when(tenth, plain + F.pmod(at, F.lit(plain // TENTH + 1))).otherwise(F.pmod(at, F.lit(plain)))
-    return docs.select("doc_id", "text", training.alias("training"), block.alias("block")), plain, bits
+    return docs.select("doc_id", "text", "times", training.alias("training"), block.alias("block")), plain, bits
 
 
 def stream(texts: pa.ChunkedArray):
@@ -90,7 +108,7 @@ def asked(blocks: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in each_group(batches, "block"):
             token, pair, text, _ = stream(rows.column("text"))
-            learn = rows.column("training").to_numpy().astype(bool)[text]
+            learn = np.where(rows.column("training").to_numpy().astype(bool), rows.column("times").to_numpy(), 0)[text]
             block = rows.column("block")[0].as_py()
             for order, values in ((1, token), (2, pair)):
                 keys, at = np.unique(values, return_inverse=True)
@@ -101,7 +119,7 @@ def asked(blocks: DataFrame, bits: int) -> DataFrame:
                     "keys": [packed(keys[a:b], rising=True) for a, b in zip(cuts, cuts[1:])],
                     "counts": [packed(counts[a:b]) for a, b in zip(cuts, cuts[1:])]})
 
-    return (blocks.select("block", "text", "training").repartition("block").sortWithinPartitions("block")
+    return (blocks.select("block", "text", "training", "times").repartition("block").sortWithinPartitions("block")
             .mapInArrow(run, "range long, block long, keys binary, counts binary"))
 
 
@@ -115,15 +133,18 @@ def answered(requests: DataFrame, plain: int) -> DataFrame:
         for rows in each_group(batches, "range"):
             blocks = rows.column("block").to_numpy()
             parts = [unpacked(k, rising=True) for k in rows.column("keys").to_pylist()]
-            counts = np.concatenate([unpacked(c) for c in rows.column("counts").to_pylist()])
             size = np.array([len(p) for p in parts], np.int64)
-            keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-            deleted = np.repeat(blocks >= plain, size)
+            n_parts, parts = len(parts), np.concatenate(parts)
+            keys, at = np.unique(parts, return_inverse=True)
+            del parts
+            counts = np.concatenate([unpacked(c) for c in rows.column("counts").to_pylist()])
             total = np.bincount(at, counts, len(keys)).astype(np.int64)
-            apart = np.bincount(at, counts * deleted, len(keys)).astype(np.int64)
+            counts[np.repeat(blocks < plain, size)] = 0
+            apart = np.bincount(at, counts, len(keys)).astype(np.int64)
+            del counts, keys
             ends = np.cumsum(size)
             one = rows.column("range")[0].as_py() >> 32 == 1
-            sums = lambda v: [int(v)] + [0] * (len(parts) - 1) if one else [0] * len(parts)
+            sums = lambda v: [int(v)] + [0] * (n_parts - 1) if one else [0] * n_parts
             yield pa.RecordBatch.from_pydict({
                 "range": rows.column("range").combine_chunks(), "block": blocks,
                 "counts": [packed(total[at[b - n:b]]) for n, b in zip(size, ends)],
@@ -195,10 +216,11 @@ def events(blocks: DataFrame, answers: DataFrame, plain: int, tokens: int, start
         context = b.context(rest, starts - deleted_starts)
         two, one = (b.c2 - b.d2) / np.maximum(context, 1), rest / max(tokens - deleted_tokens, 1)
         cells = np.stack([bucket(context), _step(two), _step(one)])
-        cells, n = np.unique(cells, axis=1, return_counts=True)
+        cells, at = np.unique(cells, axis=1, return_inverse=True)
+        n = np.bincount(at.ravel(), rows.column("times").to_numpy()[b.text], cells.shape[1])
         return pa.table({"bucket": cells[0], "two": cells[1], "one": cells[2], "n": n.astype(np.int64)})
 
-    mine = blocks.where(F.col("block") >= plain).select("block", "text")
+    mine = blocks.where(F.col("block") >= plain).select("block", "text", "times")
     theirs = answers.where(F.col("block") >= plain).select("block", "range", "counts", "deleted")
     return (mine.groupBy("block").cogroup(theirs.groupBy("block")).applyInArrow(run, "bucket long, two long, one long, n long")
             .groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")))
@@ -222,14 +244,14 @@ def learn(cells: np.ndarray, uniform: float) -> np.ndarray:
 
 def scored(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of (doc_id, text)."""
-    blocks, plain, bits = in_blocks(docs)
+    blocks, plain, bits = in_blocks(rows_with_times(docs))
     answers = materialize(answered(asked(blocks, bits), plain))
     sums = answers.agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = int(sums[0] or 0), int(sums[1] or 0)
     apart = F.col("block") >= plain
     length = F.when(F.col("text").isNull(), 1).otherwise(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) + 1)
-    row = blocks.where("training").agg(F.count(F.lit(1)), F.sum(apart.cast("long")), F.sum(F.when(apart, length).cast("long"))).first()
-    starts, deleted_starts, deleted_tokens = int(row[0]), int(row[1] or 0), int(row[2] or 0)
+    row = blocks.where("training").agg(F.sum("times"), F.sum(F.when(apart, F.col("times"))), F.sum(F.when(apart, length * F.col("times")))).first()
+    starts, deleted_starts, deleted_tokens = int(row[0] or 0), int(row[1] or 0), int(row[2] or 0)
     uniform = 1 / (types + 1)
     table_of_shares = events(blocks, answers, plain, tokens, starts, deleted_tokens, deleted_starts).collect()
     weights = learn(np.array([tuple(r) for r in table_of_shares], np.int64).reshape(-1, 4), uniform)
@@ -242,14 +264,16 @@ def scored(docs: DataFrame) -> DataFrame:
         p = w[:, 0] * uniform + w[:, 1] * (b.c1 / max(tokens, 1)) + w[:, 2] * (b.c2 / np.maximum(context, 1))
         base = np.log10((b.c1 + 1.0) / (tokens + types + 1))
         add = lambda v: np.bincount(b.text, v, n)
-        return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"),
+        return pa.table({"doc_id": rows.column("doc_id"), "times": rows.column("times"), "held_out": rows.column("held_out"),
                          "n_tokens": np.bincount(b.text, minlength=n), "n_known": np.bincount(b.text[b.c1 > 0], minlength=n),
                          "train_tokens": np.full(n, tokens), "base_score": add(base), "score": add(np.log10(p))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    mine = blocks.select("block", "doc_id", (~F.col("training")).alias("held_out"), "text")
-    return (mine.groupBy("block").cogroup(answers.select("block", "range", "counts").groupBy("block"))
-            .applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    mine = blocks.select("block", "doc_id", "times", (~F.col("training")).alias("held_out"), "text")
+    out = (mine.groupBy("block").cogroup(answers.select("block", "range", "counts").groupBy("block"))
+           .applyInArrow(run, f"doc_id {kind}, times long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+                              "base_score double, score double"))
+    return out.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("again", "times")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
