@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -217,3 +218,32 @@ def test_slices_and_words():
             for a, b, t in zip(s, e, of):
                 out.setdefault(int(part.rows[t]), []).append(part.buf[a:b].tobytes().decode())
         assert out == {i: brute.words(t) for i, t in enumerate(texts) if brute.words(t)}
+
+
+@pytest.mark.parametrize("fillers", [0, 2000, 12000])
+def test_recall_does_not_fall_as_the_corpus_grows(spark, fillers):
+    """Repeats of 60 and 100 words, exact and changed, while other texts hold their 4-word phrases."""
+    rng = random.Random(fillers)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    own = lambda n: [word() for _ in range(n)]
+    docs, planted, phrases = [], {}, []
+    for length in (60, 100):
+        for percent in (0, 5, 15, 25):
+            for _ in range(12):
+                passage = own(length)
+                phrases += [passage[i:i + 4] for i in range(length - 3)]
+                changed = list(passage)
+                for i in rng.sample(range(length), length * percent // 100):
+                    changed[i] = word()
+                planted[(len(docs), len(docs) + 1)] = (length, percent)
+                docs += [" ".join(own(20) + passage + own(20)), " ".join(own(15) + changed + own(25))]
+    for _ in range(fillers):  # every phrase of every passage is in several of them
+        docs.append(" ".join(w for _ in range(6) for w in own(3) + rng.choice(phrases)))
+    got = passages.repeated_passages(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    pairs = {tuple(sorted((r.doc_id, r.ref_id))) for r in got}
+    found = {}
+    for pair, kind in planted.items():
+        found.setdefault(kind, []).append(pair in pairs)
+    assert all(sum(v) >= 0.9 * len(v) for (_, percent), v in found.items() if percent <= 15), found
+    assert sum(sum(v) for v in found.values()) >= 0.9 * len(planted), found
+    assert all(r.doc_id < 2 * len(planted) for r in got)  # no filler is taken for a repeat

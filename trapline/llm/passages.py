@@ -2,11 +2,15 @@
 
 Seeds: every 4-word shingle of a text.  They travel packed, a row for each slice of
 texts and bucket of hashes; in a bucket seeds that one text alone has are dropped, and
-each occurrence of another is matched with the list's leader, the first occurrence
-(smallest text key), so a seed in any number of texts gives one match a text.  Equal
-texts are one text.  A seed is known by 40 bits beside its bucket: a clash only adds a
-candidate that the alignment rejects.  A task holds one bucket, a share of all seeds
-that falls as spark.sql.shuffle.partitions grows.
+each occurrence of another is matched with two leaders: the first occurrence in the list
+(smallest text key), and the first of those with the same surroundings, known by the
+smallest hash of the three seeds before and the three after.  In a large corpus nearly
+every seed occurs in texts that share nothing else, so the list's leader says little;
+copies of one passage, also changed ones, still have most surroundings in common and
+lead each other.  A seed in any number of texts gives two matches a text at most.  Equal
+texts are one text.  A seed is known by 40 bits beside its bucket, its surroundings by
+24: a clash adds a candidate that the alignment rejects, or hides one place of a passage.
+A task holds one bucket; their number grows with the bytes of the texts.
 
 Chains: the matches of a text with one leader are points (place here, place there); of
 a run on one diagonal every fourth one and the last.  They are chained in order of the
@@ -44,12 +48,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.llm.tables import materialize, table
-from trapline.llm.tokens import each_group, shingles, slices, whole_groups
+from trapline.llm.tokens import each_group, mix, shingles, slices, whole_groups
 
 SEED = 4             # words of a seed
 MIN_COVER = 8        # words that the seeds of a chain cover
 SEED_BITS = 40       # of a seed, beside its bucket's
-MIN_BUCKETS = 64
+CONTEXT_SEEDS = 3    # on either side of a seed
+CONTEXT_BITS = 24
+BUCKET_SEEDS = 1 << 21  # of a bucket, about
+MIN_BUCKETS = 128
 MIN_WORDS = 45       # of a passage
 MIN_IDENTITY = 0.75  # equal words of an aligned piece
 GAP = 0.1            # cost of a word of distance, in either text
@@ -63,15 +70,29 @@ def text_key():
     return F.xxhash64(F.lit(4), "text").alias("tk")
 
 
-def buckets(spark: SparkSession) -> int:
-    """Bits of the number of buckets: at least as many as shuffle partitions."""
-    return (max(MIN_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))) - 1).bit_length()
+def buckets(docs: DataFrame) -> int:
+    """Bits of the number of buckets: by the texts' bytes, at least as many as shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (max(MIN_BUCKETS, least, size // 6 // BUCKET_SEEDS) - 1).bit_length()
+
+
+def surroundings(value: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each seed the smallest hash of its neighbours in its text (CONTEXT_BITS of it), itself left out."""
+    least = np.full(len(value), np.uint64(0xFFFFFFFFFFFFFFFF))
+    mixed = mix(value)
+    for d in range(1, CONTEXT_SEEDS + 1):
+        same = text[d:] == text[:-d]
+        least[d:] = np.where(same, np.minimum(least[d:], mixed[:-d]), least[d:])
+        least[:-d] = np.where(same, np.minimum(least[:-d], mixed[d:]), least[:-d])
+    return mix(least) >> np.uint64(64 - CONTEXT_BITS)
 
 
 def seeds(docs: DataFrame, bits: int) -> DataFrame:
     """(bucket, seeds, tks, counts, places): a slice's seeds of one bucket, in order of text and place.
 
-    ``seeds`` has five bytes a seed, in planes; ``places`` the steps between a text's places.
+    ``seeds`` has eight bytes a seed, in planes: five of the seed, three of its
+    surroundings; ``places`` the steps between a text's places.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,9 +104,10 @@ def seeds(docs: DataFrame, bits: int) -> DataFrame:
                 value, text, first = shingles(part.hashes(starts, ends), of, len(part), SEED, short=False)
                 if not len(value):
                     continue
+                value_and_context = (value & np.uint64((1 << SEED_BITS) - 1)) | surroundings(value, text) << np.uint64(SEED_BITS)
                 bucket = (value >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
                 order = np.argsort(bucket, kind="stable")
-                bucket, value, text = bucket[order], value[order], text[order]
+                bucket, value, text = bucket[order], value_and_context[order], text[order]
                 pos = first[order] - (np.cumsum(count) - count)[text]
                 # a text's first place in a bucket, then steps
                 new = np.ones(len(text), bool)
@@ -94,7 +116,7 @@ def seeds(docs: DataFrame, bits: int) -> DataFrame:
                 step[1:] = np.where(new[1:], pos[1:], pos[1:] - pos[:-1])
                 at = np.flatnonzero(new)
                 size = np.diff(np.append(at, len(text)))
-                tks, planes = keys[part.rows][text[at]], value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SEED_BITS // 8]
+                tks, planes = keys[part.rows][text[at]], value.astype("<u8").view(np.uint8).reshape(-1, 8)
                 cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
                 heads = np.searchsorted(at, cuts).tolist()
                 out = [(int(bucket[a]), np.ascontiguousarray(planes[a:b].T).tobytes(), tks[h:k].tobytes(), _bytes(size[h:k]), _bytes(step[a:b]))
@@ -118,48 +140,65 @@ def _numbers(data: bytes, n: int) -> np.ndarray:
 
 
 def unpacked_seeds(packed: bytes, tks: bytes, counts: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(seed, tk, pos) of one row of ``seeds``."""
-    n, keys = len(packed) * 8 // SEED_BITS, np.frombuffer(tks, np.int64)
+    """(seed and surroundings in one number, tk, pos) of one row of ``seeds``; the seed is in the upper bits."""
+    n, keys = len(packed) // 8, np.frombuffer(tks, np.int64)
     count = _numbers(counts, len(keys))
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :SEED_BITS // 8] = np.frombuffer(packed, np.uint8).reshape(-1, n).T
+    both = np.frombuffer(packed, np.uint8).reshape(-1, n).T.copy().view("<u8")[:, 0]
+    both = both << np.uint64(CONTEXT_BITS) | both >> np.uint64(SEED_BITS)
     total = np.cumsum(_numbers(places, n))
     first = np.cumsum(count) - count
     before = np.concatenate(([0], total))[first]
-    return wide.view("<u8")[:, 0], np.repeat(keys, count), (total - np.repeat(before, count)).astype(np.int32)
+    return both, np.repeat(keys, count), (total - np.repeat(before, count)).astype(np.int32)
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """(tk, pos, ltk, lpos): every occurrence of a seed with the first one in another text."""
+    """(tk, pos, ltk, lpos): every occurrence of a seed with the first one, and the first with its surroundings, in another text."""
+    context = np.uint64(CONTEXT_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in each_group(batches, "bucket"):
             parts = [unpacked_seeds(*(v.as_py() for v in row)) for row in zip(*(rows.column(c) for c in ("seeds", "tks", "counts", "places")))]
-            seed, tk, pos = (np.concatenate(v) for v in zip(*parts))
-            del parts
-            order = np.argsort(seed, kind="stable")
-            sorted_ = seed[order]
+            both, tk, pos = (np.concatenate(v) for v in zip(*parts))
+            del parts, rows
+            order = np.argsort(both, kind="stable")
+            sorted_ = both[order] >> context
             same = sorted_[1:] == sorted_[:-1]
             order = order[np.append(same, False) | np.append(False, same)]  # the others are seeds of one place only
-            seed, tk, pos = seed[order], tk[order], pos[order]
-            del order, sorted_
-            order = np.lexsort((pos, tk, seed))
-            seed, tk, pos = seed[order], tk[order], pos[order]
-            if not len(seed):
+            del sorted_, same
+            both, tk, pos = both[order], tk[order], pos[order]
+            order = np.lexsort((pos, tk, both))
+            both, tk, pos = both[order], tk[order], pos[order]
+            del order
+            if not len(both):
                 continue
-            new = np.ones(len(seed), bool)
-            new[1:] = seed[1:] != seed[:-1]
-            head = np.maximum.accumulate(np.where(new, np.arange(len(seed)), 0))
-            other = tk != tk[head]
-            other[1:] &= new[1:] | (tk[1:] != tk[:-1]) | (pos[1:] != pos[:-1])
-            at = np.flatnonzero(other)
-            for a in range(0, len(at), 1 << 17):
-                i = at[a:a + (1 << 17)]
-                yield pa.RecordBatch.from_pydict({"tk": tk[i], "pos": pos[i], "ltk": tk[head[i]], "lpos": pos[head[i]]})
+            new = np.ones(len(both), bool)
+            new[1:] = both[1:] != both[:-1]
+            near = np.flatnonzero(new)  # the first of each seed with its surroundings
+            seed = both[near] >> context
+            order = np.lexsort((pos[near], tk[near], seed))
+            first = np.ones(len(near), bool)
+            first[1:] = seed[order][1:] != seed[order][:-1]
+            lead = np.empty(len(near), np.int64)
+            lead[order] = near[order][np.maximum.accumulate(np.where(first, np.arange(len(near)), 0))]
+            of = np.cumsum(new) - 1
+            fresh = np.ones(len(both), bool)  # a repeated row's places count once
+            fresh[1:] = new[1:] | (tk[1:] != tk[:-1]) | (pos[1:] != pos[:-1])
+            del both
+            for at in range(0, len(tk), 1 << 17):
+                i = np.arange(at, min(at + (1 << 17), len(tk)))
+                i = i[fresh[i]]
+                one, two = lead[of[i]], near[of[i]]
+                yield _matched(tk, pos, i, one, tk[i] != tk[one])
+                yield _matched(tk, pos, i, two, (tk[i] != tk[two]) & (tk[two] != tk[one]))
 
     return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "tk long, pos int, ltk long, lpos int")
 
 
+def _matched(tk: np.ndarray, pos: np.ndarray, here: np.ndarray, there: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+    here, there = here[keep], there[keep]
+    return pa.RecordBatch.from_pydict({"tk": tk[here], "pos": pos[here], "ltk": tk[there], "lpos": pos[there]})
+
+
 class PrefixMax:
     """Fenwick tree: the largest value put at places below a given one, and who put it."""
 
@@ -379,7 +418,7 @@ def pieces(links: DataFrame, arrays: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, ref_id, start, end, ref_start, ref_end, n_equal, kind): passages of (doc_id, text), and copies of whole texts."""
     texts = materialize(texts_of(docs))
-    links = materialize(chained(materialize(matches(seeds(docs, buckets(docs.sparkSession))))))
+    links = materialize(chained(materialize(matches(seeds(docs, buckets(docs))))))
     arrays = materialize(word_arrays(docs, texts, links))
     found = pieces(links, arrays)
     ids = texts.select("tk", "doc_id")
