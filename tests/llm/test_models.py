@@ -44,11 +44,50 @@ def test_languages_in_blocks_score_alike(odd_docs, monkeypatch):
     assert np.allclose([r["score"] for r in got], [r["score"] for r in want], rtol=1e-9)
 
 
+def plain_grams(text):
+    s = ""
+    for c in (text or "") + " ":
+        low = (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " "
+        if low != " " or not s.endswith(" "):
+            s += low
+    return [s[i:i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1) if n > 1 or s[i] != " "]
+
+
+def test_predictions_equal_plain_naive_bayes(spark):
+    """Language and posterior of every text, against counts of the n-grams themselves; texts stand anywhere in a batch."""
+    import random
+
+    rng = random.Random(8)
+    alphabets = {"aa": "abcdeé ", "bb": "cdefgß ", "cc": "жзийк ", "dd": "efghİa "}
+    rows = [(i, "".join(rng.choice(alphabets[lang]) for _ in range(rng.randint(0, 12))) + rng.choice(["", ".", " 1", "x"]), lang)
+            for i in range(160) for lang in [list(alphabets)[i % 4]]]
+    rows += [(500, None, "aa"), (501, "\U000F0000\U000F0001", "bb"), (502, "\U000E0041\U000E0042 12", "cc"), (503, "\U00020000\U0002F800", "dd"), (504, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    features = 1 << 20
+    got = {r.doc_id: r for r in langid.predict(docs.select("doc_id", "text"), langid.train(docs.select("text", "lang"), features)).collect()}
+    counts, texts = collections.defaultdict(collections.Counter), collections.Counter()
+    for _, t, lang in rows:
+        if lang:
+            counts[lang].update(plain_grams(t))
+            texts[lang] += 1
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    for i, t, _ in rows:
+        log = {k: math.log(texts[k] / sum(texts.values())) + sum(math.log((c[g] + .5) / (total[k] + .5 * features)) for g in plain_grams(t))
+               for k, c in sorted(counts.items())}
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        best = max(log, key=log.get)
+        want = 1 / sum(math.exp(v - log[best]) for v in log.values())
+        assert got[i].lang_pred == best or want < 0.51
+        assert math.isclose(got[i].score, want, rel_tol=2e-3)
+
+
 def test_grams_by_hand():
     feature, of, has = langid.grams(["Ab 1", "", "??", "ab"], 1 << 16)
     one, two = sorted(feature[of == 0].tolist()), sorted(feature[of == 3].tolist())
     assert has.tolist() == [True, False, False, True] and not (of == 1).any()
-    assert set(two) <= set(one) and len(two) == 3  # a, b, ab
+    assert two == one and len(two) == 5  # a, b, ab, b_, ab_: a text's end counts wherever it stands in a batch
 
 
 def tokens(text):

@@ -42,9 +42,9 @@ def held_out(doc_id="doc_id"):
 
 
 def _letters() -> np.ndarray:
-    """For each code point below 0x30000 its lower-cased code point if it is a letter, else 0."""
-    out = np.zeros(0x30000, np.uint32)
-    for c in range(0x30000):
+    """For each code point its lower-cased code point if it is a letter, else 0."""
+    out = np.zeros(0x110000, np.uint32)
+    for c in range(len(out)):
         if (ch := chr(c)).isalpha():
             low = ch.lower()
             out[c] = ord(low) if len(low) == 1 else c
@@ -59,11 +59,9 @@ def grams(texts: list[str], features: int) -> tuple[np.ndarray, np.ndarray, np.n
     if not _LETTERS:
         _LETTERS.append(_letters())
     fold = _LETTERS[0]
-    points = np.frombuffer(" ".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    size = np.array([len(t) + 1 for t in texts], np.int64)
-    size[-1] -= 1
-    of = np.repeat(np.arange(len(texts)), size)
-    letter = np.where(points < len(fold), fold[np.minimum(points, len(fold) - 1)], points)
+    points = np.frombuffer("".join(t + " " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    of = np.repeat(np.arange(len(texts)), np.array([len(t) + 1 for t in texts], np.int64))
+    letter = fold[points]
     has = np.bincount(of[letter > 0], minlength=len(texts)) > 0
     # every run of other characters becomes one space; texts stay apart by it
     keep = np.ones(len(letter), bool)
