@@ -100,10 +100,11 @@ def table_metadata(spark: SparkSession, path: str, size: int = RESULTS_PER_PAGE)
     done = -1 if done is None else done
     states = _part(spark, base, "states", "rows long, detected long, sketch binary, written_at timestamp, batch int").where(F.col("batch") <= done)
     species = _part(spark, base, "species", "species string, n long, batch int").where(F.col("batch") <= done)
-    one = states.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("total_rows"), F.coalesce(F.sum("detected"), F.lit(0)).alias("detected_rows"),
-                     F.count(F.lit(1)).alias("batches"),
-                     F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).alias("species_estimate"))
-    exact = species.select("species").distinct().agg(F.count(F.lit(1)).alias("distinct_species"))
-    # two frames of one row each
-    return (one.withColumn("_k", F.lit(1)).join(exact.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # one pass over both: batch rows carry counters and a sketch, species rows only count
+    rows = (states.select("rows", "detected", "sketch", F.lit(1).alias("b"), F.lit(0).alias("s"))
+            .unionByName(species.select("species").distinct().select(F.lit(1).alias("s")), allowMissingColumns=True))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return (rows.agg(total("rows").alias("total_rows"), total("detected").alias("detected_rows"), total("b").alias("batches"),
+                     F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).alias("species_estimate"),
+                     total("s").alias("distinct_species"))
             .withColumn("page_count", F.greatest(F.lit(1), F.ceil(F.col("total_rows") / size)).cast("long")))
