@@ -39,7 +39,7 @@ def _sequenced(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_dir(spark, "sequenced")
     rows = base.materialize(stored(base.detections_table(spark, sf_dir)))
     for k in range(3):
-        sequenced.append_batch(rows.where(F.col("img") % 3 == k), path, ["image_path", "img"], rows_a_file=200)
+        sequenced.append_batch(rows.where(F.col("img") % 3 == k), path, ["image_path", "img"], rows_a_file=2000)
     return path
 
 
