@@ -4,6 +4,7 @@ import json
 import os
 
 from trapline.plans import jobs
+from trapline.sinks.csv_excel import join_report
 
 HEADER = "image_path,image_name,image_date,species,scientific_name,confidence,category,common_name,japanese_name,timestamp\n"
 
@@ -110,8 +111,8 @@ def test_command_line_pivot_and_route(spark, tmp_path):
     write_table_csv(table, [(str(src / "a.jpg"), "a.jpg", "2024-11-21", "Corvus corone", "Corvus corone", "0.9",
                              "bird", "", "", "t")])
     main(["pivot", table, str(tmp_path / "pivot")])
-    part = glob.glob(str(tmp_path / "pivot" / "part-*.csv"))[0]
-    lines = open(part, encoding="utf-8-sig").read().splitlines()
+    join_report(str(tmp_path / "pivot"), str(tmp_path / "pivot.csv"))
+    lines = open(tmp_path / "pivot.csv", encoding="utf-8-sig").read().splitlines()
     assert lines[0] == "日付,2024-11-21" and "ハシボソガラス,1" in lines
     main(["route", table, str(src), str(tmp_path / "out"), "--by-date"])
     assert (tmp_path / "out" / "2024-11-21" / "ハシボソガラス_Corvus corone" / "a.jpg").exists()

@@ -136,3 +136,38 @@ def test_unicode_whitespace_is_stripped(spark, seed_names):
                        "", "", 0)])
     r = with_report_label(with_report_date(t), seed_names).first()
     assert (r.report_date, r.label) == ("2024-01-02", "ハシボソガラス")
+
+
+def test_ranks_span_sort_partitions_without_a_global_window(spark, seed_names):
+    """Ranks and sections over many sort partitions equal a stable sort; no plan has a window over everything."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"/{i}", str(i), "", f"s{rng.randint(0, 400)}" if i % 9 else "", "", rng.random(), f"c{rng.randint(0, 60)}" if i % 4 else "",
+             "", "", i) for i in range(3000)]
+    t = table(spark, rows).repartition(5)
+    first, count = {}, {}
+    for r in rows:
+        if r[3]:
+            first.setdefault(r[3], r[9])
+            count[r[3]] = count.get(r[3], 0) + 1
+    want = sorted(count, key=lambda k: (-count[k], first[k]))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frames = {"sf": rep.species_frequency(t), "cf": rep.category_frequency(t, seed_names), "k3": rep.summary_report(t, seed_names),
+                  "pivot": rep.daily_label_pivot(daily_label_counts(with_report_label(with_report_date(t), seed_names)))}
+        got = frames["sf"].orderBy("rank").collect()
+        assert [r["species"] for r in got] == want and [r["rank"] for r in got] == list(range(1, len(want) + 1))
+        assert abs(sum(r["pct"] for r in got) - 100) < 1e-6
+        cats = frames["cf"].orderBy("rank").collect()
+        assert [r["rank"] for r in cats] == list(range(1, len(cats) + 1)) and "" not in {r["category"] for r in cats}
+        by = {}
+        for r in frames["k3"].collect():
+            by.setdefault(r["section"], []).append((r["ord"], r["item"], r["n"]))
+        assert all(sorted(o for o, _, _ in v) == list(range(1, len(v) + 1)) for v in by.values()) and len(by) == 4
+        assert any([(k, count[k]) for k in want] == [(i, n) for _, i, n in sorted(v)] for v in by.values())
+        assert sorted(r["row_order"] for r in frames["pivot"].collect()) == list(range(1, frames["pivot"].count() + 1))
+        for df in frames.values():
+            assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -7,17 +7,37 @@ from pyspark.sql import functions as F
 
 from trapline.operators import reports as rep
 from trapline.operators.detections import detail_remark, parse_predictions, top_n_wide
-from trapline.sinks.csv_excel import write_pivot, write_species_list, write_summary_report
+from trapline.sinks.csv_excel import join_report, write_pivot, write_report_csv, write_species_list, write_summary_report
 from trapline.sinks.manifest import write_manifest
 from trapline.sources.predictions import best_box, read_predictions
 
 
 def read_csv_text(path):
-    part = sorted(glob.glob(os.path.join(path, "part-*.csv")))[0]
-    with open(part, encoding="utf-8-sig") as f:
+    join_report(path, path + ".csv")
+    with open(path + ".csv", encoding="utf-8-sig") as f:
         return f.read().splitlines()
 
 
+def test_report_parts_join_to_one_file(spark, tmp_path):
+    """Many parts, one header: quoted, empty and null cells, lines in order whatever the parts."""
+    import csv
+
+    rows = [(i, None if i % 7 == 0 else f'n"{i}, x' if i % 5 == 0 else "" if i % 3 == 0 else f"two\nlines {i}", i * 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "at int, name string, n long").repartition(9)
+    out = str(tmp_path / "report")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_report_csv(df, out, ["at"], ["名前", "n"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(glob.glob(f"{out}/part-*")) > 3
+    join_report(out, str(tmp_path / "one.csv"))
+    data = (tmp_path / "one.csv").read_bytes()
+    assert data.startswith(b"\xef\xbb\xbf") and data.count(b"\xef\xbb\xbf") == 1
+    got = list(csv.reader((tmp_path / "one.csv").open(encoding="utf-8-sig", newline="")))
+    assert got == [["名前", "n"]] + [[name or "", str(n)] for _, name, n in rows]
+
+
 def test_pivot_file_layout(spark, tmp_path):
     pivot = spark.createDataFrame(
         [(1, 0, "合計撮影枚数", 4, 3, 1), (2, 1, "撮影無し", 1, 1, 0), (3, 2, "ハシブトガラス", 3, 2, 1),

@@ -38,7 +38,7 @@ from trapline.operators.reports import (
 from trapline.operators.routing import dedup_destinations, folder_counts, routing_plan, routing_stats
 from trapline.operators.scoring import ScoringOptions, score_images
 from trapline.sinks.archive import Archive
-from trapline.sinks.csv_excel import write_excel_csv
+from trapline.sinks.csv_excel import join_report, write_excel_csv, write_report_csv
 from trapline.sinks.files import execute_routing
 from trapline.sinks.manifest import write_manifest
 from trapline.sinks.manifest_document import write_manifest_document

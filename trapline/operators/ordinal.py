@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trapline.session import materialize
 
@@ -46,6 +47,35 @@ def with_ordinal(df: DataFrame, group_cols: list[str], order_col: str, out_col:
             .drop(bucket, "_ord_local", "_ord_off"))
 
 
+def with_rank(df: DataFrame, order: list, out_col: str = "rank", group: str | None = None) -> DataFrame:
+    """1-based position (int) of each row in the whole frame by ``order``, or in its ``group``, without a one-task window.
+
+    A range sort is written with each row's (sort partition, position inside it); the
+    partitions' sizes, at most one row a partition and group, give the offsets.  ``group``
+    is a column of a few values (a report's sections) and may span many partitions.
+    It must not be null, and ``order`` must tell all its rows apart.  The result reads the written rows, so
+    ranks are the same at every read.
+    """
+    spark, at, part, inside = df.sparkSession, "_rank_at", "_rank_part", "_rank_inside"
+    keys = [group] if group else []
+    placed = materialize(df.orderBy(*keys, *order).withColumn(at, F.monotonically_increasing_id()))
+    # monotonically_increasing_id: the partition above bit 33, the position below
+    placed = placed.withColumns({part: F.shiftright(at, 33), inside: F.col(at).bitwiseAND((1 << 33) - 1)}).drop(at)
+    sizes = (placed.groupBy(part, *keys).agg(F.count(F.lit(1)).alias("n"), F.min(inside).alias("first")).collect())
+    before, offsets = {}, []
+    for r in sorted(sizes, key=lambda r: (r[part], r["first"])):
+        g = r[group] if group else None
+        offsets.append((r[part], *([g] if group else []), before.get(g, 0) + 1 - r["first"]))
+        before[g] = before.get(g, 0) + r["n"]
+    if group is None and len(offsets) <= 1:
+        return placed.withColumn(out_col, (F.col(inside) + 1).cast("int")).drop(part, inside)
+    # one row a sort partition and group
+    schema = T.StructType([placed.schema[c] for c in (part, *keys)] + [T.StructField("_rank_off", T.LongType())])
+    offsets = F.broadcast(spark.createDataFrame(offsets, schema))
+    return (placed.join(offsets, [part, *keys]).withColumn(out_col, (F.col(inside) + F.col("_rank_off")).cast("int"))
+            .drop(part, inside, "_rank_off"))
+
+
 def with_path_order(df: DataFrame, order_cols: list[str], out_col: str = "seen_order") -> DataFrame:
     """Adds a number that rises in the order of ``order_cols``, over a range-partitioned sort (no single task).
 

@@ -2,9 +2,10 @@
 
 A1 totals, A3 species and A4 category frequency, A5 confidence bands, K3 the
 tidy summary report, A9 species list, A8 the date x label pivot, A12 result
-metadata and L5 result pages.  All are partial + final hash aggregates; the
-only driver-side values are the pivot's date list (bounded, checked) and
-single-row totals.
+metadata and L5 result pages.  All are partial + final hash aggregates; ranks
+over labels (free text makes them many) are positions in a range sort, never a
+window without partitions.  The only driver-side values are the pivot's date list
+(bounded, checked), single-row totals and the sort partitions' sizes.
 """
 from __future__ import annotations
 
@@ -32,7 +33,7 @@ from trapline.constants import (
 from trapline.functions.numbers import band_index, percent
 from trapline.functions.text import empty_if_null
 from trapline.operators.names import with_category_label, with_resolved_vernacular
-from trapline.operators.ordinal import with_ordinal
+from trapline.operators.ordinal import with_ordinal, with_rank
 from trapline.session import materialize
 
 # widest pivot made of the data's own dates; later dates share the last column, and
@@ -63,17 +64,28 @@ def frequency(df: DataFrame, key: str, order_col, out_count: str = "n") -> DataF
 
     ``rank`` orders by count descending, ties by first appearance (smallest
     ``order_col``; a tuple of columns orders lexicographically), like a stable
-    sort over first-seen order.  The ranking window runs over the aggregate
-    (one row per key).
+    sort over first-seen order, then by key.
     """
+    return _ranked(_counted(df, F.col(key).alias(key), order_col, out_count), key, out_count)
+
+
+def _counted(df: DataFrame, key, order_col, out_count: str = "n") -> DataFrame:
     cols = (order_col,) if isinstance(order_col, str) else tuple(order_col)
     seen = F.struct(*[F.col(c) for c in cols]) if len(cols) > 1 else F.col(cols[0])
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(out_count), F.min(seen).alias("_first_seen"))
-    w_all = Window.partitionBy()
-    ranked = (counts.withColumn("pct", percent(F.col(out_count), F.sum(out_count).over(w_all)))
-              .withColumn("rank", F.row_number().over(
-                  Window.orderBy(F.desc(out_count), F.col("_first_seen"))).cast("int")))
-    return ranked.drop("_first_seen")
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias(out_count), F.min(seen).alias("_first_seen"))
+
+
+def _ranked(counts: DataFrame, key: str, out_count: str = "n", listed=None) -> DataFrame:
+    """Rank and % of all counted rows; with ``listed`` the rows where it holds, ranked among themselves."""
+    order = [F.desc(out_count), F.col("_first_seen"), F.col(key)]
+    if listed is None:
+        ranked = with_rank(counts, order)
+    else:
+        ranked = with_rank(counts.withColumn("_listed", F.coalesce(listed, F.lit(False))), order, group="_listed")
+    total = ranked.agg(F.sum(out_count).alias("n")).first()["n"]  # all rows, listed or not
+    shown = ranked if listed is None else ranked.where("_listed")
+    return (shown.withColumn("pct", percent(F.col(out_count), F.lit(total).cast("long")))
+            .select(*[c for c in counts.columns if c != "_first_seen"], "pct", "rank"))
 
 
 def species_frequency(table: DataFrame, order_col: str = "seen_order") -> DataFrame:
@@ -84,15 +96,9 @@ def species_frequency(table: DataFrame, order_col: str = "seen_order") -> DataFr
 def category_frequency(table: DataFrame, names: DataFrame, order_col: str = "seen_order") -> DataFrame:
     """A4: non-empty categories of detected images, % of detections, translated label."""
     detected = table.filter(_detected(table))
-    counted = (detected.groupBy(empty_if_null(F.col("category")).alias("category"))
-               .agg(F.count(F.lit(1)).alias("n"), F.min(order_col).alias("_first_seen"))
-               # % of all detections: the window total includes the empty category
-               .withColumn("pct", percent(F.col("n"), F.sum("n").over(Window.partitionBy())))
-               .filter(F.col("category") != ""))
-    ranked = (counted.withColumn("rank", F.row_number().over(
-                  Window.orderBy(F.desc("n"), F.col("_first_seen"))).cast("int"))
-              .drop("_first_seen"))
-    return with_category_label(ranked, F.col("category"), names)
+    counts = _counted(detected, empty_if_null(F.col("category")).alias("category"), order_col)
+    # % of all detections: the empty category counts there
+    return with_category_label(_ranked(counts, "category", listed=F.col("category") != ""), F.col("category"), names)
 
 
 def bands_frame(spark) -> DataFrame:
@@ -115,8 +121,8 @@ def summary_report(table: DataFrame, names: DataFrame, order_col: str = "seen_or
     """K3: one tidy frame ``(section, ord, item, n, pct)`` of A1, A3, A4, A5.
 
     One pass: a grouping-sets aggregate over ``(), (species), (category),
-    (band)`` (partial aggregation before a single shuffle); percentages and
-    ranks are windows over that small aggregate.
+    (band)`` (partial aggregation before a single shuffle); ranks are positions
+    in a range sort of that aggregate, by section.
     """
     det = _detected(table)
     t = table.select(empty_if_null(F.col("species")).alias("species"),
@@ -128,13 +134,14 @@ def summary_report(table: DataFrame, names: DataFrame, order_col: str = "seen_or
            .agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col("_det")).alias("_n"),
                 F.min(F.when(F.col("_det"), F.col("_seen"))).alias("_first"),
                 F.grouping_id().alias("_gid")))
-    agg = materialize(agg)  # small (keys of the four sets); the sections below all read it
     # _gid bits (species, category, band): 7 = grand total, 3 = species, 5 = category, 6 = band
-    everything = Window.partitionBy()
-    agg = agg.withColumns({
-        "_total_images": F.max(F.when(F.col("_gid") == 7, F.col("_all"))).over(everything),
-        "_total_det": F.max(F.when(F.col("_gid") == 7, F.col("_n"))).over(everything)})
+    item_col = F.when(F.col("_gid") == 3, F.col("species")).when(F.col("_gid") == 5, F.col("category"))
+    listed = F.coalesce((item_col != "") & (F.col("_n") > 0), F.lit(False))
+    agg = with_rank(agg.withColumn("_section", F.when(listed, F.col("_gid")).otherwise(F.lit(0))),
+                    [F.desc("_n"), F.col("_first"), F.col("_gid"), item_col, F.col("band")], "_rank", group="_section")
     totals = agg.filter(F.col("_gid") == 7)
+    grand = totals.select("_n").first()
+    total_det = F.lit(grand["_n"] if grand else None).cast("long")
 
     def item(ord_, label, n, pct):
         return F.struct(F.lit(ord_).alias("ord"), F.lit(label).alias("item"),
@@ -149,14 +156,13 @@ def summary_report(table: DataFrame, names: DataFrame, order_col: str = "seen_or
         item(5, SUMMARY_SUCCESS_RATE, none, percent(F.col("_n"), F.col("_all"))),
     )).alias("r")).select(F.lit(SUMMARY_BASIC_SECTION).alias("section"), "r.*")
 
-    rank = F.row_number().over(Window.orderBy(F.desc("_n"), F.col("_first"))).cast("int")
-    species = (agg.filter((F.col("_gid") == 3) & (F.col("species") != "") & (F.col("_n") > 0))
-               .select(F.lit(SUMMARY_SPECIES_SECTION).alias("section"), rank.alias("ord"),
+    species = (agg.filter(F.col("_section") == 3)
+               .select(F.lit(SUMMARY_SPECIES_SECTION).alias("section"), F.col("_rank").alias("ord"),
                        F.col("species").alias("item"), F.col("_n").cast("long").alias("n"),
-                       percent(F.col("_n"), F.col("_total_det")).alias("pct")))
-    category = (agg.filter((F.col("_gid") == 5) & (F.col("category") != "") & (F.col("_n") > 0))
-                .select("category", rank.alias("ord"), F.col("_n").cast("long").alias("n"),
-                        percent(F.col("_n"), F.col("_total_det")).alias("pct")))
+                       percent(F.col("_n"), total_det).alias("pct")))
+    category = (agg.filter(F.col("_section") == 5)
+                .select("category", F.col("_rank").alias("ord"), F.col("_n").cast("long").alias("n"),
+                        percent(F.col("_n"), total_det).alias("pct")))
     category = with_category_label(category, F.col("category"), names).select(
         F.lit(SUMMARY_CATEGORY_SECTION).alias("section"), "ord", F.col("category_label").alias("item"), "n", "pct")
     band_counts = agg.filter(F.col("_gid") == 6).select("band", F.col("_n").alias("n"))
@@ -208,8 +214,7 @@ def species_list(dets: DataFrame, names: DataFrame, order_cols=("seen_order", "d
                 F.avg("confidence").alias("avg_confidence"),
                 F.min_by(attrs, seen).alias("_first"),
                 F.min(seen).alias("_seen")))
-    ranked = agg.withColumn("rank", F.row_number().over(
-        Window.orderBy(F.desc("detection_count"), F.col("_seen"))).cast("int"))
+    ranked = with_rank(agg, [F.desc("detection_count"), F.col("_seen"), F.col("species")])
     out = ranked.select("species", "_first.*", "detection_count", "max_confidence", "avg_confidence", "rank")
     out = with_resolved_vernacular(out, names)
     return with_category_label(out, F.col("category"), names).drop("category")
@@ -262,8 +267,7 @@ def daily_label_pivot(counts: DataFrame, dates: list[str] | None = None, other:
                                            F.struct(F.lit(PIVOT_TOTAL_LABEL).alias("label"), F.lit(3).alias("block")))).alias("r"),
                          "total", *[F.col(f"`{d}`") for d in columns]).select("r.label", "r.block", "total", *[F.col(f"`{d}`") for d in columns])
     rows = labels.unionByName(ends)
-    order = Window.orderBy("block", F.desc("total"), "label")
-    return rows.withColumn("row_order", F.row_number().over(order).cast("int")).select(
+    return with_rank(rows, [F.col("block"), F.desc("total"), F.col("label")], "row_order").select(
         "row_order", "block", "label", "total", *[F.col(f"`{d}`") for d in columns])
 
 

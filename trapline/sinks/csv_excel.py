@@ -1,9 +1,10 @@
 """Excel-readable CSV (K2) and the report files built on it (K3-K6).
 
 Files are UTF-8 with a byte-order mark: the first header cell carries
-``\\ufeff``, which makes ``EF BB BF`` the first bytes.  Reports are small
-aggregates and are written as one file; the detections table export keeps
-its partitions (``single_file=False``).
+``\\ufeff``, which makes ``EF BB BF`` the first bytes.  A report is written by a
+range sort as parts whose concatenation, in the order of their names, is the file
+(:func:`join_report` makes it); only the first part has the header.  Exports of
+tables keep their partitions, a header in each (``write_excel_csv``).
 """
 from __future__ import annotations
 
@@ -30,16 +31,47 @@ from trapline.constants import (
     SUMMARY_SUCCESS_RATE,
     SUMMARY_TITLE,
 )
+from trapline.sinks.manifest_document import join_pieces
 
 
-def write_excel_csv(df: DataFrame, path: str, single_file: bool = True, header: bool = True) -> None:
-    """K2: CSV with a BOM in front of the header (all values written as text)."""
+# quotes inside a cell are doubled, as spreadsheets and read_detections_csv expect
+CSV_OPTIONS = {"emptyValue": "", "nullValue": "", "escape": '"'}
+
+
+def write_excel_csv(df: DataFrame, path: str, header: bool = True) -> None:
+    """K2: CSV with a BOM in front of the header (all values written as text), a header in every part."""
     cols = df.columns
     out = df.select(*[F.col(f"`{c}`").cast("string").alias(("\ufeff" + c) if i == 0 else c)
                       for i, c in enumerate(cols)])
-    if single_file:
-        out = out.coalesce(1)
-    out.write.mode("overwrite").option("header", header).option("emptyValue", "").csv(path)
+    out.write.mode("overwrite").option("header", header).options(**CSV_OPTIONS).csv(path)
+
+
+def write_report_csv(df: DataFrame, path: str, order: list[str], captions: list[str] | None = None) -> None:
+    """K2 for reports: rows in ``order`` (columns that are not written), as parts of one file with one header.
+
+    ``captions`` name the other columns in the header (default: their own names).
+    No task holds the whole report: the header is a row of the range sort, the first.
+    """
+    cols = [c for c in df.columns if c not in order]
+    line = lambda values: F.to_csv(F.struct(*[v.cast("string").alias(f"c{i}") for i, v in enumerate(values)]), CSV_OPTIONS)
+    captions = captions or cols
+    head = df.sparkSession.range(1).select(line([F.lit(c) for c in captions]).alias("value"))
+    keys = [f"_k{i}" for i in range(len(order))]
+    rows = df.select(F.lit(1).alias("_body"), *[F.col(f"`{c}`").alias(k) for c, k in zip(order, keys)],
+                     line([F.col(f"`{c}`") for c in cols]).alias("value"))
+    first = head.select(F.lit(0).alias("_body"), *[F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys],
+                        F.concat(F.lit("\ufeff"), F.col("value")).alias("value"))
+    _write_lines(first.unionByName(rows).orderBy("_body", *keys).select("value"), path)
+
+
+def _write_lines(lines: DataFrame, path: str, end: str = "\n") -> None:
+    """The ordered lines as text parts, without a gather into one task."""
+    lines.write.mode("overwrite").option("lineSep", end).text(path)
+
+
+def join_report(path: str, out: str) -> None:
+    """One file of a report's parts, copied one after the other, a block at a time."""
+    join_pieces(path, out)
 
 
 def fmt(c, digits: int) -> F.Column:
@@ -70,15 +102,15 @@ def write_detail_export(wide: DataFrame, path: str) -> None:
             c = F.col(f"{f}_{i}")
             cols.append(fmt(c, 4) if f == "confidence" else c)
     cols.append(F.col("remark"))
-    write_excel_csv(wide.select(*[c.alias(h) for c, h in zip(cols, DETAIL_HEADER)]), path, single_file=False)
+    write_excel_csv(wide.select(*[c.alias(h) for c, h in zip(cols, DETAIL_HEADER)]), path)
 
 
 def write_species_list(species: DataFrame, path: str) -> None:
     """K5: species list in rank order, confidences with four decimals."""
-    out = species.orderBy("rank").select(
-        "species", "common_name", "japanese_name", "scientific_name", "category_label", "detection_count",
+    out = species.select(
+        "rank", "species", "common_name", "japanese_name", "scientific_name", "category_label", "detection_count",
         fmt("max_confidence", 4).alias("max_confidence"), fmt("avg_confidence", 4).alias("avg_confidence"))
-    write_excel_csv(out.toDF(*SPECIES_LIST_HEADER), path)
+    write_report_csv(out, path, ["rank"], list(SPECIES_LIST_HEADER))
 
 
 _SECTIONS = (SUMMARY_BASIC_SECTION, SUMMARY_SPECIES_SECTION, SUMMARY_CATEGORY_SECTION, SUMMARY_CONFIDENCE_SECTION)
@@ -118,22 +150,20 @@ def write_summary_report(report: DataFrame, path: str, source: str = "", generat
     quoted = lambda c: F.when(F.col(c).rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c))
     line = F.concat_ws(",", *[quoted(c) for c in ("a", "b", "c")])  # skips what a row hasn't
     first = (F.col("part") == 0) & (F.col("ord") == 0)
-    (rows.select(F.when(first, F.concat(F.lit("\ufeff"), line)).otherwise(line).alias("value"))
-     .coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(path))
+    _write_lines(rows.select(F.when(first, F.concat(F.lit("\ufeff"), line)).otherwise(line).alias("value")), path, "\r\n")
 
 
 def write_pivot_long(counts: DataFrame, path: str) -> None:
     """K6 in long form: (date, label, images), one row a cell, partitions kept: no limit to dates or labels."""
     cells = counts.filter(F.col("grouping_id") == 0).select("image_date", "label", "n_images")
-    write_excel_csv(cells.orderBy("image_date", "label"), path, single_file=False)
+    write_excel_csv(cells.orderBy("image_date", "label"), path)
 
 
 def write_pivot(pivot: DataFrame, path: str) -> None:
     """K6: ``日付`` header of dates, then the pivot rows in ``row_order``."""
     dates = [c for c in pivot.columns if c not in ("row_order", "block", "label", "total")]
-    out = pivot.orderBy("row_order").select(F.col("label").alias(PIVOT_HEADER_LABEL),
-                                            *[F.col(f"`{d}`") for d in dates])
-    write_excel_csv(out, path)
+    out = pivot.select("row_order", "label", *[F.col(f"`{d}`") for d in dates])
+    write_report_csv(out, path, ["row_order"], [PIVOT_HEADER_LABEL, *dates])
 
 
 def export_table_csv(spark, table_path: str, out_path: str) -> None:
@@ -149,4 +179,4 @@ def export_table_csv(spark, table_path: str, out_path: str) -> None:
     cols = [F.date_format(F.col(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c) if c == "timestamp" else F.col(c)
             for c in DETECTION_COLUMNS]
     order = [c for c in ("seen_order", "image_path") if c in t.columns][:1]
-    write_excel_csv(t.orderBy(*order).select(*cols), out_path, single_file=False)
+    write_excel_csv(t.orderBy(*order).select(*cols), out_path)
