@@ -52,5 +52,6 @@ from trapline.sources.names_json import read_names
 from trapline.sources.predictions import read_predictions
 from trapline.streaming.ingest import ingest_images, ingest_stream
 from trapline.streaming.live_counts import count_stream, read_counts
+from trapline.streaming.progress import latest_progress, read_progress, recorded
 
 __all__ = [name for name in dir() if not name.startswith("_")]

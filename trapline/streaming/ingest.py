@@ -16,7 +16,9 @@ current micro-batch.
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -27,6 +29,7 @@ from trapline.constants import DEFAULT_CONSECUTIVE_ERROR_LIMIT
 from trapline.session import materialize
 from trapline.sinks.tables import write_batch
 from trapline.sources.images import list_images
+from trapline.streaming.progress import recorded
 
 
 class BreakerTripped(RuntimeError):
@@ -56,16 +59,26 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema, shape: Callable[
                   table_path: str, checkpoint: str, source_format: str = "parquet",
                   max_files_per_trigger: int = 1, control: IngestControl | None = None,
                   error_col: str | None = "error",
-                  on_progress: Callable[[dict], None] | None = None) -> dict:
+                  on_progress: Callable[[dict], None] | None = None,
+                  progress_path: str | None = None, total_rows: int = 0) -> dict:
     """Run the stream until the available files are done; returns a run summary.
 
     ``shape(batch) -> rows`` turns one micro-batch of source rows into table
     rows (it may score, parse, pick the best detection...).  When the batch
-    frame has ``error_col``, failed rows are counted for the breaker.
+    frame has ``error_col``, failed rows are counted for the breaker.  The source is
+    read once a batch.  With ``progress_path`` a listener keeps a table of progress rows
+    (see :mod:`trapline.streaming.progress`); ``total_rows`` makes percent and ETA known.
     """
     control = control or IngestControl()
 
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
+    def on_batch(source: DataFrame, batch_id: int) -> None:
+        batch = source.persist()
+        try:
+            one_batch(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
         if control.stop_requested:
             raise StopRequested()
         if error_col and error_col in batch.columns:
@@ -86,22 +99,40 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema, shape: Callable[
 
     stream = (spark.readStream.format(source_format).schema(schema)
               .option("maxFilesPerTrigger", max_files_per_trigger).load(source_dir))
-    q = (stream.writeStream.foreachBatch(on_batch)
-         .option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    stopped, reason = False, None
-    try:
-        q.awaitTermination()
-    except Exception as e:  # noqa: BLE001 - the query ends with the raised reason
-        text = str(e)
-        if "BreakerTripped" in text or "StopRequested" in text:
-            stopped, reason = True, ("breaker" if "BreakerTripped" in text else "stop")
-        else:
-            raise
+    stopped, reason = _run(spark, stream, on_batch, checkpoint, progress_path, total_rows)
     return {"batches": len(control.batches), "stopped": stopped, "reason": reason,
             "consecutive_failed": control.consecutive_failed}
 
 
+def _run(spark: SparkSession, stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str,
+         progress_path: str | None, total_rows: int) -> tuple[bool, str | None]:
+    """Runs the stream over what is there; (stopped, reason), with progress rows if a path is given."""
+    name = f"ingest-{uuid.uuid4().hex}"
+    with recorded(spark, progress_path, total_rows, name=name) if progress_path else nullcontext():
+        q = (stream.writeStream.queryName(name).foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+        try:
+            q.awaitTermination()
+        except Exception as e:  # noqa: BLE001 - the query ends with the raised reason
+            text = str(e)
+            if "BreakerTripped" in text or "StopRequested" in text:
+                return True, ("breaker" if "BreakerTripped" in text else "stop")
+            raise
+    return False, None
+
+
+def _unhandled(spark: SparkSession, queue: str, table_path: str, failed_path: str) -> int:
+    """Rows of the queue that no finished batch has written or put down as failed (counts of Parquet footers)."""
+    def rows(path: str) -> int:
+        try:
+            t = spark.read.parquet(path)
+        except AnalysisException:  # nothing there yet
+            return 0
+        return t.where("batch_id IS NOT NULL").count() if "batch_id" in t.columns else t.count()
+
+    return max(rows(queue) - rows(table_path) - rows(failed_path), 0)
+
+
 def queue_new_images(spark: SparkSession, root: str, queue: str, failed: str, files_per_trigger: int,
                      state_path: str | None = None) -> None:
     """Appends the images of ``root`` that were never queued, and those whose last attempt failed, to the queue.
@@ -129,7 +160,7 @@ def queue_new_images(spark: SparkSession, root: str, queue: str, failed: str, fi
 def ingest_images(spark: SparkSession, root: str, factory, names: DataFrame, table_path: str, checkpoint: str,
                   options=None, control: IngestControl | None = None,
                   on_progress: Callable[[dict], None] | None = None,
-                  files_per_trigger: int | None = None) -> dict:
+                  files_per_trigger: int | None = None, progress_path: str | None = None) -> dict:
     """New image files under ``root`` -> scorer -> detections table, chunk by chunk.
 
     Each run walks the folders, opening those that changed since the last run, and queues what is new (see
@@ -141,7 +172,8 @@ def ingest_images(spark: SparkSession, root: str, factory, names: DataFrame, tab
     works in chunks of ``options.chunk_size`` inside each task.  The capture date
     is read from each file as in the batch job.  Images of a failed chunk go to
     a table beside the checkpoint and are queued again by the next run; ``limit``
-    failed chunks in a row stop the stream.
+    failed chunks in a row stop the stream.  With ``progress_path`` a listener keeps a
+    table of progress rows (images so far, rate, percent, ETA).
     """
     from pyspark.sql import Observation
 
@@ -156,7 +188,14 @@ def ingest_images(spark: SparkSession, root: str, factory, names: DataFrame, tab
     queue, failed_path = f"{checkpoint.rstrip('/')}-queue", f"{checkpoint.rstrip('/')}-failed"
     queue_new_images(spark, root, queue, failed_path, size, f"{checkpoint.rstrip('/')}-folders")
 
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
+    def on_batch(source: DataFrame, batch_id: int) -> None:
+        batch = source.persist()  # a few paths, read several times below
+        try:
+            one_batch(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
         if control.stop_requested:
             raise StopRequested()
         images = batch.select(F.col("path").alias("image_path"), "modificationTime")
@@ -185,16 +224,7 @@ def ingest_images(spark: SparkSession, root: str, factory, names: DataFrame, tab
 
     stream = (spark.readStream.format("parquet").schema("path string, modificationTime timestamp")
               .option("maxFilesPerTrigger", 1).load(queue))
-    q = (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    stopped, reason = False, None
-    try:
-        q.awaitTermination()
-    except Exception as e:  # noqa: BLE001
-        text = str(e)
-        if "BreakerTripped" in text or "StopRequested" in text:
-            stopped, reason = True, ("breaker" if "BreakerTripped" in text else "stop")
-        else:
-            raise
+    total = _unhandled(spark, queue, table_path, failed_path) if progress_path else 0
+    stopped, reason = _run(spark, stream, on_batch, checkpoint, progress_path, total)
     return {"batches": len(control.batches), "stopped": stopped, "reason": reason,
             "images": sum(b.get("images", 0) for b in control.batches)}
