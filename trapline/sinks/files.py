@@ -11,8 +11,9 @@ content is the source's, as after a retried task; otherwise the file fails and
 its source stays.  Moving is two jobs: place (a link on the same file system, a
 copy across two), then delete the sources whose destination is the same file or
 has the same content.  The status rows of both jobs are written tables, so no
-file is handled twice because a frame is read twice.  Paths must be on storage
-every executor sees as a file system.
+file is handled twice because a frame is read twice.  Paths without a scheme must be on
+storage every executor sees as a file system; ``scheme://`` paths go through
+:mod:`trapline.sinks.stores`, by digests.
 """
 from __future__ import annotations
 
@@ -27,6 +28,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trapline.session import scratch_dir
+from trapline.sinks import stores
+
 STATUS_SCHEMA = ("image_path string, dest_path string, folder_key string, dest_name string, seen_order long, "
                  "status string, error string")
 DONE = ("copied", "linked", "exists", "moved")
@@ -53,15 +57,21 @@ def _claim(tmp: str, dest: str) -> None:
         if e.errno not in (errno.EPERM, errno.EOPNOTSUPP, errno.ENOSYS, errno.EMLINK):
             raise
         # no hard links here: take the name first, then fill it
-        with open(dest, "xb") as out, open(tmp, "rb") as f:
-            shutil.copyfileobj(f, out)
+        try:
+            with open(dest, "xb") as out, open(tmp, "rb") as f:
+                shutil.copyfileobj(f, out)
+        except FileExistsError:
+            raise
+        except OSError:  # an own part file must not stand under the final name
+            os.remove(dest)
+            raise
         shutil.copystat(tmp, dest)
 
 
 def _place(src: str, dest: str, move: bool) -> tuple[str, str | None]:
-    if "://" in src or "://" in dest:
-        return "failed", "ValueError: files are placed on mounted file systems only"
     try:
+        if stores.is_remote(src, dest):
+            return stores.place(src, dest)
         os.makedirs(os.path.dirname(dest), exist_ok=True)
         if os.path.lexists(dest):
             return ("exists", None) if _same(src, dest) else ("failed", "FileExistsError: destination has other content")
@@ -83,12 +93,14 @@ def _place(src: str, dest: str, move: bool) -> tuple[str, str | None]:
             if os.path.lexists(tmp):
                 os.remove(tmp)
         return "copied", None
-    except OSError as e:
+    except (OSError, ValueError) as e:  # ValueError: a scheme that no file system here knows
         return "failed", f"{type(e).__name__}: {e}"
 
 
 def _remove(src: str, dest: str) -> tuple[str, str | None]:
     try:
+        if stores.is_remote(src, dest):
+            return _remove_remote(src, dest)
         if not os.path.exists(src):  # a retried task already removed it
             return ("moved", None) if os.path.exists(dest) else ("failed", "source and destination are missing")
         if not _same(src, dest):
@@ -97,10 +109,21 @@ def _remove(src: str, dest: str) -> tuple[str, str | None]:
             return "exists", None  # already in place
         os.remove(src)
         return "moved", None
-    except OSError as e:
+    except (OSError, ValueError) as e:
         return "failed", f"{type(e).__name__}: {e}"
 
 
+def _remove_remote(src: str, dest: str) -> tuple[str, str | None]:
+    if not stores.exists(src):
+        return ("moved", None) if stores.exists(dest) else ("failed", "source and destination are missing")
+    if stores.same_place(src, dest):
+        return "exists", None  # already in place
+    if not stores.exists(dest) or not stores.same_content(src, dest):
+        return "failed", "destination not verified"
+    stores.remove(src)
+    return "moved", None
+
+
 def _each(act: Callable[[str, str], tuple[str, str | None]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -138,18 +161,16 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 def execute_routing(plan: DataFrame, mode: str = "copy", status_path: str | None = None) -> DataFrame:
     """Copy (or move) the planned files.
 
-    With ``status_path`` the status rows are a written table, so the files are
-    handled once however often the rows are read; moving requires it (a new
-    path: an earlier run's status is never replaced).
+    The status rows are a written table (of the scratch folder, without
+    ``status_path``), so the files are handled once however often the rows are read;
+    moving requires the path (a new one: an earlier run's status is never replaced).
     """
     if mode not in ("copy", "move"):
         raise ValueError(f"unknown mode {mode!r}")
     if mode == "move" and not status_path:
         raise ValueError("moving files needs a status_path: the deletions are fed by written status rows")
-    status = place_files(plan, move=mode == "move")
-    if not status_path:
-        return status
-    status = _written(status, status_path)
+    status_path = status_path or scratch_dir(plan.sparkSession, "route-status")
+    status = _written(place_files(plan, move=mode == "move"), status_path)
     if mode == "copy":
         return status
     moved = delete_moved_sources(status)
