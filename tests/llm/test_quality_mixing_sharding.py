@@ -82,10 +82,45 @@ def test_matrix_sums():
     assert m.sum(axis=1).tolist() == counts and set(np.diff(sorted(m.sum(axis=0)))) <= {0, 1} and m.min() >= 0
 
 
-def test_large_urns_are_drawn_in_bounds():
+def test_draws_follow_the_law():
+    """Against the exact probabilities of small urns, and the moments of one beyond 1e9 rows."""
     rng = np.random.default_rng(1)
-    n = sharding._draw(rng, 3_000_000_000, 5_000_000_000, 4_000_000_000)
-    assert abs(n / 4e9 - 3 / 8) < 1e-3
+    for good, bad, n in ((5, 7, 6), (40, 3, 20), (1, 50, 25), (30, 30, 30), (200, 100, 2)):
+        low, high = max(0, n - bad), min(n, good)
+        p = [math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(low, high + 1)]
+        draws = np.array([sharding._draw(rng, good, bad, n) for _ in range(6000)])
+        assert draws.min() >= low and draws.max() <= high
+        seen = np.bincount(draws - low, minlength=len(p))
+        chi, cells = 0.0, 0
+        for got, want in zip(seen, np.array(p) * 6000):
+            if want >= 5:
+                chi, cells = chi + (got - want) ** 2 / want, cells + 1
+        assert chi < cells + 5 * math.sqrt(2 * cells) + 5
+    good, bad, n = 3_000_000_000, 45_000_000_000, 100_000
+    draws = np.array([sharding._draw(rng, good, bad, n) for _ in range(4000)])
+    mean, var = n / 16, n / 16 * 15 / 16
+    assert abs(draws.mean() - mean) < 5 * math.sqrt(var / 4000) and abs(draws.var() / var - 1) < 0.12
+    assert abs(sharding._draw(rng, 3_000_000_000, 5_000_000_000, 4_000_000_000) / 4e9 - 3 / 8) < 1e-4
+    assert sharding._draw(rng, 0, 9, 4) == 0 and sharding._draw(rng, 9, 0, 4) == 4 and sharding._draw(rng, 3, 4, 7) == 3
+
+
+def test_a_third_of_the_rows_equal(spark):
+    """No block or cell holds the equal rows; they are dealt like others, and the same however the rows lie."""
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("doc_id"))
+    key = [F.col("doc_id")]
+    blocks = sharding.in_blocks(rows, key, 78, 20, equal_rows=50).groupBy("_block").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("row.doc_id") == -1).alias("equal")).toPandas()
+    assert blocks.n.sum() == 6000 and blocks.n.max() < 350 and blocks.equal.max() <= 250
+    results = []
+    for parts in (3, 7):
+        got = sharding.shuffle_into_shards(rows.repartition(parts), key, equal_rows=50).toPandas()
+        results.append(got.sort_values(["shard", "slot"]).reset_index(drop=True))
+    assert results[0].equals(results[1])
+    equal = (results[0].doc_id == -1).groupby(results[0]["shard"])
+    assert len(equal.size()) == 16 and set(equal.size()) == {375} and equal.sum().between(85, 165).all()
+    # they don't stand next to each other more often than by chance (a third of the neighbours)
+    hot = results[0].doc_id.to_numpy() == -1
+    assert abs((hot[1:] & hot[:-1]).mean() - 1 / 9) < 0.02
 
 
 def test_sharding_is_exact_and_uniform(spark):
