@@ -1,4 +1,5 @@
 import math
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -70,6 +71,30 @@ def test_mixing_meets_targets(odd_docs):
     assert len(rows) == docs.count() and all(r["source_size"] == sizes[r["source"]] for r in rows)
 
 
+def test_mixing_with_a_hot_id(spark):
+    """Half of a source's rows have no id, of many sizes and of one: cut as in one order of (key, size), in small cells."""
+    import hashlib
+
+    rng = random.Random(8)
+    rows = [(None if i % 2 else i, "hot" if i % 5 else "s", 7 if i % 3 == 0 else rng.randint(0, 40)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, words long")
+    got = mixing.mix(docs.repartition(5), F.col("words"), equal_rows=20).collect()
+    h = lambda i: hashlib.md5(f"mix-1|{'null' if i is None else i}".encode()).hexdigest()
+    target, sums = {r["source"]: (r["target"], r["source_size"]) for r in got}, defaultdict(int)
+    for _, s, w in rows:
+        sums[s] += w
+    want, upto = [], defaultdict(int)
+    for i, s, w in sorted(rows, key=lambda r: (h(r[0]), r[2])):
+        goal, whole = math.floor(target[s][0]), sums[s]
+        want.append((str(i), s, w, goal // whole * w + max(min(goal % whole - upto[s], w), 0)))
+        upto[s] += w
+    assert sorted((str(r["doc_id"]), r["source"], r["size"], r["taken"]) for r in got) == sorted(want)
+    keyed = docs.select(F.struct("*").alias("row"), F.col("words").alias("size"), "source", F.col("source").alias("source_key"),
+                        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("_key"), F.lit(0).cast("long").alias("_range"))
+    cells = mixing.in_cells(keyed, 20).where("row.doc_id IS NULL").groupBy("source", *mixing.CELL).count().toPandas()
+    assert cells["count"].sum() == 1500 and cells["count"].max() <= 20
+
+
 def test_mixing_empty_and_clashing(odd_docs, no_docs):
     assert mixing.mix(no_docs, mixing.words(F.col("text"))).count() == 0
     got = mixing.mix(odd_docs, mixing.words(F.col("text")))

@@ -6,7 +6,10 @@ order is cut at the source's exact budget; a budget above the source's size
 repeats the source in whole epochs first.  The prefix sums are distributed: the
 key range is split into about sqrt(rows) ranges, a sum per (source, range) gives
 each range its offset, and only inside a range are rows summed one by one.  So no
-task holds more of a source than one range, however large the source is.
+task holds more of a source than one range, however large the source is.  Rows of one
+id (nulls, say) have one key: where more than EQUAL_ROWS rows of a source do, the range is
+cut before and behind that key, and the key's rows are ranges by size and by number
+among those of equal size, EQUAL_ROWS each; the order stays (key, size).
 
 Defined cases: a null text has size 0; a null source is a source of its own, last
 in order; documents of size 0 take 0 words; repeated rows are documents of their
@@ -31,6 +34,8 @@ SHARE = (3, 2)               # of all sizes: 150 %
 MAX_EPOCHS = 2
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
+#: Rows of one source and key that a range may hold.
+EQUAL_ROWS = 1000
 
 
 def words(text: Column) -> Column:
@@ -66,7 +71,38 @@ def targets(sizes: DataFrame) -> DataFrame:
                     F.when(F.col("held"), (MAX_EPOCHS * F.col("source_size")).cast("double")).otherwise(free).alias("target"))
 
 
-def mix(docs: DataFrame, size: Column, source: str = "source", doc_id: str = "doc_id", seed: str = SEED) -> DataFrame:
+CELL = ("_range", "_after", "_past", "_size", "_salt")  # a range's parts, in the order of (key, size)
+
+
+def in_cells(keyed: DataFrame, equal_rows: int = EQUAL_ROWS) -> DataFrame:
+    """``keyed`` with the columns CELL: its ranges, cut at keys that too many rows share."""
+    same = ["source_key", "_range", "_key"]
+    plain = {"_after": F.lit(""), "_past": F.lit(0), "_size": F.lit(0).cast("long"), "_salt": F.lit(0).cast("long")}
+    heavy = materialize(keyed.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > equal_rows))
+    if heavy.isEmpty():
+        return keyed.withColumns(plain)
+    # one row a range with such keys, at most rows / equal_rows keys in all
+    cuts = heavy.groupBy("source_key", "_range").agg(F.collect_list("_key").alias("_cuts"))
+    after = F.coalesce(F.array_max(F.filter("_cuts", lambda k: k <= F.col("_key"))), F.lit(""))
+    cut = keyed.join(cuts, ["source_key", "_range"], "left").withColumn("_after", after).drop("_cuts")
+    # those of the key itself come before those behind it
+    others = (cut.where(F.col("_after") != F.col("_key"))
+              .withColumns({"_past": F.lit(1), "_size": plain["_size"], "_salt": plain["_salt"]}))
+    hot = materialize(cut.where(F.col("_after") == F.col("_key")).withColumn("_at", F.monotonically_increasing_id()))
+    hot = hot.withColumn("_slice", F.floor(F.col("_at") / equal_rows))  # at most equal_rows rows of one partition
+    group = [*same, "size"]
+    local = hot.withColumn("_local", F.row_number().over(W.partitionBy(*group, "_slice").orderBy("_at")))
+    before = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    counts = hot.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select(*group, "_slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    salt = F.floor((F.col("_before") + F.col("_local") - 1) / equal_rows).cast("long")
+    numbered = local.join(offsets, [*group, "_slice"]).withColumns({"_past": F.lit(0), "_size": F.col("size"), "_salt": salt})
+    columns = [*keyed.columns, *CELL[1:]]
+    return others.select(*columns).unionByName(numbered.select(*columns))
+
+
+def mix(docs: DataFrame, size: Column, source: str = "source", doc_id: str = "doc_id", seed: str = SEED,
+        equal_rows: int = EQUAL_ROWS) -> DataFrame:
     """``docs`` with size, source_size, target and taken (words the mix takes, repeats counted)."""
     added = ("size", "source_size", "target", "taken")
     # about sqrt(rows) ranges of the key: as many ranges as rows in one
@@ -75,14 +111,15 @@ def mix(docs: DataFrame, size: Column, source: str = "source", doc_id: str = "do
     name = F.col(source).cast("string")
     keyed = (packed(docs, size=size, source=name, source_key=F.coalesce(F.concat(F.lit("="), name), F.lit("null")), _key=key)
              .withColumn("_range", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") / (1 << (32 - bits)))))
-    ranges = materialize(keyed.groupBy("source", "source_key", "_range").agg(F.sum("size").alias("words")))
+    keyed = in_cells(keyed, equal_rows)
+    ranges = materialize(keyed.groupBy("source", "source_key", *CELL).agg(F.sum("size").alias("words")))
     goal = targets(ranges.groupBy("source", "source_key").agg(F.sum("words").alias("source_size")))
-    before = W.partitionBy("source_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("source_key").orderBy(*CELL).rowsBetween(W.unboundedPreceding, -1)
     offsets = (ranges.withColumn("_offset", F.coalesce(F.sum("words").over(before), F.lit(0)))
-               .select("source_key", "_range", "_offset").join(goal, "source_key"))
-    inside = W.partitionBy("source_key", "_range").orderBy("_key", "size").rowsBetween(W.unboundedPreceding, -1)
+               .select("source_key", *CELL, "_offset").join(goal, "source_key"))
+    inside = W.partitionBy("source_key", *CELL).orderBy("_key", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = (keyed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-              .join(offsets, ["source_key", "_range"]))
+              .join(offsets, ["source_key", *CELL]))
     budget, whole = F.floor("target"), F.greatest(F.col("source_size"), F.lit(1))
     epochs = F.floor(budget / whole)
     rest = budget - epochs * whole - F.col("_offset") - F.col("_inside")
