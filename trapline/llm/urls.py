@@ -42,6 +42,7 @@ RULES = (
     ("block", "com", "/de/"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ROUNDING = 1e-9        # of the count: the test statistic of one cell is 0, but for the sum's rounding
 MIN_BRANCHES = 20      # a level with more of them may be a wildcard
 LEVELS = 3             # that all urls have, with empty segments where a path ends before
 SMOOTHING = 4          # labels that a parent's purity counts as
@@ -93,7 +94,7 @@ def level_sql(rows: str, parent: tuple[str, ...], segment: str, child: str, toke
     return f"""
 SELECT x.*, y.{token} FROM {rows} x JOIN (
   SELECT x.*, CASE WHEN k > {MIN_BRANCHES} AND 2 * k > total THEN '*'
-                   WHEN k > 1 AND x2 - n <= (cells - 1) + 3 * sqrt(2e0 * (cells - 1)) THEN '~'
+                   WHEN k > 1 AND x2 - n <= (cells - 1) + 3 * sqrt(2e0 * (cells - 1)) + {ROUNDING:e} * n THEN '~'
                    ELSE x.{segment} END AS {token}
   FROM (SELECT {up}, {segment}, sum(c) AS n, sum(1e0 * c * c * total / (1e0 * p * bn)) AS x2,
                min(k) AS k, min(total) AS total, min(cells) AS cells
