@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trapline.operators.incremental import failure_streaks
-from trapline.operators.ordinal import with_ordinal
+from trapline.operators.ordinal import with_marks_passed, with_ordinal
 
 
 def test_ordinal_matches_row_number(spark):
@@ -22,6 +22,16 @@ def test_ordinal_matches_row_number(spark):
     assert sorted(glob.values()) == list(range(1, len(glob) + 1))
 
 
+def test_marks_passed_match_a_count(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice("abc"), rnd.randrange(200), i) for i in range(150)]
+    marks = [(rnd.choice("abd"), rnd.choice([0, 7, rnd.randrange(200), 10**12])) for _ in range(60)]
+    df, m = spark.createDataFrame(rows, "g string, o long, id long"), spark.createDataFrame(marks, "g string, o long")
+    want = {i: sum(h == g and at <= o for h, at in marks) for g, o, i in rows}
+    for bucket in (1, 13, 1 << 20):
+        assert {r.id: r.passed for r in with_marks_passed(df, m, ["g"], "o", bucket_rows=bucket).collect()} == want
+
+
 def test_breaker_trips_on_consecutive_failures(spark):
     log = spark.createDataFrame([(0, True), (1, True), (2, True)], "chunk_no long, failed boolean")
     r = failure_streaks(log, limit=2).first()

@@ -47,6 +47,34 @@ def with_ordinal(df: DataFrame, group_cols: list[str], order_col: str, out_col:
             .drop(bucket, "_ord_local", "_ord_off"))
 
 
+def with_marks_passed(df: DataFrame, marks: DataFrame, group_cols: list[str], order_col: str, out_col: str = "passed",
+                      bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+    """How many ``marks`` of a row's group lie at or before the row, by the ``order_col`` that both frames have.
+
+    As in :func:`with_ordinal`, rows and marks are counted inside ``(group, bucket)`` slices, and the
+    slices' own counts are prefix-summed.  Marks of one place are summed first.  Rows with a null in
+    ``group_cols`` or ``order_col`` are left out.
+    """
+    bucket = "_ord_bucket"
+    slice_cols = [*group_cols, bucket]
+    at = F.floor(F.col(order_col) / F.lit(bucket_rows)).cast("long")
+    rows = df.withColumn(bucket, at)
+    places = marks.groupBy(*group_cols, order_col).agg(F.count(F.lit(1)).alias("_ord_marks")).withColumn(bucket, at)
+    running = (Window.partitionBy(*slice_cols).orderBy(order_col, F.col("_ord_marks").desc())
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = (rows.withColumn("_ord_marks", F.lit(0).cast("long")).withColumn("_ord_row", F.lit(True))
+             .unionByName(places, allowMissingColumns=True)
+             .withColumn("_ord_local", F.sum("_ord_marks").over(running)).filter("_ord_row"))
+    # slices that have rows or marks: one row each
+    counts = (rows.groupBy(*slice_cols).agg(F.lit(0).cast("long").alias("_ord_n"))
+              .unionByName(places.groupBy(*slice_cols).agg(F.sum("_ord_marks").alias("_ord_n")))
+              .groupBy(*slice_cols).agg(F.sum("_ord_n").alias("_ord_n")))
+    prior = Window.partitionBy(*group_cols).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_ord_off", F.coalesce(F.sum("_ord_n").over(prior), F.lit(0))).drop("_ord_n")
+    return (local.join(offsets, slice_cols).withColumn(out_col, F.col("_ord_off") + F.col("_ord_local"))
+            .drop(bucket, "_ord_marks", "_ord_row", "_ord_local", "_ord_off"))
+
+
 def with_rank(df: DataFrame, order: list, out_col: str = "rank", group: str | None = None) -> DataFrame:
     """1-based position (int) of each row in the whole frame by ``order``, or in its ``group``, without a one-task window.
 

@@ -22,12 +22,9 @@ from trapline.functions.paths import (
 from trapline.functions.text import is_no_detection
 from trapline.operators.labels import no_detection_row, with_report_date
 from trapline.operators.names import with_resolved_vernacular
-from trapline.operators.ordinal import DEFAULT_BUCKET_ROWS, with_ordinal
+from trapline.operators.ordinal import DEFAULT_BUCKET_ROWS, with_marks_passed, with_ordinal
 from trapline.session import materialize
 
-# candidate numbers are generated in slices of this many per task
-CANDIDATE_SLICE = 100_000
-
 
 def existing_sources(table: DataFrame, listing: DataFrame, key: str = "image_path",
                      listing_key: str = "path") -> tuple[DataFrame, DataFrame]:
@@ -102,8 +99,9 @@ def dedup_destinations(plan: DataFrame, existing: DataFrame | None = None,
     :func:`with_ordinal`, the "name already taken" check joins first rows
     only, and what holds for a group reaches its rows by ``(group, slice)``,
     slices of ``bucket_rows`` of the order.  In a group without claimed
-    numbers (nearly all) a row's number follows from its position; only groups
-    with claims generate candidates, matched on the unique ``(group, position)``.
+    numbers (nearly all) a row's number follows from its position; in groups
+    with claims, from its position and the claims before it, counted slice by
+    slice (:func:`with_marks_passed`); no numbers are generated or matched.
     """
     spark = plan.sparkSession
     run_stamp = run_stamp or datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S%f")
@@ -148,19 +146,12 @@ def dedup_destinations(plan: DataFrame, existing: DataFrame | None = None,
     plain = requests.filter(F.col("_claimed").isNull()).withColumn("_n", F.col("_k").cast("long") - F.col("_shift"))
     hard = requests.filter(F.col("_claimed"))
 
-    # groups with claims: candidates 1.._total, generated slice by slice; the r-th free
-    # one goes to position r + shift (positions after a kept first row start at 2)
-    n_claim = claims.groupBy(*g).agg(F.count(F.lit(1)).alias("_C"))
-    groups = (hard.groupBy(*g).agg(F.count(F.lit(1)).alias("_R"), F.max("_shift").alias("_shift")).join(n_claim, g, "inner")
-              .withColumn("_total", F.col("_R") + F.col("_C")))
-    slices = groups.select(*g, "_total", "_shift", F.explode(F.sequence(
-        F.lit(0), ((F.col("_total") - 1) / F.lit(CANDIDATE_SLICE)).cast("long"))).alias("_slice"))
-    cands = slices.select(*g, "_shift", F.explode(F.sequence(
-        F.col("_slice") * CANDIDATE_SLICE + 1,
-        F.least(F.col("_total"), (F.col("_slice") + 1) * CANDIDATE_SLICE))).alias("_n"))
-    free = with_ordinal(cands.join(claims, [*g, "_n"], "left_anti"), g, "_n", "_r", bucket_rows)
-    free = free.select(*g, "_n", (F.col("_r") + F.col("_shift")).alias("_k"))
-    numbered = plain.unionByName(hard.join(free, [*g, "_k"], "inner").select(*plain.columns))
+    # groups with claims: before the i-th claimed number c lie c - i free ones, so the claim moves up the requests from
+    # the (c - i + 1)-th on; a request's number is its position among the requests plus the claims that move it
+    moves = (with_ordinal(claims.filter(F.col("_n") > 0), g, "_n", "_i", bucket_rows)
+             .select(*g, (F.col("_n") - F.col("_i") + 1).alias("_r")))
+    moved = with_marks_passed(hard.withColumn("_r", F.col("_k").cast("long") - F.col("_shift")), moves, g, "_r", "_passed", bucket_rows)
+    numbered = plain.unionByName(moved.withColumn("_n", F.col("_r") + F.col("_passed")).select(*plain.columns))
 
     over = F.concat(F.col("_stem"), F.lit(f"_{run_stamp}_"), F.col("_n").cast("string"), F.col("_ext"))
     again = F.concat(F.col("_stem"), F.lit(f"_{run_stamp}_{run_stamp}_"), F.col("_n").cast("string"), F.col("_ext"))
