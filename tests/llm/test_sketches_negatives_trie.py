@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
@@ -65,6 +66,52 @@ def test_chains_of_near_copies(spark, monkeypatch):
     check_duplicates(spark, docs)
 
 
+def test_unrelated_sets_of_long_lists_are_not_read(spark, monkeypatch):
+    """Texts of few words share all their lists, which are long; only near copies are compared as whole sets."""
+    monkeypatch.setattr(sketches, "SHORT_LIST", 10)
+    monkeypatch.setattr(sketches, "BLOCK_SETS", 8)
+    read, in_blocks, whole_sets, links_in_blocks = [], [], sketches.whole_sets, sketches.links_in_blocks
+
+    def reading(docs, classes, wanted):
+        read.append(wanted.count())
+        return whole_sets(docs, classes, wanted)
+
+    def comparing(outside, inside, whole):
+        in_blocks.append(outside.count() + inside.count())
+        return links_in_blocks(outside, inside, whole)
+
+    monkeypatch.setattr(sketches, "whole_sets", reading)
+    monkeypatch.setattr(sketches, "links_in_blocks", comparing)
+    rng = random.Random(8)
+    texts = [[rng.choice([f"w{i}" for i in range(20)]) for _ in range(60)] for _ in range(120)]
+    texts += [[*t[:30], "other", *t[31:]] for t in texts[::30]]
+    check_duplicates(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    assert sum(read) <= 8 and sum(in_blocks) == 0
+
+
+def test_block_links_by_whole_sets():
+    """Links that leave a block: one for each two components that link, by exact Jaccard."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    found = []
+    for k in range(40):
+        x = base.copy()
+        x[rng.choice(400, 2 * k, replace=False)] = rng.integers(0, 1 << 63, 2 * k).astype(np.uint64)
+        found.append(np.unique(x))
+    asks = [k % 3 == 0 for k in range(40)]
+    rows = pa.table({"c": np.arange(40), "comp": np.arange(40), "asks": asks, "shingles": [x.tobytes() for x in found]})
+    near = {(i, j) for i in range(40) for j in range(40) if asks[i] and not asks[j] and sketches.linked(found[i], found[j])}
+    got = sketches._block_links(rows)
+
+    def parts(links):
+        of = list(range(40))
+        for a, b in links:
+            of = [of[b] if x == of[a] else x for x in of]
+        return {frozenset(i for i in range(40) if of[i] == x) for x in of}
+
+    assert set(got) <= near and parts(got) == parts(near) and len(got) == 40 - len(parts(near))
+
+
 def test_a_third_of_the_rows_are_equal(spark):
     docs = [(i, "one and the same text here" if i % 3 == 0 else f"text number {i} of its own {i * 7}") for i in range(600)]
     check_duplicates(spark, docs)

@@ -11,15 +11,22 @@ sketch is the SKETCH smallest.  Equal sets are one class and are never compared.
    task's memory; the order is right in any form.
 2. A set meets a list's leader (its smallest class number) if that leads LED of its
    lists.  Found links are contracted to components.
-3. Sets of one list that are still in different components meet: as pairs if they
-   share MEET short lists; in a long list (a large group of near copies) all sets outside
-   the list's largest component meet that component, in blocks of both inside tasks, and
-   only links between components leave a block.  A pair shares a long list, or all
-   that it shares are short ones, so none is missed.
+3. Sets of one list that are still in different components meet.  More than SHORT_LIST sets
+   of one component (a large group of near copies) are their list's hub; the others, or all
+   sets if there is no hub, are its rest, short up to SHORT_LIST sets.  In a list that a pair
+   shares, both are of the rest or one is of the hub.  So of MEET lists the two share
+   TWO long rests, or HUB_LISTS where one is of the hub, or MEET - TWO - HUB_LISTS + 2 short rests:
+   * short rests: pairs of about equal size that share so many;
+   * long rests: two values together have a list of their own, of the sets in both rests;
+     a short one gives pairs.  Long ones (a text that many share) meet in blocks as below;
+   * hubs: of HUB_LISTS lists most have one hub; sets in the rests of so many lists of
+     one hub meet that component, in blocks of both inside tasks, and only links between
+     components leave a block.
+   A list that unrelated sets share grows with the table; no two of them meet for it alone.
 
 A pair that meets is estimated by the union of the sketches (the share of the union's
 SKETCH smallest values that both have) and verified by the whole sets if the estimate is at
-least SHARED / SKETCH.
+least SHARED / SKETCH.  Whole sets are read for blocks and for pairs whose estimate passes.
 
 What can be lost: a pair of Jaccard 0.8 or more whose shared values make up fewer than
 28 of the 64 smallest of its union: by the binomial tail below 3e-9 a pair at exactly
@@ -36,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.llm.components import components
@@ -52,7 +59,12 @@ LED = 4            # lists that a leader must lead for a set to meet it before o
 RARE = 4           # a value of so many classes needs no place in the order
 FREQUENT = 1 << 21 # values that the order may know; 9 bytes each in a task
 SHORT_LIST = 32    # sets of a list that meet as pairs
-BLOCK_SETS = 256   # sets on either side of a block
+TWO = 2            # long rests that a pair shares to meet in a list of two values
+HUB_LISTS = 3      # lists with one of a pair in the hub; two or more of them have the same hub
+BLOCK_SETS = 1024  # sets on either side of a block
+BLOCK_SHINGLES = 1 << 19  # their shingles, 8 bytes each
+#: Sizes n_a and n_b of two sets that can link.
+FIT = f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -133,7 +145,7 @@ def needed(n: np.ndarray) -> np.ndarray:
 
 
 def postings(classes: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(value, c, meet): each class's retained values but for the most frequent, and how many a pair must share."""
+    """(value, c, n): each class's retained values but for the most frequent, and its size."""
     shared = classes.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +165,14 @@ def postings(classes: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
                 order = np.lexsort((value, crowd, of))
                 place = np.arange(len(of)) - (np.cumsum(size) - size)[of]
                 keep = place < (size - need + meet)[of]
-                yield pa.RecordBatch.from_pydict({"value": value[order][keep].view(np.int64), "c": c[of[keep]], "meet": meet[of[keep]]})
+                yield pa.RecordBatch.from_pydict({"value": value[order][keep].view(np.int64), "c": c[of[keep]], "n": n[of[keep]]})
 
-    return classes.select("c", "n", "sketch").mapInArrow(run, "value long, c long, meet long")
+    return classes.select("c", "n", "sketch").mapInArrow(run, "value long, c long, n long")
+
+
+def meet(n: Column) -> Column:
+    """Listed values that a set of n shares with any set it links with: ``needed``, at most MEET."""
+    return F.least(F.lit(MEET), F.ceil(n * PERCENT / 100))
 
 
 def heads(sets_: list[np.ndarray]) -> np.ndarray:
@@ -209,24 +226,33 @@ def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
     return texts.select("c", "text", "k1", "k2").mapInArrow(run, "c long, shingles binary").dropDuplicates(["c"])
 
 
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The written pairs (a, b) whose sizes allow a link and whose union-sketch estimate passes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select([0, 1]).filter(pa.array(estimated(_arrays(batch.column(2)), _arrays(batch.column(3)))))
+
+    pairs = small(pairs, 16)
+    one, two = (classes.join(pairs, F.col("c") == F.col(s)).select("a", "b", F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"{s}_sketch")) for s in "ab")
+    return one.join(two, ["a", "b"]).where(FIT).select("a", "b", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose union-sketch estimate passes and whose whole sets link."""
+    """The pairs (a, b) whose whole sets link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = _arrays(batch.column(2)), _arrays(batch.column(3))
-            yes = estimated(x, y)
-            for i in np.flatnonzero(yes):
-                yes[i] = linked(x[i], y[i])
-            yield batch.select([0, 1]).filter(pa.array(yes))
+            yield batch.select([0, 1]).filter(pa.array([linked(*both) for both in zip(x, y)], pa.bool_()))
 
     one, two = (whole.select(F.col("c").alias(s), F.col("shingles").alias(f"{s}_shingles")) for s in "ab")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "a_shingles", "b_shingles").mapInArrow(run, "a long, b long")
 
 
 def links_in_blocks(outside: DataFrame, inside: DataFrame, whole: DataFrame) -> DataFrame:
-    """(a, b) links of (main, c, comp) sets outside a component with all of (main, c, comp), compared in blocks."""
-    count = lambda rows, name: rows.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias(name))
+    """(a, b) links of (main, c, n, comp) sets outside a component with all inside (main, c, n, comp), compared in blocks."""
+    count = lambda rows, name: rows.groupBy("main").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias(name))
     sizes = materialize(count(inside, "blocks").join(count(outside, "chunks"), "main"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     at = lambda n: F.pmod(F.xxhash64("c"), F.col(n))
@@ -235,7 +261,7 @@ def links_in_blocks(outside: DataFrame, inside: DataFrame, whole: DataFrame) ->
     rows = them.union(us).withColumn("cell", F.xxhash64("main", "block", "chunk")).join(whole, "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "cell"):  # a cell has some 2 * BLOCK_SETS sets
+        for group in whole_groups(batches, "cell"):  # a cell has some 2 * BLOCK_SETS sets or 2 * BLOCK_SHINGLES shingles
             cells = group.column("cell").to_numpy()
             for cell in np.unique(cells):
                 found = _block_links(group.filter(pa.array(cells == cell)))
@@ -264,24 +290,25 @@ def _block_links(rows: pa.Table) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    out = []
-    for i in us:
-        mine = head[i][head[i] != _NONE]
+    def meeting(mine: np.ndarray, value: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Numbers of values in common with each set."""
         lo, hi = np.searchsorted(value, mine, "left"), np.searchsorted(value, mine, "right")
-        met = [owner[a:b] for a, b in zip(lo, hi) if b > a]
-        if not met:
-            continue
-        same = np.bincount(np.concatenate(met), minlength=len(whole))
-        near = np.flatnonzero(same >= needed(size[i:i + 1])[0])
-        near = near[(100 * np.minimum(size[near], size[i]) >= PERCENT * np.maximum(size[near], size[i])) & (comp[near] != comp[i])]
-        near = near[near_enough(np.hstack((np.broadcast_to(head[i], (len(near), SKETCH)), head[near])))]
-        if not len(near):
+        met = [owner[a:b] for a, b in zip(lo.tolist(), hi.tolist()) if b > a]
+        return np.bincount(np.concatenate(met), minlength=len(whole)) if met else np.zeros(len(whole), np.int64)
+
+    out, every = [], None
+    for i in us:
+        same = meeting(head[i][head[i] != _NONE], value, owner)
+        near = (same >= needed(size[i:i + 1])[0]) & (100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i])) & (comp != comp[i])
+        if not near.any():
             continue
-        # exact overlaps with all that are near, at once
-        values = np.concatenate([whole[j] for j in near])
-        at = np.minimum(np.searchsorted(whole[i], values), size[i] - 1)
-        overlap = np.add.reduceat(whole[i][at] == values, np.cumsum(size[near]) - size[near], dtype=np.int64)
-        for j in near[(100 + PERCENT) * overlap >= PERCENT * (size[near] + size[i])]:
+        if every is None:  # all shingles of the others, and whose they are
+            values = np.concatenate([whole[j] for j in them])
+            order = np.argsort(values, kind="stable")
+            every = values[order], np.repeat(them, size[them])[order]
+        near &= (100 + PERCENT) * meeting(whole[i], *every) >= PERCENT * (size + size[i])
+        near = np.flatnonzero(near)
+        for j in near[near_enough(np.hstack((np.broadcast_to(head[i], (len(near), SKETCH)), head[near])))]:
             x, y = find(int(comp[i])), find(int(comp[j]))
             if x != y:
                 root[max(x, y)] = min(x, y)
@@ -289,6 +316,47 @@ def _block_links(rows: pa.Table) -> list[tuple[int, int]]:
     return out
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """The classes (c) of the pairs (a, b)."""
+    return pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+
+
+def side_by_side(rows: DataFrame, key: str) -> DataFrame:
+    """Rows (key, c, n, comp) with those of the same key whose component differs and whose size is near enough: (a, n_a, of_a, b, n_b, of_b)."""
+    one, two = (rows.select(key, *[F.col(x).alias(y) for x, y in (("c", s), ("n", f"n_{s}"), ("comp", f"of_{s}"))]) for s in "ab")
+    return one.join(two, key).where(f"a < b AND of_a <> of_b AND {FIT}")
+
+
+def meetings(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of listed sets (value, c, n, comp) those of different components that meet: pairs (a, b), and for blocks those inside and outside a component (main, c, n, comp)."""
+    tops = lambda rows, key: (rows.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("k")).groupBy(key)
+                              .agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1"))
+    hub = F.when(F.col("top.k") > SHORT_LIST, F.col("top.comp"))
+    mixed = materialize(tops(members, "value").select("value", hub.alias("hub"), (F.col("size") - F.when(hub.isNotNull(), F.col("top.k")).otherwise(0)).alias("rest")))
+    # short rests: sets of different components, as pairs that share enough of them
+    in_rest = "hub IS NULL OR comp <> hub"
+    short = members.join(mixed.where(F.col("rest").between(2, SHORT_LIST)), "value").where(in_rest)
+    pairs = (side_by_side(short, "value").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("n_a", "n_b")).alias("n"))
+             .where(F.col("k") >= meet(F.col("n")) - (TWO - 1) - (HUB_LISTS - 1)).select("a", "b"))
+    # long rests: a list for every two values
+    long = members.join(small(mixed.where(F.col("rest") > SHORT_LIST), 32), "value").where(in_rest)
+    long = materialize(long.groupBy("c", "n", "comp").agg(F.sort_array(F.collect_list("value")).alias("values")).where(F.size("values") >= TWO))
+    of_two = F.flatten(F.transform("values", lambda x, i: F.transform(F.slice("values", i + 2, F.size("values")), lambda y: F.xxhash64(x, y))))
+    twos = long.select("c", "n", "comp", F.explode(of_two).alias("two"))
+    shared = twos.groupBy("two").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    twos = materialize(twos.join(shared.select("two", "size"), "two"))
+    pairs = pairs.union(side_by_side(twos.where(F.col("size") <= SHORT_LIST), "two").select("a", "b")).distinct()
+    crowds = twos.where(F.col("size") > SHORT_LIST)
+    crowds = crowds.join(tops(crowds, "two").select("two", F.col("top.comp").alias("main")), "two").select("main", "c", "n", "comp").distinct()
+    # hubs: sets of the rests of enough lists with one hub
+    hubs = members.join(small(mixed.where("hub IS NOT NULL").select("value", F.col("hub").alias("main")), 32), "value")
+    rests = hubs.where("comp <> main").groupBy("main", "c", "n", "comp").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HUB_LISTS // 2).drop("k")
+    crowds = materialize(crowds)
+    outside = materialize(rests.union(crowds.where("comp <> main")).distinct())
+    inside = hubs.where("comp = main").select("main", "c", "n", "comp").join(outside.select("main").distinct(), "main", "left_semi")
+    return pairs, materialize(inside.union(crowds).distinct()), outside
+
+
 def classes_and_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n, c, comp): every row, with its class of equal sets and the component of that."""
     rows = materialize(scan(docs))
@@ -298,29 +366,17 @@ def classes_and_components(docs: DataFrame) -> DataFrame:
     classes = materialize(classes)
     found = materialize(postings(classes, frequencies(classes)))
     leads = found.groupBy("value").agg(F.min("c").alias("lead"), F.max("c").alias("hi")).where("lead <> hi").select("value", "lead")
-    lists = materialize(found.join(leads, "value"))  # (value, c, lead)
-    met = materialize(lists.where("c <> lead").groupBy(F.col("lead").alias("a"), F.col("c").alias("b"))
-                      .agg(F.count(F.lit(1)).alias("k"), F.max("meet").alias("meet")).where(f"k >= least(meet, {LED})").select("a", "b"))
-    whole = materialize(whole_sets(docs, classes, met.select(F.col("a").alias("c")).union(met.select(F.col("b").alias("c"))).distinct()))
+    lists = materialize(found.join(leads, "value"))  # (value, c, n, lead)
+    led = materialize(lists.where("c <> lead").groupBy(F.col("lead").alias("a"), F.col("c").alias("b"))
+                      .agg(F.count(F.lit(1)).alias("k"), meet(F.max("n")).alias("meet")).where(f"k >= least(meet, {LED})").select("a", "b"))
+    met = materialize(likely(led, classes))
+    whole = materialize(whole_sets(docs, classes, ends(met)))
     labels = materialize(components(verified(met, whole))).withColumnsRenamed({"node": "c", "component": "comp"})
 
-    members = materialize(lists.select("value", "c", "meet").join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c")))
-    per = members.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("k"))
-    mixed = materialize(per.groupBy("value").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
-                        .where("comps > 1").select("value", "size", F.col("top.comp").alias("main")))
-    # short lists: sets of different components, as pairs that no leader has decided
-    short = members.join(mixed.where(F.col("size") <= SHORT_LIST).select("value"), "value", "left_semi")
-    one, two = (short.select("value", F.col("c").alias(s), F.col("comp").alias(f"of_{s}"), F.col("meet").alias(f"meet_{s}")) for s in "ab")
-    pairs = (one.join(two, "value").where("a < b AND of_a <> of_b").groupBy("a", "b")
-             .agg(F.count(F.lit(1)).alias("k"), F.min(F.least("meet_a", "meet_b")).alias("meet")).where("k >= meet")
-             .select("a", "b").join(met, ["a", "b"], "left_anti"))
-    across = materialize(pairs)
-    # long lists: sets outside a list's largest component with that component
-    long = members.join(small(mixed.where(F.col("size") > SHORT_LIST).select("value", "main"), 32), "value")
-    inside = materialize(long.select("main", "c", "comp").distinct())
-    outside = inside.where("comp <> main")
-    wanted = (across.select(F.col("a").alias("c")).union(across.select(F.col("b").alias("c"))).union(inside.select("c")).distinct()
-              .join(whole, "c", "left_anti"))
+    members = materialize(lists.select("value", "c", "n").join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c")))
+    across, inside, outside = meetings(members)
+    across = materialize(likely(materialize(across.join(led, ["a", "b"], "left_anti")), classes))
+    wanted = ends(across).union(inside.select("c")).union(outside.select("c")).distinct().join(whole, "c", "left_anti")
     whole = whole.union(materialize(whole_sets(docs, classes, wanted)))
     more = verified(across, whole).union(links_in_blocks(outside, inside, whole))
     labels = components(labels.select(F.col("c").alias("a"), F.col("comp").alias("b")).union(more)).withColumnsRenamed({"node": "c", "component": "comp"})
